@@ -120,7 +120,7 @@ def log_grid(lo: int = -2, hi: int = 2) -> Column:
 
 def display_value(v) -> Column:
     """PRJ7: null → Not Available, whole numbers without decimals, others 2 decimals."""
-    d = _c(v).cast("double")
+    d = _c(v).try_cast("double")
     return (F.when(_c(v).isNull(), F.lit(C.NOT_AVAILABLE))
             .when(d.isNotNull() & (d == F.floor(d)), F.format_string("%d", d.cast("long")))
             .when(d.isNotNull(), F.format_string("%.2f", d))

@@ -140,3 +140,44 @@ def messy_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.col("l_extendedprice").cast("string")).alias("price_text"),
         F.nullif(F.col("l_discount"), F.lit(0.0)).alias("l_discount"),
         "l_quantity", "l_returnflag", "l_shipdate")
+
+
+def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests as JSON text, one per customer (SRC3 input).
+
+    Field values are projections of the entity table, chosen so that some
+    rows break the request rules (negative balances, injected nulls,
+    satisfaction outside 1..5)."""
+    e = entity_table(spark, sf_dir)
+    req = F.struct(
+        F.col("c_acctbal").alias("monthly_charges"),
+        F.when(F.col("c_custkey") % 13 == 0, F.lit(0.0)).otherwise(F.col("total_spend")).alias("total_charges"),
+        F.col("n_orders").alias("tenure_months"),
+        F.when(F.col("c_nationkey") % 2 == 0, "Yes").otherwise("No").alias("phone_service"),
+        F.when(F.col("c_custkey") % 5 == 0, "Yes").alias("multiple_lines"),
+        F.col("c_mktsegment").alias("internet_service"),
+        F.element_at(F.array(F.lit("Month-to-month"), F.lit("One year"), F.lit("Two year")),
+                     (F.col("c_nationkey") % 3 + 1).cast("int")).alias("contract"),
+        (F.col("total_spend") / 10).alias("cltv"),
+        F.element_at(F.array(F.lit("Cable"), F.lit("DSL"), F.lit("Fiber optic"), F.lit("None")),
+                     (F.col("c_custkey") % 4 + 1).cast("int")).alias("internet_type"),
+        (F.col("c_nationkey") + 18).alias("age"),
+        (F.col("c_custkey") % 7).alias("satisfaction_score"),
+        F.col("c_custkey").cast("double").alias("population"),
+    )
+    return e.select(F.col("c_custkey").alias("customer_id"), F.to_json(req).alias("value"))
+
+
+REQUEST_SQL = """req AS (
+  SELECT c_custkey AS customer_id, c_acctbal AS monthly_charges,
+    CASE WHEN c_custkey % 13 = 0 THEN 0.0 ELSE total_spend END AS total_charges,
+    n_orders AS tenure_months,
+    CASE WHEN c_nationkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS phone_service,
+    CASE WHEN c_custkey % 5 = 0 THEN 'Yes' ELSE 'No' END AS multiple_lines,
+    c_mktsegment AS internet_service,
+    ['Month-to-month', 'One year', 'Two year'][c_nationkey % 3 + 1] AS contract,
+    total_spend / 10 AS cltv,
+    ['Cable', 'DSL', 'Fiber optic', 'None'][c_custkey % 4 + 1] AS internet_type,
+    c_nationkey + 18 AS age, c_custkey % 7 AS satisfaction_score, CAST(c_custkey AS DOUBLE) AS population,
+    'No' AS streaming_tv, 'No' AS streaming_movies, 'No' AS streaming_music, 'No' AS unlimited_data
+  FROM entity)"""
