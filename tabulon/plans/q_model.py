@@ -1 +1,277 @@
-"""Queries (filled in below)."""
+"""Queries: feature pipeline, models, tuning, scoring, contributions, runs and
+registry (FEA*, MDL*, EXP1, SCO1/3, SNK5/6, SRC5, ORD1-4, REG1-2, JON2-4).
+
+Model fits are checked rows-only (no SQL oracle can refit a model); the run
+and registry operators are SQL-checked on runs whose metrics are computed
+from the supplied tables (score variants on labelled documents).
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tabulon import config as C
+from tabulon.functions import scalar as S
+from tabulon.operators import model as MD
+from tabulon.operators import quality as Q
+from tabulon.operators import runs as R
+from tabulon.operators import score as SC
+from tabulon.plans.catalog import query
+from tabulon.plans.training import train_all, tune
+from tabulon.session import scratch_path
+from tabulon.sources import supplied as SP
+from tabulon.sources.tables import read_table
+
+NUMERIC = ["c_acctbal", "n_orders", "total_spend", "c_nationkey"]
+CATEGORICAL = ["c_mktsegment"]
+METRICS = ["accuracy", "precision", "recall", "f1", "balanced_accuracy", "roc_auc", "average_precision"]
+
+
+def _entity(spark, sf):
+    return SP.entity_table(spark, sf).select("c_custkey", *NUMERIC, *CATEGORICAL, "churn")
+
+
+@query("mdl6_model_comparison")
+def mdl6_model_comparison(spark, sf):
+    """MDL1-6 + ORD1: five model families on one split, holdout metrics in one
+    grouped pass, sorted by ROC AUC and rounded half-to-even to 4 places."""
+    t = train_all(_entity(spark, sf), "churn", "c_custkey", NUMERIC, CATEGORICAL)
+    return R.comparison_table(t.comparison, "roc_auc", 4, METRICS)
+
+
+@query("mdl7_grid_search")
+def mdl7_grid_search(spark, sf):
+    """MDL7 + SCL15: logistic regression over C = 10^-2..10^2 (regParam = 1/(C·n)),
+    5 stratified folds, ROC AUC."""
+    ent = _entity(spark, sf).withColumn("churn", F.col("churn").cast("double"))
+    ent = MD.balanced_weights(ent, "churn")
+    spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
+    n = ent.count()
+    grid_c = [10.0 ** k for k in range(-2, 3)]
+    _, scores = tune(ent, spec, "logistic_regression", {"regParam": [1.0 / (c * n) for c in grid_c]},
+                     "churn", "c_custkey")
+    rows = [(c, p["regParam"], auc) for c, (p, auc) in zip(grid_c, scores)]
+    return spark.createDataFrame(rows, "C double, regParam double, mean_roc_auc double")
+
+
+@query("mdl8_feature_importance")
+def mdl8_feature_importance(spark, sf):
+    """MDL8 + ORD4: random-forest importances named per encoded feature, top 20."""
+    ent = MD.balanced_weights(_entity(spark, sf).withColumn("churn", F.col("churn").cast("double")), "churn")
+    spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
+    m = MD.fit_model(ent, spec, "random_forest", label="churn", numTrees=50)
+    return MD.top_features(MD.feature_importance(m, spec, spark), 20)
+
+
+@query("fea3_feature_expansion")
+def fea3_feature_expansion(spark, sf):
+    """FEA3: encoded feature names and counts per source column."""
+    spec = MD.fit_feature_spec(_entity(spark, sf), NUMERIC, CATEGORICAL)
+    rows = [(n, n.split("__", 1)[1].rsplit("_", 1)[0] if n.startswith("cat__") else n.split("__", 1)[1])
+            for n in spec.encoded_names]
+    df = spark.createDataFrame(rows, "encoded_feature string, source_column string")
+    return df.groupBy("source_column").agg(F.count(F.lit(1)).alias("n_encoded"),
+                                           F.array_join(F.sort_array(F.collect_list("encoded_feature")), ",")
+                                           .alias("encoded_features"))
+
+
+@query("fea4_optional_features")
+def fea4_optional_features(spark, sf):
+    """FEA4 (off in the reference config): interaction, degree-2 polynomial and
+    variance-threshold selection on the scaled numeric features."""
+    from pyspark.ml.feature import PolynomialExpansion, VarianceThresholdSelector, VectorAssembler
+    ent = _entity(spark, sf).na.fill(0.0, subset=["c_acctbal", "total_spend"])
+    v = VectorAssembler(inputCols=NUMERIC, outputCol="num").transform(ent)
+    poly = PolynomialExpansion(degree=2, inputCol="num", outputCol="poly").transform(v)
+    sel = VarianceThresholdSelector(varianceThreshold=C.DRIFT_THRESHOLD * 0.1, featuresCol="poly",
+                                    outputCol="selected").fit(poly).transform(poly)
+    from pyspark.ml.functions import vector_to_array
+    return sel.select("c_custkey", F.size(vector_to_array("poly")).alias("n_poly"),
+                      F.size(vector_to_array("selected")).alias("n_selected"))
+
+
+def _fit_lr(spark, sf):
+    ent = MD.balanced_weights(_entity(spark, sf).withColumn("churn", F.col("churn").cast("double")), "churn")
+    spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
+    return ent, spec, MD.fit_model(ent, spec, "logistic_regression", label="churn")
+
+
+@query("sco1_batch_scoring")
+def sco1_batch_scoring(spark, sf):
+    """SCO1: the whole entity table scored at once: label, probability, tier,
+    confidence, time, version."""
+    ent, spec, m = _fit_lr(spark, sf)
+    p = MD.positive_probability(m.transform(ent)).withColumnRenamed("c_custkey", "customer_id")
+    return SC.scored_rows(p, model_version="lr-1").drop("timestamp")
+
+
+@query("sco3_prediction_log")
+def sco3_prediction_log(spark, sf):
+    """SCO3: prediction-log rows (time, id, features struct, prediction struct)."""
+    ent, spec, m = _fit_lr(spark, sf)
+    p = MD.positive_probability(m.transform(ent)).withColumnRenamed("c_custkey", "customer_id")
+    scored = SC.scored_rows(p, model_version="lr-1")
+    feats = ent.select(F.col("c_custkey").alias("customer_id"), *NUMERIC, *CATEGORICAL)
+    return SC.prediction_log_rows(feats, scored).select("customer_id", "features", "prediction.risk_level")
+
+
+@query("snk5_src5_model_roundtrip")
+def snk5_src5_model_roundtrip(spark, sf):
+    """SNK5 + SRC5: save the fitted pipeline with its metadata, load it back and
+    score: the loaded model gives the same probabilities."""
+    ent, spec, m = _fit_lr(spark, sf)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    MD.save_model(m, spec, path, metrics={"note": 0.0})
+    m2, spec2, meta = MD.load_model(path, spark)
+    a = MD.positive_probability(m.transform(ent)).select("c_custkey", F.col("churn_probability").alias("p1"))
+    b = MD.positive_probability(m2.transform(ent)).select("c_custkey", F.col("churn_probability").alias("p2"))
+    return a.join(b, "c_custkey").select("c_custkey", (F.abs(F.col("p1") - F.col("p2")) < 1e-12).alias("same"))
+
+
+@query("exp1_linear_contributions")
+def exp1_linear_contributions(spark, sf):
+    """EXP1 (linear): coef · (x - mean) per row and feature; top-20 mean |contribution|."""
+    ent, spec, m = _fit_lr(spark, sf)
+    scored = m.transform(ent)
+    return MD.mean_abs_contribution(MD.linear_contributions(m, scored, spec, key="c_custkey"), 20)
+
+
+@query("exp1_permutation_importance")
+def exp1_permutation_importance(spark, sf):
+    """EXP1 (trees): permutation importance (AUC drop) of each input column."""
+    ent = MD.balanced_weights(_entity(spark, sf).withColumn("churn", F.col("churn").cast("double")), "churn")
+    spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
+    m = MD.fit_model(ent, spec, "random_forest", label="churn", numTrees=30)
+    return MD.permutation_importance(m, ent, NUMERIC, "c_custkey", label="churn")
+
+
+@query("jon4_class_weights", f"""WITH {SP.ENTITY_SQL}
+SELECT churn, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS class_weight
+FROM entity GROUP BY churn""")
+def jon4_class_weights(spark, sf):
+    """JON4: balanced class weights n / (k · n_class) joined to the rows."""
+    w = MD.balanced_weights(SP.entity_table(spark, sf).select("c_custkey", "churn"), "churn")
+    return w.groupBy("churn").agg(F.count(F.lit(1)).alias("n"), F.first("class_weight").alias("class_weight"))
+
+
+@query("jon3_tier_actions", f"""WITH {SP.PREDLOG_SQL},
+actions AS (SELECT * FROM (VALUES {", ".join(f"('{t}', {i + 1}, '{a}')" for t, acts in C.TIER_ACTIONS.items() for i, a in enumerate(acts))}) v(risk_level, step, action)),
+t AS (SELECT CASE WHEN churn_probability < 0.3 THEN 'Low' WHEN churn_probability < 0.7 THEN 'Medium' ELSE 'High' END AS risk_level
+      FROM predlog)
+SELECT t.risk_level, step, action, count(*) AS n_entities FROM t JOIN actions a ON t.risk_level = a.risk_level
+GROUP BY t.risk_level, step, action""")
+def jon3_tier_actions(spark, sf):
+    """JON3: recommended actions per tier joined (broadcast: 12 fixed rows) to the scored log."""
+    rows = [(t, i + 1, a) for t, acts in C.TIER_ACTIONS.items() for i, a in enumerate(acts)]
+    actions = spark.createDataFrame(rows, "risk_level string, step int, action string")
+    log = SP.prediction_log(spark, sf).select(S.risk_tier("churn_probability").alias("risk_level"))
+    return (log.join(F.broadcast(actions), "risk_level")
+            .groupBy("risk_level", "step", "action").agg(F.count(F.lit(1)).alias("n_entities")))
+
+
+# --- runs and registry on score variants of the labelled documents -----------------
+
+VARIANTS = {
+    "run_chars": "n_chars",
+    "run_spaces": "length(text) - length(replace(text, ' ', ''))",
+    "run_inverse": "-n_chars",
+    "run_lang": "CASE WHEN lang = 'en' THEN 1 ELSE 0 END + n_chars / 1000000.0",
+}
+ARTIFACT_RUNS = ("run_spaces", "run_inverse", "run_lang")
+
+
+def _variant_scores(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    j = docs.join(lab, "doc_id")
+    parts = [j.select(F.lit(r).alias("run_id"), "doc_id", "label", F.expr(e).cast("double").alias("score"))
+             for r, e in VARIANTS.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _variant_sql():
+    parts = " UNION ALL ".join(
+        f"SELECT '{r}' AS run_id, d.doc_id, CAST(l.quality AS INTEGER) AS label, CAST({e} AS DOUBLE) AS score "
+        f"FROM documents d JOIN labels l ON d.doc_id = l.doc_id" for r, e in VARIANTS.items())
+    return f"""vs AS ({parts}),
+s AS (SELECT run_id, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+      FROM vs GROUP BY run_id, score),
+ra AS (SELECT run_id, pos, neg, sum(neg) OVER (PARTITION BY run_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_run FROM s),
+rp AS (SELECT run_id, pos, sum(pos) OVER (PARTITION BY run_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+              sum(neg) OVER (PARTITION BY run_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp FROM s),
+auc AS (SELECT run_id, sum(pos * (neg_run - neg / 2.0)) / (sum(pos) * sum(neg)) AS roc_auc FROM ra GROUP BY run_id),
+ap AS (SELECT rp.run_id, sum(pos / P * tp / (tp + fp)) AS average_precision FROM rp
+       JOIN (SELECT run_id, sum(pos) AS P FROM s GROUP BY run_id) t ON rp.run_id = t.run_id GROUP BY rp.run_id),
+wide AS (SELECT auc.run_id, roc_auc, average_precision FROM auc JOIN ap ON auc.run_id = ap.run_id),
+run_metrics AS (SELECT run_id, 'roc_auc' AS key, roc_auc AS value FROM wide
+                UNION ALL SELECT run_id, 'average_precision', average_precision FROM wide),
+artifacts AS (SELECT * FROM (VALUES {", ".join(f"('{r}')" for r in ARTIFACT_RUNS)}) a(run_id))"""
+
+
+def _run_metrics(spark, sf):
+    sc = _variant_scores(spark, sf)
+    auc = Q.roc_auc(sc, group=["run_id"]).select("run_id", "roc_auc")
+    ap = Q.average_precision(sc, group=["run_id"])
+    return R.metrics_long(auc.join(ap, "run_id"), "run_id", ["roc_auc", "average_precision"], parent="parent_0")
+
+
+def _artifacts(spark):
+    return spark.createDataFrame([(r,) for r in ARTIFACT_RUNS], "run_id string")
+
+
+@query("snk6_run_metrics", f"""WITH {_variant_sql()}
+SELECT run_id, 'parent_0' AS parent_id, key, round(value, 6) AS value FROM run_metrics""")
+def snk6_run_metrics(spark, sf):
+    """SNK6: run metrics as a long table (four scoring runs under one parent),
+    all runs evaluated in one grouped pass."""
+    return _run_metrics(spark, sf)
+
+
+@query("ord3_best_run", f"""WITH {_variant_sql()},
+m AS (SELECT run_id, value AS metric FROM run_metrics WHERE key = 'roc_auc'),
+top AS (SELECT * FROM m ORDER BY metric DESC NULLS LAST, run_id LIMIT 50),
+pool AS (SELECT run_id, metric, true AS has_artifact FROM top WHERE run_id IN (SELECT run_id FROM artifacts)
+         UNION ALL SELECT run_id, metric, false FROM top)
+SELECT run_id, round(metric, 6) AS metric, has_artifact FROM pool
+ORDER BY has_artifact DESC, metric DESC NULLS LAST, run_id LIMIT 1""")
+def ord3_best_run(spark, sf):
+    """ORD3 + JON2: best run by ROC AUC among the top 50 that have an artifact."""
+    return R.best_run(_run_metrics(spark, sf), _artifacts(spark), "roc_auc")
+
+
+@query("ord2_best_by_metric", f"""WITH {_variant_sql()}
+SELECT arg_max(run_id, roc_auc) AS best_run_id, round(max(roc_auc), 6) AS best_roc_auc FROM wide""")
+def ord2_best_by_metric(spark, sf):
+    """ORD2: name with the highest metric."""
+    sc = _variant_scores(spark, sf)
+    wide = Q.roc_auc(sc, group=["run_id"])
+    return R.best_by(wide, "run_id", "roc_auc")
+
+
+@query("ord1_comparison_table", f"""WITH {_variant_sql()}
+SELECT run_id, round_even(roc_auc, 4) AS roc_auc, round_even(average_precision, 4) AS average_precision FROM wide""")
+def ord1_comparison_table(spark, sf):
+    """ORD1: comparison sorted by ROC AUC, rounded half-to-even (4 places)."""
+    sc = _variant_scores(spark, sf)
+    wide = Q.roc_auc(sc, group=["run_id"]).select("run_id", "roc_auc").join(
+        Q.average_precision(sc, group=["run_id"]), "run_id")
+    return R.comparison_table(wide, "roc_auc", 4, ["roc_auc", "average_precision"])
+
+
+@query("reg1_reg2_registry", f"""WITH {_variant_sql()},
+m AS (SELECT run_id, value AS metric FROM run_metrics WHERE key = 'roc_auc'),
+v AS (SELECT 'churn_model' AS name, CAST(row_number() OVER (ORDER BY run_id) AS INTEGER) AS version, run_id, metric FROM m)
+SELECT name, version, run_id, round(metric, 6) AS metric, round(lag(metric) OVER (ORDER BY version), 6) AS previous_metric,
+  CASE WHEN lag(metric) OVER (ORDER BY version) IS NULL OR metric >= lag(metric) OVER (ORDER BY version)
+       THEN 'promote' ELSE 'rollback' END AS decision FROM v""")
+def reg1_reg2_registry(spark, sf):
+    """REG1 + REG2: register each run in id order as the next version, then
+    promote / roll back against the previous version."""
+    m = _run_metrics(spark, sf).where(F.col("key") == "roc_auc").select("run_id", F.col("value").alias("metric"))
+    versions = spark.createDataFrame([], "name string, version int, run_id string, metric double")
+    return R.promotion(R.register_batch(versions, m, "churn_model"))
