@@ -1 +1,198 @@
-"""Queries (filled in below)."""
+"""Queries: streaming jobs (STR1-7).  Each stages a supplied table as files
+arriving in order, runs the stream to completion (``availableNow``) with its
+checkpoint in the shared folder, and returns the sink table.  Where the
+result has a batch form, the oracle is that batch form in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon import config as C
+from tabulon.functions import scalar as S
+from tabulon.operators import model as MD
+from tabulon.operators import validate as V
+from tabulon.operators.score import request_features
+from tabulon.plans.catalog import query, ts_text, ts_text_sql
+from tabulon.plans.q_monitor import FEEDBACK_SQL
+from tabulon.plans.q_prepare import REQ, _VIOL_SQL
+from tabulon.sources import supplied as SP
+from tabulon.sources.tables import decode_requests, read_table
+from tabulon.streaming import jobs as J
+
+
+def _staged_events(spark, sf, run):
+    ev = read_table(spark, sf, "events")
+    path = J.stage_in_time_order(ev, "ts", run + "/source", slices=6)
+    return J.file_stream(spark, path, ev.schema)
+
+
+def _predlog_stream(stream):
+    return stream.select(F.col("event_id").alias("prediction_id"), "ts", F.col("user_id").alias("entity_id"),
+                         "event_type", "value",
+                         (F.col("value") / (F.col("value") + F.lit(50.0))).alias("churn_probability"))
+
+
+def _staged_requests(spark, sf, run):
+    req = SP.request_table(spark, sf)
+    path = J.stage_in_time_order(req, "customer_id", run + "/requests", slices=4, fmt="json")
+    return J.file_stream(spark, path, req.schema, fmt="json", ts=None)
+
+
+@query("str1_score_stream")
+def str1_score_stream(spark, sf):
+    """STR1: requests arriving as JSON files are decoded, mapped to model
+    columns and scored by a fitted pipeline; scored rows appended to a table."""
+    run = J.new_run_dir(spark, "str1")
+    batch_req = request_features(decode_requests(SP.request_table(spark, sf)))
+    target = SP.entity_table(spark, sf).select(F.col("c_custkey").alias("customer_id"),
+                                               F.col("churn").cast("double").alias("churn"))
+    train = MD.balanced_weights(batch_req.join(target, "customer_id"), "churn")
+    num = ["Monthly Charge", "Total Charges", "Tenure in Months", "CLTV", "Age", "Satisfaction Score",
+           "Phone Service", "Internet Type"]
+    spec = MD.fit_feature_spec(train, num, ["Contract"])
+    model = MD.fit_model(train, spec, "logistic_regression", label="churn", key="customer_id")
+    stream = _staged_requests(spark, sf, run)
+    scored = J.score_stream(stream, model, lambda s: request_features(decode_requests(s)), model_version="lr-1")
+    w = (scored.drop("timestamp").writeStream.format("parquet").option("path", run + "/out")
+         .option("checkpointLocation", run + "/ckpt").outputMode("append"))
+    J.run_available(w)
+    return spark.read.parquet(run + "/out")
+
+
+@query("str2_valid_quarantine_stream", f"""WITH {REQ}
+SELECT CASE WHEN {_VIOL_SQL} = '' THEN 'valid' ELSE 'quarantine' END AS part, count(*) AS n FROM req GROUP BY 1""")
+def str2_valid_quarantine_stream(spark, sf):
+    """STR2: the request rules applied per micro-batch, valid and quarantined
+    rows written to two sinks."""
+    run = J.new_run_dir(spark, "str2")
+    stream = decode_requests(_staged_requests(spark, sf, run))
+    w = (stream.writeStream.foreachBatch(J.split_sink(V.request_rules(), run + "/valid", run + "/quarantine"))
+         .option("checkpointLocation", run + "/ckpt"))
+    J.run_available(w)
+    valid = spark.read.parquet(run + "/valid").select(F.lit("valid").alias("part"))
+    bad = spark.read.parquet(run + "/quarantine").select(F.lit("quarantine").alias("part"))
+    return valid.unionByName(bad).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HOURLY_SQL = f"""{SP.PREDLOG_SQL},
+w AS (SELECT to_timestamp(floor(epoch(ts) / 3600) * 3600) AS window_start, * FROM predlog)
+SELECT strftime(window_start AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_predictions,
+  round(avg(greatest(churn_probability, 1 - churn_probability)), 6) AS avg_confidence,
+  count(*) FILTER (WHERE churn_probability < 0.3) AS n_low,
+  count(*) FILTER (WHERE churn_probability >= 0.3 AND churn_probability < 0.7) AS n_medium,
+  count(*) FILTER (WHERE churn_probability >= 0.7) AS n_high,
+  round(avg(CAST(event_type = 'error' AS INTEGER)), 6) AS error_rate FROM w GROUP BY window_start"""
+
+
+@query("str3_window_metrics_stream", f"WITH {_HOURLY_SQL}")
+def str3_window_metrics_stream(spark, sf):
+    """STR3: hourly tumbling-window monitor over the event stream (complete
+    mode through foreachBatch, compared with the batch form)."""
+    run = J.new_run_dir(spark, "str3")
+    s = _predlog_stream(_staged_events(spark, sf, run)).withColumn("is_error", F.col("event_type") == "error")
+    agg = J.window_metrics(s, every="1 hour", watermark="1 hour", error_col="is_error")
+    w = (agg.writeStream.outputMode("complete").foreachBatch(J.overwrite_sink(run + "/out"))
+         .option("checkpointLocation", run + "/ckpt"))
+    J.run_available(w)
+    return spark.read.parquet(run + "/out").withColumn("window_start", ts_text("window_start"))
+
+
+@query("str5_stream_alerts")
+def str5_stream_alerts(spark, sf):
+    """STR5: alerts raised from closed hourly windows (append mode), appended
+    per micro-batch; windows still open at the end are not emitted."""
+    run = J.new_run_dir(spark, "str5")
+    s = _predlog_stream(_staged_events(spark, sf, run))
+    agg = J.window_metrics(s, every="1 hour", watermark="1 hour")
+    w = (agg.writeStream.outputMode("append").foreachBatch(J.alert_sink(run + "/alerts"))
+         .option("checkpointLocation", run + "/ckpt"))
+    J.run_available(w)
+    from tabulon.sources.tables import _path_exists
+    if not _path_exists(spark, run + "/alerts"):
+        return spark.createDataFrame([], "window_start string, type string, severity string")
+    return spark.read.parquet(run + "/alerts").select(ts_text("window_start").alias("window_start"), "type", "severity")
+
+
+_BINS = 20
+
+
+def _ref_range(spark, sf):
+    ref, _ = SP.reference_current(spark, sf)
+    r = ref.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()   # two scalars
+    return ref, float(r["lo"]), float(r["hi"])
+
+
+@query("str4_sliding_drift", f"""WITH ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '{SP.DRIFT_SPLIT_TS}'),
+r AS (SELECT min(value) AS lo, max(value) AS hi FROM ref),
+rb AS (SELECT CAST(least(greatest(floor((value - lo) * {_BINS} / (hi - lo)) + 1, 1), {_BINS}) AS INTEGER) AS bin, count(*) AS n
+       FROM ref, r GROUP BY 1),
+rp AS (SELECT bin, n / sum(n) OVER () AS p FROM rb),
+ev AS (SELECT ts, CAST(least(greatest(floor((value - lo) * {_BINS} / (hi - lo)) + 1, 1), {_BINS}) AS INTEGER) AS bin FROM events, r),
+win AS (SELECT date_trunc('day', ts) - INTERVAL (k) DAY AS window_start, bin FROM ev, range(0, 7) t(k)),
+h AS (SELECT window_start, bin, count(*) AS n FROM win GROUP BY 1, 2),
+grid AS (SELECT DISTINCT window_start, unnest(range(1, {_BINS + 1})) AS bin FROM h),
+c AS (SELECT g.window_start, g.bin, coalesce(h.n, 0) AS n FROM grid g LEFT JOIN h ON g.window_start = h.window_start AND g.bin = h.bin),
+j AS (SELECT c.window_start, c.bin, c.n, sum(c.n) OVER (PARTITION BY c.window_start) AS n_total, coalesce(rp.p, 0.0) AS p
+      FROM c LEFT JOIN rp ON c.bin = rp.bin),
+k AS (SELECT *, n / n_total AS q,
+        sum(p) OVER (PARTITION BY window_start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+        sum(n / n_total) OVER (PARTITION BY window_start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cq FROM j)
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(any_value(n_total) AS BIGINT) AS n,
+  round(max(abs(cp - cq)), 6) AS ks_binned,
+  round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+                         + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 6) AS jensen_shannon
+FROM k GROUP BY window_start""")
+def str4_sliding_drift(spark, sf):
+    """STR4: 7-day windows sliding by 1 day; state is a histogram on bins fixed
+    from the reference; binned KS and Jensen-Shannon per window."""
+    run = J.new_run_dir(spark, "str4")
+    ref, lo, hi = _ref_range(spark, sf)
+    ref_hist = ref.groupBy(J.binned(ref, "value", lo, hi, _BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    s = _staged_events(spark, sf, run)
+    hist = J.sliding_histogram(s, "ts", "value", lo, hi, _BINS, watermark="2 days")
+    w = (hist.writeStream.outputMode("complete").foreachBatch(J.overwrite_sink(run + "/hist"))
+         .option("checkpointLocation", run + "/ckpt"))
+    J.run_available(w)
+    out = J.binned_drift(spark.read.parquet(run + "/hist"), ref_hist, _BINS)
+    return out.withColumn("window_start", ts_text("window_start"))
+
+
+@query("str6_stream_feedback_join", f"""WITH {FEEDBACK_SQL}
+SELECT entity_id, prediction_id, feedback_id, {ts_text_sql('ts')} AS ts, {ts_text_sql('feedback_ts')} AS feedback_ts,
+  predicted_churn, actual_churn FROM fb""")
+def str6_stream_feedback_join(spark, sf):
+    """STR6: predictions joined with later feedback, stream to stream, with
+    watermarks on both sides and the 1-day range condition."""
+    run = J.new_run_dir(spark, "str6")
+    s = _predlog_stream(_staged_events(spark, sf, run))
+    pred = s.where(F.col("event_type") == "view").select(
+        "prediction_id", "ts", "entity_id", (F.col("churn_probability") >= 0.5).alias("predicted_churn"))
+    s2 = _predlog_stream(J.file_stream(spark, run + "/source", read_table(spark, sf, "events").schema))
+    truth = s2.where(F.col("event_type") == "purchase").select(
+        F.col("prediction_id").alias("feedback_id"), F.col("ts").alias("feedback_ts"), "entity_id",
+        (F.col("churn_probability") >= 0.5).alias("actual_churn"))
+    j = J.stream_feedback_join(pred, truth, "entity_id", "ts", "feedback_ts", "1 day", "1 hour")
+    out = j.select(F.col("p.entity_id").alias("entity_id"), "p.prediction_id", "a.feedback_id",
+                   F.col("p.ts").alias("ts"), F.col("a.feedback_ts").alias("feedback_ts"),
+                   "p.predicted_churn", "a.actual_churn")
+    w = (out.writeStream.format("parquet").option("path", run + "/out")
+         .option("checkpointLocation", run + "/ckpt").outputMode("append"))
+    J.run_available(w)
+    return (spark.read.parquet(run + "/out").withColumn("ts", ts_text("ts"))
+            .withColumn("feedback_ts", ts_text("feedback_ts")))
+
+
+@query("str7_latest_n", f"""{SP.PREDLOG_SQL.replace('predlog AS (', 'WITH predlog AS (', 1)}
+SELECT prediction_id, {ts_text_sql('ts')} AS ts, entity_id, round(churn_probability, 6) AS churn_probability
+FROM predlog ORDER BY ts DESC, prediction_id DESC LIMIT 1000""")
+def str7_latest_n(spark, sf):
+    """STR7: the bounded log of the newest 1000 predictions, maintained per
+    micro-batch as versioned directories."""
+    run = J.new_run_dir(spark, "str7")
+    s = _predlog_stream(_staged_events(spark, sf, run)).select(
+        "prediction_id", "ts", "entity_id", "churn_probability")
+    w = (s.writeStream.foreachBatch(J.latest_n_sink(run + "/log", "ts", "prediction_id", C.LOG_CAPACITY))
+         .option("checkpointLocation", run + "/ckpt"))
+    J.run_available(w)
+    latest = J.latest_version(spark, run + "/log")
+    return spark.read.parquet(latest).withColumn("ts", ts_text("ts"))
