@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon import config as C
@@ -55,14 +55,10 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """AGG5: (class, n, share).  The total rides along as a window over the
     already-aggregated classes (a handful of rows)."""
     counts = df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(_ALL)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return counts.select("class", "n", (F.col("n") / total).alias("share"))
 
 
-from pyspark.sql import Window  # noqa: E402
-_ALL = Window.partitionBy(F.lit(0))
-
-
 def distinct_profile(df: DataFrame, columns: Sequence[str] | None = None,
                      approximate: bool = False) -> DataFrame:
     """AGG6: (column, n_distinct, has_null) per categorical column.

@@ -109,21 +109,23 @@ def violation_counts(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> Data
     return row.select(F.inline(F.array(*structs)))
 
 
+REQUEST_RULE_NAMES = (
+    "phone_service_required", "internet_service_required", "contract_required",
+    "monthly_charges_positive", "tenure_months_non_negative", "cltv_non_negative",
+    "age_non_negative", "population_non_negative", "satisfaction_score_range",
+)
+
+
 def request_rules() -> list[tuple[str, Column]]:
     """Rules of the scoring request (FIXTURES A2)."""
     def not_blank(c):
         return F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
-    return [
-        ("phone_service_required", not_blank("phone_service")),
-        ("internet_service_required", not_blank("internet_service")),
-        ("contract_required", not_blank("contract")),
-        ("monthly_charges_positive", F.col("monthly_charges") > 0),
-        ("tenure_months_non_negative", F.col("tenure_months") >= 0),
-        ("cltv_non_negative", F.col("cltv") >= 0),
-        ("age_non_negative", F.col("age") >= 0),
-        ("population_non_negative", F.col("population") >= 0),
-        ("satisfaction_score_range", F.col("satisfaction_score").between(1, 5)),
+    checks = [
+        not_blank("phone_service"), not_blank("internet_service"), not_blank("contract"),
+        F.col("monthly_charges") > 0, F.col("tenure_months") >= 0, F.col("cltv") >= 0,
+        F.col("age") >= 0, F.col("population") >= 0, F.col("satisfaction_score").between(1, 5),
     ]
+    return list(zip(REQUEST_RULE_NAMES, checks))
 
 
 def unseen_values(current: DataFrame, reference: DataFrame, column: str) -> DataFrame:
