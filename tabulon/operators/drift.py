@@ -47,8 +47,12 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = DEFAULT_DRIFT.ks_se
     p = 1 when λ < 0.2 (the cut-off series is not valid there)."""
     en = F.sqrt(n * m / (n + m))
     lam = (en + F.lit(0.12) + F.lit(0.11) / en) * d
-    series = sum(((-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * lam * lam)
-                 for k in range(1, terms + 1))
+    # Σ_{k=1..terms} (-1)^(k-1) exp(-2 k² λ²), folded over a sequence: a small
+    # expression (one per column result) instead of `terms` inlined terms
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
+        lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+        * F.exp(F.lit(-2.0) * k * k * lam * lam))
     p = F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0))
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(p)
 

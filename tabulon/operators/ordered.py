@@ -37,11 +37,12 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                  group_cols: Sequence[str] = (), descending: bool = False,
                  bucket_col: str | None = None, tiebreak: Sequence[str] = (),
                  n_buckets: int | None = None, groups_bounded: bool = True,
-                 ) -> DataFrame:
+                 with_totals: bool = False) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` ordered by ``order_col`` per group.
 
     Adds ``<c>_run`` for every sum column and ``next_value``: the following
-    order value in the group (null on the last row).  ``df`` should hold one
+    order value in the group (null on the last row); with ``with_totals``
+    also ``<c>_total``, the group total.  ``df`` should hold one
     row per (group, order value) unless ``tiebreak`` names a full key.
     """
     n_buckets = n_buckets or DEFAULT_SCALE.n_buckets
@@ -76,10 +77,12 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         F.min_by(order_col, F.struct(*order)).alias("_bfirst"),
     )
     wb = Window.partitionBy(*g).orderBy("_bk")
+    wg = Window.partitionBy(*g)
     offsets = totals.select(
         *g, "_bk",
         *[F.coalesce(F.sum(f"_t_{c}").over(wb.rowsBetween(_UNB, -1)), F.lit(0))
           .alias(f"_off_{c}") for c in sum_cols],
+        *[F.sum(f"_t_{c}").over(wg).alias(f"_tot_{c}") for c in sum_cols],
         F.lead("_bfirst").over(wb).alias("_nfirst"),
     )
     out = local.join(_maybe_broadcast(offsets, groups_bounded or not group_cols),
@@ -87,6 +90,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     out = out.select(
         *[c for c in df.columns],
         *[(F.col(f"_l_{c}") + F.col(f"_off_{c}")).alias(f"{c}_run") for c in sum_cols],
+        *([F.col(f"_tot_{c}").alias(f"{c}_total") for c in sum_cols] if with_totals else []),
         F.coalesce("_lnext", "_nfirst").alias("next_value"),
     )
     return out
@@ -98,37 +102,32 @@ def exact_quantiles(long_df: DataFrame, value_col: str, probs: Sequence[float],
     """Exact quantiles with linear interpolation (like ``percentile``).
 
     Works on distinct-value counts, so the result needs no single task to
-    hold all values.  Returns (group..., q, value); groups with no non-null
-    value are absent.
+    hold all values.  Each distinct value knows the rank range it covers
+    (running count) and the group size, so the rows holding the lower and
+    upper neighbour of every quantile position are found by a per-row test
+    and reduced in one aggregate - no join.  Returns (group..., q, value);
+    groups with no non-null value are absent.
     """
     g = list(group_cols)
     vals = long_df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
     counts = vals.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    run = running_sums(counts, value_col, ["_n"], g, groups_bounded=groups_bounded)
-    run = run.withColumn("_prev", F.col("_n_run") - F.col("_n"))
-    totals = counts.groupBy(*g).agg(F.sum("_n").alias("_N"))
-    qs = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (totals.select(*g, "_N", F.explode(qs).alias("q"))
-               .withColumn("_pos", F.col("q") * (F.col("_N") - 1))
-               .withColumn("_lo", F.floor("_pos"))
-               .withColumn("_hi", F.ceil("_pos"))
-               .withColumn("_frac", F.col("_pos") - F.col("_lo")))
-    t = targets.alias("t")
-    r = run.alias("r")
-    cond = [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in g]
-    lo = cond + [F.col("r._prev") <= F.col("t._lo"), F.col("t._lo") < F.col("r._n_run")]
-    hi = cond + [F.col("r._prev") <= F.col("t._hi"), F.col("t._hi") < F.col("r._n_run")]
-    tb = _maybe_broadcast(t, groups_bounded)
-    v_lo = (r.join(tb, lo).select(*[F.col(f"t.{c}").alias(c) for c in g], "t.q",
-                                  "t._frac", F.col(f"r.{value_col}").alias("_vlo")))
-    v_hi = (r.join(tb, hi).select(*[F.col(f"t.{c}").alias(c) for c in g], "t.q",
-                                  F.col(f"r.{value_col}").alias("_vhi")))
-    res = v_lo.join(v_hi, g + ["q"])
-    return res.select(
-        *g, "q",
-        (F.col("_vlo").cast("double")
-         + F.col("_frac") * (F.col("_vhi").cast("double") - F.col("_vlo").cast("double")))
-        .alias("value"))
+    run = running_sums(counts, value_col, ["_n"], g, groups_bounded=groups_bounded, with_totals=True)
+    prev = F.col("_n_run") - F.col("_n")
+    aggs, covers_any = [], F.lit(False)
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n_total") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        c_lo = (prev <= lo) & (lo < F.col("_n_run"))
+        c_hi = (prev <= hi) & (hi < F.col("_n_run"))
+        covers_any = covers_any | c_lo | c_hi
+        v = F.col(value_col).cast("double")
+        aggs += [F.max(F.when(c_lo, v)).alias(f"_lo{i}"), F.max(F.when(c_hi, v)).alias(f"_hi{i}"),
+                 F.max(pos - lo).alias(f"_fr{i}")]
+    red = run.where(covers_any).groupBy(*g).agg(*aggs)
+    structs = [F.struct(F.lit(float(p)).alias("q"),
+                        (F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
+                        .alias("value")) for i, p in enumerate(probs)]
+    return red.select(*g, F.inline(F.array(*structs)))
 
 
 def hash_order(seed: int, key: Column | str) -> Column:
