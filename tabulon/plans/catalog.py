@@ -50,7 +50,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 def load_all() -> dict[str, Query]:
     """Import every query module so its queries register."""
     from tabulon.plans import (q_prepare, q_quality, q_drift, q_monitor,  # noqa: F401
-                               q_model, q_stream)
+                               q_model, q_stream, q_io)
     return REGISTRY
 
 
