@@ -18,7 +18,7 @@ from tabulon.plans.q_prepare import ENTITY_COLS_SQL, E, _entity
 from tabulon.session import scratch_path
 from tabulon.sources import sinks as K
 from tabulon.sources import supplied as SP
-from tabulon.sources.tables import read_csv, read_or_no_data
+from tabulon.sources.tables import read_csv
 
 ENTITY_SCHEMA = T.StructType([
     T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
@@ -45,18 +45,6 @@ def scl10_csv_files(spark, sf):
     return files.agg(F.count_if(S.has_extension("name", "csv")).alias("n_csv_parts"))
 
 
-@query("src4_no_data_guard", "SELECT 'no_data' AS status, CAST(0 AS BIGINT) AS n_rows")
-def src4_no_data_guard(spark, sf):
-    """SRC4: a missing current table gives an empty typed result with
-    status ``no_data`` instead of an error."""
-    from tabulon.sources.tables import read_table
-    ev = read_table(spark, sf, "events")
-    missing = scratch_path(spark, f"absent-{uuid.uuid4().hex}")
-    df = read_or_no_data(spark, missing, ev.schema)
-    return df.groupBy().agg(F.coalesce(F.first("status"), F.lit("no_data")).alias("status"),
-                            F.count(F.lit(1)).alias("n_rows"))
-
-
 @query("snk2_json_report", """WITH {refcur}
 SELECT 'events' AS dataset, (SELECT count(*) FROM ref) AS reference_rows, (SELECT count(*) FROM cur) AS current_rows""".format(
     refcur=SP.refcur_sql(False)))
@@ -90,14 +78,6 @@ def snk3_feedback_log(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted_churn") == F.col("actual_churn")).alias("n_correct"))
 
 
-@query("snk4_decision_flag", "SELECT 'true' AS retrain_flag")
-def snk4_decision_flag(spark, sf):
-    """SNK4: the retrain flag; with no decision row at all (failed upstream
-    job) the flag is ``true``."""
-    empty = spark.createDataFrame([], "retrain_needed boolean")
-    return K.decision_flag(empty)
-
-
 @query("snk4_decision_flag_drift", "SELECT 'true' AS retrain_flag")
 def snk4_decision_flag_drift(spark, sf):
     """SNK4 on the drifted events copy: the decision says retrain → ``true``."""

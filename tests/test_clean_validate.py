@@ -97,3 +97,17 @@ def test_histogram_keeps_empty_bins_and_max(spark):
     df = spark.createDataFrame([(0.0,), (0.0,), (10.0,)], "x double")
     h = profile.histogram(df, "x", 20).orderBy("bin").collect()
     assert len(h) == 20 and h[0]["n"] == 2 and h[-1]["n"] == 1 and sum(r["n"] for r in h) == 3
+
+
+def test_no_data_guard(spark, tmp_path):
+    from tabulon.sources.tables import read_or_no_data
+    df = read_or_no_data(spark, str(tmp_path / "absent"), spark.range(1).schema)
+    assert df.count() == 0 and "status" in df.columns
+
+
+def test_decision_flag_defaults_to_true(spark):
+    from tabulon.sources.sinks import decision_flag
+    empty = spark.createDataFrame([], "retrain_needed boolean")
+    assert decision_flag(empty).first()["retrain_flag"] == "true"
+    no = spark.createDataFrame([(False,)], "retrain_needed boolean")
+    assert decision_flag(no).first()["retrain_flag"] == "false"
