@@ -120,7 +120,6 @@ class ScaleConfig:
     n_buckets: int = 64
     quantile_accuracy: int = 10000
     rank_hash_digits: int = 3   # 16**3 = 4096 hash buckets for stratified ranks
-    top_n_salt: int = 16
 
 
 DEFAULT_DRIFT = DriftConfig()

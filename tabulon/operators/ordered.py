@@ -152,25 +152,19 @@ def strata_ranks(df: DataFrame, strata_col: str, key_col: str, seed: int,
          .withColumn("_hb", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
          .withColumn("_one", F.lit(1)))
     run = running_sums(d, "_h", ["_one"], [strata_col], bucket_col="_hb",
-                       tiebreak=[key_col], groups_bounded=False)
-    sizes = df.groupBy(strata_col).agg(F.count(F.lit(1)).alias("_n_stratum"))
-    out = run.join(sizes, [strata_col]).withColumnRenamed("_one_run", "_rank")
+                       tiebreak=[key_col], groups_bounded=False, with_totals=True)
+    out = run.withColumnRenamed("_one_run", "_rank").withColumnRenamed("_one_total", "_n_stratum")
     return out.drop("_h", "_hb", "_one", "next_value")
 
 
 def top_n_per_key(df: DataFrame, key_cols: Sequence[str], order: Sequence[Column],
-                  n: int, salt_col: Column | None = None, salts: int | None = None
-                  ) -> DataFrame:
-    """First ``n`` rows per key in ``order`` (a full, deterministic order).
+                  n: int) -> DataFrame:
+    """First ``n`` rows per key in ``order`` (a full, deterministic order),
+    numbered in ``rank``.
 
-    Two rounds: the top ``n`` per (key, salt) first, so a hot key is spread
-    over ``salts`` tasks, then the top ``n`` of those per key.
+    ``row_number() <= n`` lets Spark insert a map-side ``WindowGroupLimit``
+    before the exchange, so each task ships at most ``n`` rows per key and a
+    hot key reaches its final task as ``n x partitions`` rows, not all rows.
     """
-    salts = salts or DEFAULT_SCALE.top_n_salt
-    salt = salt_col if salt_col is not None else F.lit(0)
-    d = df.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salts)))
-    w1 = Window.partitionBy(*key_cols, "_salt").orderBy(*order)
-    d = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n)
-    w2 = Window.partitionBy(*key_cols).orderBy(*order)
-    d = d.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
-    return d.drop("_salt", "_r1")
+    w = Window.partitionBy(*key_cols).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -132,12 +132,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
 def _desc_running(df, label, score, group, positive):
     g = list(group)
     sc = score_counts(df, label, score, g, positive)
-    run = running_sums(sc, score, ["pos", "neg"], g, descending=True)
-    totals = sc.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    if g:
-        return run.join(F.broadcast(totals), g)
-    return run.withColumn("_k", F.lit(0)).join(
-        F.broadcast(totals.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    run = running_sums(sc, score, ["pos", "neg"], g, descending=True, with_totals=True)
+    return run.withColumnRenamed("pos_total", "P").withColumnRenamed("neg_total", "N")
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",

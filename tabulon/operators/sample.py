@@ -61,9 +61,8 @@ def last_n(df: DataFrame, ts: str, id_col: str, n: int) -> DataFrame:
 
 
 def last_n_per_key(df: DataFrame, key: str, ts: str, id_col: str, n: int) -> DataFrame:
-    """WIN1 (per key): newest ``n`` rows of each key; hot keys are salted."""
-    return top_n_per_key(df, [key], [F.col(ts).desc(), F.col(id_col).desc()], n,
-                         salt_col=F.col(id_col))
+    """WIN1 (per key): newest ``n`` rows of each key (map-side group limit)."""
+    return top_n_per_key(df, [key], [F.col(ts).desc(), F.col(id_col).desc()], n)
 
 
 def global_row_number(df: DataFrame, order_col: str, tiebreak: Sequence[str] = ()) -> DataFrame:

@@ -206,7 +206,7 @@ def win1_last_n(spark, sf):
 SELECT prediction_id, {ts_text_sql('ts')} AS ts, entity_id, round(churn_probability, 6) AS churn_probability,
        CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def win1_last_n_per_entity(spark, sf):
-    """WIN1 per key: newest 3 predictions of every entity (hot keys salted)."""
+    """WIN1 per key: newest 3 predictions of every entity (map-side group limit)."""
     log = SP.prediction_log(spark, sf).select("prediction_id", "ts", "entity_id", "churn_probability")
     return SM.last_n_per_key(log, "entity_id", "ts", "prediction_id", 3).withColumn("ts", ts_text("ts"))
 
