@@ -173,15 +173,27 @@ def binned_drift(hist: DataFrame, ref_hist: DataFrame, bins: int = 20) -> DataFr
 def stream_feedback_join(pred: DataFrame, truth: DataFrame, key: str, pred_ts: str, truth_ts: str,
                          horizon: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """STR6: stream-stream inner join of predictions with later truths of the
-    same key within ``horizon``; both sides watermarked so state is bounded."""
-    p = pred.withWatermark(pred_ts, watermark).alias("p")
-    t = truth.withWatermark(truth_ts, watermark).alias("a")
-    cond = ((F.col(f"p.{key}") == F.col(f"a.{key}"))
+    same key within ``horizon``; both sides watermarked so state is bounded.
+    As in the batch form, the state is keyed by (key, day bucket), so a hot
+    key is spread over days instead of one state partition."""
+    days = horizon_days(horizon)
+    p = pred.withWatermark(pred_ts, watermark).withColumn("_day", F.to_date(F.col(pred_ts))).alias("p")
+    t = (truth.withWatermark(truth_ts, watermark)
+         .withColumn("_day", F.explode(F.sequence(F.date_sub(F.to_date(F.col(truth_ts)), days),
+                                                  F.to_date(F.col(truth_ts))))).alias("a"))
+    cond = ((F.col(f"p.{key}") == F.col(f"a.{key}")) & (F.col("p._day") == F.col("a._day"))
             & (F.col(f"a.{truth_ts}") >= F.col(f"p.{pred_ts}"))
             & (F.col(f"a.{truth_ts}") <= F.col(f"p.{pred_ts}") + F.expr(f"INTERVAL {horizon}")))
     return p.join(t, cond, "inner")
 
 
+def horizon_days(horizon: str) -> int:
+    """Whole days a horizon like '1 day' / '36 hours' spans (rounded up)."""
+    n, unit = horizon.split()[:2]
+    hours = float(n) * {"day": 24, "days": 24, "hour": 1, "hours": 1}[unit.lower()]
+    return max(1, int(-(-hours // 24)))
+
+
 # --- STR7 ------------------------------------------------------------------------
 
 def latest_n_sink(base: str, ts: str, id_col: str, n: int = C.LOG_CAPACITY):
