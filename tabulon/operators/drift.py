@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.config import DEFAULT_DRIFT, DriftConfig
-from tabulon.operators.ordered import running_sums
+from tabulon.operators.ordered import materialize, running_sums
 
 
 def _q(c: str) -> Column:
@@ -69,18 +69,22 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> Dat
     distance and its normalised form (over max(reference population std, 0.001))."""
     long = tagged_long(ref, cur, columns, "double").where(
         F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    totals = long.groupBy("column_name").agg(
-        F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
-        F.stddev_pop(F.when(F.col("a") == 1, F.col("value"))).alias("ref_std"))
-    run = running_sums(counts, "value", ["a", "b"], ["column_name"])
-    j = run.join(F.broadcast(totals), "column_name")
+    # one scan of each side: everything below works on the distinct-value counts
+    counts = materialize(
+        long.groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    run = running_sums(counts, "value", ["a", "b"], ["column_name"], with_totals=True)
+    run = run.withColumnRenamed("a_total", "n_ref").withColumnRenamed("b_total", "n_cur")
+    # reference mean per column (one row per column), for a centred variance
+    mean = counts.groupBy("column_name").agg(
+        (F.sum(F.col("a") * F.col("value")) / F.sum("a")).alias("_mean"))
+    j = run.join(F.broadcast(mean), "column_name")
     gap = F.abs(F.col("a_run") / F.col("n_ref") - F.col("b_run") / F.col("n_cur"))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     per = j.groupBy("column_name").agg(
-        F.max(gap).alias("ks"), F.sum(gap * step).alias("wasserstein"))
-    out = totals.join(per, "column_name", "left")
-    return out.select(
+        F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),
+        F.max(gap).alias("ks"), F.sum(gap * step).alias("wasserstein"),
+        F.sqrt(F.sum(F.col("a") * (F.col("value") - F.col("_mean")) ** 2) / F.first("n_ref")).alias("ref_std"))
+    return per.select(
         "column_name", "n_ref", "n_cur", "ks",
         ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_p_value"),
         "wasserstein",
@@ -195,6 +199,14 @@ def column_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str],
     return out.withColumn("drifted", F.coalesce("drifted", F.lit(False)))
 
 
+def with_sample_gate(per_column: DataFrame, min_rows: int = 50) -> DataFrame:
+    """FLT5 for drift: a column whose reference or current sample is below
+    ``min_rows`` gets ``status = 'insufficient'`` and is not counted as drifted."""
+    low = (F.col("n_ref") < min_rows) | (F.col("n_cur") < min_rows)
+    return (per_column.withColumn("status", F.when(low, "insufficient").otherwise("ok"))
+            .withColumn("drifted", F.col("drifted") & ~low))
+
+
 def dataset_drift(per_column: DataFrame, share: float = DEFAULT_DRIFT.dataset_share) -> DataFrame:
     """DRF6: one row - columns, drifted count and share, dataset flag, sorted names."""
     agg = per_column.agg(

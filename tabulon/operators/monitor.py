@@ -106,24 +106,42 @@ def check_rollup(checks: DataFrame, status: str = "status", passed_value: str =
                       (_div(F.col("passed"), F.col("total_checks")) * 100).alias("success_rate"))
 
 
-def feedback_join(pred: DataFrame, actual: DataFrame, key: str, pred_ts: str, actual_ts: str,
-                  horizon_days: int = 1) -> DataFrame:
-    """JON1: every prediction matched with every later truth of the same key
-    within ``horizon_days`` (pred_ts <= actual_ts <= pred_ts + horizon).
-
-    Range join made equi: both sides carry a day bucket; a truth is copied to
-    the ``horizon_days + 1`` buckets its predictions can fall in, so a hot key
-    is split by day instead of landing in one task.
+def feedback_join(pred: DataFrame, truth: DataFrame, key: str, pred_ts: str, truth_ts: str,
+                  horizon_days: int = 1, truth_id: str | None = None) -> DataFrame:
+    """JON1: every prediction matched with the first truth of the same key at
+    or after its time and within ``horizon_days`` (ties: smallest ``truth_id``).
+
+    An as-of match, so the output has at most one row per prediction - no
+    pairs are enumerated.  Both sides are tagged and unioned into buckets
+    (key, day); a truth is copied to the ``horizon_days + 1`` day buckets its
+    predictions can fall in, so a hot key is split by day.  Within a bucket,
+    in descending time, the earliest later truth is a running ``min`` over the
+    rows already seen (a growing frame, evaluated incrementally).
+    Result columns: the prediction's columns, then the truth's.
     """
-    p = pred.withColumn("_day", F.to_date(F.col(pred_ts)))
-    a = actual.withColumn("_days", F.sequence(F.date_sub(F.to_date(F.col(actual_ts)), horizon_days),
-                                             F.to_date(F.col(actual_ts))))
-    a = a.select("*", F.explode("_days").alias("_day")).drop("_days")
-    cond = ((F.col(f"a.{actual_ts}") >= F.col(f"p.{pred_ts}"))
-            & (F.col(f"a.{actual_ts}") <= F.col(f"p.{pred_ts}") + F.expr(f"INTERVAL {horizon_days} DAYS")))
-    j = p.alias("p").join(a.alias("a"), [F.col(f"p.{key}") == F.col(f"a.{key}"),
-                                         F.col("p._day") == F.col("a._day")], "inner").where(cond)
-    return j
+    truth_id = truth_id or truth.columns[0]
+    p_struct = F.struct(*[F.col(c) for c in pred.columns])
+    a_struct = F.struct(*[F.col(c) for c in truth.columns])
+    p = pred.select(F.col(key).alias("_key"), F.col(pred_ts).alias("_t"), F.lit(1).alias("_kind"),
+                    F.to_date(F.col(pred_ts)).alias("_day"), p_struct.alias("_p"),
+                    F.lit(None).cast(truth.select(a_struct.alias("s")).schema["s"].dataType).alias("_a"))
+    a = truth.select(F.col(key).alias("_key"), F.col(truth_ts).alias("_t"), F.lit(0).alias("_kind"),
+                     F.explode(F.sequence(F.date_sub(F.to_date(F.col(truth_ts)), horizon_days),
+                                          F.to_date(F.col(truth_ts)))).alias("_day"),
+                     F.lit(None).cast(pred.select(p_struct.alias("s")).schema["s"].dataType).alias("_p"),
+                     a_struct.alias("_a"))
+    u = p.unionByName(a)
+    w = (Window.partitionBy("_key", "_day")
+         .orderBy(F.col("_t").desc(), F.col("_kind").asc(), F.col(f"_a.{truth_id}").desc_nulls_last())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    first_after = F.min(F.when(F.col("_kind") == 0,
+                               F.struct(F.col("_t").alias("t"), F.col(f"_a.{truth_id}").alias("id"),
+                                        F.col("_a").alias("a")))).over(w)
+    m = (u.select("_kind", "_t", "_p", first_after.alias("_m"))
+         .where((F.col("_kind") == 1) & F.col("_m").isNotNull()
+                & (F.col("_m.t") <= F.col("_t") + F.expr(f"INTERVAL {horizon_days} DAYS"))))
+    return m.select(*[F.col(f"_p.{c}").alias(c) for c in pred.columns],
+                    *[F.col(f"_m.a.{c}").alias(c) for c in truth.columns if c not in pred.columns])
 
 
 def feedback_accuracy(matched: DataFrame, predicted: str = "predicted_churn",

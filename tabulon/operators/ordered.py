@@ -29,6 +29,16 @@ from tabulon.config import DEFAULT_SCALE
 _UNB = Window.unboundedPreceding
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that several branches read: a reliable
+    checkpoint into the shared ``spark.checkpoint.dir``.  Used for
+    distinct-value tables, so the source is scanned once and a lost executor
+    re-reads the checkpoint instead of the source."""
+    from tabulon.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
 
@@ -110,7 +120,7 @@ def exact_quantiles(long_df: DataFrame, value_col: str, probs: Sequence[float],
     """
     g = list(group_cols)
     vals = long_df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
-    counts = vals.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(vals.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_n")))
     run = running_sums(counts, value_col, ["_n"], g, groups_bounded=groups_bounded, with_totals=True)
     prev = F.col("_n_run") - F.col("_n")
     aggs, covers_any = [], F.lit(False)

@@ -147,4 +147,13 @@ def before_after(before: DataFrame, after: DataFrame, dropped: int) -> DataFrame
     return b.join(a, "_k").select(
         "rows_before", "columns_before", "rows_after", "columns_after",
         F.lit(dropped).alias("columns_dropped"), "missing_before", "missing_after",
-        (F.col("missing_before") - F.col("missing_after")).alias("missing_filled"))
+        (F.col("missing_before") - F.col("missing_after")).alias("missing_filled"),
+        F.lit(_type_summary(before)).alias("types_before"), F.lit(_type_summary(after)).alias("types_after"))
+
+
+def _type_summary(df: DataFrame) -> str:
+    """Column count per Spark type, e.g. ``bigint:2,double:3,string:1`` (from the schema)."""
+    counts = {}
+    for _, t in df.dtypes:
+        counts[t] = counts.get(t, 0) + 1
+    return ",".join(f"{t}:{n}" for t, n in sorted(counts.items()))

@@ -31,6 +31,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from tabulon.session import checkpoint_dir
+            checkpoint_dir(spark)   # the shared folder named by spark.checkpoint.dir
             return finish(fn(spark, sf_dir))
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__

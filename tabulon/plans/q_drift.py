@@ -233,3 +233,29 @@ def dec2_validation_summary(spark, sf):
     ref, cur = _lineitem_pair(spark, sf)
     ds = D.dataset_drift(D.column_drift(ref, cur, LI_NUM, LI_CAT))
     return D.validation_summary(D.retrain_decision(ds, None, None), ref, cur)
+
+
+SEGMENTS = ["view", "click", "purchase", "error", "signup"]
+
+
+def _segment_wide(df):
+    return df.select(*[F.when(F.col("event_type") == t, F.col("value")).alias(f"value_{t}") for t in SEGMENTS])
+
+
+@query("flt5_drift_segment_gate", f"""WITH {SP.refcur_sql(False)},
+segs AS (SELECT * FROM (VALUES {", ".join(f"('{t}')" for t in SEGMENTS)}) v(t)),
+{_numeric_sql([f"value_{t}" for t in SEGMENTS]).replace("FROM ref", "FROM refw").replace("FROM cur", "FROM curw")}
+SELECT column_name, n_ref, n_cur,
+  round(CASE WHEN n_ref <= 1000 THEN ks_p_value ELSE wasserstein_norm END, 6) AS score,
+  CASE WHEN n_ref < 50 OR n_cur < 50 THEN 'insufficient' ELSE 'ok' END AS status,
+  coalesce(CASE WHEN n_ref <= 1000 THEN ks_p_value < 0.05 ELSE wasserstein_norm >= 0.1 END, false)
+    AND NOT (n_ref < 50 OR n_cur < 50) AS drifted FROM ndrift"""
+       .replace(f"WITH {SP.refcur_sql(False)},", f"WITH {SP.refcur_sql(False)}, " + ", ".join(
+           [f"refw AS (SELECT {', '.join(f'CASE WHEN event_type = {chr(39)}{t}{chr(39)} THEN value END AS value_{t}' for t in SEGMENTS)} FROM ref)",
+            f"curw AS (SELECT {', '.join(f'CASE WHEN event_type = {chr(39)}{t}{chr(39)} THEN value END AS value_{t}' for t in SEGMENTS)} FROM cur)"]) + ","))
+def flt5_drift_segment_gate(spark, sf):
+    """FLT5 (drift side): drift of value per event-type segment, each segment
+    a column; a segment under 50 rows on either side is ``insufficient``."""
+    ref, cur = _events_pair(spark, sf)
+    cd = D.column_drift(_segment_wide(ref), _segment_wide(cur), [f"value_{t}" for t in SEGMENTS], [])
+    return D.with_sample_gate(cd).select("column_name", "n_ref", "n_cur", "score", "status", "drifted")

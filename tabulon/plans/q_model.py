@@ -275,3 +275,15 @@ def reg1_reg2_registry(spark, sf):
     m = _run_metrics(spark, sf).where(F.col("key") == "roc_auc").select("run_id", F.col("value").alias("metric"))
     versions = spark.createDataFrame([], "name string, version int, run_id string, metric double")
     return R.promotion(R.register_batch(versions, m, "churn_model"))
+
+
+@query("snk6_run_params", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{r}', 'parent_0', 'score_expr', '{e.replace(chr(39), chr(39) * 2)}')" for r, e in VARIANTS.items())
+       + ") v(run_id, parent_id, key, value) WHERE (SELECT count(*) FROM documents) >= 0")
+def snk6_run_params(spark, sf):
+    """SNK6: run parameters as a long table (one row per run and parameter),
+    for the runs whose metrics ``snk6_run_metrics`` logs."""
+    sc = _variant_scores(spark, sf).select("run_id").distinct()
+    exprs = spark.createDataFrame([(r, e) for r, e in VARIANTS.items()], "run_id string, value string")
+    return sc.join(F.broadcast(exprs), "run_id").select(
+        "run_id", F.lit("parent_0").alias("parent_id"), F.lit("score_expr").alias("key"), "value")

@@ -79,32 +79,35 @@ def agg17_level_summary(spark, sf):
 
 
 def _feedback(spark, sf):
-    """Predictions (views) matched with later truths (purchases) of the same user within a day."""
+    """Predictions (views) matched with the first later truth (purchase) of the same user within a day."""
     log = SP.prediction_log(spark, sf)
     pred = log.where(F.col("event_type") == "view").select(
         "prediction_id", "ts", "entity_id", (F.col("churn_probability") >= 0.5).alias("predicted_churn"))
     truth = log.where(F.col("event_type") == "purchase").select(
         F.col("prediction_id").alias("feedback_id"), F.col("ts").alias("feedback_ts"), "entity_id",
         (F.col("churn_probability") >= 0.5).alias("actual_churn"))
-    j = M.feedback_join(pred, truth, "entity_id", "ts", "feedback_ts", 1)
-    return j.select(F.col("p.entity_id").alias("entity_id"), "p.prediction_id", "a.feedback_id",
-                    F.col("p.ts").alias("ts"), F.col("a.feedback_ts").alias("feedback_ts"),
-                    "p.predicted_churn", "a.actual_churn")
+    j = M.feedback_join(pred, truth, "entity_id", "ts", "feedback_ts", 1, truth_id="feedback_id")
+    return j.select("entity_id", "prediction_id", "feedback_id", "ts", "feedback_ts",
+                    "predicted_churn", "actual_churn")
 
 
 FEEDBACK_SQL = f"""{PL},
-fb AS (SELECT p.entity_id, p.prediction_id, a.prediction_id AS feedback_id, p.ts, a.ts AS feedback_ts,
-   p.churn_probability >= 0.5 AS predicted_churn, a.churn_probability >= 0.5 AS actual_churn
+fbp AS (SELECT p.entity_id, p.prediction_id, a.prediction_id AS feedback_id, p.ts, a.ts AS feedback_ts,
+   p.churn_probability >= 0.5 AS predicted_churn, a.churn_probability >= 0.5 AS actual_churn,
+   row_number() OVER (PARTITION BY p.prediction_id ORDER BY a.ts, a.prediction_id) AS rn
   FROM predlog p JOIN predlog a ON p.entity_id = a.entity_id
   WHERE p.event_type = 'view' AND a.event_type = 'purchase'
-    AND a.ts >= p.ts AND a.ts <= p.ts + INTERVAL 1 DAY)"""
+    AND a.ts >= p.ts AND a.ts <= p.ts + INTERVAL 1 DAY),
+fb AS (SELECT entity_id, prediction_id, feedback_id, ts, feedback_ts, predicted_churn, actual_churn
+  FROM fbp WHERE rn = 1)"""
 
 
 @query("jon1_feedback_join", f"""WITH {FEEDBACK_SQL}
 SELECT entity_id, prediction_id, feedback_id, {ts_text_sql('ts')} AS ts, {ts_text_sql('feedback_ts')} AS feedback_ts,
   predicted_churn, actual_churn FROM fb""")
 def jon1_feedback_join(spark, sf):
-    """JON1: predictions joined with later ground truth (range join, day-bucketed)."""
+    """JON1: each prediction joined with its first later ground truth within a day
+    (as-of match over day buckets; at most one row per prediction)."""
     return _feedback(spark, sf).withColumn("ts", ts_text("ts")).withColumn("feedback_ts", ts_text("feedback_ts"))
 
 

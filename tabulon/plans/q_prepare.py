@@ -315,7 +315,9 @@ def flt4_time_slices(spark, sf):
 b AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal IS NULL) + count(*) FILTER (WHERE c_mktsegment IS NULL)
         + count(*) FILTER (WHERE total_spend IS NULL) + count(*) FILTER (WHERE last_order IS NULL) AS m FROM entity)
 SELECT n AS rows_before, 9 AS columns_before, n AS rows_after, 8 AS columns_after, 1 AS columns_dropped,
-  CAST(m AS BIGINT) AS missing_before, CAST(0 AS BIGINT) AS missing_after, CAST(m AS BIGINT) AS missing_filled FROM b""")
+  CAST(m AS BIGINT) AS missing_before, CAST(0 AS BIGINT) AS missing_after, CAST(m AS BIGINT) AS missing_filled,
+  'bigint:2,double:2,int:2,string:2,timestamp_ntz:1' AS types_before,
+  'bigint:2,double:2,int:2,string:1,timestamp_ntz:1' AS types_after FROM b""")
 def agg2_before_after(spark, sf):
     """AGG2: shapes and missing counts before and after preparation."""
     p = prepare(SP.entity_table(spark, sf), DROP, NUM, CAT)

@@ -217,3 +217,12 @@ def win5_batch_ids(spark, sf):
     """WIN5: ``batch_{i}`` ids over a stated key order (distributed row numbers)."""
     o = read_table(spark, sf, "orders").select("o_orderkey")
     return SM.batch_ids(o, "o_orderkey")
+
+
+@query("win2_hash_split", f"""SELECT c_custkey, CASE WHEN CAST(('0x' || substr({_MD5.format(k='c_custkey')}, 1, 8)) AS BIGINT) % 100 < 80
+  THEN 'train' ELSE 'test' END AS split FROM customer""")
+def win2_hash_split(spark, sf):
+    """WIN2 for very large strata: a pure map (no shuffle) giving each row to
+    test when its seeded hash falls in the last 20 percent."""
+    cust = read_table(spark, sf, "customer").select("c_custkey")
+    return SM.hash_split(cust, "c_custkey")

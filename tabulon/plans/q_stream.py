@@ -161,20 +161,15 @@ def str4_sliding_drift(spark, sf):
 SELECT entity_id, prediction_id, feedback_id, {ts_text_sql('ts')} AS ts, {ts_text_sql('feedback_ts')} AS feedback_ts,
   predicted_churn, actual_churn FROM fb""")
 def str6_stream_feedback_join(spark, sf):
-    """STR6: predictions joined with later feedback, stream to stream, with
-    watermarks on both sides and the 1-day range condition."""
+    """STR6: each prediction matched with its first later feedback within a day,
+    on the stream, by a custom stateful operator (state per entity, event-time
+    timeout after the horizon)."""
     run = J.new_run_dir(spark, "str6")
     s = _predlog_stream(_staged_events(spark, sf, run))
-    pred = s.where(F.col("event_type") == "view").select(
-        "prediction_id", "ts", "entity_id", (F.col("churn_probability") >= 0.5).alias("predicted_churn"))
-    s2 = _predlog_stream(J.file_stream(spark, run + "/source", read_table(spark, sf, "events").schema))
-    truth = s2.where(F.col("event_type") == "purchase").select(
-        F.col("prediction_id").alias("feedback_id"), F.col("ts").alias("feedback_ts"), "entity_id",
-        (F.col("churn_probability") >= 0.5).alias("actual_churn"))
-    j = J.stream_feedback_join(pred, truth, "entity_id", "ts", "feedback_ts", "1 day", "1 hour")
-    out = j.select(F.col("p.entity_id").alias("entity_id"), "p.prediction_id", "a.feedback_id",
-                   F.col("p.ts").alias("ts"), F.col("a.feedback_ts").alias("feedback_ts"),
-                   "p.predicted_churn", "a.actual_churn")
+    both = s.where(F.col("event_type").isin("view", "purchase")).select(
+        "entity_id", "ts", F.when(F.col("event_type") == "view", 1).otherwise(0).alias("kind"),
+        F.col("prediction_id").alias("row_id"), (F.col("churn_probability") >= 0.5).alias("flag"))
+    out = J.stream_feedback_match(both, "entity_id", "ts", "kind", "row_id", "flag", "1 day", "1 hour")
     w = (out.writeStream.format("parquet").option("path", run + "/out")
          .option("checkpointLocation", run + "/ckpt").outputMode("append"))
     J.run_available(w)

@@ -170,21 +170,73 @@ def binned_drift(hist: DataFrame, ref_hist: DataFrame, bins: int = 20) -> DataFr
 
 # --- STR6 ------------------------------------------------------------------------
 
-def stream_feedback_join(pred: DataFrame, truth: DataFrame, key: str, pred_ts: str, truth_ts: str,
-                         horizon: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """STR6: stream-stream inner join of predictions with later truths of the
-    same key within ``horizon``; both sides watermarked so state is bounded.
-    As in the batch form, the state is keyed by (key, day bucket), so a hot
-    key is spread over days instead of one state partition."""
-    days = horizon_days(horizon)
-    p = pred.withWatermark(pred_ts, watermark).withColumn("_day", F.to_date(F.col(pred_ts))).alias("p")
-    t = (truth.withWatermark(truth_ts, watermark)
-         .withColumn("_day", F.explode(F.sequence(F.date_sub(F.to_date(F.col(truth_ts)), days),
-                                                  F.to_date(F.col(truth_ts))))).alias("a"))
-    cond = ((F.col(f"p.{key}") == F.col(f"a.{key}")) & (F.col("p._day") == F.col("a._day"))
-            & (F.col(f"a.{truth_ts}") >= F.col(f"p.{pred_ts}"))
-            & (F.col(f"a.{truth_ts}") <= F.col(f"p.{pred_ts}") + F.expr(f"INTERVAL {horizon}")))
-    return p.join(t, cond, "inner")
+FEEDBACK_OUT = ("entity_id long, prediction_id long, feedback_id long, ts timestamp, "
+                "feedback_ts timestamp, predicted_churn boolean, actual_churn boolean")
+FEEDBACK_STATE = "pids array<long>, pts array<long>, pflags array<boolean>"
+
+
+def feedback_match_state(horizon_us: int):
+    """The per-entity state function for STR6 (used with
+    ``applyInPandasWithState``): pending predictions wait in state until the
+    first truth at or after them arrives; a prediction whose earliest later
+    truth is beyond the horizon, or whose horizon has passed the watermark,
+    is dropped.  Matching is a vectorised ``searchsorted`` per batch; the state
+    holds at most one horizon of one entity's predictions."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        kind = pdf["kind"].to_numpy()
+        ids = pdf["row_id"].to_numpy()
+        flags = pdf["flag"].to_numpy()
+        pid, pts, pfl = (list(x) for x in state.get) if state.exists else ([], [], [])
+        is_p = kind == 1
+        pid = np.concatenate([np.asarray(pid, dtype="int64"), ids[is_p]])
+        pts = np.concatenate([np.asarray(pts, dtype="int64"), us[is_p]])
+        pfl = np.concatenate([np.asarray(pfl, dtype=bool), flags[is_p].astype(bool)])
+        t_order = np.lexsort((ids[~is_p], us[~is_p]))
+        t_ts, t_id, t_fl = us[~is_p][t_order], ids[~is_p][t_order], flags[~is_p][t_order]
+        j = np.searchsorted(t_ts, pts, side="left")        # first truth at or after
+        has = j < len(t_ts)
+        jj = np.where(has, j, 0)
+        hit = has & (t_ts[jj] <= pts + horizon_us) if len(t_ts) else np.zeros(len(pts), bool)
+        wait = ~has                                           # no truth yet: keep waiting
+        wm = state.getCurrentWatermarkMs() * 1000
+        wait &= (pts + horizon_us) >= wm
+        if hit.any():
+            yield pd.DataFrame({
+                "entity_id": np.repeat(key[0], hit.sum()), "prediction_id": pid[hit],
+                "feedback_id": t_id[jj[hit]],
+                "ts": pd.to_datetime(pts[hit], unit="us", utc=True),
+                "feedback_ts": pd.to_datetime(t_ts[jj[hit]], unit="us", utc=True),
+                "predicted_churn": pfl[hit], "actual_churn": t_fl[jj[hit]].astype(bool)})
+        if wait.any():
+            state.update((pid[wait].tolist(), pts[wait].tolist(), pfl[wait].tolist()))
+            state.setTimeoutTimestamp(int((pts[wait].max() + horizon_us) // 1000) + 1)
+        else:
+            state.remove()
+    return fn
+
+
+def stream_feedback_match(events: DataFrame, key: str, ts: str, kind_col: str, id_col: str,
+                          flag_col: str, horizon: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    """STR6: predictions (kind 1) matched with the first later truth (kind 0)
+    of the same key within ``horizon``, as a custom stateful operator.
+
+    ``events`` carries both sides in one stream (key, ts, kind, row id, flag).
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    horizon_us = int(float(horizon.split()[0]) * (86400 if "day" in horizon else 3600) * 1_000_000)
+    s = events.select(F.col(key).alias("entity_id"), F.col(ts).alias("ts"), F.col(kind_col).alias("kind"),
+                      F.col(id_col).alias("row_id"), F.col(flag_col).alias("flag"))
+    return (s.withWatermark("ts", watermark).groupBy("entity_id")
+            .applyInPandasWithState(feedback_match_state(horizon_us), FEEDBACK_OUT, FEEDBACK_STATE,
+                                    "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def horizon_days(horizon: str) -> int:

@@ -42,3 +42,11 @@ def test_chi2_sf_known_values():
     # Q(k/2, x/2): chi2 sf(3.84146, 1) = 0.05, sf(9.48773, 4) = 0.05
     assert abs(D._gammq(0.5, 3.841459 / 2) - 0.05) < 1e-6
     assert abs(D._gammq(2.0, 9.487729 / 2) - 0.05) < 1e-6
+
+
+def test_sample_gate_marks_small_segments(spark):
+    t = _t(spark)
+    small = t.limit(30)
+    cd = D.with_sample_gate(D.column_drift(small, small.select((F.col("x") + 50).alias("x"), "c"), ["x"], []))
+    r = cd.first()
+    assert r["status"] == "insufficient" and r["drifted"] is False
