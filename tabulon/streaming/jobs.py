@@ -190,6 +190,8 @@ def feedback_match_state(horizon_us: int):
             state.remove()
             return
         pdf = pd.concat(list(pdfs), ignore_index=True)
+        if "_day" in pdf.columns:
+            pdf = pdf.drop(columns=["_day"])
         us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         kind = pdf["kind"].to_numpy()
         ids = pdf["row_id"].to_numpy()
@@ -226,15 +228,23 @@ def feedback_match_state(horizon_us: int):
 def stream_feedback_match(events: DataFrame, key: str, ts: str, kind_col: str, id_col: str,
                           flag_col: str, horizon: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """STR6: predictions (kind 1) matched with the first later truth (kind 0)
-    of the same key within ``horizon``, as a custom stateful operator.
+    of the same key within ``horizon``, as a custom stateful operator keyed
+    by (key, prediction day).
 
     ``events`` carries both sides in one stream (key, ts, kind, row id, flag).
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
     horizon_us = int(float(horizon.split()[0]) * (86400 if "day" in horizon else 3600) * 1_000_000)
+    days = horizon_days(horizon)
     s = events.select(F.col(key).alias("entity_id"), F.col(ts).alias("ts"), F.col(kind_col).alias("kind"),
                       F.col(id_col).alias("row_id"), F.col(flag_col).alias("flag"))
-    return (s.withWatermark("ts", watermark).groupBy("entity_id")
+    # state groups are (entity, day of the prediction); a truth joins the
+    # groups of the days its predictions can fall in, so a hot entity is
+    # spread over days like the batch form
+    day = F.to_date("ts")
+    s = s.withColumn("_day", F.when(F.col("kind") == 1, F.array(day)).otherwise(
+        F.sequence(F.date_sub(day, days), day))).withColumn("_day", F.explode("_day"))
+    return (s.withWatermark("ts", watermark).groupBy("entity_id", "_day")
             .applyInPandasWithState(feedback_match_state(horizon_us), FEEDBACK_OUT, FEEDBACK_STATE,
                                     "append", GroupStateTimeout.EventTimeTimeout))
 
