@@ -22,7 +22,7 @@ from tabulon.streaming import jobs as J
 
 def _staged_events(spark, sf, run):
     ev = read_table(spark, sf, "events")
-    path = J.stage_in_time_order(ev, "ts", run + "/source", slices=6)
+    path = J.stage_in_time_order(ev, "ts", run + "/source", slices=3)
     return J.file_stream(spark, path, ev.schema)
 
 

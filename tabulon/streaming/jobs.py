@@ -172,16 +172,19 @@ def binned_drift(hist: DataFrame, ref_hist: DataFrame, bins: int = 20) -> DataFr
 
 FEEDBACK_OUT = ("entity_id long, prediction_id long, feedback_id long, ts timestamp, "
                 "feedback_ts timestamp, predicted_churn boolean, actual_churn boolean")
-FEEDBACK_STATE = "pids array<long>, pts array<long>, pflags array<boolean>"
+FEEDBACK_STATE = "eids array<long>, pids array<long>, pts array<long>, pflags array<boolean>"
 
 
 def feedback_match_state(horizon_us: int):
-    """The per-entity state function for STR6 (used with
-    ``applyInPandasWithState``): pending predictions wait in state until the
-    first truth at or after them arrives; a prediction whose earliest later
-    truth is beyond the horizon, or whose horizon has passed the watermark,
-    is dropped.  Matching is a vectorised ``searchsorted`` per batch; the state
-    holds at most one horizon of one entity's predictions."""
+    """The state function for STR6 (``applyInPandasWithState``).
+
+    A group is (entity hash bucket, prediction day), so one call matches many
+    entities at once: pending predictions of the group (from state) plus new
+    ones are matched with ``pandas.merge_asof(by=entity, direction='forward',
+    tolerance=horizon)`` - the first truth at or after each prediction.
+    Predictions with no truth yet wait in state until the watermark passes
+    their horizon; state holds at most one horizon of the group's predictions.
+    """
     import numpy as np
     import pandas as pd
 
@@ -190,61 +193,68 @@ def feedback_match_state(horizon_us: int):
             state.remove()
             return
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        if "_day" in pdf.columns:
-            pdf = pdf.drop(columns=["_day"])
         us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        kind = pdf["kind"].to_numpy()
-        ids = pdf["row_id"].to_numpy()
-        flags = pdf["flag"].to_numpy()
-        pid, pts, pfl = (list(x) for x in state.get) if state.exists else ([], [], [])
-        is_p = kind == 1
-        pid = np.concatenate([np.asarray(pid, dtype="int64"), ids[is_p]])
-        pts = np.concatenate([np.asarray(pts, dtype="int64"), us[is_p]])
-        pfl = np.concatenate([np.asarray(pfl, dtype=bool), flags[is_p].astype(bool)])
-        t_order = np.lexsort((ids[~is_p], us[~is_p]))
-        t_ts, t_id, t_fl = us[~is_p][t_order], ids[~is_p][t_order], flags[~is_p][t_order]
-        j = np.searchsorted(t_ts, pts, side="left")        # first truth at or after
-        has = j < len(t_ts)
-        jj = np.where(has, j, 0)
-        hit = has & (t_ts[jj] <= pts + horizon_us) if len(t_ts) else np.zeros(len(pts), bool)
-        wait = ~has                                           # no truth yet: keep waiting
-        wm = state.getCurrentWatermarkMs() * 1000
-        wait &= (pts + horizon_us) >= wm
+        is_p = (pdf["kind"] == 1).to_numpy()
+        old = state.get if state.exists else ([], [], [], [])
+        preds = pd.DataFrame({
+            "eid": np.concatenate([np.asarray(old[0], "int64"), pdf["entity_id"].to_numpy()[is_p]]),
+            "pid": np.concatenate([np.asarray(old[1], "int64"), pdf["row_id"].to_numpy()[is_p]]),
+            "t": np.concatenate([np.asarray(old[2], "int64"), us[is_p]]),
+            "pf": np.concatenate([np.asarray(old[3], bool), pdf["flag"].to_numpy()[is_p].astype(bool)])})
+        truths = pd.DataFrame({"eid": pdf["entity_id"].to_numpy()[~is_p], "fid": pdf["row_id"].to_numpy()[~is_p],
+                               "t": us[~is_p], "af": pdf["flag"].to_numpy()[~is_p].astype(bool)})
+        preds = preds.sort_values("t", kind="stable")
+        truths = truths.sort_values(["t", "fid"], kind="stable")
+        truths["ft"] = truths["t"]
+        m = pd.merge_asof(preds, truths, on="t", by="eid", direction="forward",
+                          tolerance=horizon_us, allow_exact_matches=True)
+        hit = m["fid"].notna().to_numpy()
         if hit.any():
+            h = m[hit]
             yield pd.DataFrame({
-                "entity_id": np.repeat(key[0], hit.sum()), "prediction_id": pid[hit],
-                "feedback_id": t_id[jj[hit]],
-                "ts": pd.to_datetime(pts[hit], unit="us", utc=True),
-                "feedback_ts": pd.to_datetime(t_ts[jj[hit]], unit="us", utc=True),
-                "predicted_churn": pfl[hit], "actual_churn": t_fl[jj[hit]].astype(bool)})
+                "entity_id": h["eid"].astype("int64"), "prediction_id": h["pid"].astype("int64"),
+                "feedback_id": h["fid"].astype("int64"),
+                "ts": pd.to_datetime(h["t"], unit="us", utc=True),
+                "feedback_ts": pd.to_datetime(h["ft"].astype("int64"), unit="us", utc=True),
+                "predicted_churn": h["pf"].astype(bool), "actual_churn": h["af"].astype(bool)})
+        # no match: wait only if no later truth of that entity arrived yet and
+        # the horizon is still ahead of the watermark
+        later = m["eid"].isin(truths["eid"]).to_numpy() & ~hit
+        last_truth = truths.groupby("eid")["t"].max() if len(truths) else pd.Series(dtype="int64")
+        seen_after = later & (m["t"].to_numpy() <= m["eid"].map(last_truth).fillna(-1).to_numpy())
+        wm = state.getCurrentWatermarkMs() * 1000
+        wait = ~hit & ~seen_after & ((m["t"].to_numpy() + horizon_us) >= wm)
         if wait.any():
-            state.update((pid[wait].tolist(), pts[wait].tolist(), pfl[wait].tolist()))
-            state.setTimeoutTimestamp(int((pts[wait].max() + horizon_us) // 1000) + 1)
+            w = m[wait]
+            state.update((w["eid"].tolist(), w["pid"].tolist(), w["t"].tolist(), w["pf"].tolist()))
+            state.setTimeoutTimestamp(int((w["t"].max() + horizon_us) // 1000) + 1)
         else:
             state.remove()
     return fn
 
 
 def stream_feedback_match(events: DataFrame, key: str, ts: str, kind_col: str, id_col: str,
-                          flag_col: str, horizon: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+                          flag_col: str, horizon: str = "1 day", watermark: str = "1 hour",
+                          entity_buckets: int = 16) -> DataFrame:
     """STR6: predictions (kind 1) matched with the first later truth (kind 0)
-    of the same key within ``horizon``, as a custom stateful operator keyed
-    by (key, prediction day).
+    of the same key within ``horizon``, as a custom stateful operator.
 
     ``events`` carries both sides in one stream (key, ts, kind, row id, flag).
+    State groups are (hash bucket of the key, day of the prediction); a truth
+    joins the day groups its predictions can fall in.  ``entity_buckets``
+    trades per-call overhead against parallelism; a hot key is split by day.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
     horizon_us = int(float(horizon.split()[0]) * (86400 if "day" in horizon else 3600) * 1_000_000)
     days = horizon_days(horizon)
     s = events.select(F.col(key).alias("entity_id"), F.col(ts).alias("ts"), F.col(kind_col).alias("kind"),
                       F.col(id_col).alias("row_id"), F.col(flag_col).alias("flag"))
-    # state groups are (entity, day of the prediction); a truth joins the
-    # groups of the days its predictions can fall in, so a hot entity is
-    # spread over days like the batch form
     day = F.to_date("ts")
-    s = s.withColumn("_day", F.when(F.col("kind") == 1, F.array(day)).otherwise(
-        F.sequence(F.date_sub(day, days), day))).withColumn("_day", F.explode("_day"))
-    return (s.withWatermark("ts", watermark).groupBy("entity_id", "_day")
+    s = (s.withColumn("_eb", F.pmod(F.xxhash64("entity_id"), F.lit(entity_buckets)))
+         .withColumn("_day", F.when(F.col("kind") == 1, F.array(day))
+                     .otherwise(F.sequence(F.date_sub(day, days), day)))
+         .withColumn("_day", F.explode("_day")))
+    return (s.withWatermark("ts", watermark).groupBy("_eb", "_day")
             .applyInPandasWithState(feedback_match_state(horizon_us), FEEDBACK_OUT, FEEDBACK_STATE,
                                     "append", GroupStateTimeout.EventTimeTimeout))
 
