@@ -33,6 +33,10 @@ def query(name: str, sql: str | None = None):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
             from tabulon.session import checkpoint_dir
             checkpoint_dir(spark)   # the shared folder named by spark.checkpoint.dir
+            # event times are wall-clock (TIMESTAMP_NTZ); windows, day buckets and
+            # watermarks are defined in UTC
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
             return finish(fn(spark, sf_dir))
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__

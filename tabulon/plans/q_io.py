@@ -156,15 +156,17 @@ def fea2_one_hot(spark, sf):
     return out.select("c_custkey", *cols).join(ent, "c_custkey")
 
 
-@query("fea2_unknown_category_zeros", "SELECT 5 AS n_slots, 0.0 AS slot_sum")
+@query("fea2_unknown_category_zeros", f"WITH {E} SELECT count(*) AS n_rows, 5 AS n_slots, 0.0 AS slot_sum FROM entity")
 def fea2_unknown_category_zeros(spark, sf):
-    """FEA2: a category never seen in training encodes as all zeros."""
+    """FEA2: a category never seen in training encodes as all zeros - the
+    fitted pipeline applied to every row with its segment replaced by an
+    unseen value."""
     ent = SP.entity_table(spark, sf).select("c_custkey", "c_acctbal", "total_spend", "c_mktsegment")
     spec = MD.fit_feature_spec(ent, ["c_acctbal", "total_spend"], ["c_mktsegment"])
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     model = Pipeline(stages=MD.feature_stages(spec)).fit(ent)
-    unseen = ent.limit(1).withColumn("c_mktsegment", F.lit("SPACECRAFT"))
+    unseen = ent.withColumn("c_mktsegment", F.lit("SPACECRAFT"))
     v = model.transform(unseen).select(vector_to_array("features").alias("f"))
-    return v.select((F.size("f") - 2).alias("n_slots"),
-                    F.aggregate(F.slice("f", 3, 100), F.lit(0.0), lambda a, x: a + x).alias("slot_sum"))
+    return v.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("f") - 2).alias("n_slots"),
+                 F.sum(F.aggregate(F.slice("f", 3, 100), F.lit(0.0), lambda a, x: a + x)).alias("slot_sum"))
