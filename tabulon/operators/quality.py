@@ -72,8 +72,9 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
                  group: Sequence[str] = ()) -> DataFrame:
-    """AGG9: per class precision, recall, F1, support; then macro and weighted
-    averages.  Built from the (tiny) confusion matrix."""
+    """AGG9: per class precision, recall, F1, support; the accuracy row (in the
+    F1 column, as the usual report prints it); macro and weighted averages.
+    Built from the (tiny) confusion matrix."""
     g = list(group)
     cm = confusion_matrix(df, label, prediction, g)
     as_true = cm.groupBy(*g, F.col("label").alias("cls")).agg(
@@ -98,7 +99,13 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     weighted = avg.select(*g, F.lit("weighted avg").alias("class"), "support",
                           F.col("w_p").alias("precision"), F.col("w_r").alias("recall"),
                           F.col("w_f").alias("f1"))
-    return per.unionByName(macro).unionByName(weighted)
+    acc = cm.groupBy(*g).agg(F.sum("n").alias("support"),
+                             F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+                             .alias("_hit"))
+    accuracy = acc.select(*g, F.lit("accuracy").alias("class"), "support",
+                          F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
+                          _div(F.col("_hit"), F.col("support")).alias("f1"))
+    return per.unionByName(accuracy).unionByName(macro).unionByName(weighted)
 
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score",

@@ -60,6 +60,8 @@ m AS (SELECT CAST(cls AS VARCHAR) AS class, support,
    coalesce(tp / nullif(support, 0), 0) AS recall,
    coalesce(2 * tp / nullif(predicted + support, 0), 0) AS f1 FROM per)
 SELECT class, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m
+UNION ALL SELECT 'accuracy', (SELECT count(*) FROM p), NULL, NULL,
+  round((SELECT count(*) FILTER (WHERE label = prediction) FROM p) / (SELECT count(*) FROM p), 6)
 UNION ALL SELECT 'macro avg', CAST(sum(support) AS BIGINT), round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM m
 UNION ALL SELECT 'weighted avg', CAST(sum(support) AS BIGINT),
   round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
