@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon import config as C
-from tabulon.functions import scalar as S
 from tabulon.operators import model as MD
 from tabulon.operators import validate as V
 from tabulon.operators.score import request_features
