@@ -126,13 +126,13 @@ def _column_drift_sql(ref_cur: str, num, cat, small_rows=1000) -> str:
         parts.append(f"""SELECT column_name, 'numeric' AS kind, n_ref, n_cur,
   CASE WHEN n_ref <= {small_rows} THEN 'ks' ELSE 'wasserstein_norm' END AS test,
   CASE WHEN n_ref <= {small_rows} THEN ks_p_value ELSE wasserstein_norm END AS score,
-  CASE WHEN n_ref <= {small_rows} THEN 0.05 ELSE 0.1 END AS threshold,
+  CAST(CASE WHEN n_ref <= {small_rows} THEN 0.05 ELSE 0.1 END AS DOUBLE) AS threshold,
   coalesce(CASE WHEN n_ref <= {small_rows} THEN ks_p_value < 0.05 ELSE wasserstein_norm >= 0.1 END, false) AS drifted
   FROM ndrift""")
     if cat:
         parts.append(f"""SELECT column_name, 'categorical' AS kind, n_ref, n_cur,
   CASE WHEN n_ref <= {small_rows} THEN 'chi_square' ELSE 'jensen_shannon' END AS test,
-  jensen_shannon AS score, CASE WHEN n_ref <= {small_rows} THEN 0.05 ELSE 0.1 END AS threshold,
+  jensen_shannon AS score, CAST(CASE WHEN n_ref <= {small_rows} THEN 0.05 ELSE 0.1 END AS DOUBLE) AS threshold,
   coalesce(jensen_shannon >= 0.1, false) AS drifted FROM cdrift""")
     ctes = [ref_cur]
     if num:

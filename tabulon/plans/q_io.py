@@ -156,7 +156,7 @@ def fea2_one_hot(spark, sf):
     return out.select("c_custkey", *cols).join(ent, "c_custkey")
 
 
-@query("fea2_unknown_category_zeros", f"WITH {E} SELECT count(*) AS n_rows, 5 AS n_slots, 0.0 AS slot_sum FROM entity")
+@query("fea2_unknown_category_zeros", f"WITH {E} SELECT count(*) AS n_rows, 5 AS n_slots, CAST(0.0 AS DOUBLE) AS slot_sum FROM entity")
 def fea2_unknown_category_zeros(spark, sf):
     """FEA2: a category never seen in training encodes as all zeros - the
     fitted pipeline applied to every row with its segment replaced by an

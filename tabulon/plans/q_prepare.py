@@ -410,10 +410,10 @@ def agg21_quality_profile(spark, sf):
 @query("tst1_test_suite", f"""WITH {E},
 s AS (SELECT count(*) AS n, (count(*) FILTER (WHERE c_acctbal IS NULL) > 0)::INT + (count(*) FILTER (WHERE c_mktsegment IS NULL) > 0)::INT AS cols,
    count(*) FILTER (WHERE c_acctbal IS NULL OR c_mktsegment IS NULL) AS rows_m FROM entity)
-SELECT 'columns_with_missing_values' AS test, CAST(cols AS DOUBLE) AS value, 5.0 AS "limit",
+SELECT 'columns_with_missing_values' AS test, CAST(cols AS DOUBLE) AS value, CAST(5.0 AS DOUBLE) AS "limit",
   CASE WHEN cols < 5 THEN 'SUCCESS' ELSE 'FAIL' END AS status FROM s
-UNION ALL SELECT 'rows_with_missing_values_share', round(rows_m / n, 6), 0.1, CASE WHEN rows_m / n < 0.1 THEN 'SUCCESS' ELSE 'FAIL' END FROM s
-UNION ALL SELECT 'rows_with_missing_values_count', CAST(rows_m AS DOUBLE), 0.0, CASE WHEN rows_m <= 0 THEN 'SUCCESS' ELSE 'FAIL' END FROM s""")
+UNION ALL SELECT 'rows_with_missing_values_share', round(rows_m / n, 6), CAST(0.1 AS DOUBLE), CASE WHEN rows_m / n < 0.1 THEN 'SUCCESS' ELSE 'FAIL' END FROM s
+UNION ALL SELECT 'rows_with_missing_values_count', CAST(rows_m AS DOUBLE), CAST(0.0 AS DOUBLE), CASE WHEN rows_m <= 0 THEN 'SUCCESS' ELSE 'FAIL' END FROM s""")
 def tst1_test_suite(spark, sf):
     """TST1: missing-value test suite with status per test."""
     return V.test_suite(SP.entity_table(spark, sf))
