@@ -149,11 +149,14 @@ def str4_sliding_drift(spark, sf):
     ref_hist = ref.groupBy(J.binned(ref, "value", lo, hi, _BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     s = _staged_events(spark, sf, run)
     hist = J.sliding_histogram(s, "ts", "value", lo, hi, _BINS, watermark="2 days")
-    w = (hist.writeStream.outputMode("complete").foreachBatch(J.overwrite_sink(run + "/hist"))
+    # every micro-batch replaces the drift table with the drift of all windows
+    # so far (complete mode: the batch is the whole histogram state)
+    ref_counts = ref_hist.checkpoint(eager=True)     # fixed reference, read by every batch
+    sink = J.overwrite_sink(run + "/drift", post=lambda b: J.binned_drift(b, ref_counts, _BINS))
+    w = (hist.writeStream.outputMode("complete").foreachBatch(sink)
          .option("checkpointLocation", run + "/ckpt"))
     J.run_available(w)
-    out = J.binned_drift(spark.read.parquet(run + "/hist"), ref_hist, _BINS)
-    return out.withColumn("window_start", ts_text("window_start"))
+    return spark.read.parquet(run + "/drift").withColumn("window_start", ts_text("window_start"))
 
 
 @query("str6_stream_feedback_join", f"""WITH {FEEDBACK_SQL}
