@@ -334,3 +334,68 @@ SELECT CAST(g.bin AS INTEGER) AS bin, round(lo + (g.bin - 1) * (hi - lo) / 20, 6
 def agg15_probability_histogram(spark, sf):
     """AGG15 / SCO2: 20-bin histogram of the scored probabilities, empty bins kept."""
     return P.histogram(SP.prediction_log(spark, sf), "churn_probability", 20)
+
+
+def _daily_drift_windows(spark, sf, bins=20):
+    """Daily windows of the log with a drift flag: Jensen-Shannon of the day's
+    binned values against the reference histogram (bins fixed from the reference)."""
+    from tabulon.streaming.jobs import binned, binned_drift
+    ref, _ = SP.reference_current(spark, sf)
+    r = ref.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()   # two scalars
+    lo, hi = float(r["lo"]), float(r["hi"])
+    ref_hist = ref.groupBy(binned(ref, "value", lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    log = SP.prediction_log(spark, sf).withColumn("window_start", F.date_trunc("day", "ts"))
+    hist = log.groupBy("window_start", binned(log, "value", lo, hi, bins).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"))
+    dr = binned_drift(hist, ref_hist, bins).select("window_start", "jensen_shannon")
+    win = M.windowed_metrics(SP.prediction_log(spark, sf), every="1 day", zero_fill=False)
+    return (win.join(dr, "window_start", "left")
+            .withColumn("drift_detected", F.coalesce(F.col("jensen_shannon") >= C.DRIFT_THRESHOLD, F.lit(False))))
+
+
+_DAILY_DRIFT_SQL = f"""{PL},
+ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '{SP.DRIFT_SPLIT_TS}'),
+r AS (SELECT min(value) AS lo, max(value) AS hi FROM ref),
+rb AS (SELECT CAST(least(greatest(floor((value - lo) * 20 / (hi - lo)) + 1, 1), 20) AS INTEGER) AS bin, count(*) AS n
+       FROM ref, r GROUP BY 1),
+rp AS (SELECT bin, n / sum(n) OVER () AS p FROM rb),
+h AS (SELECT date_trunc('day', ts) AS window_start,
+        CAST(least(greatest(floor((value - lo) * 20 / (hi - lo)) + 1, 1), 20) AS INTEGER) AS bin, count(*) AS n
+      FROM predlog, r GROUP BY 1, 2),
+grid AS (SELECT DISTINCT window_start, unnest(range(1, 21)) AS bin FROM h),
+c AS (SELECT g.window_start, g.bin, coalesce(h.n, 0) AS n FROM grid g LEFT JOIN h ON g.window_start = h.window_start AND g.bin = h.bin),
+j AS (SELECT c.window_start, c.n, sum(c.n) OVER (PARTITION BY c.window_start) AS n_total, coalesce(rp.p, 0.0) AS p
+      FROM c LEFT JOIN rp ON c.bin = rp.bin),
+js AS (SELECT window_start, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + n / n_total) / 2)) ELSE 0 END
+        + CASE WHEN n > 0 THEN n / n_total * log2((n / n_total) / ((p + n / n_total) / 2)) ELSE 0 END) / 2, 0)) AS jensen_shannon
+      FROM j GROUP BY window_start),
+win AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n_predictions, avg({CONF_SQL}) AS avg_confidence
+        FROM predlog GROUP BY 1),
+dw AS (SELECT win.*, CASE WHEN n_predictions >= 10 THEN 'ok' ELSE 'insufficient' END AS status,
+        coalesce(js.jensen_shannon >= 0.1, false) AS drift_detected, js.jensen_shannon
+       FROM win LEFT JOIN js ON win.window_start = js.window_start)"""
+
+
+@query("alr3_daily_drift_alerts", f"""WITH {_DAILY_DRIFT_SQL}
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, type, severity, message, round(metric_value, 6) AS metric_value FROM (
+  SELECT window_start, 'LOW_CONFIDENCE' AS type, 'warning' AS severity,
+    concat('Average model confidence is low: ', printf('%.2f%%', avg_confidence * 100)) AS message,
+    avg_confidence AS metric_value FROM dw WHERE avg_confidence < 0.7 AND status <> 'insufficient'
+  UNION ALL SELECT window_start, 'NO_PREDICTIONS', 'info', 'No recent predictions detected', NULL FROM dw WHERE n_predictions = 0
+  UNION ALL SELECT window_start, 'DATA_DRIFT_DETECTED', 'warning', 'Data drift detected in recent predictions', NULL
+    FROM dw WHERE drift_detected)""")
+def alr3_daily_drift_alerts(spark, sf):
+    """ALR3 with all three monitor alerts: daily windows carry a drift flag
+    (binned Jensen-Shannon vs the reference histogram)."""
+    w = _daily_drift_windows(spark, sf)
+    return A.monitor_alerts(w).withColumn("window_start", ts_text("window_start"))
+
+
+@query("drf4_daily_binned_js", f"""WITH {_DAILY_DRIFT_SQL}
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, n_predictions, round(jensen_shannon, 6) AS jensen_shannon,
+  drift_detected FROM dw""")
+def drf4_daily_binned_js(spark, sf):
+    """Per-day drift of the prediction log against the reference histogram
+    (the batch form of the monitor's drift check)."""
+    w = _daily_drift_windows(spark, sf)
+    return w.select(ts_text("window_start").alias("window_start"), "n_predictions", "jensen_shannon", "drift_detected")
