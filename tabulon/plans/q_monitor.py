@@ -339,7 +339,7 @@ def agg15_probability_histogram(spark, sf):
 def _daily_drift_windows(spark, sf, bins=20):
     """Daily windows of the log with a drift flag: Jensen-Shannon of the day's
     binned values against the reference histogram (bins fixed from the reference)."""
-    from tabulon.streaming.jobs import binned, binned_drift
+    from tabulon.operators.drift import binned, binned_drift
     ref, _ = SP.reference_current(spark, sf)
     r = ref.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()   # two scalars
     lo, hi = float(r["lo"]), float(r["hi"])

@@ -22,6 +22,7 @@ from tabulon.functions import scalar as S
 from tabulon.operators import alerts as A
 from tabulon.operators import sample as SM
 from tabulon.operators import validate as V
+from tabulon.operators.drift import binned, binned_drift  # noqa: F401  (used by callers too)
 from tabulon.session import scratch_path
 
 
@@ -129,12 +130,6 @@ def alert_sink(path: str, min_rows: int = C.MIN_PERFORMANCE_SAMPLES):
 
 # --- STR4 ------------------------------------------------------------------------
 
-def binned(stream: DataFrame, value: str, lo: float, hi: float, bins: int) -> Column:
-    """Equal-width bin of ``value`` on the reference range (clipped to 1..bins)."""
-    b = F.floor((F.col(value) - F.lit(lo)) * bins / F.lit(hi - lo)) + 1
-    return F.least(F.greatest(b, F.lit(1)), F.lit(bins)).cast("int")
-
-
 def sliding_histogram(stream: DataFrame, ts: str, value: str, lo: float, hi: float, bins: int = 20,
                       length: str = "7 days", slide: str = "1 day", watermark: str = "1 day") -> DataFrame:
     """STR4 state: per sliding window and bin, a count (the state is a
@@ -145,29 +140,6 @@ def sliding_histogram(stream: DataFrame, ts: str, value: str, lo: float, hi: flo
             .select(F.col("w.start").alias("window_start"), "bin", "n"))
 
 
-def binned_drift(hist: DataFrame, ref_hist: DataFrame, bins: int = 20) -> DataFrame:
-    """Per window: Jensen-Shannon distance and binned KS against the reference
-    histogram.  Inputs are (window_start, bin, n) and (bin, n): bounded by
-    windows × bins."""
-    from pyspark.sql import Window
-    grid = hist.select("window_start").distinct().select(
-        "window_start", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    cur = grid.join(hist, ["window_start", "bin"], "left").fillna(0, subset=["n"])
-    tot = cur.groupBy("window_start").agg(F.sum("n").alias("n_total"))
-    # reference shares over at most ``bins`` rows
-    ref = ref_hist.select("bin", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("p"))
-    j = cur.join(tot, "window_start").join(F.broadcast(ref), "bin", "left").fillna(0.0, subset=["p"])
-    j = j.withColumn("q", F.col("n") / F.col("n_total"))
-    w = Window.partitionBy("window_start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("cp", F.sum("p").over(w)).withColumn("cq", F.sum("q").over(w))
-    m = (F.col("p") + F.col("q")) / 2
-    kl = (F.when(F.col("p") > 0, F.col("p") * F.log2(F.col("p") / m)).otherwise(0.0)
-          + F.when(F.col("q") > 0, F.col("q") * F.log2(F.col("q") / m)).otherwise(0.0))
-    return j.groupBy("window_start").agg(
-        F.first("n_total").alias("n"), F.max(F.abs(F.col("cp") - F.col("cq"))).alias("ks_binned"),
-        F.sqrt(F.greatest(F.sum(kl) / 2, F.lit(0.0))).alias("jensen_shannon"))
-
-
 # --- STR6 ------------------------------------------------------------------------
 
 FEEDBACK_OUT = ("entity_id long, prediction_id long, feedback_id long, ts timestamp, "
