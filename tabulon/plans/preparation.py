@@ -26,7 +26,14 @@ class Prepared:
 
 def prepare(raw: DataFrame, drop: Sequence[str], numeric: Sequence[str],
             categorical: Sequence[str], required: Sequence[str] = (),
-            min_rows: int = 1000, max_missing_share: float = 0.3) -> Prepared:
+            min_rows: int = 1000, max_missing_share: float = 0.3,
+            cut_lineage: bool = True) -> Prepared:
+    """The raw table is read by five passes (checks, two fits, quality,
+    profile); when it is derived (joins, aggregates) ``cut_lineage`` writes it
+    once to the shared checkpoint folder so the derivation runs once."""
+    if cut_lineage:
+        from tabulon.operators.ordered import materialize
+        raw = materialize(raw)
     checks = validate.validate_table(raw, min_rows, max_missing_share, required)
     dropped, report = clean.drop_listed(raw, drop)
     num = [c for c in numeric if c in dropped.columns]

@@ -48,12 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     only when the setting is missing (single-machine tests).
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:          # a remote (Connect) session: the server owns the folder
+        return path
     if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="tabulon-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
