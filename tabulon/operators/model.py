@@ -163,6 +163,24 @@ def fit_model(train: DataFrame, spec: FeatureSpec, family: str, label: str = "la
     return PipelineModel(stages=base.stages + pre + [cal])
 
 
+def grid_for(family: str, n_rows: int) -> dict:
+    """MDL7 grids per family (Spark parameter names).  ``regParam`` = 1/(C·n)
+    for C in 10^-2..10^2; depth "none" is Spark's limit 30; minimum split size
+    maps to ``minInstancesPerNode`` (closest, not equal)."""
+    cs = [10.0 ** k for k in range(-2, 3)]
+    if family == "logistic_regression":
+        return {"regParam": [1.0 / (c * n_rows) for c in cs]}
+    if family == "linear_svc":
+        return {"regParam": [1.0 / (c * n_rows) for c in cs]}
+    if family == "random_forest":
+        return {"numTrees": [100, 200], "maxDepth": [30, 10], "minInstancesPerNode": [1, 5]}
+    if family == "gradient_boosting":
+        return {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 5]}
+    if family == "bagging":
+        return {"numTrees": [10, 20], "subsamplingRate": [0.5, 1.0]}
+    raise ValueError(family)
+
+
 def positive_probability(pred: DataFrame, name: str = "churn_probability") -> DataFrame:
     return pred.withColumn(name, vector_to_array(F.col("probability"))[1])
 

@@ -64,3 +64,20 @@ def tune(train: DataFrame, spec: MD.FeatureSpec, family: str, grid: dict, label:
     """MDL7: stratified folds as a column, then ``CrossValidator(foldCol=...)``."""
     folded = stratified_folds(train, label, key, k=k).withColumn(label, F.col(label).cast("double"))
     return MD.cross_validate(folded, spec, family, grid, label=label, num_folds=k)
+
+
+def tune_best(t: Trained, label: str, key: str, metric: str = "roc_auc", k: int = C.CV_FOLDS):
+    """MDL6 → MDL7: tune the best family of ``train_all`` with its grid, then
+    evaluate the tuned model on the same holdout.  Returns (family, tuned
+    model, comparison of untuned vs tuned metrics) - the tuned model is the
+    one to save (the studied pipeline saved the untuned one)."""
+    best = t.comparison.orderBy(F.col(metric).desc_nulls_last(), "model").first()["model"]
+    n = t.train.count()
+    tuned, _ = tune(t.train, t.spec, best, MD.grid_for(best, n), label, key, k)
+    p = MD.positive_probability(tuned.transform(t.test)).select(
+        F.lit("tuned").alias("model"), F.col(key), F.col(label).cast("int").alias("label"),
+        F.col("churn_probability").alias("score"),
+        (F.col("churn_probability") >= C.LABEL_CUT).cast("int").alias("prediction"))
+    base = t.predictions.where(F.col("model") == best).withColumn("model", F.lit("untuned"))
+    report = Q.evaluation_report(base.unionByName(p), group=["model"])
+    return best, tuned, report.groupBy("model").pivot("metric").agg(F.first("value"))
