@@ -35,3 +35,13 @@ def test_scoring_and_monitoring_flow(spark):
     assert mon.scored.count() == n
     assert sum(r["n"] for r in mon.tiers.collect()) == n
     assert mon.windows.agg(F.sum("n_predictions")).first()[0] == n
+
+
+def test_tune_best_reports_untuned_and_tuned(spark):
+    from tabulon.plans.training import train_all, tune_best
+    ent = SP.entity_table(spark, SF).select("c_custkey", "c_acctbal", "n_orders", "c_mktsegment", "churn")
+    t = train_all(ent, "churn", "c_custkey", ["c_acctbal", "n_orders"], ["c_mktsegment"],
+                  families=("logistic_regression",))
+    fam, model, cmp = tune_best(t, "churn", "c_custkey", k=3)
+    assert fam == "logistic_regression"
+    assert {r["model"] for r in cmp.collect()} == {"tuned", "untuned"}
