@@ -31,8 +31,9 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            from tabulon.session import checkpoint_dir
+            from tabulon.session import checkpoint_dir, ship_package
             checkpoint_dir(spark)   # the shared folder named by spark.checkpoint.dir
+            ship_package(spark)     # executors import tabulon for pandas UDFs / stream state
             # event times are wall-clock (TIMESTAMP_NTZ); windows, day buckets and
             # watermarks are defined in UTC
             if spark.conf.get("spark.sql.session.timeZone") != "UTC":

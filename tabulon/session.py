@@ -39,6 +39,7 @@ def get_session(master: str | None = None, app: str = "tabulon",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -63,6 +64,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabulon`` importable on executors (pandas UDFs and stateful
+    stream functions are pickled by module reference): zip the package once
+    per application and register it with ``addPyFile``, like ``--py-files``."""
+    try:
+        sc = spark.sparkContext
+    except Exception:          # remote session: the package must be installed server-side
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    import tabulon
+    root = os.path.dirname(os.path.abspath(tabulon.__file__))
+    fd, path = tempfile.mkstemp(prefix="tabulon-code-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
