@@ -114,7 +114,9 @@ def classifier(family: str, label: str = "label", weight: str | None = "class_we
                seed: int = C.RANDOM_SEED, **params):
     """MDL1-5 (MDL4 returns the SVM; calibration is added by ``fit_model``)."""
     if family == "logistic_regression":
+        # max 1000 iterations and tolerance 1e-4, the studied model's settings
         return LogisticRegression(labelCol=label, weightCol=weight, maxIter=params.get("maxIter", 1000),
+                                  tol=params.get("tol", 1e-4),
                                   regParam=params.get("regParam", 0.0), elasticNetParam=0.0)
     if family == "random_forest":
         return RandomForestClassifier(labelCol=label, weightCol=weight, seed=seed,
