@@ -125,3 +125,13 @@ def display_value(v) -> Column:
             .when(d.isNotNull() & (d == F.floor(d)), F.format_string("%d", d.cast("long")))
             .when(d.isNotNull(), F.format_string("%.2f", d))
             .otherwise(_c(v).cast("string")))
+
+
+def typed_lit(value, data_type) -> Column:
+    """A literal of ``data_type`` from a collected value.  Timestamps go through
+    their wall-clock text, so the driver process's local time zone never
+    shifts them (a Python ``datetime`` literal would be read in that zone)."""
+    import datetime as _dt
+    if isinstance(value, _dt.datetime):
+        return F.lit(value.isoformat(sep=" ")).cast(data_type)
+    return F.lit(value).cast(data_type)

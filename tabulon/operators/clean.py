@@ -102,7 +102,7 @@ def time_slices(df: DataFrame, ts: str, reference_days: int = C.REFERENCE_WINDOW
     max_ts = df.agg(F.max(ts)).first()[0]
     if max_ts is None:
         return df.limit(0), df.limit(0)
-    hi = F.lit(max_ts)
+    hi = S.typed_lit(max_ts, df.schema[ts].dataType)
     ref = df.where(F.col(ts) >= hi - F.expr(f"INTERVAL {reference_days} DAYS"))
     cur = df.where(F.col(ts) >= hi - F.expr(f"INTERVAL {current_days} DAYS"))
     return ref, cur

@@ -41,10 +41,12 @@ def stage_in_time_order(df: DataFrame, ts: str, path: str, slices: int = 6, fmt:
         return path
     lo, hi = rng["lo"], rng["hi"]
     step = (hi - lo) / slices
+    dt = df.schema[ts].dataType
     for i in range(slices):
-        a = lo + step * i
-        b = lo + step * (i + 1)
-        part = df.where((F.col(ts) >= F.lit(a)) & ((F.col(ts) < F.lit(b)) if i < slices - 1 else F.lit(True)))
+        a = S.typed_lit(lo + step * i, dt)
+        b = S.typed_lit(lo + step * (i + 1), dt)
+        last = i == slices - 1
+        part = df.where(((F.col(ts) >= a) | F.lit(i == 0)) & ((F.col(ts) < b) | F.lit(last)))
         part.coalesce(1).write.mode("append").format(fmt).save(path)
     return path
 
