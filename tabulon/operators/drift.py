@@ -45,8 +45,8 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = DEFAULT_DRIFT.ks_se
     """Asymptotic two-sample Kolmogorov p-value:
     λ = (√ne + 0.12 + 0.11/√ne)·D, ne = n·m/(n+m), p = 2 Σ (-1)^(k-1) e^(-2k²λ²),
     p = 1 when λ < 0.2 (the cut-off series is not valid there)."""
-    en = F.sqrt(n * m / (n + m))
-    lam = (en + F.lit(0.12) + F.lit(0.11) / en) * d
+    en = F.sqrt(F.try_divide((n * m).cast("double"), (n + m).cast("double")))
+    lam = (en + F.lit(0.12) + F.try_divide(F.lit(0.11), en)) * d
     # Σ_{k=1..terms} (-1)^(k-1) exp(-2 k² λ²), folded over a sequence: a small
     # expression (one per column result) instead of `terms` inlined terms
     series = F.aggregate(
@@ -76,14 +76,16 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> Dat
     run = run.withColumnRenamed("a_total", "n_ref").withColumnRenamed("b_total", "n_cur")
     # reference mean per column (one row per column), for a centred variance
     mean = counts.groupBy("column_name").agg(
-        (F.sum(F.col("a") * F.col("value")) / F.sum("a")).alias("_mean"))
+        F.try_divide(F.sum(F.col("a") * F.col("value")), F.sum("a").cast("double")).alias("_mean"))
     j = run.join(F.broadcast(mean), "column_name")
-    gap = F.abs(F.col("a_run") / F.col("n_ref") - F.col("b_run") / F.col("n_cur"))
+    gap = F.abs(F.try_divide(F.col("a_run").cast("double"), F.col("n_ref"))
+                - F.try_divide(F.col("b_run").cast("double"), F.col("n_cur")))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     per = j.groupBy("column_name").agg(
         F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),
         F.max(gap).alias("ks"), F.sum(gap * step).alias("wasserstein"),
-        F.sqrt(F.sum(F.col("a") * (F.col("value") - F.col("_mean")) ** 2) / F.first("n_ref")).alias("ref_std"))
+        F.sqrt(F.try_divide(F.sum(F.col("a") * (F.col("value") - F.col("_mean")) ** 2),
+                            F.first("n_ref").cast("double"))).alias("ref_std"))
     return per.select(
         "column_name", "n_ref", "n_cur", "ks",
         ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")).alias("ks_p_value"),
@@ -147,18 +149,19 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) ->
     totals = counts.groupBy("column_name").agg(
         F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"), F.count(F.lit(1)).alias("k"))
     j = counts.join(F.broadcast(totals), "column_name")
-    p = F.col("a") / F.col("n_ref")
-    q = F.col("b") / F.col("n_cur")
+    p = F.coalesce(F.try_divide(F.col("a").cast("double"), F.col("n_ref")), F.lit(0.0))
+    q = F.coalesce(F.try_divide(F.col("b").cast("double"), F.col("n_cur")), F.lit(0.0))
     m = (p + q) / 2
-    kl = (F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-          + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0))
+    kl = (F.when(p > 0, p * F.log2(F.try_divide(p, m))).otherwise(0.0)
+          + F.when(q > 0, q * F.log2(F.try_divide(q, m))).otherwise(0.0))
     n = F.col("n_ref") + F.col("n_cur")
     row_t = F.col("a") + F.col("b")
-    e_a = row_t * F.col("n_ref") / n
-    e_b = row_t * F.col("n_cur") / n
-    chi = (F.col("a") - e_a) ** 2 / e_a + (F.col("b") - e_b) ** 2 / e_b
+    e_a = F.try_divide(row_t * F.col("n_ref"), n.cast("double"))
+    e_b = F.try_divide(row_t * F.col("n_cur"), n.cast("double"))
+    chi = (F.coalesce(F.try_divide((F.col("a") - e_a) ** 2, e_a), F.lit(0.0))
+           + F.coalesce(F.try_divide((F.col("b") - e_b) ** 2, e_b), F.lit(0.0)))
     pf = F.greatest(p, F.lit(PSI_FLOOR))
-    qf = F.greatest(q, F.lit(PSI_FLOOR))
+    qf = F.greatest(q, F.lit(PSI_FLOOR))  # floored: no zero divisor below
     per = j.groupBy("column_name").agg(
         F.sum(chi).alias("chi2"), F.sqrt(F.greatest(F.sum(kl) / 2, F.lit(0.0))).alias("jensen_shannon"),
         F.sum((qf - pf) * F.log(qf / pf)).alias("psi"))

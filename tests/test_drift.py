@@ -50,3 +50,14 @@ def test_sample_gate_marks_small_segments(spark):
     cd = D.with_sample_gate(D.column_drift(small, small.select((F.col("x") + 50).alias("x"), "c"), ["x"], []))
     r = cd.first()
     assert r["status"] == "insufficient" and r["drifted"] is False
+
+
+def test_empty_current_table_does_not_fail(spark):
+    t = _t(spark)
+    empty = t.limit(0)
+    n = D.numeric_drift(t, empty, ["x"]).collect()
+    c = D.categorical_drift(t, empty, ["c"]).collect()
+    assert len(n) == 1 and n[0]["n_cur"] == 0
+    assert len(c) == 1 and c[0]["n_cur"] == 0
+    ds = D.dataset_drift(D.with_sample_gate(D.column_drift(t, empty, ["x"], ["c"]))).first()
+    assert ds["n_drifted"] == 0
