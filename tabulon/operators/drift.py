@@ -278,7 +278,10 @@ def validation_summary(decision: DataFrame, ref: DataFrame, cur: DataFrame) -> D
 # --- binned forms (fixed reference bins; used by the monitor and STR4) ---
 
 def binned(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Column:
-    """Equal-width bin of ``value`` on the reference range (clipped to 1..bins)."""
+    """Equal-width bin of ``value`` on the reference range (clipped to 1..bins);
+    a constant reference puts everything in bin 1."""
+    if not hi > lo:
+        return F.lit(1)
     b = F.floor((F.col(value) - F.lit(lo)) * bins / F.lit(hi - lo)) + 1
     return F.least(F.greatest(b, F.lit(1)), F.lit(bins)).cast("int")
 

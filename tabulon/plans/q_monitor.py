@@ -275,7 +275,7 @@ def _daily_metrics(spark, sf):
         F.avg(S.confidence("churn_probability")).alias("avg_confidence"),
         F.avg(F.when(~err, F.col("value"))).alias("prediction_latency_ms"),
         F.when(F.avg(err.cast("int")) < 0.25, "healthy").otherwise("degraded").alias("service_health"),
-        (F.abs(F.avg("value") - F.first("_mu")) / F.first("_sd")).alias("drift_score"))
+        F.try_divide(F.abs(F.avg("value") - F.first("_mu")), F.first("_sd")).alias("drift_score"))
     fa = M.feedback_accuracy(_feedback(spark, sf).withColumn("day", F.date_trunc("day", "feedback_ts")),
                              group=["day"]).select("day", "accuracy")
     return dm.join(fa, "day", "left")
