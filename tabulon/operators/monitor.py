@@ -189,10 +189,23 @@ def window_changes(per_window: DataFrame, window_col: str, volume: str = "volume
 
 def window_grid(df: DataFrame, ts: str, every: str = C.MONITOR_WINDOW) -> DataFrame:
     """All window starts between the first and last event (for zero-filled
-    windows).  Size = time span / window length, independent of row count."""
-    rng = df.agg(F.min(F.window(F.col(ts), every).start).alias("lo"),
-                 F.max(F.window(F.col(ts), every).start).alias("hi"))
-    return rng.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {every}"))).alias("window_start"))
+    windows).  Size = time span / window length, independent of row count;
+    generated by ``spark.range`` so it is spread over tasks."""
+    rng = df.agg(F.unix_micros(F.min(F.window(F.col(ts), every).start)).alias("lo"),
+                 F.unix_micros(F.max(F.window(F.col(ts), every).start)).alias("hi")).first()  # 2 scalars
+    if rng["lo"] is None:
+        return df.sparkSession.range(0).select(F.lit(None).cast("timestamp").alias("window_start"))
+    step = duration_micros(every)
+    n = (rng["hi"] - rng["lo"]) // step + 1
+    return df.sparkSession.range(n).select(
+        F.timestamp_micros(F.lit(rng["lo"]) + F.col("id") * F.lit(step)).alias("window_start"))
+
+
+def duration_micros(every: str) -> int:
+    """A fixed window length like '5 minutes' or '1 hour' in microseconds."""
+    n, unit = every.split()[:2]
+    per = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit.lower().rstrip("s")]
+    return int(float(n) * per * 1_000_000)
 
 
 def windowed_metrics(log: DataFrame, ts: str = "ts", prob: str = "churn_probability",
