@@ -101,7 +101,11 @@ def split_sink(rules, valid_path: str, quarantine_path: str):
 def window_metrics(stream: DataFrame, ts: str = "ts", prob: str = "churn_probability",
                    every: str = C.MONITOR_WINDOW, watermark: str = "10 minutes",
                    error_col: str | None = None) -> DataFrame:
-    """STR3: tumbling-window count, tiers, average confidence, error rate."""
+    """STR3: tumbling-window count, tiers, average confidence, error rate.
+
+    In ``append`` mode (production) a window is emitted once the watermark
+    passes its end and its state is dropped; ``complete`` mode keeps every
+    window and is used only to compare a finished stream with the batch form."""
     tier = S.risk_tier(prob)
     aggs = [F.count(F.lit(1)).alias("n_predictions"), F.avg(S.confidence(prob)).alias("avg_confidence"),
             *[F.count_if(tier == t).alias(f"n_{t.lower()}") for t in C.TIERS]]
@@ -135,7 +139,9 @@ def alert_sink(path: str, min_rows: int = C.MIN_PERFORMANCE_SAMPLES):
 def sliding_histogram(stream: DataFrame, ts: str, value: str, lo: float, hi: float, bins: int = 20,
                       length: str = "7 days", slide: str = "1 day", watermark: str = "1 day") -> DataFrame:
     """STR4 state: per sliding window and bin, a count (the state is a
-    histogram, not rows; every row enters length/slide windows)."""
+    histogram, not rows; every row enters length/slide windows).  The
+    watermark bounds how long a window's bins stay in state outside
+    ``complete`` mode."""
     return (stream.withWatermark(ts, watermark)
             .groupBy(F.window(ts, length, slide).alias("w"), binned(stream, value, lo, hi, bins).alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"))
