@@ -63,6 +63,8 @@ def tune(train: DataFrame, spec: MD.FeatureSpec, family: str, grid: dict, label:
          k: int = C.CV_FOLDS):
     """MDL7: stratified folds as a column, then ``CrossValidator(foldCol=...)``."""
     folded = stratified_folds(train, label, key, k=k).withColumn(label, F.col(label).cast("double"))
+    # every fold x parameter fit reads this table: derive the folds once
+    folded = folded.checkpoint(eager=True)
     return MD.cross_validate(folded, spec, family, grid, label=label, num_folds=k)
 
 
