@@ -127,18 +127,28 @@ from tabulon.operators import score as SC  # noqa: E402
 from tabulon.sources.tables import REQUEST_FIELDS, decode_requests  # noqa: E402
 
 REQ = f"{E}, {SP.REQUEST_SQL}"
-_REQ_COLS = ", ".join(
-    ["customer_id"] + [
-        (f"coalesce({n}, '{d}') AS {n}" if d is not None and n in
-         ("multiple_lines",) else
-         (f"'{d}' AS {n}" if d is not None and n in ("streaming_tv", "streaming_movies", "streaming_music",
-                                                     "unlimited_data") else
-          (f"CAST(NULL AS DOUBLE) AS {n}" if n in ("avg_monthly_gb_download", "avg_monthly_long_distance_charges",
-                                                  "total_extra_data", "total_long_distance", "total_revenue")
-           else (f"CAST({n} AS BIGINT) AS {n}" if n in ("tenure_months", "age", "satisfaction_score")
-                 else (f"round({n}, 6) AS {n}" if n in ("monthly_charges", "total_charges", "cltv", "population")
-                       else n)))))
-        for n, _, d in REQUEST_FIELDS])
+_ABSENT_DOUBLES = ("avg_monthly_gb_download", "avg_monthly_long_distance_charges",
+                   "total_extra_data", "total_long_distance", "total_revenue")
+_LONGS = ("tenure_months", "age", "satisfaction_score")
+_DOUBLES = ("monthly_charges", "total_charges", "cltv", "population")
+
+
+def _request_column_sql(name: str, default) -> str:
+    """The SQL twin of one decoded request field (defaults as in SRC3)."""
+    if name == "multiple_lines":
+        return f"coalesce({name}, '{default}') AS {name}"
+    if default is not None:
+        return f"'{default}' AS {name}"          # never sent by the fixture: default only
+    if name in _ABSENT_DOUBLES:
+        return f"CAST(NULL AS DOUBLE) AS {name}"
+    if name in _LONGS:
+        return f"CAST({name} AS BIGINT) AS {name}"
+    if name in _DOUBLES:
+        return f"round({name}, 6) AS {name}"
+    return name
+
+
+_REQ_COLS = ", ".join(["customer_id"] + [_request_column_sql(n, d) for n, _, d in REQUEST_FIELDS])
 
 
 def _requests(spark, sf):
