@@ -131,14 +131,15 @@ _ABSENT_DOUBLES = ("avg_monthly_gb_download", "avg_monthly_long_distance_charges
                    "total_extra_data", "total_long_distance", "total_revenue")
 _LONGS = ("tenure_months", "age", "satisfaction_score")
 _DOUBLES = ("monthly_charges", "total_charges", "cltv", "population")
+_NEVER_SENT = ("streaming_tv", "streaming_movies", "streaming_music", "unlimited_data")
 
 
 def _request_column_sql(name: str, default) -> str:
     """The SQL twin of one decoded request field (defaults as in SRC3)."""
     if name == "multiple_lines":
         return f"coalesce({name}, '{default}') AS {name}"
-    if default is not None:
-        return f"'{default}' AS {name}"          # never sent by the fixture: default only
+    if name in _NEVER_SENT:
+        return f"'{default}' AS {name}"          # not in the fixture's requests: default only
     if name in _ABSENT_DOUBLES:
         return f"CAST(NULL AS DOUBLE) AS {name}"
     if name in _LONGS:
