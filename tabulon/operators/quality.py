@@ -159,16 +159,24 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
 def curve_points(df: DataFrame, label: str = "label", score: str = "score",
                  group: Sequence[str] = (), positive: int = 1) -> DataFrame:
     """AGG12 / WIN4: per distinct threshold (descending) the cumulative TP/FP,
-    ROC point (fpr, tpr) and PR point (precision, recall)."""
+    ROC point (fpr, tpr) and PR point (precision, recall), plus the anchor row
+    (null threshold) where both curves start."""
     g = list(group)
     run = _desc_running(df, label, score, g, positive)
-    return run.select(
-        *g, F.col(score).alias("threshold"),
+    pts = run.select(
+        *g, F.col(score).cast("double").alias("threshold"),
         F.col("pos_run").alias("tp"), F.col("neg_run").alias("fp"),
         _div(F.col("neg_run"), F.col("N")).alias("fpr"),
         _div(F.col("pos_run"), F.col("P")).alias("tpr"),
         _div(F.col("pos_run"), F.col("pos_run") + F.col("neg_run")).alias("precision"),
         _div(F.col("pos_run"), F.col("P")).alias("recall"))
+    # the curves' anchor (threshold above every score): ROC (0, 0), PR (recall 0, precision 1)
+    keys = df.select(*g).distinct() if g else df.sparkSession.range(1).select()
+    anchor = keys.select(*g, F.lit(None).cast("double").alias("threshold"),
+                         F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
+                         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+                         F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return pts.unionByName(anchor)
 
 
 def evaluation_report(df: DataFrame, label: str = "label", score: str = "score",

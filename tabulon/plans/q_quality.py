@@ -110,7 +110,9 @@ r AS (SELECT score, CAST(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUND
              CAST(sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fp FROM s),
 t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM s)
 SELECT round(score, 6) AS threshold, tp, fp, round(fp / N, 6) AS fpr, round(tp / P, 6) AS tpr,
-       round(tp / (tp + fp), 6) AS precision, round(tp / P, 6) AS recall FROM r, t""")
+       round(tp / (tp + fp), 6) AS precision, round(tp / P, 6) AS recall FROM r, t
+UNION ALL SELECT CAST(NULL AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE,
+       1.0::DOUBLE, 0.0::DOUBLE""")
 def agg12_curve_points(spark, sf):
     """AGG12 / WIN4: cumulative TP/FP per descending threshold → ROC and PR points."""
     return Q.curve_points(SP.scored_documents(spark, sf, "quality"))

@@ -77,3 +77,12 @@ def test_global_row_number(spark):
     r = SM.global_row_number(df, "s", tiebreak=["id"]).toPandas().sort_values("row_number")
     assert list(r["row_number"]) == list(range(1, 601))
     assert (np.diff(r["s"].to_numpy()) >= 0).all()
+
+
+def test_curve_points_integrate_to_auc(spark):
+    df = _scored(spark)
+    pts = Q.curve_points(df).toPandas().sort_values(["fpr", "tpr"])
+    area = float(np.sum(np.diff(pts["fpr"]) * (pts["tpr"].to_numpy()[1:] + pts["tpr"].to_numpy()[:-1]) / 2))
+    assert abs(area - Q.roc_auc(df).first()["roc_auc"]) < 1e-12
+    anchor = pts[pts["threshold"].isna()].iloc[0]
+    assert anchor["fpr"] == 0 and anchor["tpr"] == 0 and anchor["precision"] == 1
