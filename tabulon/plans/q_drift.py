@@ -259,3 +259,15 @@ def flt5_drift_segment_gate(spark, sf):
     ref, cur = _events_pair(spark, sf)
     cd = D.column_drift(_segment_wide(ref), _segment_wide(cur), [f"value_{t}" for t in SEGMENTS], [])
     return D.with_sample_gate(cd).select("column_name", "n_ref", "n_cur", "score", "status", "drifted")
+
+
+@query("drf3_chi_square_p_value_events", f"""WITH {SP.refcur_sql(False)}, {_categorical_sql(['event_type'])}
+SELECT column_name, round(chi2, 6) AS chi2, dof,
+  round(exp(-chi2 / 2) * list_sum(list_transform(range(dof // 2), lambda i: pow(chi2 / 2, i) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE))), 6)
+    AS chi2_p_value
+FROM cdrift""")
+def drf3_chi_square_p_value_events(spark, sf):
+    """DRF3 p-value on event_type (dof 4, even: the oracle uses the closed form
+    e^(-x/2) Σ_{i<dof/2} (x/2)^i / i!)."""
+    ref, cur = _events_pair(spark, sf)
+    return D.categorical_drift(ref, cur, ["event_type"]).select("column_name", "chi2", "dof", "chi2_p_value")
