@@ -65,7 +65,13 @@ def mdl8_feature_importance(spark, sf):
     return MD.top_features(MD.feature_importance(m, spec, spark), 20)
 
 
-@query("fea3_feature_expansion")
+@query("fea3_feature_expansion", f"""WITH {SP.ENTITY_SQL}
+SELECT 'c_acctbal' AS source_column, CAST(1 AS BIGINT) AS n_encoded, 'num__c_acctbal' AS encoded_features
+UNION ALL SELECT 'n_orders', 1, 'num__n_orders'
+UNION ALL SELECT 'total_spend', 1, 'num__total_spend'
+UNION ALL SELECT 'c_nationkey', 1, 'num__c_nationkey'
+UNION ALL SELECT 'c_mktsegment', count(*), string_agg('cat__c_mktsegment_' || v, ',' ORDER BY v)
+  FROM (SELECT DISTINCT c_mktsegment AS v FROM entity WHERE c_mktsegment IS NOT NULL)""")
 def fea3_feature_expansion(spark, sf):
     """FEA3: encoded feature names and counts per source column."""
     spec = MD.fit_feature_spec(_entity(spark, sf), NUMERIC, CATEGORICAL)

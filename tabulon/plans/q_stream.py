@@ -96,10 +96,16 @@ def str3_window_metrics_stream(spark, sf):
     return spark.read.parquet(run + "/out").withColumn("window_start", ts_text("window_start"))
 
 
-@query("str5_stream_alerts")
+@query("str5_stream_alerts", f"""WITH {SP.PREDLOG_SQL},
+mx AS (SELECT max(ts) AS m FROM predlog),
+w AS (SELECT to_timestamp(floor(epoch(ts) / 3600) * 3600) AT TIME ZONE 'UTC' AS window_start, count(*) AS n,
+        avg(greatest(churn_probability, 1 - churn_probability)) AS c FROM predlog GROUP BY 1)
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, 'LOW_CONFIDENCE' AS type, 'warning' AS severity
+FROM w, mx WHERE window_start + INTERVAL 1 HOUR <= m - INTERVAL 1 HOUR AND n >= 10 AND c < 0.7""")
 def str5_stream_alerts(spark, sf):
     """STR5: alerts raised from closed hourly windows (append mode), appended
-    per micro-batch; windows still open at the end are not emitted."""
+    per micro-batch; a window is closed once the watermark (latest event time
+    minus 1 hour) passes its end, so the last open windows are not emitted."""
     run = J.new_run_dir(spark, "str5")
     s = _predlog_stream(_staged_events(spark, sf, run))
     agg = J.window_metrics(s, every="1 hour", watermark="1 hour")
