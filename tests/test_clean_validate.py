@@ -111,3 +111,14 @@ def test_decision_flag_defaults_to_true(spark):
     assert decision_flag(empty).first()["retrain_flag"] == "true"
     no = spark.createDataFrame([(False,)], "retrain_needed boolean")
     assert decision_flag(no).first()["retrain_flag"] == "false"
+
+
+def test_imputed_columns_have_no_nulls(spark):
+    from tabulon.sources import supplied as SP
+    ent = SP.entity_table(spark, "/root/testdata/sf0.001")
+    num, cat = ["c_acctbal", "n_orders", "total_spend"], ["c_mktsegment"]
+    assert ent.where(F.col("c_acctbal").isNull() | F.col("c_mktsegment").isNull()).count() > 0
+    out, values = clean.impute(ent, num, cat)
+    row = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in num + cat]).first()
+    assert all(row[c] == 0 for c in num + cat)
+    assert set(values) == set(num + cat)
