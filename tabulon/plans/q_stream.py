@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulon import config as C
 from tabulon.operators import model as MD
 from tabulon.operators import validate as V
+from tabulon.operators.ordered import materialize
 from tabulon.operators.score import request_features
 from tabulon.plans.catalog import query, ts_text, ts_text_sql
 from tabulon.plans.q_monitor import FEEDBACK_SQL
@@ -45,7 +46,7 @@ def str1_score_stream(spark, sf):
     batch_req = request_features(decode_requests(SP.request_table(spark, sf)))
     target = SP.entity_table(spark, sf).select(F.col("c_custkey").alias("customer_id"),
                                                F.col("churn").cast("double").alias("churn"))
-    train = MD.balanced_weights(batch_req.join(target, "customer_id"), "churn")
+    train = materialize(MD.balanced_weights(batch_req.join(target, "customer_id"), "churn"))
     num = ["Monthly Charge", "Total Charges", "Tenure in Months", "CLTV", "Age", "Satisfaction Score",
            "Phone Service", "Internet Type"]
     spec = MD.fit_feature_spec(train, num, ["Contract"])
