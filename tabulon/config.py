@@ -91,6 +91,10 @@ MONITOR_ALERTS = (
     ("DATA_DRIFT_DETECTED", "drift_detected", "warning",
      "Data drift detected in recent predictions"),
 )
+# Retrain reasons (the last one takes the number of failed tests first).
+REASON_DATASET_DRIFT = "Dataset drift detected"
+REASON_TARGET_DRIFT = "Target drift detected"
+REASON_TESTS_FAILED = " data quality tests failed"
 # Recommended actions per tier (four per tier).
 TIER_ACTIONS = {
     "High": ("Contact within 24-48 hours", "Offer retention package or discount",

@@ -225,13 +225,19 @@ def dataset_drift(per_column: DataFrame, share: float = DEFAULT_DRIFT.dataset_sh
         F.array_join("_names", ",").alias("drifted_columns"))
 
 
-def drift_summary(ds: DataFrame) -> DataFrame:
-    """DRF7: the dataset row with an action: retrain on dataset drift, else monitor."""
+def drift_summary(ds: DataFrame, ref: DataFrame | None = None, cur: DataFrame | None = None) -> DataFrame:
+    """DRF7: the dataset row with an action (retrain on dataset drift, else
+    monitor) and, when the tables are given, their sample counts."""
     from tabulon.functions.scalar import short_list
-    return ds.select(
+    out = ds.select(
         "dataset_drift", "n_drifted", "n_columns", "share_drifted",
         short_list(F.split(F.nullif(F.col("drifted_columns"), F.lit("")), ",")).alias("drifted_preview"),
         F.when(F.col("dataset_drift"), "retrain").otherwise("monitor").alias("action"))
+    if ref is not None and cur is not None:
+        counts = (ref.agg(F.count(F.lit(1)).alias("reference_samples")).withColumn("_k", F.lit(0))
+                  .join(cur.agg(F.count(F.lit(1)).alias("current_samples")).withColumn("_k", F.lit(0)), "_k"))
+        out = out.withColumn("_k", F.lit(0)).join(counts, "_k").drop("_k")
+    return out
 
 
 def target_drift(ref: DataFrame, cur: DataFrame, target: str,
@@ -256,11 +262,12 @@ def retrain_decision(ds: DataFrame, td: DataFrame | None, tests: DataFrame | Non
          else d.select(F.lit(0).cast("long").alias("tests_failed")).limit(1))
     f = f.withColumn("_k", F.lit(0))
     j = d.join(t, "_k").join(f, "_k").drop("_k")
+    from tabulon import config as C
     reasons = F.array_compact(F.array(
-        F.when(F.col("dataset_drift"), F.lit("dataset drift detected")),
-        F.when(F.col("target_drift"), F.lit("target drift detected")),
+        F.when(F.col("dataset_drift"), F.lit(C.REASON_DATASET_DRIFT)),
+        F.when(F.col("target_drift"), F.lit(C.REASON_TARGET_DRIFT)),
         F.when(F.col("tests_failed") > 0,
-               F.concat(F.col("tests_failed").cast("string"), F.lit(" data tests failed")))))
+               F.concat(F.col("tests_failed").cast("string"), F.lit(C.REASON_TESTS_FAILED)))))
     return j.select("dataset_drift", "target_drift", "tests_failed",
                     (F.size(reasons) > 0).alias("retrain_needed"),
                     F.array_join(reasons, "; ").alias("reasons"))

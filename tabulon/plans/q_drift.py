@@ -182,11 +182,12 @@ SELECT dataset_drift, n_drifted, n_columns, round(share_drifted, 6) AS share_dri
        THEN concat(array_to_string(list_slice(string_split(drifted_columns, ','), 1, 5), ', '), ' and ',
                    CAST(len(string_split(drifted_columns, ',')) - 5 AS VARCHAR), ' more')
        ELSE array_to_string(string_split(drifted_columns, ','), ', ') END AS drifted_preview,
-  CASE WHEN dataset_drift THEN 'retrain' ELSE 'monitor' END AS action FROM ds""")
+  CASE WHEN dataset_drift THEN 'retrain' ELSE 'monitor' END AS action,
+  (SELECT count(*) FROM ref) AS reference_samples, (SELECT count(*) FROM cur) AS current_samples FROM ds""")
 def drf7_drift_summary(spark, sf):
     """DRF7: drift summary with the action retrain / monitor."""
     ref, cur = _lineitem_pair(spark, sf)
-    return D.drift_summary(D.dataset_drift(D.column_drift(ref, cur, LI_NUM, LI_CAT)))
+    return D.drift_summary(D.dataset_drift(D.column_drift(ref, cur, LI_NUM, LI_CAT)), ref, cur)
 
 
 @query("drf5_target_drift", _column_drift_sql(LI_PAIR_SQL, [], ["l_returnflag"]) + f" SELECT {_COL_OUT} FROM coldrift")
@@ -209,9 +210,9 @@ tcount AS (SELECT (CASE WHEN ((m1 > 0)::INT + (m2 > 0)::INT) < 5 THEN 0 ELSE 1 E
 td AS (SELECT coalesce(bool_or(drifted), false) AS target_drift FROM coldrift WHERE column_name = 'l_returnflag')
 SELECT dataset_drift, target_drift, CAST(tests_failed AS BIGINT) AS tests_failed,
   dataset_drift OR target_drift OR tests_failed > 0 AS retrain_needed,
-  concat_ws('; ', CASE WHEN dataset_drift THEN 'dataset drift detected' END,
-                  CASE WHEN target_drift THEN 'target drift detected' END,
-                  CASE WHEN tests_failed > 0 THEN concat(CAST(tests_failed AS VARCHAR), ' data tests failed') END) AS reasons
+  concat_ws('; ', CASE WHEN dataset_drift THEN 'Dataset drift detected' END,
+                  CASE WHEN target_drift THEN 'Target drift detected' END,
+                  CASE WHEN tests_failed > 0 THEN concat(CAST(tests_failed AS VARCHAR), ' data quality tests failed') END) AS reasons
 FROM ds, td, tcount""")
 def dec1_retrain_decision(spark, sf):
     """DEC1: retrain if dataset drift, target drift or failed data tests; reasons listed."""
@@ -225,7 +226,7 @@ def dec1_retrain_decision(spark, sf):
 
 @query("dec2_validation_summary", _column_drift_sql(LI_PAIR_SQL, LI_NUM, LI_CAT) + ", " + _DS_SQL + """
 SELECT dataset_drift, false AS target_drift, CAST(0 AS BIGINT) AS tests_failed, dataset_drift AS retrain_needed,
-  CASE WHEN dataset_drift THEN 'dataset drift detected' ELSE '' END AS reasons,
+  CASE WHEN dataset_drift THEN 'Dataset drift detected' ELSE '' END AS reasons,
   (SELECT count(*) FROM ref) AS reference_rows, (SELECT count(*) FROM cur) AS current_rows,
   7 AS reference_columns, 7 AS current_columns FROM ds""")
 def dec2_validation_summary(spark, sf):
