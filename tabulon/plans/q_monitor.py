@@ -399,3 +399,18 @@ def drf4_daily_binned_js(spark, sf):
     (the batch form of the monitor's drift check)."""
     w = _daily_drift_windows(spark, sf)
     return w.select(ts_text("window_start").alias("window_start"), "n_predictions", "jensen_shannon", "drift_detected")
+
+
+@query("agg14_recent_snapshot", f"""WITH {PL},
+recent AS (SELECT * FROM predlog ORDER BY ts DESC, prediction_id DESC LIMIT {C.MONITOR_LAST_N})
+SELECT count(*) AS n_predictions, round(avg({CONF_SQL}), 6) AS avg_confidence,
+  count(*) FILTER (WHERE churn_probability < 0.3) AS n_low,
+  count(*) FILTER (WHERE churn_probability >= 0.3 AND churn_probability < 0.7) AS n_medium,
+  count(*) FILTER (WHERE churn_probability >= 0.7) AS n_high,
+  CASE WHEN count(*) >= 10 THEN 'ok' ELSE 'insufficient' END AS status FROM recent""")
+def agg14_recent_snapshot(spark, sf):
+    """AGG14 + WIN1: tiers and average confidence of the most recent 100
+    predictions (the monitor's view), with the 10-row gate."""
+    from tabulon.operators.sample import last_n
+    recent = last_n(SP.prediction_log(spark, sf), "ts", "prediction_id", C.MONITOR_LAST_N)
+    return M.performance_snapshot(recent)
