@@ -91,6 +91,8 @@ MONITOR_ALERTS = (
     ("DATA_DRIFT_DETECTED", "drift_detected", "warning",
      "Data drift detected in recent predictions"),
 )
+# Optional feature stage (off by default): variance threshold for selection.
+FEATURE_SELECTION_THRESHOLD = 0.01
 # Retrain reasons (the last one takes the number of failed tests first).
 REASON_DATASET_DRIFT = "Dataset drift detected"
 REASON_TARGET_DRIFT = "Target drift detected"

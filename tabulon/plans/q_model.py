@@ -91,15 +91,27 @@ def fea3_feature_expansion(spark, sf):
                                            .alias("encoded_features"))
 
 
-@query("fea4_optional_features")
+def _fea4_sql() -> str:
+    xs = ["coalesce(c_acctbal, 0.0)", "CAST(n_orders AS DOUBLE)", "coalesce(total_spend, 0.0)",
+          "CAST(c_nationkey AS DOUBLE)"]
+    terms = []
+    for j in range(len(xs)):                      # degree-2 expansion order: x_j, then x_i * x_j (i <= j)
+        terms.append(xs[j])
+        terms += [f"{xs[i]} * {xs[j]}" for i in range(j + 1)]
+    flags = " + ".join(f"CAST(var_samp({t}) > {C.FEATURE_SELECTION_THRESHOLD} AS INTEGER)" for t in terms)
+    return f"""WITH {SP.ENTITY_SQL}, v AS (SELECT {flags} AS n_sel FROM entity)
+SELECT c_custkey, {len(terms)} AS n_poly, (SELECT n_sel FROM v) AS n_selected FROM entity"""
+
+
+@query("fea4_optional_features", _fea4_sql())
 def fea4_optional_features(spark, sf):
-    """FEA4 (off in the reference config): interaction, degree-2 polynomial and
-    variance-threshold selection on the scaled numeric features."""
+    """FEA4 (off in the studied config): degree-2 polynomial expansion of the
+    numeric features (interactions included) and variance-threshold selection."""
     from pyspark.ml.feature import PolynomialExpansion, VarianceThresholdSelector, VectorAssembler
     ent = _entity(spark, sf).na.fill(0.0, subset=["c_acctbal", "total_spend"])
     v = VectorAssembler(inputCols=NUMERIC, outputCol="num").transform(ent)
     poly = PolynomialExpansion(degree=2, inputCol="num", outputCol="poly").transform(v)
-    sel = VarianceThresholdSelector(varianceThreshold=C.DRIFT_THRESHOLD * 0.1, featuresCol="poly",
+    sel = VarianceThresholdSelector(varianceThreshold=C.FEATURE_SELECTION_THRESHOLD, featuresCol="poly",
                                     outputCol="selected").fit(poly).transform(poly)
     from pyspark.ml.functions import vector_to_array
     return sel.select("c_custkey", F.size(vector_to_array("poly")).alias("n_poly"),
