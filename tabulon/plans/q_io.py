@@ -95,21 +95,36 @@ def scl12_elapsed_ms(spark, sf):
     return fb.select("prediction_id", "feedback_id", S.elapsed_ms("ts", "feedback_ts").alias("elapsed_ms"))
 
 
-@query("evl2_evaluation_record")
+def _evl2_sql() -> str:
+    from tabulon.plans.q_quality import PRED_SQL
+    return f"""WITH {PRED_SQL},
+c AS (SELECT count(*) AS n,
+  count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+  count(*) FILTER (WHERE label <> 1 AND prediction = 1) AS fp,
+  count(*) FILTER (WHERE label <> 1 AND prediction <> 1) AS tn,
+  count(*) FILTER (WHERE label = 1 AND prediction <> 1) AS fn FROM p),
+s AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+      FROM scored GROUP BY score),
+ra AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_run FROM s),
+auc AS (SELECT sum(pos * (neg_run - neg / 2.0)) / (sum(pos) * sum(neg)) AS roc_auc FROM ra)
+SELECT 'length_score' AS model_name, '1' AS model_version,
+  round((tp + tn) / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(roc_auc, 6) AS roc_auc,
+  n AS n_rows, tp + fn AS n_positive, tn + fp AS n_negative FROM c, auc"""
+
+
+@query("evl2_evaluation_record", _evl2_sql())
 def evl2_evaluation_record(spark, sf):
-    """EVL2: one nested evaluation record: model info, metrics, data info and
-    class distribution (a map), as written by SNK2."""
+    """EVL2: the evaluation record as one row - model info, the five metrics,
+    data size and class counts (``sinks.write_report`` writes it as JSON)."""
     sc = Q.with_prediction(SP.scored_documents(spark, sf, "quality"))
-    rep = Q.evaluation_report(sc)
-    metrics = rep.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
-    dist = sc.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("string"), "n"))).alias("class_distribution"))
-    info = sc.agg(F.count(F.lit(1)).alias("n_rows"))
-    k = F.lit(0)
-    rec = (metrics.withColumn("_k", k).join(dist.withColumn("_k", k), "_k").join(info.withColumn("_k", k), "_k")
-           .select(F.struct(F.lit("length_score").alias("name"), F.lit("1").alias("version")).alias("model_info"),
-                   "metrics", F.struct("n_rows").alias("data_info"), "class_distribution"))
-    return rec
+    m = Q.binary_metrics(sc).withColumn("_k", F.lit(0))
+    auc = Q.roc_auc(sc).withColumn("_k", F.lit(0))
+    return m.join(auc, "_k").select(
+        F.lit("length_score").alias("model_name"), F.lit("1").alias("model_version"),
+        "accuracy", "precision", "recall", "f1", "roc_auc", F.col("n").alias("n_rows"),
+        (F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("tn") + F.col("fp")).alias("n_negative"))
 
 
 # --- FEA1 / FEA2 as column expressions ----------------------------------------
