@@ -143,7 +143,7 @@ def sco3_prediction_log(spark, sf):
     return SC.prediction_log_rows(feats, scored).select("customer_id", "features", "prediction.risk_level")
 
 
-@query("snk5_src5_model_roundtrip")
+@query("snk5_src5_model_roundtrip", "SELECT c_custkey, true AS same FROM customer")
 def snk5_src5_model_roundtrip(spark, sf):
     """SNK5 + SRC5: save the fitted pipeline with its metadata, load it back and
     score: the loaded model gives the same probabilities."""

@@ -39,7 +39,7 @@ def _staged_requests(spark, sf, run):
 
 
 @query("str1_score_stream")
-def str1_score_stream(spark, sf):
+def str1_score_stream(spark, sf, _compare_with_batch=False):
     """STR1: requests arriving as JSON files are decoded, mapped to model
     columns and scored by a fitted pipeline; scored rows appended to a table."""
     run = J.new_run_dir(spark, "str1")
@@ -56,7 +56,17 @@ def str1_score_stream(spark, sf):
     w = (scored.drop("timestamp").writeStream.format("parquet").option("path", run + "/out")
          .option("checkpointLocation", run + "/ckpt").outputMode("append"))
     J.run_available(w)
-    return spark.read.parquet(run + "/out")
+    out = spark.read.parquet(run + "/out")
+    if _compare_with_batch:
+        from pyspark.ml.functions import vector_to_array
+        batch = model.transform(batch_req).select(
+            F.col("customer_id").cast("string").alias("customer_id"),
+            vector_to_array("probability")[1].alias("p_batch"))
+        return (out.join(batch, "customer_id", "full")
+                .select(F.col("customer_id").cast("long").alias("customer_id"),
+                        F.coalesce(F.abs(F.col("churn_probability") - F.col("p_batch")) < 1e-12, F.lit(False))
+                        .alias("same")))
+    return out
 
 
 @query("str2_valid_quarantine_stream", f"""WITH {REQ}
@@ -200,3 +210,10 @@ def str7_latest_n(spark, sf):
     J.run_available(w)
     latest = J.latest_version(spark, run + "/log")
     return spark.read.parquet(latest).withColumn("ts", ts_text("ts"))
+
+
+@query("str1_stream_equals_batch", "SELECT c_custkey AS customer_id, true AS same FROM customer")
+def str1_stream_equals_batch(spark, sf):
+    """STR1 vs batch: every request scored on the stream gets exactly the
+    probability the same fitted pipeline gives it in batch."""
+    return str1_score_stream(spark, sf, _compare_with_batch=True)
