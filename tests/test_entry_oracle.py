@@ -72,3 +72,13 @@ def test_rows_only_query_runs(spark, name):
     if name.startswith(SLOW):
         pytest.skip("model training: exercised by tools/oracle_check.py")
     assert E.queries()[name](spark, SF).count() >= 0
+
+
+def test_query_keys_trace_to_inventory():
+    import re
+    from tabulon.plans.catalog import load_all
+    ids = ("src", "snk", "prj", "flt", "cst", "imp", "val", "jon", "agg", "win", "ord", "smp", "scl",
+           "drf", "tst", "dec", "alr", "fea", "mdl", "sco", "exp", "evl", "reg", "str", "prep")
+    for name, q in load_all().items():
+        assert re.match(r"^[a-z]+[0-9]*_", name) and name.split("_")[0].rstrip("0123456789") in ids, name
+        assert q.build.__doc__, name
