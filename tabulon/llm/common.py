@@ -10,8 +10,10 @@ BATCH_ROWS = 512
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Python workers see at most ``rows`` whole texts at once (a batch of the
+    """Make this package importable on executors; and Python workers see at most ``rows`` whole texts at once (a batch of the
     default 10,000 long texts would not fit beside the executor's heap)."""
+    from tabulon.session import ship_package
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -61,3 +61,14 @@ def op8_url_verdicts(spark, sf_dir):
     from tabulon.llm.url_rules import judge_urls
     rules = spark.createDataFrame([(h, p, a) for a, h, p in URL_RULES], "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    """Operator 4: toxicity scores of all documents."""
+    from tabulon.llm.toxicity import fit_toxicity, score_toxicity
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels)
+    scored = score_toxicity(docs, model, keep=["doc_id"])
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_passages")
