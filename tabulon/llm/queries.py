@@ -72,3 +72,11 @@ def op4_toxicity(spark, sf_dir):
     scored = score_toxicity(docs, model, keep=["doc_id"])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "n_passages")
+
+
+@query("op5_packing")
+def op5_packing(spark, sf_dir):
+    """Operator 5: all documents packed into sequences of 2048 tokens."""
+    from tabulon.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), closing_id=1,
+                          capacity=2048, keep=["doc_id"])
