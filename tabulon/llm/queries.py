@@ -80,3 +80,10 @@ def op5_packing(spark, sf_dir):
     from tabulon.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), closing_id=1,
                           capacity=2048, keep=["doc_id"])
+
+
+@query("op10_minhash_near_copies")
+def op10_minhash_near_copies(spark, sf_dir):
+    """Operator 10: near-copy components of all documents (4-word shingles)."""
+    from tabulon.llm.near_copies import MinHashConfig, near_copies
+    return near_copies(table(spark, sf_dir, "documents"), MinHashConfig(words=4))
