@@ -87,3 +87,17 @@ def op10_minhash_near_copies(spark, sf_dir):
     """Operator 10: near-copy components of all documents (4-word shingles)."""
     from tabulon.llm.near_copies import MinHashConfig, near_copies
     return near_copies(table(spark, sf_dir, "documents"), MinHashConfig(words=4))
+
+
+@query("op3_nearest_vectors")
+def op3_nearest_vectors(spark, sf_dir):
+    """Operator 3: the 5 nearest vectors of every fiftieth vector."""
+    from tabulon.llm.nearest import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op9_near_vectors")
+def op9_near_vectors(spark, sf_dir):
+    """Operator 9: near-duplicate components of all vectors."""
+    from tabulon.llm.near_vectors import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
