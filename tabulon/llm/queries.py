@@ -101,3 +101,41 @@ def op9_near_vectors(spark, sf_dir):
     """Operator 9: near-duplicate components of all vectors."""
     from tabulon.llm.near_vectors import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Wanted shares of tokens by domain, and the domain of a label row.
+MIX_TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    """Operator 6: domain posteriors, rates and copies of all documents."""
+    from tabulon.llm.mixing import mix_documents
+    return mix_documents(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX_TARGETS)
+
+
+@query("op7_perspectives", sql="""
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
+r AS (SELECT m.*, who.perspective,
+             CASE WHEN m.speaker = 'system' THEN 'system' WHEN m.speaker = who.perspective THEN 'assistant' ELSE 'user' END AS role
+      FROM m JOIN who USING (conv_id)),
+h AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
+             '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
+s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+o AS (SELECT *, row_number() OVER w - 1 AS position, CAST(sum(length(segment)) OVER w - length(segment) AS BIGINT) AS char_begin FROM s
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, turn, position, role, name, segment, char_begin,
+       CASE WHEN role = 'assistant' THEN char_begin + length(head) END AS mask_begin,
+       CASE WHEN role = 'assistant' THEN char_begin + length(head) + length(text) END AS mask_end
+FROM o
+""")
+def op7_perspectives(spark, sf_dir):
+    """Operator 7: every conversation rendered for each of its participants."""
+    from tabulon.llm.dialogues import perspectives
+    return perspectives(table(spark, sf_dir, "conversations"))
