@@ -148,7 +148,10 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, each as often as ``copies`` says."""
-    plan = mixed.where("copies > 0").select(F.col(f"`{id_col}`").alias("_id"), "copies")
-    hit = docs.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")))
-    return hit.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    """The rows of ``docs``, each as often as ``copies`` says.  Only ids that are
+    not kept exactly once meet the texts."""
+    odd = mixed.where("copies <> 1").select(F.col(f"`{id_col}`").alias("_id"), "copies", F.lit(True).alias("_odd"))
+    hit = docs.join(odd.withColumnRenamed("copies", "_copies"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    times = F.when(F.col("_odd"), F.col("_copies")).otherwise(F.lit(1))
+    return (hit.withColumn("_c", F.explode(F.array_repeat(F.lit(0), times)))
+            .select(*[docs[f"`{c}`"] for c in docs.columns]))

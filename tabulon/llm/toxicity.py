@@ -297,17 +297,21 @@ def _calibrate(model: ToxicityModel, seg: DataFrame) -> None:
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: Sequence[str] = (),
-                   passages: bool = False) -> DataFrame:
+                   passages: bool = False, verdict: str | None = None) -> DataFrame:
     """``keep`` columns plus score, predicted and n_passages for every row; with
-    ``passages`` also the significant segments (token start, end, score)."""
+    ``passages`` also the significant segments (token start, end, score).  With
+    ``verdict`` only the prediction is added, under that name, so that no column
+    of ``keep`` can clash."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     passage = T.StructType().add("begin", T.IntegerType()).add("end", T.IntegerType()).add("score", T.DoubleType())
-    out = src.drop("_text").schema.add("score", T.DoubleType(), False).add("n_passages", T.IntegerType(), False)
+    # names of the added columns; with ``verdict`` they are out of the way of ``keep``
+    names = [f"{verdict}_{x}" if verdict else x for x in ("score", "n_passages", "passages")]
+    out = src.drop("_text").schema.add(names[0], T.DoubleType(), False).add(names[1], T.IntegerType(), False)
     if passages:
-        out = out.add("passages", T.ArrayType(passage), False)
+        out = out.add(names[2], T.ArrayType(passage), False)
     width = len(keep)
 
     def run(batches):
@@ -324,10 +328,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
                 k.append(len(sig))
                 found.append([{"begin": a, "end": e, "score": v} for a, e, v in sig])
             cols = [*b.columns[:width], pa.array(p, pa.float64()), pa.array(k, pa.int32())]
-            names = [*b.schema.names[:width], "score", "n_passages"]
             if passages:
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-                cols, names = [*cols, pa.array(found, kind)], [*names, "passages"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols = [*cols, pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
-    return src.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = src.mapInArrow(run, out)
+    if verdict:
+        return scored.select(*[F.col(f"`{c}`") for c in keep], (F.col(names[0]) >= 0.5).cast("int").alias(verdict))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
