@@ -139,3 +139,10 @@ def op7_perspectives(spark, sf_dir):
     """Operator 7: every conversation rendered for each of its participants."""
     from tabulon.llm.dialogues import perspectives
     return perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query("op2_backoff_scores")
+def op2_backoff_scores(spark, sf_dir):
+    """Operator 2: stupid-backoff scores of all documents."""
+    from tabulon.llm.backoff import backoff_scores
+    return backoff_scores(table(spark, sf_dir, "documents"))
