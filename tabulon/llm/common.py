@@ -37,3 +37,15 @@ def partitions(spark: SparkSession) -> int:
 def ascii_lower(c: F.Column) -> F.Column:
     """A-Z to a-z and nothing else (``lower`` would follow the locale tables)."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def no_clash(keep, *added: str) -> None:
+    """``keep`` may not hold a name that the operator adds."""
+    both = {c.lower() for c in keep} & {a.lower() for a in added}
+    if both:
+        raise ValueError(f"columns to keep clash with added columns: {sorted(both)}")
+
+
+def as_row(df: DataFrame) -> F.Column:
+    """All columns as one struct, so that no name of theirs can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])

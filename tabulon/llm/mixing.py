@@ -36,7 +36,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import settled
+from tabulon.llm.common import as_row, settled
 
 
 @dataclass(frozen=True)
@@ -150,8 +150,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says.  Only ids that are
     not kept exactly once meet the texts."""
-    odd = mixed.where("copies <> 1").select(F.col(f"`{id_col}`").alias("_id"), "copies", F.lit(True).alias("_odd"))
-    hit = docs.join(odd.withColumnRenamed("copies", "_copies"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
-    times = F.when(F.col("_odd"), F.col("_copies")).otherwise(F.lit(1))
-    return (hit.withColumn("_c", F.explode(F.array_repeat(F.lit(0), times)))
-            .select(*[docs[f"`{c}`"] for c in docs.columns]))
+    odd = mixed.where("copies <> 1").select(F.col(f"`{id_col}`").alias("id"), "copies", F.lit(True).alias("odd"))
+    rows = docs.select(as_row(docs).alias("row")).join(odd, F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")), "left")
+    times = F.when(F.col("odd"), F.col("copies")).otherwise(F.lit(1))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

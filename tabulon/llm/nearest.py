@@ -129,8 +129,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     row for which ``is_query`` holds."""
     small_batches(df.sparkSession)
     code = code_of(df, vector)
-    rows = packed_vectors(df.select("*", F.col(f"`{id_col}`").cast("long").alias("_id"),
-                                    F.coalesce(is_query, F.lit(False)).alias("_q")), vector, ["_id", "_q"])
+    base = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(is_query, F.lit(False)).alias("_q"),
+                     F.col(f"`{vector}`").alias("_e"))
+    rows = packed_vectors(base, "_e", ["_id", "_q"])
     rows = settled(rows.where("vec is not null and _id is not null")
                    .select(F.col("_id").alias("vec_id"), F.col("_q").alias("is_query"), "vec").distinct())
     n_q, n = rows.agg(F.count_if("is_query"), F.count(F.lit(1))).first()

@@ -35,18 +35,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.alphabet import DIGITS, LETTERS, common
-from tabulon.llm.common import partitions, settled, small_batches
+from tabulon.llm.common import no_clash, partitions, settled, small_batches
+from tabulon.llm.token_counts import byte_symbols
 
-CACHE_ENTRIES = 300_000
+#: entries in one generation of a worker's caches
+CACHE_ENTRIES = 400_000
+
+
+class Remembered(dict):
+    """Values of a function by string, in two generations of bounded size: when
+    the young one is full it becomes the old one, and what is asked for again
+    moves back, so frequent strings stay however many rare ones pass."""
+
+    def __init__(self, compute, entries: int, longest: int = 48):
+        super().__init__()
+        self.compute, self.entries, self.longest, self.old = compute, entries, longest, {}
+
+    def __missing__(self, key: str):
+        out = self.old.get(key)
+        if out is None:
+            out = self.compute(key)
+            if len(key) > self.longest:
+                return out
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
 
 
 class TextIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The library encodes each distinct piece once; a bounded cache per worker
-    keeps the bytes of the chunks between spaces.  Texts with characters outside
-    the common alphabet, runs of spaces or special strings go to the library
-    whole."""
+    The library encodes each distinct piece; bounded caches per worker keep the
+    bytes of pieces and of the chunks between spaces.  Texts with characters
+    outside the common alphabet, runs of spaces or special strings go to the
+    library whole."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
@@ -54,35 +78,25 @@ class TextIds:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # the vocabulary's own splitting rule, on the common alphabet
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+").findall
-        self.entries = entries
-        self.pieces: dict[str, bytes] = {}
-        outer = self
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                out = b"".join(map(outer.piece, outer.split(" " + chunk)))
-                if len(chunk) <= 48:
-                    if len(self) >= outer.entries:
-                        self.clear()
-                    self[chunk] = out
-                return out
-        self.after_space = Chunks()
-
-    def whole(self, text: str) -> bytes:
-        out = array("I", self.library.encode(text, add_special_tokens=False).ids)
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.tokenize = self.library.model.tokenize
+        self.piece = Remembered(self.one_piece, entries)
+        self.after_space = Remembered(lambda c: b"".join(map(self.piece.__getitem__, self.split(" " + c))), entries)
+
+    @staticmethod
+    def as_bytes(ids: list[int]) -> bytes:
+        out = array("I", ids)
         if sys.byteorder == "big":
             out.byteswap()
         return out.tobytes()
 
-    def piece(self, p: str) -> bytes:
-        out = self.pieces.get(p)
-        if out is None:
-            out = self.whole(p)
-            if len(p) <= 48:
-                if len(self.pieces) >= self.entries:
-                    self.pieces.clear()
-                self.pieces[p] = out
-        return out
+    def whole(self, text: str) -> bytes:
+        return self.as_bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def one_piece(self, p: str) -> bytes:
+        """A piece that the splitting rule leaves whole, by the library's model."""
+        shown = p.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return self.as_bytes([t.id for t in self.tokenize(shown)])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -90,7 +104,7 @@ class TextIds:
         if "  " in text or not common(text) or any(s in text for s in self.specials):
             return self.whole(text)
         head, *rest = text.split(" ")
-        return b"".join(map(self.piece, self.split(head))) + b"".join(map(self.after_space.__getitem__, rest))
+        return b"".join(map(self.piece.__getitem__, self.split(head))) + b"".join(map(self.after_space.__getitem__, rest))
 
 
 _ENCODERS: dict[str, TextIds] = {}
@@ -205,6 +219,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, closing_id: int = 1, capaci
     ids_crc32, doc_tokens (and ``ids`` as bytes, when asked for)."""
     if capacity & (capacity - 1) or min_piece & (min_piece - 1) or not 1 <= min_piece <= capacity:
         raise ValueError("capacity and min_piece must be powers of two")
+    no_clash(keep, "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset", "_text", "_parts",
+             "_k", "_b", "_c", "_n", "_first", "_i", "_r", "_bin", "_kind", "_start", "_p")
     buckets = max(8, partitions(docs.sparkSession))
     pieces = settled(cut_documents(docs, vocabulary, closing_id, capacity, min_piece, text, keep, with_ids)
                      .withColumn("_k", F.floor(F.lit(capacity) / F.col("length")).cast("long")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.alphabet import DIGITS, LETTERS, common
-from tabulon.llm.common import small_batches
+from tabulon.llm.common import no_clash, small_batches
 
 #: entries of a worker's chunk cache
 CACHE_ENTRIES = 400_000
@@ -45,7 +45,7 @@ class MergeTable:
         for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.rank[self.number[a], self.number[b]] = (r, self.number[a + b])
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.byte_symbol = _byte_symbols()
+        self.byte_symbol = byte_symbols()
 
     def initial(self, word: str) -> list[int]:
         symbols = [self.byte_symbol[b] for b in word.encode("utf-8")]
@@ -89,7 +89,7 @@ class MergeTable:
         return n - merges
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """Byte-level vocabularies write printable bytes as themselves and the
     others as the code points from 256 on, in byte order."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -178,6 +178,7 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", keep: Seque
     ``vocabulary`` is the path of a byte-level BPE file on every executor."""
     import pyarrow as pa
 
+    no_clash(keep, "n_bytes", "n_tokens", "over_limit", "_text")
     small_batches(df.sparkSession)
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     out = src.select(*[F.col(f"`{c}`") for c in keep]).schema.add("n_bytes", "long", False).add("n_tokens", "long", False)

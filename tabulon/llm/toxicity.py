@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import settled, small_batches
+from tabulon.llm.common import no_clash, settled, small_batches
 
 
 @dataclass(frozen=True)
@@ -308,6 +308,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     passage = T.StructType().add("begin", T.IntegerType()).add("end", T.IntegerType()).add("score", T.DoubleType())
     # names of the added columns; with ``verdict`` they are out of the way of ``keep``
+    no_clash(keep, "_text", *([verdict] if verdict else ["score", "n_passages", "passages", "predicted"]))
     names = [f"{verdict}_{x}" if verdict else x for x in ("score", "n_passages", "passages")]
     out = src.drop("_text").schema.add(names[0], T.DoubleType(), False).add(names[1], T.IntegerType(), False)
     if passages:

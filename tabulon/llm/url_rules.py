@@ -28,7 +28,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import ascii_lower
+from tabulon.llm.common import ascii_lower, no_clash
 
 #: hex digits of the digest that form the join key (32 bits)
 PREFIX_HEX = 8
@@ -38,16 +38,16 @@ DEFAULT_VERDICT = "allow"
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path): after the first ``://`` up to ``/ ? #``; then up to ``? #``."""
-    u = F.coalesce(url.cast("string"), F.lit(""))
-    at = F.instr(u, "://")
-    rest = F.when(at > 0, F.expr("substring(_u, instr(_u, '://') + 3)")).otherwise(F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return ascii_lower(host), path
 
 
-def with_parts(df: DataFrame, url: str) -> DataFrame:
-    d = df.withColumn("_u", F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")))
+def with_parts(df: DataFrame) -> DataFrame:
+    """host and path of the URLs in ``_u``."""
+    d = df.withColumn("_u", F.coalesce(F.col("_u").cast("string"), F.lit("")))
     host, path = url_parts(F.col("_u"))
     return d.withColumns({"host": host, "path": path}).drop("_u")
 
@@ -89,7 +89,8 @@ def expansions(urls: DataFrame, lengths: Sequence[int]) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Sequence[str] = (),
                default: str = DEFAULT_VERDICT) -> DataFrame:
     """``keep`` columns plus host, path, rule and verdict for every row."""
-    d = with_parts(pages.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, url])]), url)
+    no_clash(keep, "host", "path", "rule", "verdict", "_u", "_h", "_p", "_v")
+    d = with_parts(pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{url}`").alias("_u")))
     d = d.select(*[F.col(f"`{c}`") for c in keep], "host", "path")
     r = rule_table(rules)
     # path lengths that occur in rules: at most the length of the longest rule path
