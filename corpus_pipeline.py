@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import table
+from tabulon.llm.common import as_row, table
 from tabulon.llm.mixing import apply_mix, mix_documents
 from tabulon.llm.near_copies import MinHashConfig, near_copies
 from tabulon.llm.packing import pack_documents
@@ -30,7 +30,8 @@ TARGETS = {"good": 0.9, "poor": 0.1}
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents predicted toxic go; all others stay as they are."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, keep=docs.columns, verdict="_toxic").where("_toxic = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(as_row(docs).alias("row"), F.col("text").alias("whole"))
+    return score_toxicity(rows, model, "whole", keep=["row"], verdict="toxic").where("toxic = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays, once; rows without an id or without words stay."""
     marked = near_copies(docs, MinHashConfig(words=5)).where("doc_id is not null")
     # only the ids that need a decision meet the texts
-    odd = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    odd = odd.where("not _kept or _n > 1")
-    rest = docs.join(odd, F.col("doc_id") == F.col("_id"), "left").where("_kept is null or _kept")
-    once = rest.where("_n > 1").dropDuplicates(["_id"])          # repeated rows of a kept id
-    return rest.where("_n is null").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    odd = marked.groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = odd.where("not kept or n > 1")
+    rest = docs.select(as_row(docs).alias("row")).join(odd, F.col("row.doc_id") == F.col("id"), "left").where("kept is null or kept")
+    once = rest.where("n > 1").dropDuplicates(["id"])            # repeated rows of a kept id
+    return rest.where("n is null").unionByName(once).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
