@@ -50,9 +50,11 @@ class BackoffConfig:
     block_docs: int = 4096             # documents of one packed block, at most
     block_words: int = 1_500_000       # words of one packed block, about
     partition_bytes: int = 12_000_000  # text bytes behind one hash partition
-    key_bytes: int = 5                 # stored bytes of a word's hash, besides its partition
 
 
+#: Stored bytes of a word's hash.  Its partition comes from the 24 bits above
+#: them, so a word's name (both together) grows with the corpus to 64 bits.
+KEY_BYTES = 5
 _START = 0
 _ROW = "part long, kind string, block long, a binary, b binary, c binary, d binary, e binary"
 
@@ -128,7 +130,7 @@ def _unigram_rows(cfg: BackoffConfig, n_parts: int):
             part = _part(keys, n_parts)
             o = np.lexsort((keys, part))
             keys, count, part = keys[o], count[o].astype("<u4"), part[o]
-            yield _row_batch([{"part": p, "kind": "count", "block": block, "a": _pack(keys[s:e], cfg.key_bytes), "b": count[s:e].tobytes()}
+            yield _row_batch([{"part": p, "kind": "count", "block": block, "a": _pack(keys[s:e], KEY_BYTES), "b": count[s:e].tobytes()}
                               for p, s, e in _ranges(part)])
     return run
 
@@ -147,7 +149,7 @@ def _totals(cfg: BackoffConfig, n_parts: int):
     def run(t):
         import numpy as np
         import pyarrow as pa
-        u, n = _summed(t, cfg.key_bytes)
+        u, n = _summed(t, KEY_BYTES)
         top = np.argsort(-n, kind="stable")[:8] if len(n) <= 8 else np.argpartition(-n, 8)[:8]
         part = t.column("part")[0].as_py()
         return pa.table({"part": pa.array([part] * (1 + len(top)), pa.int64()), "key": pa.array([-1, *u[top].astype(np.int64).tolist()], pa.int64()),
@@ -161,7 +163,7 @@ def _bigram_rows(cfg: BackoffConfig, n_parts: int, hot):
     def run(batches: Iterable) -> Iterator:
         import numpy as np
         hot_keys = np.array(sorted(hot.value), np.uint64)
-        mask = np.uint64(2 ** (8 * cfg.key_bytes) - 1)
+        mask = np.uint64(2 ** (8 * KEY_BYTES) - 1)
         for block, ids, docs in _blocks(batches, cfg):
             size = np.array([len(h) for h in docs])
             yield _row_batch([{"part": n_parts + block % n_parts, "kind": "docs", "block": block,
@@ -188,9 +190,9 @@ def _bigram_rows(cfg: BackoffConfig, n_parts: int, hot):
                 yield _row_batch([{
                     "part": p, "kind": "pairs", "block": block,
                     # a hot word's own partition is not this one: it is stored with it
-                    "a": _pack(first, cfg.key_bytes) + _part(first, n_parts).astype("<u4").tobytes(),
+                    "a": _pack(first, KEY_BYTES) + _part(first, n_parts).astype("<u4").tobytes(),
                     "b": np.diff(np.r_[np.searchsorted(nw, nv), len(nw)]).astype("<u4").tobytes(),
-                    "c": _pack(w[s:e][nw], cfg.key_bytes) + _part(w[s:e][nw], n_parts).astype("<u4").tobytes(),
+                    "c": _pack(w[s:e][nw], KEY_BYTES) + _part(w[s:e][nw], n_parts).astype("<u4").tobytes(),
                     "d": np.diff(np.r_[nw, e - s]).astype("<u4").tobytes(),
                     "e": doc[s:e].astype("<u2").tobytes() + count[s:e].astype("<u4").tobytes()}])
     return run
@@ -199,8 +201,8 @@ def _bigram_rows(cfg: BackoffConfig, n_parts: int, hot):
 def _names(raw: bytes, cfg: BackoffConfig, n_parts: int):
     """Whole names (key times partitions plus partition) of packed words."""
     import numpy as np
-    n = len(raw) // (cfg.key_bytes + 4)
-    return _unpack(raw[:n * cfg.key_bytes], cfg.key_bytes) * np.uint64(n_parts) + np.frombuffer(raw[n * cfg.key_bytes:], "<u4").astype(np.uint64)
+    n = len(raw) // (KEY_BYTES + 4)
+    return _unpack(raw[:n * KEY_BYTES], KEY_BYTES) * np.uint64(n_parts) + np.frombuffer(raw[n * KEY_BYTES:], "<u4").astype(np.uint64)
 
 
 def _add_sums(rows: list, block_of, doc, value, n_parts: int) -> None:
@@ -259,7 +261,7 @@ def _score_pairs(cfg: BackoffConfig, n_parts: int, hot, tokens: int):
         for p, s, e in _ranges(part):
             for b, x, y in _ranges(block[s:e]):
                 x, y = s + x, s + y
-                rows.append({"part": p, "kind": "ask", "block": b, "a": _pack(w[x:y] // np.uint64(n_parts), cfg.key_bytes),
+                rows.append({"part": p, "kind": "ask", "block": b, "a": _pack(w[x:y] // np.uint64(n_parts), KEY_BYTES),
                              "b": doc[x:y].astype("<u2").tobytes(), "c": count[x:y].astype("<u4").tobytes()})
         return pa.Table.from_batches([_row_batch(rows)])
     return run
@@ -272,11 +274,11 @@ def _score_words(cfg: BackoffConfig, n_parts: int, tokens: int):
         import pyarrow.compute as pc
         if t.column("part")[0].as_py() >= n_parts:
             return t
-        keys, total = _summed(t.filter(pc.equal(t.column("kind"), "count")), cfg.key_bytes)
+        keys, total = _summed(t.filter(pc.equal(t.column("kind"), "count")), KEY_BYTES)
         rows: list = []
         asks = t.filter(pc.equal(t.column("kind"), "ask")).to_pylist()
         if asks:
-            w = np.concatenate([_unpack(r["a"], cfg.key_bytes) for r in asks])
+            w = np.concatenate([_unpack(r["a"], KEY_BYTES) for r in asks])
             doc = np.concatenate([np.frombuffer(r["b"], "<u2") for r in asks]).astype(np.int64)
             count = np.concatenate([np.frombuffer(r["c"], "<u4") for r in asks])
             block = np.repeat(np.array([r["block"] for r in asks]), [len(r["b"]) // 2 for r in asks])
@@ -306,6 +308,8 @@ def backoff_scores(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     size, n_docs = src.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n_parts = max(1, math.ceil((size or 0) / cfg.partition_bytes))
+    if n_parts >= 2**23:
+        raise ValueError("more partitions than word names can hold: raise partition_bytes")
     uni = settled(src.mapInArrow(_unigram_rows(cfg, n_parts), _ROW))
     top = uni.groupBy("part").applyInArrow(_totals(cfg, n_parts), "part long, key long, n long")
     top = settled(top)                                           # at most 9 rows a partition
