@@ -111,9 +111,9 @@ TIER_ACTIONS = {
 
 @dataclass(frozen=True)
 class DriftConfig:
-    """Our drift contract (see README): small reference → tests with p-values,
-    large reference → distances with a threshold."""
-    small_reference_rows: int = 1000
+    """Our drift contract (see README): the caller names what decides, at every
+    size: ``distance`` (with a threshold) or ``p_value`` (of the test)."""
+    decide_by: str = "distance"
     p_value_cut: float = 0.05
     distance_cut: float = DRIFT_THRESHOLD
     dataset_share: float = 0.5

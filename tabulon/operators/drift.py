@@ -67,17 +67,30 @@ def ks_p_value_sql(d: str, n: str, m: str, terms: int = DEFAULT_DRIFT.ks_series_
 def numeric_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
     """DRF1 + DRF2 per numeric column: KS statistic and p-value, Wasserstein
     distance and its normalised form (over max(reference population std, 0.001))."""
-    long = tagged_long(ref, cur, columns, "double").where(
-        F.col("value").isNotNull() & ~F.isnan("value"))
+    return numeric_drift_of(tagged_long(ref, cur, columns, "double"))
+
+
+def segment_drift(ref: DataFrame, cur: DataFrame, value: str, segment: str) -> DataFrame:
+    """The numeric drift of one column within every value of ``segment`` that
+    either table holds (named ``<value>_<segment value>``)."""
+    def side(df, a, b):
+        return df.select(F.concat(F.lit(value + "_"), F.coalesce(F.col(segment).cast("string"), F.lit("null"))).alias("column_name"),
+                         F.col(value).cast("double").alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    return numeric_drift_of(side(ref, 1, 0).unionByName(side(cur, 0, 1)), groups_bounded=False)
+
+
+def numeric_drift_of(tagged: DataFrame, groups_bounded: bool = True) -> DataFrame:
+    """DRF1 + DRF2 over long rows (column_name, value, a = reference, b = current)."""
+    long = tagged.where(F.col("value").isNotNull() & ~F.isnan("value"))
     # one scan of each side: everything below works on the distinct-value counts
     counts = materialize(
         long.groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    run = running_sums(counts, "value", ["a", "b"], ["column_name"], with_totals=True)
+    run = running_sums(counts, "value", ["a", "b"], ["column_name"], with_totals=True, groups_bounded=groups_bounded)
     run = run.withColumnRenamed("a_total", "n_ref").withColumnRenamed("b_total", "n_cur")
     # reference mean per column (one row per column), for a centred variance
     mean = counts.groupBy("column_name").agg(
         F.try_divide(F.sum(F.col("a") * F.col("value")), F.sum("a").cast("double")).alias("_mean"))
-    j = run.join(F.broadcast(mean), "column_name")
+    j = run.join(F.broadcast(mean) if groups_bounded else mean, "column_name")
     gap = F.abs(F.try_divide(F.col("a_run").cast("double"), F.col("n_ref"))
                 - F.try_divide(F.col("b_run").cast("double"), F.col("n_cur")))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
@@ -109,18 +122,18 @@ def _gammq(a: float, x: float) -> float:
     if x < a + 1:
         ap, s = a, 1.0 / a
         delta = s
-        for _ in range(1000):
+        while abs(delta) >= abs(s) * 1e-15:     # the terms fall geometrically once ap > x
             ap += 1
             delta *= x / ap
             s += delta
-            if abs(delta) < abs(s) * 1e-15:
-                break
         return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
     b = x + 1 - a
     c = 1e300
     d = 1 / b
     h = d
-    for i in range(1, 1000):
+    i = 0
+    while True:
+        i += 1
         an = -i * (i - a)
         b += 2
         d = an * d + b
@@ -130,8 +143,10 @@ def _gammq(a: float, x: float) -> float:
         d = 1 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1) < 1e-15:
+        if abs(delta - 1) < 3e-15:
             break
+        if i > 10_000_000:
+            raise ArithmeticError(f"the continued fraction did not converge at a={a}, x={x}")
     return min(1.0, math.exp(-x + a * math.log(x) - gln) * h)
 
 
@@ -174,32 +189,35 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) ->
 
 def column_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str],
                  categorical: Sequence[str], cfg: DriftConfig = DEFAULT_DRIFT) -> DataFrame:
-    """Per column: kind, test, score, threshold, drifted (the test chosen by
-    reference size, decided per column inside the plan)."""
+    """Per column: kind, test, score, threshold, drifted.  ``cfg.decide_by`` names
+    the deciding score, the same at every size; ``status`` tells columns without
+    any current or reference value (score null, never counted as compared)."""
+    if cfg.decide_by not in ("distance", "p_value"):
+        raise ValueError(f"decide_by is 'distance' or 'p_value', not {cfg.decide_by!r}")
+    by_distance = cfg.decide_by == "distance"
     parts = []
-    small = F.col("n_ref") <= cfg.small_reference_rows
+
+    def part(d, kind, names, distance, test, p):
+        score = F.col(distance if by_distance else p)
+        # a column without a value on either side keeps its row
+        wanted = d.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
+        d = F.broadcast(wanted).join(d, "column_name", "left")
+        n_ref, n_cur = F.coalesce("n_ref", F.lit(0)), F.coalesce("n_cur", F.lit(0))
+        status = (F.when(n_cur == 0, "no_current_data").when(n_ref == 0, "no_reference_data").otherwise("ok"))
+        cut = cfg.distance_cut if by_distance else cfg.p_value_cut
+        over = (score >= cut) if by_distance else (score < cut)
+        return d.select("column_name", F.lit(kind).alias("kind"), n_ref.alias("n_ref"), n_cur.alias("n_cur"),
+                        F.lit(distance if by_distance else test).alias("test"), F.when(status == "ok", score).alias("score"),
+                        F.lit(cut).alias("threshold"), F.coalesce(over & (status == "ok"), F.lit(False)).alias("drifted"),
+                        status.alias("status"))
     if numeric:
-        nd = numeric_drift(ref, cur, numeric)
-        parts.append(nd.select(
-            "column_name", F.lit("numeric").alias("kind"), "n_ref", "n_cur",
-            F.when(small, "ks").otherwise("wasserstein_norm").alias("test"),
-            F.when(small, F.col("ks_p_value")).otherwise(F.col("wasserstein_norm")).alias("score"),
-            F.when(small, F.lit(cfg.p_value_cut)).otherwise(F.lit(cfg.distance_cut)).alias("threshold"),
-            F.when(small, F.col("ks_p_value") < cfg.p_value_cut)
-             .otherwise(F.col("wasserstein_norm") >= cfg.distance_cut).alias("drifted")))
+        parts.append(part(numeric_drift(ref, cur, numeric), "numeric", numeric, "wasserstein_norm", "ks", "ks_p_value"))
     if categorical:
-        cd = categorical_drift(ref, cur, categorical)
-        parts.append(cd.select(
-            "column_name", F.lit("categorical").alias("kind"), "n_ref", "n_cur",
-            F.when(small, "chi_square").otherwise("jensen_shannon").alias("test"),
-            F.when(small, F.col("chi2_p_value")).otherwise(F.col("jensen_shannon")).alias("score"),
-            F.when(small, F.lit(cfg.p_value_cut)).otherwise(F.lit(cfg.distance_cut)).alias("threshold"),
-            F.when(small, F.col("chi2_p_value") < cfg.p_value_cut)
-             .otherwise(F.col("jensen_shannon") >= cfg.distance_cut).alias("drifted")))
+        parts.append(part(categorical_drift(ref, cur, categorical), "categorical", categorical, "jensen_shannon", "chi_square", "chi2_p_value"))
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)
-    return out.withColumn("drifted", F.coalesce("drifted", F.lit(False)))
+    return out
 
 
 def with_sample_gate(per_column: DataFrame, min_rows: int = 50) -> DataFrame:
@@ -211,16 +229,19 @@ def with_sample_gate(per_column: DataFrame, min_rows: int = 50) -> DataFrame:
 
 
 def dataset_drift(per_column: DataFrame, share: float = DEFAULT_DRIFT.dataset_share) -> DataFrame:
-    """DRF6: one row - columns, drifted count and share, dataset flag, sorted names."""
+    """DRF6: one row - columns, drifted count and share, dataset flag, sorted names.
+    Columns that could not be compared (``status`` other than ``ok``) do not
+    weigh in the share."""
+    compared = F.count_if(F.col("status") == "ok") if "status" in per_column.columns else F.count(F.lit(1))
     agg = per_column.agg(
-        F.count(F.lit(1)).alias("n_columns"),
+        F.count(F.lit(1)).alias("n_columns"), compared.alias("_n"),
         F.count_if("drifted").alias("n_drifted"),
         F.array_sort(F.collect_list(F.when(F.col("drifted"), F.col("column_name")))).alias("_names"))
     return agg.select(
         "n_columns", "n_drifted",
-        F.coalesce(F.try_divide(F.col("n_drifted").cast("double"), F.col("n_columns")), F.lit(0.0))
+        F.coalesce(F.try_divide(F.col("n_drifted").cast("double"), F.col("_n")), F.lit(0.0))
         .alias("share_drifted"),
-        (F.coalesce(F.try_divide(F.col("n_drifted").cast("double"), F.col("n_columns")), F.lit(0.0))
+        (F.coalesce(F.try_divide(F.col("n_drifted").cast("double"), F.col("_n")), F.lit(0.0))
          >= share).alias("dataset_drift"),
         F.array_join("_names", ",").alias("drifted_columns"))
 

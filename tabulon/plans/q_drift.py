@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabulon.config import DEFAULT_DRIFT
 from tabulon.operators import drift as D
 from tabulon.operators import validate as V
 from tabulon.plans.catalog import query
@@ -133,19 +134,16 @@ def drf3_chi_square_p_value(spark, sf):
     return D.categorical_drift(ref, cur, LI_CAT)
 
 
-def _column_drift_sql(ref_cur: str, num, cat, small_rows=1000) -> str:
+def _column_drift_sql(ref_cur: str, num, cat) -> str:
     parts = []
     if num:
         parts.append(f"""SELECT column_name, 'numeric' AS kind, n_ref, n_cur,
-  CASE WHEN n_ref <= {small_rows} THEN 'ks' ELSE 'wasserstein_norm' END AS test,
-  CASE WHEN n_ref <= {small_rows} THEN ks_p_value ELSE wasserstein_norm END AS score,
-  CAST(CASE WHEN n_ref <= {small_rows} THEN 0.05 ELSE 0.1 END AS DOUBLE) AS threshold,
-  coalesce(CASE WHEN n_ref <= {small_rows} THEN ks_p_value < 0.05 ELSE wasserstein_norm >= 0.1 END, false) AS drifted
+  'wasserstein_norm' AS test, wasserstein_norm AS score, CAST(0.1 AS DOUBLE) AS threshold,
+  coalesce(wasserstein_norm >= 0.1, false) AS drifted
   FROM ndrift""")
     if cat:
         parts.append(f"""SELECT column_name, 'categorical' AS kind, n_ref, n_cur,
-  CASE WHEN n_ref <= {small_rows} THEN 'chi_square' ELSE 'jensen_shannon' END AS test,
-  jensen_shannon AS score, CAST(CASE WHEN n_ref <= {small_rows} THEN 0.05 ELSE 0.1 END AS DOUBLE) AS threshold,
+  'jensen_shannon' AS test, jensen_shannon AS score, CAST(0.1 AS DOUBLE) AS threshold,
   coalesce(jensen_shannon >= 0.1, false) AS drifted FROM cdrift""")
     ctes = [ref_cur]
     if num:
@@ -155,7 +153,8 @@ def _column_drift_sql(ref_cur: str, num, cat, small_rows=1000) -> str:
     return "WITH " + ",\n".join(ctes) + ",\ncoldrift AS (" + " UNION ALL ".join(parts) + ")"
 
 
-_COL_OUT = "column_name, kind, n_ref, n_cur, test, round(score, 6) AS score, threshold, drifted"
+_COL_OUT = ("column_name, kind, n_ref, n_cur, test, round(score, 6) AS score, threshold, drifted, "
+            "CASE WHEN n_cur = 0 THEN 'no_current_data' WHEN n_ref = 0 THEN 'no_reference_data' ELSE 'ok' END AS status")
 
 
 @query("drf6_column_drift", _column_drift_sql(LI_PAIR_SQL, LI_NUM, LI_CAT) + f" SELECT {_COL_OUT} FROM coldrift")
@@ -249,30 +248,27 @@ def dec2_validation_summary(spark, sf):
     return D.validation_summary(D.retrain_decision(ds, None, None), ref, cur)
 
 
-SEGMENTS = ["view", "click", "purchase", "error", "signup"]
-
-
-def _segment_wide(df):
-    return df.select(*[F.when(F.col("event_type") == t, F.col("value")).alias(f"value_{t}") for t in SEGMENTS])
-
-
 @query("flt5_drift_segment_gate", f"""WITH {SP.refcur_sql(False)},
-segs AS (SELECT * FROM (VALUES {", ".join(f"('{t}')" for t in SEGMENTS)}) v(t)),
-{_numeric_sql([f"value_{t}" for t in SEGMENTS]).replace("FROM ref", "FROM refw").replace("FROM cur", "FROM curw")}
-SELECT column_name, n_ref, n_cur,
-  round(CASE WHEN n_ref <= 1000 THEN ks_p_value ELSE wasserstein_norm END, 6) AS score,
+c AS (SELECT 'value_' || event_type AS column_name, value AS v, sum(a) AS a, sum(b) AS b FROM
+        (SELECT event_type, value, 1 AS a, 0 AS b FROM ref UNION ALL SELECT event_type, value, 0 AS a, 1 AS b FROM cur)
+      WHERE value IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER p AS na, sum(b) OVER p AS nb,
+        lead(v) OVER w - v AS step, sum(a * v) OVER p / nullif(sum(a) OVER p, 0) AS m FROM c
+      WINDOW w AS (PARTITION BY column_name ORDER BY v), p AS (PARTITION BY column_name)),
+d AS (SELECT column_name, CAST(any_value(na) AS BIGINT) AS n_ref, CAST(any_value(nb) AS BIGINT) AS n_cur,
+        sum(abs(ca / na - cb / nb) * coalesce(step, 0)) / greatest(coalesce(sqrt(sum(a * (v - m) * (v - m)) / any_value(na)), 0), 0.001) AS score
+      FROM r GROUP BY column_name)
+SELECT column_name, n_ref, n_cur, round(score, 6) AS score,
   CASE WHEN n_ref < 50 OR n_cur < 50 THEN 'insufficient' ELSE 'ok' END AS status,
-  coalesce(CASE WHEN n_ref <= 1000 THEN ks_p_value < 0.05 ELSE wasserstein_norm >= 0.1 END, false)
-    AND NOT (n_ref < 50 OR n_cur < 50) AS drifted FROM ndrift"""
-       .replace(f"WITH {SP.refcur_sql(False)},", f"WITH {SP.refcur_sql(False)}, " + ", ".join(
-           [f"refw AS (SELECT {', '.join(f'CASE WHEN event_type = {chr(39)}{t}{chr(39)} THEN value END AS value_{t}' for t in SEGMENTS)} FROM ref)",
-            f"curw AS (SELECT {', '.join(f'CASE WHEN event_type = {chr(39)}{t}{chr(39)} THEN value END AS value_{t}' for t in SEGMENTS)} FROM cur)"]) + ","))
+  coalesce(score >= 0.1, false) AND NOT (n_ref < 50 OR n_cur < 50) AS drifted FROM d""")
 def flt5_drift_segment_gate(spark, sf):
-    """FLT5 (drift side): drift of value per event-type segment, each segment
-    a column; a segment under 50 rows on either side is ``insufficient``."""
+    """FLT5 (drift side): drift of value within every event type the tables
+    hold; a segment under 50 rows on either side is ``insufficient``."""
     ref, cur = _events_pair(spark, sf)
-    cd = D.column_drift(_segment_wide(ref), _segment_wide(cur), [f"value_{t}" for t in SEGMENTS], [])
-    return D.with_sample_gate(cd).select("column_name", "n_ref", "n_cur", "score", "status", "drifted")
+    per = D.segment_drift(ref, cur, "value", "event_type").select(
+        "column_name", "n_ref", "n_cur", F.col("wasserstein_norm").alias("score"),
+        F.coalesce(F.col("wasserstein_norm") >= DEFAULT_DRIFT.distance_cut, F.lit(False)).alias("drifted"))
+    return D.with_sample_gate(per).select("column_name", "n_ref", "n_cur", "score", "status", "drifted")
 
 
 @query("drf3_chi_square_p_value_events", f"""WITH {SP.refcur_sql(False)}, {_categorical_sql(['event_type'])}

@@ -1,3 +1,5 @@
+import math
+
 """Drift identities: a table against itself, and a drifted copy."""
 
 from pyspark.sql import functions as F
@@ -30,12 +32,40 @@ def test_drifted_copy_fires(spark):
     assert s["action"] == "retrain" and s["drifted_preview"] == "c, x"
 
 
-def test_small_reference_uses_tests(spark):
+def test_the_caller_names_the_deciding_score(spark):
+    from tabulon.config import DriftConfig
     t = _t(spark).limit(200)
     cur = t.select((F.col("x") + 30).alias("x"), "c")
-    r = {x["column_name"]: x for x in D.column_drift(t, cur, ["x"], ["c"]).collect()}
+    r = {x["column_name"]: x for x in D.column_drift(t, cur, ["x"], ["c"], DriftConfig(decide_by="p_value")).collect()}
     assert r["x"]["test"] == "ks" and r["x"]["drifted"]
     assert r["c"]["test"] == "chi_square" and not r["c"]["drifted"]
+    for n in (200, 2000):       # the same test at every size
+        d = {x["column_name"]: x for x in D.column_drift(_t(spark).limit(n), cur, ["x"], ["c"]).collect()}
+        assert (d["x"]["test"], d["c"]["test"]) == ("wasserstein_norm", "jensen_shannon")
+
+
+def test_a_column_without_values_is_reported(spark):
+    t = _t(spark)
+    none = t.select(F.lit(None).cast("double").alias("x"), "c")
+    cd = D.column_drift(t, none, ["x"], ["c"])
+    r = {x["column_name"]: x for x in cd.collect()}
+    assert (r["x"]["status"], r["x"]["drifted"], r["c"]["status"]) == ("no_current_data", False, "ok")
+    both = {x["column_name"]: x["status"] for x in D.column_drift(none, none, ["x"], ["c"]).collect()}
+    assert both == {"x": "no_current_data", "c": "ok"}
+    shifted = D.column_drift(t, none.select("x", F.lit("z").alias("c")), ["x"], ["c"])
+    assert D.dataset_drift(shifted).first()["share_drifted"] == 1.0
+
+
+def test_gamma_converges_at_many_degrees_of_freedom():
+    for dof in (100_000, 1_000_000):
+        assert abs(D._gammq(dof / 2, dof / 2) - (0.5 - 1 / (3 * math.sqrt(math.pi * dof)))) < 1e-5
+
+
+def test_segments_are_all_compared(spark):
+    ref = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0)], "s string, v double")
+    cur = spark.createDataFrame([("a", 1.0), ("new", 9.0)], "s string, v double")
+    got = {r["column_name"]: (r["n_ref"], r["n_cur"]) for r in D.segment_drift(ref, cur, "v", "s").collect()}
+    assert got == {"v_a": (1, 1), "v_b": (1, 0), "v_null": (1, 0), "v_new": (0, 1)}
 
 
 def test_chi2_sf_known_values():

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from tabulon.plans.catalog import load_all
 from tabulon.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -49,15 +50,8 @@ def duck():
     return con
 
 
-# the drift test choice depends on reference size; at sf0.001 references are
-# small, so the categorical score in SQL (distance only) does not apply
-SIZE_DEPENDENT = ("drf6", "drf7", "drf5", "dec1", "dec2", "agg18", "flt3")
-
-
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n, q in load_all().items() if q.sql))
 def test_query_matches_oracle(spark, duck, name):
-    if name.startswith(SIZE_DEPENDENT):
-        pytest.skip("test choice depends on reference size; checked at sf0.01 by tools/oracle_check.py")
     s = E.queries()[name](spark, SF).toPandas()
     d = duck.execute(E.oracle_sql()[name]).df()
     sc, sr = _rows(s)
@@ -67,7 +61,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert sr == dr
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(n for n, q in load_all().items() if not q.sql))
 def test_rows_only_query_runs(spark, name):
     if name.startswith(SLOW):
         pytest.skip("model training: exercised by tools/oracle_check.py")
@@ -76,7 +70,6 @@ def test_rows_only_query_runs(spark, name):
 
 def test_query_keys_trace_to_inventory():
     import re
-    from tabulon.plans.catalog import load_all
     ids = ("src", "snk", "prj", "flt", "cst", "imp", "val", "jon", "agg", "win", "ord", "smp", "scl",
            "drf", "tst", "dec", "alr", "fea", "mdl", "sco", "exp", "evl", "reg", "str", "prep")
     for name, q in load_all().items():
