@@ -109,6 +109,10 @@ TIER_ACTIONS = {
 # --- end of FIXED VALUES -----------------------------------------------------
 
 
+#: Category values (of all categorical columns together) that a model may take.
+MAX_CATEGORIES = 10_000
+
+
 @dataclass(frozen=True)
 class DriftConfig:
     """Our drift contract (see README): the caller names what decides, at every
@@ -122,8 +126,9 @@ class DriftConfig:
 
 @dataclass(frozen=True)
 class ScaleConfig:
-    """Knobs for the two-level ordered scans (KS, AUC, exact quantiles)."""
-    n_buckets: int = 64
+    """Knobs for the two-level ordered scans (KS, AUC, exact quantiles).  Range
+    buckets, and so sort tasks, grow with ``spark.sql.shuffle.partitions``."""
+    buckets_per_partition: int = 4
     quantile_accuracy: int = 10000
     rank_hash_digits: int = 3   # 16**3 = 4096 hash buckets for stratified ranks
 

@@ -78,11 +78,15 @@ def fit_feature_spec(train: DataFrame, numeric: Sequence[str], categorical: Sequ
     cats = {}
     if categorical:
         from tabulon.operators.profile import distinct_values
-        rows = distinct_values(train.select(*categorical), list(categorical)).collect()  # bounded: category lists
+        rows = distinct_values(train.select(*categorical), list(categorical)).limit(C.MAX_CATEGORIES + 1).collect()
+        if len(rows) > C.MAX_CATEGORIES:
+            raise ValueError(f"more than {C.MAX_CATEGORIES} category values in {list(categorical)}: "
+                             "name fewer columns as categorical (identifiers and free text are not)")
         for r in rows:
             if r["value"] is not None:
                 cats.setdefault(r["column_name"], []).append(r["value"])
-        cats = {k: sorted(v) for k, v in cats.items()}
+        # a column without any value is filled, so the fill value is its only category
+        cats = {c: sorted(cats.get(c) or [values[c]]) for c in categorical if cats.get(c) or c in values}
     return FeatureSpec(tuple(numeric), tuple(categorical), values, cats)
 
 
@@ -110,31 +114,36 @@ def feature_stages(spec: FeatureSpec, features_col: str = "features") -> list:
     return stages
 
 
+#: Parameters that a caller may set, by family, with the studied models' settings.
+CLASSIFIER_DEFAULTS = {
+    # max 1000 iterations and tolerance 1e-4, the studied model's settings
+    "logistic_regression": {"maxIter": 1000, "tol": 1e-4, "regParam": 0.0},
+    "random_forest": {"numTrees": 100, "maxDepth": 30, "minInstancesPerNode": 1},
+    "gradient_boosting": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3},
+    "linear_svc": {"regParam": 0.0, "maxIter": 100},
+    "bagging": {"numTrees": 10, "subsamplingRate": 1.0, "maxDepth": 30},
+}
+
+
 def classifier(family: str, label: str = "label", weight: str | None = "class_weight",
                seed: int = C.RANDOM_SEED, **params):
-    """MDL1-5 (MDL4 returns the SVM; calibration is added by ``fit_model``)."""
+    """MDL1-5 (MDL4 returns the SVM; calibration is added by ``fit_model``).
+    A parameter that the family does not offer is an error."""
+    if family not in CLASSIFIER_DEFAULTS:
+        raise ValueError(family)
+    unknown = set(params) - set(CLASSIFIER_DEFAULTS[family])
+    if unknown:
+        raise ValueError(f"{family} has no parameter {sorted(unknown)}")
+    p = CLASSIFIER_DEFAULTS[family] | params
     if family == "logistic_regression":
-        # max 1000 iterations and tolerance 1e-4, the studied model's settings
-        return LogisticRegression(labelCol=label, weightCol=weight, maxIter=params.get("maxIter", 1000),
-                                  tol=params.get("tol", 1e-4),
-                                  regParam=params.get("regParam", 0.0), elasticNetParam=0.0)
+        return LogisticRegression(labelCol=label, weightCol=weight, elasticNetParam=0.0, **p)
     if family == "random_forest":
-        return RandomForestClassifier(labelCol=label, weightCol=weight, seed=seed,
-                                      numTrees=params.get("numTrees", 100),
-                                      maxDepth=params.get("maxDepth", 30),
-                                      minInstancesPerNode=params.get("minInstancesPerNode", 1))
+        return RandomForestClassifier(labelCol=label, weightCol=weight, seed=seed, **p)
     if family == "gradient_boosting":
-        return GBTClassifier(labelCol=label, seed=seed, maxIter=params.get("maxIter", 100),
-                             stepSize=params.get("stepSize", 0.1), maxDepth=params.get("maxDepth", 3))
+        return GBTClassifier(labelCol=label, seed=seed, **p)
     if family == "linear_svc":
-        return LinearSVC(labelCol=label, weightCol=weight, regParam=params.get("regParam", 0.0),
-                         maxIter=params.get("maxIter", 100), predictionCol="svm_prediction",
-                         rawPredictionCol="svm_raw")
-    if family == "bagging":
-        return RandomForestClassifier(labelCol=label, seed=seed, numTrees=params.get("numTrees", 10),
-                                      featureSubsetStrategy="all", bootstrap=True,
-                                      subsamplingRate=params.get("subsamplingRate", 1.0), maxDepth=30)
-    raise ValueError(family)
+        return LinearSVC(labelCol=label, weightCol=weight, predictionCol="svm_prediction", rawPredictionCol="svm_raw", **p)
+    return RandomForestClassifier(labelCol=label, seed=seed, featureSubsetStrategy="all", bootstrap=True, **p)
 
 
 def _platt_stages(label: str) -> tuple[list, LogisticRegression]:
@@ -192,7 +201,8 @@ def cross_validate(train_with_folds: DataFrame, spec: FeatureSpec, family: str,
                    num_folds: int = C.CV_FOLDS, parallelism: int = 2):
     """MDL7: grid search with ROC AUC over stratified folds given as a column.
 
-    Returns (best PipelineModel, [(params, mean auc)])."""
+    Returns (best PipelineModel, [(params, mean auc)]).  The linear SVM's best
+    model has margins only; ``training.tune_best`` refits it with calibration."""
     est = classifier(family, label, weight if family not in ("gradient_boosting", "bagging") else None)
     pipe = Pipeline(stages=feature_stages(spec) + [est])
     b = ParamGridBuilder()
@@ -221,7 +231,7 @@ def feature_importance(model: PipelineModel, spec: FeatureSpec, spark) -> DataFr
         base = [s for s in model.stages if hasattr(s, "coefficients")][0]
         vals = [abs(x) for x in base.coefficients.toArray().tolist()]
     names = spec.encoded_names
-    rows = list(zip(names, [float(v) for v in vals]))  # bounded by the feature count
+    rows = list(zip(names, [float(v) for v in vals], strict=True))  # bounded by the feature count; never cut
     return spark.createDataFrame(rows, "feature string, importance double")
 
 

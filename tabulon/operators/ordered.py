@@ -55,7 +55,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     also ``<c>_total``, the group total.  ``df`` should hold one
     row per (group, order value) unless ``tiebreak`` names a full key.
     """
-    n_buckets = n_buckets or DEFAULT_SCALE.n_buckets
+    n_buckets = n_buckets or DEFAULT_SCALE.buckets_per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     g = list(group_cols)
     d = df
     if not g:

@@ -36,20 +36,16 @@ def best_by(wide: DataFrame, name_col: str, metric: str, position_col: str | Non
                     F.max(metric).alias(f"best_{metric}"))
 
 
-def best_run(run_metrics: DataFrame, artifacts: DataFrame, metric: str, ascending: bool = False,
-             top: int = 50) -> DataFrame:
-    """ORD3 + JON2: order runs by the metric (missing → last), take ``top``,
-    keep runs that have an artifact (left semi join); if none has one, the
-    first run with any.  Returns one row (run_id, metric value, has_artifact)."""
+def best_run(run_metrics: DataFrame, artifacts: DataFrame, metric: str, ascending: bool = False) -> DataFrame:
+    """ORD3 + JON2: the best run by the metric (missing → last) among those that
+    have an artifact; if none has one, the best of all.  Returns one row (run_id,
+    metric value, has_artifact).  The artifact test comes before the choice."""
     m = run_metrics.where(F.col("key") == metric).select("run_id", F.col("value").alias("metric"))
-    runs = run_metrics.select("run_id").distinct().join(m, "run_id", "left")
+    have = artifacts.select("run_id").distinct().withColumn("has_artifact", F.lit(True))
+    runs = (run_metrics.select("run_id").distinct().join(m, "run_id", "left").join(have, "run_id", "left")
+            .withColumn("has_artifact", F.coalesce("has_artifact", F.lit(False))))
     o = F.col("metric").asc_nulls_last() if ascending else F.col("metric").desc_nulls_last()
-    top_runs = runs.orderBy(o, "run_id").limit(top)
-    with_art = top_runs.join(artifacts.select("run_id").distinct(), "run_id", "left_semi") \
-        .withColumn("has_artifact", F.lit(True))
-    pool = with_art.unionByName(top_runs.withColumn("has_artifact", F.lit(False)))
-    o2 = [F.col("has_artifact").desc(), o, F.col("run_id")]
-    return pool.orderBy(*o2).limit(1)
+    return runs.orderBy(F.col("has_artifact").desc(), o, "run_id").limit(1)
 
 
 def register(versions: DataFrame, run: DataFrame, name: str) -> DataFrame:

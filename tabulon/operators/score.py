@@ -6,7 +6,9 @@ expressions; the same fitted pipeline then scores a whole table or a stream.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon import config as C
@@ -55,23 +57,35 @@ def request_features(req: DataFrame, keep=("customer_id",)) -> DataFrame:
     return req.select(*cols)
 
 
-def scored_rows(pred: DataFrame, prob: str = "churn_probability", model_version: str | None = None,
-                id_col: str = "customer_id") -> DataFrame:
-    """SCO1 tail: label, tier, confidence, time and version for each scored row."""
-    return pred.select(
+def _scored_columns(prob: str, model_version: str | None, id_col: str, ts: str | None) -> list[Column]:
+    return [
         F.col(id_col).cast("string").alias("customer_id"),
         (F.col(prob) >= C.LABEL_CUT).cast("int").alias("churn_prediction"),
         F.col(prob).alias("churn_probability"),
         S.risk_tier(prob).alias("risk_level"),
         S.confidence(prob).alias("confidence"),
-        F.current_timestamp().alias("timestamp"),
-        F.lit(model_version).cast("string").alias("model_version"))
+        (F.col(ts) if ts else F.current_timestamp()).alias("timestamp"),
+        F.lit(model_version).cast("string").alias("model_version")]
+
+
+def scored_rows(pred: DataFrame, prob: str = "churn_probability", model_version: str | None = None,
+                id_col: str = "customer_id", ts: str | None = None) -> DataFrame:
+    """SCO1 tail: label, tier, confidence, time and version for each scored row
+    (the row's own time when ``ts`` names it)."""
+    return pred.select(*_scored_columns(prob, model_version, id_col, ts))
+
+
+def prediction_log_rows(pred: DataFrame, features: Sequence[str], prob: str = "churn_probability",
+                        model_version: str | None = None, id_col: str = "customer_id", ts: str | None = None) -> DataFrame:
+    """SCO3: (timestamp, entity id, features struct, prediction struct), one log
+    row per scored row, in one projection."""
+    p = F.struct(*_scored_columns(prob, model_version, id_col, ts))
+    d = pred.select(F.struct(*[F.col(f"`{c}`") for c in features]).alias("features"), p.alias("prediction"))
+    return d.select(F.col("prediction.timestamp").alias("timestamp"), F.col("prediction.customer_id").alias("customer_id"),
+                    "features", "prediction")
 
 
-def prediction_log_rows(features: DataFrame, scored: DataFrame, id_col: str = "customer_id") -> DataFrame:
-    """SCO3: (timestamp, entity id, features struct, prediction struct) log rows."""
-    f = features.select(F.col(id_col).cast("string").alias(id_col),
-                        F.struct(*[F.col(f"`{c}`") for c in features.columns if c != id_col]).alias("features"))
-    p = scored.select(F.col(id_col), F.struct(*[F.col(c) for c in scored.columns]).alias("prediction"))
-    return f.join(p, id_col).select(F.col("prediction.timestamp").alias("timestamp"), id_col,
-                                    "features", "prediction")
+def append_prediction_log(log: DataFrame, path: str, date_col: str = "log_date") -> str:
+    """SCO3 writer: log rows appended under their date, so readers prune by date."""
+    log.withColumn(date_col, F.to_date("timestamp")).write.mode("append").partitionBy(date_col).parquet(path)
+    return path

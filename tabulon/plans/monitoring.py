@@ -31,11 +31,7 @@ def score_and_monitor(model, table: DataFrame, id_col: str, ts_col: str | None =
                       truth_ts: str = "feedback_ts", horizon_days: int = 1,
                       model_version: str | None = None) -> Monitoring:
     p = positive_probability(model.transform(table))
-    scored = scored_rows(p.withColumnRenamed(id_col, "customer_id"), model_version=model_version)
-    if ts_col:
-        scored = scored.drop("timestamp").join(
-            table.select(F.col(id_col).cast("string").alias("customer_id"), F.col(ts_col).alias("timestamp")),
-            "customer_id")
+    scored = scored_rows(p, model_version=model_version, id_col=id_col, ts=ts_col)
     win = monitor.windowed_metrics(scored.withColumnRenamed("churn_probability", "p"), ts="timestamp",
                                    prob="p", every=every)
     tiers = monitor.tier_distribution(scored, "churn_probability")

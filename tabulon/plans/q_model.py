@@ -133,14 +133,22 @@ def sco1_batch_scoring(spark, sf):
     return SC.scored_rows(p, model_version="lr-1").drop("timestamp")
 
 
-@query("sco3_prediction_log")
+@query("sco3_prediction_log", "SELECT c_custkey AS customer_id, true AS same FROM customer")
 def sco3_prediction_log(spark, sf):
-    """SCO3: prediction-log rows (time, id, features struct, prediction struct)."""
+    """SCO3: prediction-log rows (time, id, features struct, prediction struct)
+    appended by date and read back; each row's tier, confidence, label and
+    features follow from its stored probability and the scored table."""
     ent, spec, m = _fit_lr(spark, sf)
-    p = MD.positive_probability(m.transform(ent)).withColumnRenamed("c_custkey", "customer_id")
-    scored = SC.scored_rows(p, model_version="lr-1")
-    feats = ent.select(F.col("c_custkey").alias("customer_id"), *NUMERIC, *CATEGORICAL)
-    return SC.prediction_log_rows(feats, scored).select("customer_id", "features", "prediction.risk_level")
+    p = MD.positive_probability(m.transform(ent))
+    path = scratch_path(spark, f"prediction-log-{uuid.uuid4().hex}")
+    SC.append_prediction_log(SC.prediction_log_rows(p, [*NUMERIC, *CATEGORICAL], model_version="lr-1", id_col="c_custkey"), path)
+    log = spark.read.parquet(path)
+    q = F.col("prediction.churn_probability")
+    tier = F.when(q < 0.3, "Low").when(q < 0.7, "Medium").otherwise("High")
+    own = ent.select(F.col("c_custkey").cast("string").alias("customer_id"), F.struct(*NUMERIC, *CATEGORICAL).alias("own"))
+    same = ((F.col("prediction.risk_level") == tier) & (F.abs(F.col("prediction.confidence") - F.greatest(q, 1 - q)) < 1e-12)
+            & (F.col("prediction.churn_prediction") == (q >= 0.5).cast("int")) & F.col("features").eqNullSafe(F.col("own")))
+    return log.join(own, "customer_id").select(F.col("customer_id").cast("long").alias("customer_id"), same.alias("same"))
 
 
 @query("snk5_src5_model_roundtrip", "SELECT c_custkey, true AS same FROM customer")

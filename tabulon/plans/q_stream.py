@@ -12,6 +12,7 @@ from tabulon.operators import model as MD
 from tabulon.operators import validate as V
 from tabulon.operators.ordered import materialize
 from tabulon.operators.score import request_features
+from tabulon.plans import replay as R
 from tabulon.plans.catalog import query, ts_text, ts_text_sql
 from tabulon.plans.q_monitor import FEEDBACK_SQL
 from tabulon.plans.q_prepare import REQ, _VIOL_SQL
@@ -20,10 +21,10 @@ from tabulon.sources.tables import decode_requests, read_table
 from tabulon.streaming import jobs as J
 
 
-def _staged_events(spark, sf, run):
+def _staged_events(spark, sf, run, closed=False):
     ev = read_table(spark, sf, "events")
-    path = J.stage_in_time_order(ev, "ts", run + "/source", slices=3)
-    return J.file_stream(spark, path, ev.schema)
+    path = R.stage_in_time_order(ev, "ts", run + "/source", slices=3, closing=R.closing_row(ev, "ts") if closed else None)
+    return J.file_stream(spark, path, ev.schema, max_files=R.FILES)
 
 
 def _predlog_stream(stream):
@@ -34,8 +35,8 @@ def _predlog_stream(stream):
 
 def _staged_requests(spark, sf, run):
     req = SP.request_table(spark, sf)
-    path = J.stage_in_time_order(req, "customer_id", run + "/requests", slices=4, fmt="json")
-    return J.file_stream(spark, path, req.schema, fmt="json", ts=None)
+    path = R.stage_in_time_order(req, "customer_id", run + "/requests", slices=4, fmt="json")
+    return J.file_stream(spark, path, req.schema, fmt="json", max_files=R.FILES, ts=None)
 
 
 @query("str1_score_stream")
@@ -96,29 +97,27 @@ SELECT strftime(window_start AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS window_
 
 @query("str3_window_metrics_stream", f"WITH {_HOURLY_SQL}")
 def str3_window_metrics_stream(spark, sf):
-    """STR3: hourly tumbling-window monitor over the event stream (complete
-    mode through foreachBatch, compared with the batch form)."""
+    """STR3: hourly tumbling-window monitor over the event stream (append mode: a
+    window is written once, when the watermark has closed it)."""
     run = J.new_run_dir(spark, "str3")
-    s = _predlog_stream(_staged_events(spark, sf, run)).withColumn("is_error", F.col("event_type") == "error")
+    s = _predlog_stream(_staged_events(spark, sf, run, closed=True)).withColumn("is_error", F.col("event_type") == "error")
     agg = J.window_metrics(s, every="1 hour", watermark="1 hour", error_col="is_error")
-    w = (agg.writeStream.outputMode("complete").foreachBatch(J.overwrite_sink(run + "/out"))
+    w = (agg.writeStream.outputMode("append").format("parquet").option("path", run + "/out")
          .option("checkpointLocation", run + "/ckpt"))
     J.run_available(w)
     return spark.read.parquet(run + "/out").withColumn("window_start", ts_text("window_start"))
 
 
 @query("str5_stream_alerts", f"""WITH {SP.PREDLOG_SQL},
-mx AS (SELECT max(ts) AS m FROM predlog),
 w AS (SELECT to_timestamp(floor(epoch(ts) / 3600) * 3600) AT TIME ZONE 'UTC' AS window_start, count(*) AS n,
         avg(greatest(churn_probability, 1 - churn_probability)) AS c FROM predlog GROUP BY 1)
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, 'LOW_CONFIDENCE' AS type, 'warning' AS severity
-FROM w, mx WHERE window_start + INTERVAL 1 HOUR <= m - INTERVAL 1 HOUR AND n >= 10 AND c < 0.7""")
+FROM w WHERE n >= 10 AND c < 0.7""")
 def str5_stream_alerts(spark, sf):
-    """STR5: alerts raised from closed hourly windows (append mode), appended
-    per micro-batch; a window is closed once the watermark (latest event time
-    minus 1 hour) passes its end, so the last open windows are not emitted."""
+    """STR5: alerts raised from closed hourly windows (append mode), one folder
+    per micro-batch; a closing row moves the watermark past the last window."""
     run = J.new_run_dir(spark, "str5")
-    s = _predlog_stream(_staged_events(spark, sf, run))
+    s = _predlog_stream(_staged_events(spark, sf, run, closed=True))
     agg = J.window_metrics(s, every="1 hour", watermark="1 hour")
     w = (agg.writeStream.outputMode("append").foreachBatch(J.alert_sink(run + "/alerts"))
          .option("checkpointLocation", run + "/ckpt"))
@@ -164,16 +163,14 @@ def str4_sliding_drift(spark, sf):
     run = J.new_run_dir(spark, "str4")
     ref, lo, hi = _ref_range(spark, sf)
     ref_hist = ref.groupBy(J.binned(ref, "value", lo, hi, _BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    s = _staged_events(spark, sf, run)
+    s = _staged_events(spark, sf, run, closed=True)
     hist = J.sliding_histogram(s, "ts", "value", lo, hi, _BINS, watermark="2 days")
-    # every micro-batch replaces the drift table with the drift of all windows
-    # so far (complete mode: the batch is the whole histogram state)
-    ref_counts = ref_hist.checkpoint(eager=True)     # fixed reference, read by every batch
-    sink = J.overwrite_sink(run + "/drift", post=lambda b: J.binned_drift(b, ref_counts, _BINS))
-    w = (hist.writeStream.outputMode("complete").foreachBatch(sink)
+    # append mode: a closed window's bins are written once and leave the state;
+    # the closing row's own windows stay open
+    w = (hist.writeStream.outputMode("append").format("parquet").option("path", run + "/bins")
          .option("checkpointLocation", run + "/ckpt"))
     J.run_available(w)
-    return spark.read.parquet(run + "/drift").withColumn("window_start", ts_text("window_start"))
+    return J.binned_drift(spark.read.parquet(run + "/bins"), ref_hist, _BINS).withColumn("window_start", ts_text("window_start"))
 
 
 @query("str6_stream_feedback_join", f"""WITH {FEEDBACK_SQL}
@@ -181,12 +178,13 @@ SELECT entity_id, prediction_id, feedback_id, {ts_text_sql('ts')} AS ts, {ts_tex
   predicted_churn, actual_churn FROM fb""")
 def str6_stream_feedback_join(spark, sf):
     """STR6: each prediction matched with its first later feedback within a day,
-    on the stream, by a custom stateful operator (state per entity, event-time
-    timeout after the horizon)."""
+    on the stream (state per user and time slice, matched when the watermark has
+    passed the slice's horizon; the closing row passes the last one)."""
     run = J.new_run_dir(spark, "str6")
-    s = _predlog_stream(_staged_events(spark, sf, run))
-    both = s.where(F.col("event_type").isin("view", "purchase")).select(
-        "entity_id", "ts", F.when(F.col("event_type") == "view", 1).otherwise(0).alias("kind"),
+    s = _predlog_stream(_staged_events(spark, sf, run, closed=True))
+    kind = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "purchase", 0).otherwise(-1)
+    both = s.where(F.col("event_type").isin("view", "purchase") | F.col("event_type").isNull()).select(
+        "entity_id", "ts", kind.alias("kind"),
         F.col("prediction_id").alias("row_id"), (F.col("churn_probability") >= 0.5).alias("flag"))
     out = J.stream_feedback_match(both, "entity_id", "ts", "kind", "row_id", "flag", "1 day", "1 hour")
     w = (out.writeStream.format("parquet").option("path", run + "/out")
@@ -196,6 +194,28 @@ def str6_stream_feedback_join(spark, sf):
             .withColumn("feedback_ts", ts_text("feedback_ts")))
 
 
+@query("str6_out_of_order", f"""WITH {FEEDBACK_SQL}
+SELECT entity_id, prediction_id, feedback_id, {ts_text_sql('ts')} AS ts, {ts_text_sql('feedback_ts')} AS feedback_ts,
+  predicted_churn, actual_churn FROM fb""")
+def str6_out_of_order(spark, sf):
+    """STR6 on input that arrives by user and not by time, so truths come before
+    their predictions and later truths before earlier ones; the watermark spans
+    the table, and the result is that of the batch join."""
+    run = J.new_run_dir(spark, "str6o")
+    ev = read_table(spark, sf, "events")
+    R.stage_in_time_order(ev.where("user_id is not null"), "user_id", run + "/source", slices=3)
+    R.closing_row(ev, "ts", days=365).write.mode("append").parquet(run + "/source")
+    s = _predlog_stream(J.file_stream(spark, run + "/source", ev.schema, max_files=R.FILES))
+    kind = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "purchase", 0).otherwise(-1)
+    both = s.where(F.col("event_type").isin("view", "purchase") | F.col("event_type").isNull()).select(
+        "entity_id", "ts", kind.alias("kind"), F.col("prediction_id").alias("row_id"), (F.col("churn_probability") >= 0.5).alias("flag"))
+    out = J.stream_feedback_match(both, "entity_id", "ts", "kind", "row_id", "flag", "1 day", "200 days")
+    J.run_available(out.writeStream.format("parquet").option("path", run + "/out")
+                    .option("checkpointLocation", run + "/ckpt").outputMode("append"))
+    return (spark.read.parquet(run + "/out").withColumn("ts", ts_text("ts"))
+            .withColumn("feedback_ts", ts_text("feedback_ts")))
+
+
 @query("str7_latest_n", f"""{SP.PREDLOG_SQL.replace('predlog AS (', 'WITH predlog AS (', 1)}
 SELECT prediction_id, {ts_text_sql('ts')} AS ts, entity_id, round(churn_probability, 6) AS churn_probability
 FROM predlog ORDER BY ts DESC, prediction_id DESC LIMIT 1000""")

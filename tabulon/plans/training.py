@@ -68,14 +68,16 @@ def tune(train: DataFrame, spec: MD.FeatureSpec, family: str, grid: dict, label:
     return MD.cross_validate(folded, spec, family, grid, label=label, num_folds=k)
 
 
-def tune_best(t: Trained, label: str, key: str, metric: str = "roc_auc", k: int = C.CV_FOLDS):
+def tune_best(t: Trained, label: str, key: str, metric: str = "roc_auc", k: int = C.CV_FOLDS, grid: dict | None = None):
     """MDL6 → MDL7: tune the best family of ``train_all`` with its grid, then
     evaluate the tuned model on the same holdout.  Returns (family, tuned
     model, comparison of untuned vs tuned metrics) - the tuned model is the
     one to save (the studied pipeline saved the untuned one)."""
     best = t.comparison.orderBy(F.col(metric).desc_nulls_last(), "model").first()["model"]
     n = t.train.count()
-    tuned, _ = tune(t.train, t.spec, best, MD.grid_for(best, n), label, key, k)
+    tuned, scores = tune(t.train, t.spec, best, grid or MD.grid_for(best, n), label, key, k)
+    if best == "linear_svc":      # its margins need the calibration stage: refit the best parameters
+        tuned = MD.fit_model(t.train, t.spec, best, label, key=key, **max(scores, key=lambda x: x[1])[0])
     p = MD.positive_probability(tuned.transform(t.test)).select(
         F.lit("tuned").alias("model"), F.col(key), F.col(label).cast("int").alias("label"),
         F.col("churn_probability").alias("score"),

@@ -5,8 +5,9 @@ retrain decision → JSON report and decision flag in the output folder."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.config import DEFAULT_DRIFT, DriftConfig
 from tabulon.operators import clean, drift, validate
@@ -40,3 +41,17 @@ def write_outputs(v: Validation, out_dir: str) -> None:
     """SNK2 + SNK4: the summary as a run-stamped JSON report and the flag."""
     sinks.write_report(v.summary, out_dir + "/validation_report")
     sinks.write_flag(v.decision, out_dir + "/retrain_flag")
+
+
+def validate_and_write(spark: SparkSession, reference: Callable[[], DataFrame], current: Callable[[], DataFrame], out_dir: str,
+                       roles: ColumnRoles | None = None, cfg: DriftConfig = DEFAULT_DRIFT, min_rows: int = 50) -> Validation:
+    """The whole flow with its failure path (SNK4): whatever fails, reading
+    included, the flag says ``true``, so that a retrain is never skipped silently,
+    and the error is raised again."""
+    try:
+        v = validate_pair(reference(), current(), roles, cfg, min_rows)
+        write_outputs(v, out_dir)
+        return v
+    except Exception:
+        sinks.write_flag(spark.createDataFrame([(True,)], "retrain_needed boolean"), out_dir + "/retrain_flag")
+        raise

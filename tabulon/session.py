@@ -47,7 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 
     Reads ``spark.checkpoint.dir`` from the session; sets a scratch folder
-    only when the setting is missing (single-machine tests).
+    only when the setting is missing and the master is local (tests), and raises
+    on a cluster without it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -57,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tabulon-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:

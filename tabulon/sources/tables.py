@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """SRC2: one supplied parquet table; column pruning and filters reach the scan."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """SRC2: one supplied parquet table, NaN as NULL; column pruning reaches the
+    scan, and so do filters on columns that are not floating point."""
+    return nan_to_null(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -46,8 +48,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         reader = reader.option("inferSchema", True)
     try:
         df = reader.csv(path)
-    except Exception as e:  # AnalysisException: path does not exist
-        raise FileNotFoundError(path) from e
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            raise FileNotFoundError(path) from e
+        raise
     if require_rows and df.isEmpty():
         raise EmptyInput(f"no rows in {path}")
     return nan_to_null(df)

@@ -2,9 +2,10 @@
 
 Every job reads with ``readStream`` (file source here; any source works),
 keeps its state in a checkpoint under the shared checkpoint folder, and writes
-to files, so a restarted query resumes exactly where it stopped.  Results
-that must be replaced as a whole (complete-mode aggregates, the latest-N log)
-are written per micro-batch through ``foreachBatch``.
+to files, so a restarted query resumes exactly where it stopped.  ``foreachBatch``
+handlers write one folder per epoch with overwrite, so a repeated epoch replaces
+its own rows; results that are replaced as a whole are versions, of which
+readers take the newest complete one.
 """
 
 from __future__ import annotations
@@ -31,26 +32,6 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def stage_in_time_order(df: DataFrame, ts: str, path: str, slices: int = 6, fmt: str = "parquet") -> str:
-    """Write ``df`` as ``slices`` successive appends in time order, so a file
-    source with ``maxFilesPerTrigger`` replays it as ordered micro-batches
-    (the way data arrives).  Returns ``path``."""
-    rng = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    if rng["lo"] is None:
-        df.limit(0).write.mode("overwrite").format(fmt).save(path)
-        return path
-    lo, hi = rng["lo"], rng["hi"]
-    step = (hi - lo) / slices
-    dt = df.schema[ts].dataType
-    for i in range(slices):
-        a = S.typed_lit(lo + step * i, dt)
-        b = S.typed_lit(lo + step * (i + 1), dt)
-        last = i == slices - 1
-        part = df.where(((F.col(ts) >= a) | F.lit(i == 0)) & ((F.col(ts) < b) | F.lit(last)))
-        part.coalesce(1).write.mode("append").format(fmt).save(path)
-    return path
-
-
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                 max_files: int = 1, ts: str | None = "ts") -> DataFrame:
     """A file-source stream; ``ts`` is cast to TIMESTAMP (session zone UTC)
@@ -61,16 +42,22 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return s
 
 
-def run_available(stream_writer, timeout_s: int = 600):
-    """Run a ``DataStreamWriter`` over everything available, then stop."""
+def run_available(stream_writer):
+    """Run a ``DataStreamWriter`` over everything available, to its end; a
+    failed stream raises."""
     q = stream_writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    q.stop()
     return q
 
 
+def epoch_path(base: str, epoch: int) -> str:
+    """The folder of one micro-batch; written with overwrite, so a repeated
+    epoch replaces its own rows.  Reading ``base`` gives an ``epoch`` column."""
+    return os.path.join(base, f"epoch={epoch}")
+
+
 # --- STR1 / STR2 ----------------------------------------------------------------
 
 def score_stream(requests: DataFrame, model, features: Callable[[DataFrame], DataFrame],
@@ -85,13 +72,14 @@ def score_stream(requests: DataFrame, model, features: Callable[[DataFrame], Dat
 
 def split_sink(rules, valid_path: str, quarantine_path: str):
     """STR2: a ``foreachBatch`` handler writing valid rows and quarantined rows
-    (with their violations) to two append-only tables."""
+    (with their violations) to two tables, one folder per epoch."""
     def handle(batch: DataFrame, epoch: int):
         checked = V.violations(batch, rules).persist()
-        checked.where("is_valid").drop("violations", "is_valid").write.mode("append").parquet(valid_path)
+        (checked.where("is_valid").drop("violations", "is_valid")
+         .write.mode("overwrite").parquet(epoch_path(valid_path, epoch)))
         (checked.where(~F.col("is_valid")).drop("is_valid")
          .withColumn("violations", F.array_join("violations", ","))
-         .write.mode("append").parquet(quarantine_path))
+         .write.mode("overwrite").parquet(epoch_path(quarantine_path, epoch)))
         checked.unpersist()
     return handle
 
@@ -119,18 +107,20 @@ def window_metrics(stream: DataFrame, ts: str = "ts", prob: str = "churn_probabi
 
 
 def overwrite_sink(path: str, post: Callable[[DataFrame], DataFrame] | None = None):
-    """``foreachBatch`` handler that replaces ``path`` with the batch (complete mode)."""
+    """``foreachBatch`` handler for a result that every batch replaces: one
+    version per epoch; readers take ``latest_version(path)``, which is complete
+    even when a later write fails."""
     def handle(batch: DataFrame, epoch: int):
         out = post(batch) if post else batch
-        out.write.mode("overwrite").parquet(path)
+        out.write.mode("overwrite").parquet(version_path(path, epoch))
     return handle
 
 
 def alert_sink(path: str, min_rows: int = C.MIN_PERFORMANCE_SAMPLES):
-    """STR5: closed windows (append mode) → monitor alerts appended to a table."""
+    """STR5: closed windows (append mode) → monitor alerts, one folder per epoch."""
     def handle(batch: DataFrame, epoch: int):
         w = batch.withColumn("status", F.when(F.col("n_predictions") >= min_rows, "ok").otherwise("insufficient"))
-        A.monitor_alerts(w).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        A.monitor_alerts(w).write.mode("overwrite").parquet(epoch_path(path, epoch))
     return handle
 
 
@@ -150,118 +140,71 @@ def sliding_histogram(stream: DataFrame, ts: str, value: str, lo: float, hi: flo
 
 # --- STR6 ------------------------------------------------------------------------
 
-FEEDBACK_OUT = ("entity_id long, prediction_id long, feedback_id long, ts timestamp, "
-                "feedback_ts timestamp, predicted_churn boolean, actual_churn boolean")
-FEEDBACK_STATE = "eids array<long>, pids array<long>, pts array<long>, pflags array<boolean>"
-
+def seconds_of(interval: str) -> int:
+    """Seconds of an interval like '1 day', '36 hours' or '10 minutes'."""
+    n, unit = interval.split()[:2]
+    return int(float(n) * {"day": 86400, "hour": 3600, "minute": 60, "second": 1}[unit.lower().rstrip("s")])
 
-def feedback_match_state(horizon_us: int):
-    """The state function for STR6 (``applyInPandasWithState``).
 
-    A group is (entity hash bucket, prediction day), so one call matches many
-    entities at once: pending predictions of the group (from state) plus new
-    ones are matched with ``pandas.merge_asof(by=entity, direction='forward',
-    tolerance=horizon)`` - the first truth at or after each prediction.
-    Predictions with no truth yet wait in state until the watermark passes
-    their horizon; state holds at most one horizon of the group's predictions.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        is_p = (pdf["kind"] == 1).to_numpy()
-        old = state.get if state.exists else ([], [], [], [])
-        preds = pd.DataFrame({
-            "eid": np.concatenate([np.asarray(old[0], "int64"), pdf["entity_id"].to_numpy()[is_p]]),
-            "pid": np.concatenate([np.asarray(old[1], "int64"), pdf["row_id"].to_numpy()[is_p]]),
-            "t": np.concatenate([np.asarray(old[2], "int64"), us[is_p]]),
-            "pf": np.concatenate([np.asarray(old[3], bool), pdf["flag"].to_numpy()[is_p].astype(bool)])})
-        truths = pd.DataFrame({"eid": pdf["entity_id"].to_numpy()[~is_p], "fid": pdf["row_id"].to_numpy()[~is_p],
-                               "t": us[~is_p], "af": pdf["flag"].to_numpy()[~is_p].astype(bool)})
-        preds = preds.sort_values("t", kind="stable")
-        truths = truths.sort_values(["t", "fid"], kind="stable")
-        truths["ft"] = truths["t"]
-        m = pd.merge_asof(preds, truths, on="t", by="eid", direction="forward",
-                          tolerance=horizon_us, allow_exact_matches=True)
-        hit = m["fid"].notna().to_numpy()
-        if hit.any():
-            h = m[hit]
-            yield pd.DataFrame({
-                "entity_id": h["eid"].astype("int64"), "prediction_id": h["pid"].astype("int64"),
-                "feedback_id": h["fid"].astype("int64"),
-                "ts": pd.to_datetime(h["t"], unit="us", utc=True),
-                "feedback_ts": pd.to_datetime(h["ft"].astype("int64"), unit="us", utc=True),
-                "predicted_churn": h["pf"].astype(bool), "actual_churn": h["af"].astype(bool)})
-        # no match: wait only if no later truth of that entity arrived yet and
-        # the horizon is still ahead of the watermark
-        later = m["eid"].isin(truths["eid"]).to_numpy() & ~hit
-        last_truth = truths.groupby("eid")["t"].max() if len(truths) else pd.Series(dtype="int64")
-        seen_after = later & (m["t"].to_numpy() <= m["eid"].map(last_truth).fillna(-1).to_numpy())
-        wm = state.getCurrentWatermarkMs() * 1000
-        wait = ~hit & ~seen_after & ((m["t"].to_numpy() + horizon_us) >= wm)
-        if wait.any():
-            w = m[wait]
-            state.update((w["eid"].tolist(), w["pid"].tolist(), w["t"].tolist(), w["pf"].tolist()))
-            state.setTimeoutTimestamp(int((w["t"].max() + horizon_us) // 1000) + 1)
-        else:
-            state.remove()
-    return fn
-
-
-def stream_feedback_match(events: DataFrame, key: str, ts: str, kind_col: str, id_col: str,
-                          flag_col: str, horizon: str = "1 day", watermark: str = "1 hour",
-                          entity_buckets: int = 16) -> DataFrame:
+def stream_feedback_match(events: DataFrame, key: str, ts: str, kind_col: str, id_col: str, flag_col: str,
+                          horizon: str = "1 day", watermark: str = "1 hour", slice_length: str = "6 hours") -> DataFrame:
     """STR6: predictions (kind 1) matched with the first later truth (kind 0)
-    of the same key within ``horizon``, as a custom stateful operator.
-
-    ``events`` carries both sides in one stream (key, ts, kind, row id, flag).
-    State groups are (hash bucket of the key, day of the prediction); a truth
-    joins the day groups its predictions can fall in.  ``entity_buckets``
-    trades per-call overhead against parallelism; a hot key is split by day.
+    of the same key within ``horizon``; other kinds only move the clock.
+
+    Time is cut into slices.  A prediction belongs to its slice; a truth to its
+    own slice and the earlier ones within the horizon.  State per (key, slice) is
+    the slice's own rows and the *earliest* truth after it (a running minimum), so
+    a busy key is split by time and no pair is listed.  A slice is matched once,
+    when the watermark says that no truth for it can still come: rows may arrive in
+    any order within ``watermark``, on either side.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    horizon_us = int(float(horizon.split()[0]) * (86400 if "day" in horizon else 3600) * 1_000_000)
-    days = horizon_days(horizon)
+    h, sl = seconds_of(horizon), seconds_of(slice_length)
+    back = -(-h // sl)
+    # a row at time t closes no earlier than t - sl; the newest slice closes at most sl + h after its rows
+    delay = f"{seconds_of(watermark) + 2 * sl + h} seconds"
     s = events.select(F.col(key).alias("entity_id"), F.col(ts).alias("ts"), F.col(kind_col).alias("kind"),
                       F.col(id_col).alias("row_id"), F.col(flag_col).alias("flag"))
-    day = F.to_date("ts")
-    s = (s.withColumn("_eb", F.pmod(F.xxhash64("entity_id"), F.lit(entity_buckets)))
-         .withColumn("_day", F.when(F.col("kind") == 1, F.array(day))
-                     .otherwise(F.sequence(F.date_sub(day, days), day)))
-         .withColumn("_day", F.explode("_day")))
-    return (s.withWatermark("ts", watermark).groupBy("_eb", "_day")
-            .applyInPandasWithState(feedback_match_state(horizon_us), FEEDBACK_OUT, FEEDBACK_STATE,
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+    n = F.floor(F.unix_micros("ts") / F.lit(sl * 1_000_000)).cast("long")
+    s = s.withColumn("_n", n).withColumn("_s", F.explode(
+        F.when(F.col("kind") == 0, F.sequence(F.col("_n") - back, F.col("_n"))).otherwise(F.array("_n"))))
+    s = s.withColumn("closes", F.timestamp_seconds((F.col("_s") + 1) * sl + h))
+    row = F.struct("ts", "row_id", "flag")
+    truth = F.col("kind") == 0
+    state = (s.withWatermark("closes", delay).groupBy("entity_id", "closes")
+             .agg(F.collect_list(F.when(F.col("kind") == 1, row)).alias("preds"),
+                  F.collect_list(F.when(truth & (F.col("_s") == F.col("_n")), row)).alias("truths"),
+                  F.min(F.when(truth & (F.col("_s") < F.col("_n")), row)).alias("later")))
+    d = state.select("entity_id", F.explode("preds").alias("p"), "truths", "later")
+    first = F.coalesce(F.array_min(F.filter("truths", lambda t: t["ts"] >= F.col("p.ts"))), F.col("later"))
+    d = d.select("entity_id", "p", first.alias("t"))
+    d = d.where(F.col("t").isNotNull() & (F.unix_micros("t.ts") - F.unix_micros("p.ts") <= h * 1_000_000))
+    return d.select("entity_id", F.col("p.row_id").alias("prediction_id"), F.col("t.row_id").alias("feedback_id"),
+                    F.col("p.ts").alias("ts"), F.col("t.ts").alias("feedback_ts"),
+                    F.col("p.flag").alias("predicted_churn"), F.col("t.flag").alias("actual_churn"))
 
 
-def horizon_days(horizon: str) -> int:
-    """Whole days a horizon like '1 day' / '36 hours' spans (rounded up)."""
-    n, unit = horizon.split()[:2]
-    hours = float(n) * {"day": 24, "days": 24, "hour": 1, "hours": 1}[unit.lower()]
-    return max(1, int(-(-hours // 24)))
+# --- STR7 ------------------------------------------------------------------------
 
+def version_path(base: str, epoch: int) -> str:
+    return os.path.join(base, f"v{epoch:08d}")
 
-# --- STR7 ------------------------------------------------------------------------
 
 def latest_n_sink(base: str, ts: str, id_col: str, n: int = C.LOG_CAPACITY):
-    """STR7: keep the newest ``n`` rows.  Each micro-batch unions the previous
-    version with the batch, keeps the top ``n`` (TakeOrderedAndProject) and
-    writes version ``v<epoch>``; plain parquet has no MERGE, so versions are
-    directories and readers take the highest."""
+    """STR7: keep the newest ``n`` rows.  Each micro-batch unions the newest
+    complete version *below* its epoch with the batch, keeps the top ``n``
+    (TakeOrderedAndProject) and writes version ``v<epoch>``; plain parquet has no
+    MERGE, so versions are directories and readers take the highest.  A repeated
+    epoch reads what it read before and replaces its own version."""
     def handle(batch: DataFrame, epoch: int):
         spark = batch.sparkSession
-        prev = latest_version(spark, base)
+        prev = latest_version(spark, base, below=epoch)
         cur = batch if prev is None else spark.read.parquet(prev).unionByName(batch)
-        SM.last_n(cur, ts, id_col, n).write.mode("overwrite").parquet(os.path.join(base, f"v{epoch:08d}"))
+        SM.last_n(cur, ts, id_col, n).write.mode("overwrite").parquet(version_path(base, epoch))
     return handle
 
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
+def latest_version(spark: SparkSession, base: str, below: int | None = None) -> str | None:
+    """The newest complete version, of those before epoch ``below`` when given."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(base)
@@ -269,5 +212,6 @@ def latest_version(spark: SparkSession, base: str) -> str | None:
     if not fs.exists(p):
         return None
     names = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("v"))
-    done = [nm for nm in names if fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(base, nm, "_SUCCESS")))]
+    done = [nm for nm in names if (below is None or int(nm[1:]) < below)
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(base, nm, "_SUCCESS")))]
     return os.path.join(base, done[-1]) if done else None
