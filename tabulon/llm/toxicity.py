@@ -5,7 +5,8 @@
    prior of a unit is its share of the whole sample), with its z-score.  A unit
    is a word or the first 4, 5 or 6 letters of a longer word, so inflected and
    compounded forms of one stem are learnt together.  Units with ``|z|`` of at
-   least ``min_z`` are kept, at most ``max_units`` (the model's stated size).
+   least ``min_z`` and log-odds of at least ``min_log_odds`` are kept, at most
+   ``max_units`` (the model's stated size).
 2. *Segments*: a text is a sequence of token scores; a token takes the log-odds
    of its most certain unit, or the small negative ``background``.  One linear
    scan (stack of candidates over running sums) finds all maximal-scoring
@@ -25,7 +26,7 @@ most ``max_units`` rows.
 Defined results: a null or empty text has no segment and gets the calibrated
 score of such documents; without labels of both classes the lexicon is empty
 and every score is 0; repeated labels of one id count once (toxic wins), null
-labels and ids are skipped, repeated texts teach once.
+labels and ids are skipped, near-copies teach once.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ class ToxicityConfig:
     max_labelled: int = 30_000     # labelled documents that teach
     max_units: int = 50_000        # lexicon size
     min_z: float = 3.0             # certainty of a lexicon unit
+    min_log_odds: float = 1.5      # a weaker unit says nothing about a passage
     min_documents: int = 3         # documents a unit must occur in
     prior_weight: float = 50.0     # pseudo-documents of the Dirichlet prior
     background: float = -0.15      # score of a token without a lexicon unit
@@ -151,9 +153,31 @@ def _teachers(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig, id_col: s
            .where(F.crc32(F.col("_id").cast("string")) % 5 != 0)
            .orderBy(F.xxhash64("_id"), "_id").limit(cfg.max_labelled))
     d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).where("_text is not null")
-    rows = d.join(F.broadcast(lab), "_id")       # at most max_labelled rows
-    return rows.withColumn("_h", F.md5("_text")).dropDuplicates(["_h", "_toxic"]).select(
-        "_text", "_toxic", (F.crc32(F.col("_id").cast("string")) % 5 == 4).alias("_check"))
+    rows = settled(d.join(F.broadcast(lab), "_id").mapInArrow(_sketched, "_id string, _text string, _toxic int, _k array<long>"))  # at most max_labelled ids
+    # near-copies would teach every word of theirs: of the texts that share a minimum one teaches
+    some = rows.select("_id", "_toxic", "_k")
+    for i in range(_SKETCH):
+        some = some.groupBy(F.col("_k")[i], "_toxic").agg(F.min(F.struct("_id", "_k")).alias("_m")).select(
+            F.col("_m._id").alias("_id"), "_toxic", F.col("_m._k").alias("_k"))
+    return rows.join(F.broadcast(some.select("_id")), "_id").select(
+        "_text", "_toxic", (F.crc32("_id") % 5 == 4).alias("_check"))
+
+
+#: independent minima by which near-copies among the teachers are recognised
+_SKETCH = 4
+
+
+def _sketched(batches: Iterable) -> Iterator:
+    import pyarrow as pa
+    from tabulon.llm.near_copies import MinHashConfig, Minima, shingle_set
+    minima = Minima(MinHashConfig(bands=_SKETCH, rows=1))
+    for b in batches:
+        keys = []
+        for x in b.column(1):
+            s = shingle_set(x.as_py(), 5)
+            keys.append(minima.of(s).astype("int64").tolist() if len(s) else [-1] * _SKETCH)
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))],
+                                         names=["_id", "_text", "_toxic", "_k"])
 
 
 def _unit_counts(batches: Iterable) -> Iterator:
@@ -193,7 +217,7 @@ def _lexicon(train: DataFrame, cfg: ToxicityConfig) -> tuple[dict, list]:
     z = delta / F.sqrt(1 / yt + 1 / yc)
     # a unit in almost every document says nothing and has no finite odds
     kept = (counts.where((rest_t > 0) & (rest_c > 0)).select("unit", "t", "c", delta.alias("d"), z.alias("z"))
-            .where(F.abs("z") >= cfg.min_z).orderBy(F.abs("z").desc(), "unit").limit(cfg.max_units))
+            .where((F.abs("z") >= cfg.min_z) & (F.abs("d") >= cfg.min_log_odds)).orderBy(F.abs("z").desc(), "unit").limit(cfg.max_units))
     rows = kept.collect()                                # bounded by max_units
     return {r["unit"]: (float(r["d"]), abs(float(r["z"]))) for r in rows}, [nt, nc]
 
