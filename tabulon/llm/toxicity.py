@@ -48,12 +48,12 @@ from tabulon.llm.common import no_clash, settled, small_batches
 class ToxicityConfig:
     max_labelled: int = 30_000     # labelled documents that teach
     max_units: int = 50_000        # lexicon size
-    min_z: float = 3.0             # certainty of a lexicon unit
+    min_z: float = 2.8             # certainty of a lexicon unit
     min_log_odds: float = 1.5      # a weaker unit says nothing about a passage
     min_documents: int = 3         # documents a unit must occur in
-    prior_weight: float = 50.0     # pseudo-documents of the Dirichlet prior
+    prior_share: float = 0.1       # pseudo-documents of the Dirichlet prior, as a share of the teachers
     background: float = -0.15      # score of a token without a lexicon unit
-    max_e: float = 0.05            # expected null segments at a significant score
+    max_e: float = 0.002           # expected null segments at a significant score
     cache_entries: int = 200_000
 
 
@@ -210,9 +210,10 @@ def _lexicon(train: DataFrame, cfg: ToxicityConfig) -> tuple[dict, list]:
     if not nt or not nc:
         return {}, []
     # documents with and without the unit, each side with the prior's pseudo-documents
-    a = F.lit(cfg.prior_weight) * (F.col("t") + F.col("c")) / F.lit(float(nt + nc))
+    weight = cfg.prior_share * (nt + nc)
+    a = F.lit(weight) * (F.col("t") + F.col("c")) / F.lit(float(nt + nc))
     yt, yc = F.col("t") + a, F.col("c") + a
-    rest_t, rest_c = F.lit(nt + cfg.prior_weight) - yt, F.lit(nc + cfg.prior_weight) - yc
+    rest_t, rest_c = F.lit(nt + weight) - yt, F.lit(nc + weight) - yc
     delta = F.log(yt / rest_t) - F.log(yc / rest_c)
     z = delta / F.sqrt(1 / yt + 1 / yc)
     # a unit in almost every document says nothing and has no finite odds
@@ -294,6 +295,11 @@ def _statistic(model: ToxicityModel) -> F.Column:
     return F.aggregate(F.filter(x, lambda v: v >= -math.log(model.config.max_e)), F.lit(0.0), lambda a, v: a + v)
 
 
+#: Where the logistic fit starts and, with few documents, stays: even odds at a
+#: statistic of 9, about one clear word in a text of ordinary length.
+_LOGISTIC_PRIOR = (0.55, -5.0)
+
+
 def _calibrate(model: ToxicityModel, seg: DataFrame) -> None:
     """Logistic fit of the label on the statistic, over at most 129 bins."""
     both = seg.groupBy("check").agg(F.countDistinct("toxic").alias("k")).where("check and k = 2").count()
@@ -301,7 +307,8 @@ def _calibrate(model: ToxicityModel, seg: DataFrame) -> None:
     bins = (d.select(F.least(F.floor(_statistic(model) * 2), F.lit(128)).alias("b"), "toxic").groupBy("b")
             .agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect())
     pts = [(r["b"] / 2.0, float(r["t"]), float(r["n"])) for r in bins]
-    w, b, ridge = 0.5, -3.0, 0.01
+    w, b, ridge = *_LOGISTIC_PRIOR, 1.0
+    w0, b0 = _LOGISTIC_PRIOR
     for _ in range(100):                       # Newton steps of a two-parameter fit
         gw = gb = hww = hwb = hbb = 0.0
         for x, t, n in pts:
@@ -310,7 +317,7 @@ def _calibrate(model: ToxicityModel, seg: DataFrame) -> None:
             g, h = (n * p - t) + (p - 0.5) / len(pts), (n + 1 / len(pts)) * p * (1 - p)
             gw, gb = gw + g * x, gb + g
             hww, hwb, hbb = hww + h * x * x, hwb + h * x, hbb + h
-        gw, gb, hww, hbb = gw + ridge * w, gb + ridge * (b + 3), hww + ridge, hbb + ridge
+        gw, gb, hww, hbb = gw + ridge * (w - w0), gb + ridge * (b - b0), hww + ridge, hbb + ridge
         det = hww * hbb - hwb * hwb
         dw, db = (hbb * gw - hwb * gb) / det, (hww * gb - hwb * gw) / det
         step = min(1.0, 2.0 / max(abs(dw), abs(db), 1e-9))
