@@ -82,7 +82,20 @@ def op5_packing(spark, sf_dir):
                           capacity=2048, keep=["doc_id"])
 
 
-@query("op10_minhash_near_copies")
+@query("op10_minhash_near_copies", sql=r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1),
+    lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles FROM w),
+e AS (SELECT doc_id, unnest(shingles) AS x FROM s),
+size AS (SELECT doc_id, len(shingles) AS n FROM s),
+pair AS (SELECT a.doc_id AS u, b.doc_id AS w, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT u, w FROM pair JOIN size p ON p.doc_id = u JOIN size q ON q.doc_id = w WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+link AS (SELECT u, w FROM half UNION SELECT w, u FROM half),
+reach(u, w) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.w FROM reach r JOIN link l ON r.w = l.u),
+low AS (SELECT u, min(w) AS c FROM reach GROUP BY u)
+SELECT doc_id, n AS n_shingles, c AS component_id, c = doc_id AS kept FROM size JOIN low ON u = doc_id
+""")
 def op10_minhash_near_copies(spark, sf_dir):
     """Operator 10: near-copy components of all documents (4-word shingles)."""
     from tabulon.llm.near_copies import MinHashConfig, near_copies
@@ -96,7 +109,18 @@ def op3_nearest_vectors(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-@query("op9_near_vectors")
+@query("op9_near_vectors", sql="""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN link l ON r.w = l.u),
+low AS (SELECT u, min(w) AS c FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, c = vec_id AS kept
+FROM embeddings JOIN low ON low.u = vec_id LEFT JOIN n ON n.u = vec_id
+""")
 def op9_near_vectors(spark, sf_dir):
     """Operator 9: near-duplicate components of all vectors."""
     from tabulon.llm.near_vectors import near_vectors
