@@ -10,10 +10,13 @@
 3. *Stars first*: in every bucket each class is paired with the smallest one
    only; the pairs are confirmed on full sets and give first components.  A
    bucket of near-copies is one component then, without its n^2 pairs.
-4. *What is left*: buckets that still hold several components are compared
-   member by member in blocks, on signatures (agreeing minima), skipping pairs
-   of one component.  Pairs whose estimate is within ``slack`` of the threshold
-   are confirmed on full sets like the others.  No bucket is cut or dropped.
+4. *What is left*: members of buckets that still hold several components are
+   compared in blocks, on signatures (agreeing minima).  Pairs whose estimate is
+   within ``slack`` of the threshold join components into *groups*; a block
+   writes at most one edge per member.  All members of a group are then compared
+   on full sets, in pairs of blocks, and again a block writes at most one true
+   link per member.  No bucket or group is cut or dropped, and no n^2 pairs are
+   written.
 5. Connected components of all confirmed links (alternating large-star and
    small-star) give the result.
 
@@ -104,14 +107,14 @@ def _signatures(cfg: MinHashConfig):
 
         import numpy as np
         import pyarrow as pa
-        minima = Minima(cfg)
+        minima = Minima(cfg)                     # 16 bits of each are kept: enough to propose pairs
         for b in batches:
             size, key, sig = [], [], []
             for x in b.column(1):
                 s = shingle_set(x.as_py(), cfg.words)
                 size.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(minima.of(s).astype("<u4").tobytes() if len(s) else None)
+                sig.append((minima.of(s) & np.uint64(0xFFFF)).astype("<u2").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
                 names=["id", "n_shingles", "set_key", "sig"])
@@ -124,7 +127,7 @@ def _band_keys(cfg: MinHashConfig):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
-        width = 4 * cfg.rows
+        width = 2 * cfg.rows
         for b in batches:
             ids = b.column(0)
             keys = np.array([[xxh3_64_intdigest(s[i * width:(i + 1) * width], seed=i) for i in range(cfg.bands)]
@@ -135,33 +138,102 @@ def _band_keys(cfg: MinHashConfig):
     return run
 
 
-def _block_pairs(cfg: MinHashConfig):
-    """Candidate pairs of one pair of blocks of a bucket, by signatures."""
+def _roots(n: int):
+    """Union-find over 0 .. n-1: (find, join); the smaller index is the root."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(i: int, j: int) -> bool:
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+        return i != j
+    return find, join
+
+
+def _seeded(comp):
+    """Union-find in which members of one component are together already."""
+    import numpy as np
+    find, join = _roots(len(comp))
+    _, first, inv = np.unique(comp, return_index=True, return_inverse=True)
+    for i, j in enumerate(first[inv].tolist()):
+        join(i, j)
+    return find, join
+
+
+def _edges(ids, us, vs):
+    import numpy as np
+    import pyarrow as pa
+    u, v = ids[np.array(us, np.int64)], ids[np.array(vs, np.int64)]
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def _likely(cfg: MinHashConfig):
+    """A forest over the components of one pair of blocks of a bucket: at most
+    one edge per member, from pairs whose signatures agree enough."""
     least = cfg.percent / 100.0 - cfg.slack
 
     def run(t):
         import numpy as np
-        import pyarrow as pa
         n = t.num_rows
-        ids = t.column("id").to_numpy()
-        comp = t.column("comp").to_numpy()
-        first, second = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        blk = t.column("blk").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(n, -1)
-        left = np.flatnonzero(blk == first)
-        right = np.flatnonzero(blk == second)
+        ids, blk = t.column("id").to_numpy(), t.column("blk").to_numpy()
+        find, join = _seeded(t.column("comp").to_numpy())
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(n, -1)
+        left, right = (np.flatnonzero(blk == t.column(c)[0].as_py()) for c in ("lo", "hi"))
         us, vs = [], []
         for i in left.tolist():
-            other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if first == second else True)]
-            if len(other):
-                ok = other[(sig[other] == sig[i]).mean(axis=1) >= least]
-                us += [ids[i]] * len(ok)
-                vs += ids[ok].tolist()
-        u, v = np.array(us, np.int64), np.array(vs, np.int64)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            near = right[(sig[right] == sig[i]).mean(axis=1) >= least]
+            for j in near.tolist():
+                if join(i, j):
+                    us.append(i)
+                    vs.append(j)
+        return _edges(ids, us, vs)
     return run
 
 
+def _links_of_block(cfg: MinHashConfig):
+    """True links between the components of one pair of blocks, a forest again.
+    An index from shingles to members counts all common shingles of a member
+    at once."""
+    def run(t):
+        import numpy as np
+        ids, blk, comp = (t.column(c).to_numpy() for c in ("id", "blk", "comp"))
+        if len(np.unique(comp)) < 2:
+            return _edges(ids, [], [])
+        find, join = _seeded(comp)
+        sets = [shingle_set(x.as_py(), cfg.words) for x in t.column("text")]
+        size = np.array([len(x) for x in sets])
+        _, name = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        by_name = np.argsort(name, kind="stable")
+        holders, begin = owner[by_name], np.r_[0, np.cumsum(np.bincount(name))]
+        own = np.r_[0, np.cumsum(size)]
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        us, vs = [], []
+        for i in np.flatnonzero(blk == lo).tolist():
+            mine = name[own[i]:own[i + 1]]
+            both = np.bincount(np.concatenate([holders[begin[x]:begin[x + 1]] for x in mine.tolist()]), minlength=len(sets))
+            link = (100 * both >= cfg.percent * (size[i] + size - both)) & (blk == hi)
+            for j in np.flatnonzero(link).tolist():
+                if join(i, j):
+                    us.append(i)
+                    vs.append(j)
+        return _edges(ids, us, vs)
+    return run
+
+
+def _in_blocks(members: DataFrame, key: str, size: int) -> DataFrame:
+    """Members of a group dealt into blocks, once for every pair of blocks."""
+    n = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("long").alias("nb"))
+    d = members.join(n, key).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")))
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    return d.withColumn("lo", F.least("blk", "_o")).withColumn("hi", F.greatest("blk", "_o")).drop("_o", "nb")
+
+
 def _confirm(cfg: MinHashConfig):
     """True links of rows sorted by centre, each centre's own text first: one
     centre's set is held at a time."""
@@ -229,14 +301,17 @@ def near_copies(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_col: s
 
     named = buckets.join(comp, F.col("id") == F.col("node"), "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
-    left = (named.join(mixed.select("bucket", F.ceil(F.col("n") / F.lit(cfg.block)).cast("long").alias("nb")), "bucket")
-            .join(reps, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))))
-    left = left.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    left = left.withColumn("lo", F.least("blk", "_o")).withColumn("hi", F.greatest("blk", "_o"))
-    more = (left.groupBy("bucket", "lo", "hi").applyInArrow(_block_pairs(cfg), "u long, v long")
-            .distinct().join(stars, ["u", "v"], "left_anti"))
-    links2 = confirm_links(settled(more), texts, cfg)
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
+    # signatures are small: larger blocks, so that each is sent to fewer pairs of blocks
+    left = _in_blocks(named.join(mixed, "bucket"), "bucket", 4 * cfg.block).join(reps, "id")
+    likely = settled(left.groupBy("bucket", "lo", "hi").applyInArrow(_likely(cfg), "u long, v long").distinct())
+    # whole groups that may link: each member's text is read once per pair of blocks
+    group = connected_components(links.unionByName(likely))
+    open_ = group.join(likely.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+    inside = (group.join(open_, "component").select(F.col("node").alias("id"), F.col("component").alias("group"))
+              .join(comp, F.col("id") == F.col("node"), "left").select("group", "id", F.coalesce("component", "id").alias("comp")))
+    tiles = _in_blocks(inside, "group", cfg.block // 2).join(texts, "id")
+    links2 = tiles.groupBy("group", "lo", "hi").applyInArrow(_links_of_block(cfg), "u long, v long")
 
     same = member.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     final = connected_components(links.unionByName(links2).unionByName(same))
