@@ -12,8 +12,8 @@ for one block of documents and one hash partition, the sorted keys with their
 documents and counts as bytes, because the n-grams of a corpus are many times
 its size when each is a row of its own.
 
-1. Unigrams, packed per (block, hash partition of the word), are summed per
-   partition.  Words that hold at least 1 / (4 P) of all tokens, so at most
+1. Unigrams, packed per (block, hash partition of the word), are summed to one
+   row per partition.  Words that hold at least 1 / (4 P) of all tokens, so at most
    ``4 P`` words for ``P`` partitions, are *hot*; they alone are broadcast.
 2. Bigrams go to the partition of their first word, those of a hot first word
    to the partition of the whole bigram, so no word fills a partition.  A
@@ -144,17 +144,25 @@ def _summed(t, width: int):
     return u, np.bincount(inv, count, len(u)).astype(np.int64)
 
 
-def _totals(cfg: BackoffConfig, n_parts: int):
+def _reduced(t):
+    """All packed unigram rows of a partition as one row."""
+    import pyarrow as pa
+    u, n = _summed(t, KEY_BYTES)
+    return pa.Table.from_batches([_row_batch([{"part": t.column("part")[0].as_py(), "kind": "total", "block": -1,
+                                               "a": _pack(u, KEY_BYTES), "b": n.astype("<i8").tobytes()}])])
+
+
+def _totals(batches: Iterable) -> Iterator:
     """Per partition: its tokens, and the words that may be hot (at most 8)."""
-    def run(t):
-        import numpy as np
-        import pyarrow as pa
-        u, n = _summed(t, KEY_BYTES)
-        top = np.argsort(-n, kind="stable")[:8] if len(n) <= 8 else np.argpartition(-n, 8)[:8]
-        part = t.column("part")[0].as_py()
-        return pa.table({"part": pa.array([part] * (1 + len(top)), pa.int64()), "key": pa.array([-1, *u[top].astype(np.int64).tolist()], pa.int64()),
-                         "n": pa.array([int(n.sum()), *n[top].tolist()], pa.int64())})
-    return run
+    import numpy as np
+    import pyarrow as pa
+    for batch in batches:
+        for r in batch.to_pylist():
+            u, n = _unpack(r["a"], KEY_BYTES), np.frombuffer(r["b"], "<i8")
+            top = np.argsort(-n, kind="stable")[:8]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["part"]] * (1 + len(top)), pa.int64()), pa.array([-1, *u[top].astype(np.int64).tolist()], pa.int64()),
+                 pa.array([int(n.sum()), *n[top].tolist()], pa.int64())], names=["part", "key", "n"])
 
 
 def _bigram_rows(cfg: BackoffConfig, n_parts: int, hot):
@@ -190,19 +198,24 @@ def _bigram_rows(cfg: BackoffConfig, n_parts: int, hot):
                 yield _row_batch([{
                     "part": p, "kind": "pairs", "block": block,
                     # a hot word's own partition is not this one: it is stored with it
-                    "a": _pack(first, KEY_BYTES) + _part(first, n_parts).astype("<u4").tobytes(),
+                    "a": _pack(first, KEY_BYTES) + _part(first, n_parts).astype(_part_type(n_parts)).tobytes(),
                     "b": np.diff(np.r_[np.searchsorted(nw, nv), len(nw)]).astype("<u4").tobytes(),
-                    "c": _pack(w[s:e][nw], KEY_BYTES) + _part(w[s:e][nw], n_parts).astype("<u4").tobytes(),
+                    "c": _pack(w[s:e][nw], KEY_BYTES) + _part(w[s:e][nw], n_parts).astype(_part_type(n_parts)).tobytes(),
                     "d": np.diff(np.r_[nw, e - s]).astype("<u4").tobytes(),
                     "e": doc[s:e].astype("<u2").tobytes() + count[s:e].astype("<u4").tobytes()}])
     return run
 
 
-def _names(raw: bytes, cfg: BackoffConfig, n_parts: int):
+def _part_type(n_parts: int) -> str:
+    return "<u1" if n_parts <= 2**8 else "<u2" if n_parts <= 2**16 else "<u4"
+
+
+def _names(raw: bytes, n_parts: int):
     """Whole names (key times partitions plus partition) of packed words."""
     import numpy as np
-    n = len(raw) // (KEY_BYTES + 4)
-    return _unpack(raw[:n * KEY_BYTES], KEY_BYTES) * np.uint64(n_parts) + np.frombuffer(raw[n * KEY_BYTES:], "<u4").astype(np.uint64)
+    kind = np.dtype(_part_type(n_parts))
+    n = len(raw) // (KEY_BYTES + kind.itemsize)
+    return _unpack(raw[:n * KEY_BYTES], KEY_BYTES) * np.uint64(n_parts) + np.frombuffer(raw[n * KEY_BYTES:], kind).astype(np.uint64)
 
 
 def _add_sums(rows: list, block_of, doc, value, n_parts: int) -> None:
@@ -226,8 +239,8 @@ def _score_pairs(cfg: BackoffConfig, n_parts: int, hot, tokens: int):
         for r in t.to_pylist():
             n = len(r["e"]) // 6
             per_v, per_w = np.frombuffer(r["b"], "<u4"), np.frombuffer(r["d"], "<u4")
-            v.append(np.repeat(np.repeat(_names(r["a"], cfg, n_parts), per_v), per_w))
-            w.append(np.repeat(_names(r["c"], cfg, n_parts), per_w))
+            v.append(np.repeat(np.repeat(_names(r["a"], n_parts), per_v), per_w))
+            w.append(np.repeat(_names(r["c"], n_parts), per_w))
             doc.append(np.frombuffer(r["e"][:2 * n], "<u2"))
             count.append(np.frombuffer(r["e"][2 * n:], "<u4"))
             block.append(np.full(n, r["block"], np.int64))
@@ -246,14 +259,14 @@ def _score_pairs(cfg: BackoffConfig, n_parts: int, hot, tokens: int):
         scored = w != np.uint64(_START)
         seen = scored & (pairs > count)
         rows: list = []
-        value = count[seen] * np.log((pairs[seen] - count[seen]) / firsts[id_v][seen])
-        _add_sums(rows, block[seen], doc[seen], value, n_parts)
+        sums = [(block[seen], doc[seen], count[seen] * np.log((pairs[seen] - count[seen]) / firsts[id_v][seen]))]
         off = scored & ~seen
         w, doc, count, block = w[off], doc[off], count[off], block[off]
         known = np.isin(w, np.array(list(table), np.uint64))
         if known.any():
             c = np.array([table[int(x)] for x in w[known]], np.float64)
-            _add_sums(rows, block[known], doc[known], count[known] * np.log(cfg.alpha * c / tokens), n_parts)
+            sums.append((block[known], doc[known], count[known] * np.log(cfg.alpha * c / tokens)))
+        _add_sums(rows, *(np.concatenate(x) for x in zip(*sums)), n_parts)
         w, doc, count, block = w[~known], doc[~known], count[~known], block[~known]
         part = (w % np.uint64(n_parts)).astype(np.int64)
         o = np.lexsort((w, block, part))
@@ -272,18 +285,28 @@ def _score_words(cfg: BackoffConfig, n_parts: int, tokens: int):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        if t.column("part")[0].as_py() >= n_parts:
-            return t
-        keys, total = _summed(t.filter(pc.equal(t.column("kind"), "count")), KEY_BYTES)
         rows: list = []
+        if t.column("part")[0].as_py() >= n_parts:
+            # a block's rows meet here: its sums become one row
+            own = t.filter(pc.equal(t.column("kind"), "docs"))
+            by_block: dict[int, list] = {}
+            for r in t.filter(pc.equal(t.column("kind"), "sums")).to_pylist():
+                by_block.setdefault(r["block"], []).append((r["a"], r["b"]))
+            for block, parts in by_block.items():
+                parts.sort()                                     # the same order in every run
+                doc = np.concatenate([np.frombuffer(a, "<u2") for a, _ in parts]).astype(np.int64)
+                value = np.concatenate([np.frombuffer(b, "<f8") for _, b in parts])
+                _add_sums(rows, np.full(len(doc), block), doc, value, n_parts)
+            return pa.concat_tables([own, pa.Table.from_batches([_row_batch(rows)]).cast(own.schema)])
         asks = t.filter(pc.equal(t.column("kind"), "ask")).to_pylist()
         if asks:
+            total = t.filter(pc.equal(t.column("kind"), "total")).to_pylist()[0]
+            keys, n = _unpack(total["a"], KEY_BYTES), np.frombuffer(total["b"], "<i8")
             w = np.concatenate([_unpack(r["a"], KEY_BYTES) for r in asks])
             doc = np.concatenate([np.frombuffer(r["b"], "<u2") for r in asks]).astype(np.int64)
             count = np.concatenate([np.frombuffer(r["c"], "<u4") for r in asks])
             block = np.repeat(np.array([r["block"] for r in asks]), [len(r["b"]) // 2 for r in asks])
-            value = count * np.log(cfg.alpha * total[np.searchsorted(keys, w)] / tokens)
-            _add_sums(rows, block, doc, value, n_parts)
+            _add_sums(rows, block, doc, count * np.log(cfg.alpha * n[np.searchsorted(keys, w)] / tokens), n_parts)
         return pa.Table.from_batches([_row_batch(rows)])
     return run
 
@@ -310,9 +333,8 @@ def backoff_scores(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col
     n_parts = max(1, math.ceil((size or 0) / cfg.partition_bytes))
     if n_parts >= 2**23:
         raise ValueError("more partitions than word names can hold: raise partition_bytes")
-    uni = settled(src.mapInArrow(_unigram_rows(cfg, n_parts), _ROW))
-    top = uni.groupBy("part").applyInArrow(_totals(cfg, n_parts), "part long, key long, n long")
-    top = settled(top)                                           # at most 9 rows a partition
+    uni = settled(src.mapInArrow(_unigram_rows(cfg, n_parts), _ROW).groupBy("part").applyInArrow(_reduced, _ROW))
+    top = settled(uni.mapInArrow(_totals, "part long, key long, n long"))     # at most 9 rows a partition
     tokens = top.where("key = -1").agg(F.sum("n")).first()[0] or 1
     hot_rows = top.where("key <> -1").where(F.col("n") >= tokens / (4.0 * n_parts)).collect()
     # at most 4 P words, and the document start, whose name is 0 in any partitioning
