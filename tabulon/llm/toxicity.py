@@ -14,10 +14,11 @@
    them enter as single sums.
 3. *Calibration*: the null rate of segments follows the extreme-value law
    ``E = K n exp(-lambda S)``.  ``lambda`` solves ``sum p e^(lambda s) = 1`` on
-   the clean token scores, ``K`` is counted on clean documents.  A segment is
-   significant when ``E <= max_e``; their normalised scores
-   ``lambda S - ln(K n)`` are summed per document and a one-variable logistic
-   fit on labelled documents that did not build the lexicon gives the score.
+   the clean token scores, ``K`` is counted on clean documents.  The normalised
+   scores ``lambda S - ln(K n)`` of the segments with ``E <= sum_e`` are summed
+   per document, and a one-variable logistic fit on labelled documents that did
+   not build the lexicon gives the score.  Only a segment with ``E <= max_e`` is
+   significant, that is, reported as a passage.
 
 The labelled rows are a sample bounded by ``max_labelled`` (smallest hashes of
 the id); every document is scored whole.  What is broadcast is the lexicon, at
@@ -53,7 +54,8 @@ class ToxicityConfig:
     min_documents: int = 3         # documents a unit must occur in
     prior_share: float = 0.1       # pseudo-documents of the Dirichlet prior, as a share of the teachers
     background: float = -0.15      # score of a token without a lexicon unit
-    max_e: float = 0.002           # expected null segments at a significant score
+    sum_e: float = 1.0             # expected null segments at a score that counts for the document
+    max_e: float = 0.002           # expected null segments at a significant score (a reported passage)
     cache_entries: int = 200_000
 
 
@@ -138,14 +140,20 @@ def segments_of(text: str, table: TokenScores) -> tuple[int, list[tuple[int, int
     return len(chunks), maximal_segments(np.fromiter(map(table.__getitem__, chunks), np.float64, len(chunks)))
 
 
-def significant(n: int, segments, model: ToxicityModel) -> list[tuple[int, int, float]]:
-    """(start, end, normalised score) of the segments that pass ``max_e``."""
-    floor = -math.log(model.config.max_e)
+def normalised(n: int, segments, model: ToxicityModel) -> list[tuple[int, int, float]]:
+    """(start, end, normalised score) of the segments that pass ``sum_e``."""
+    floor = -math.log(model.config.sum_e)
     base = math.log(model.k * max(n, 1))
     out = [(a, b, model.lam * s - base) for a, b, s in segments]
     return [x for x in out if x[2] >= floor]
 
 
+def significant(segments, model: ToxicityModel) -> list[tuple[int, int, float]]:
+    """Those of the normalised segments that pass ``max_e``."""
+    floor = -math.log(model.config.max_e)
+    return [x for x in segments if x[2] >= floor]
+
+
 def _teachers(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig, id_col: str, text: str, label: str) -> DataFrame:
     """A bounded, deterministic sample of labelled documents, one row per text."""
     lab = (labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_toxic"))
@@ -289,10 +297,10 @@ def _scored(model: ToxicityModel):
 
 
 def _statistic(model: ToxicityModel) -> F.Column:
-    """Sum of the normalised scores of significant segments, in Spark."""
+    """Sum of the normalised scores of the segments that count, in Spark."""
     base = F.log(F.lit(model.k) * F.greatest("n", F.lit(1)))
     x = F.transform("seg", lambda s: F.lit(model.lam) * s - base)
-    return F.aggregate(F.filter(x, lambda v: v >= -math.log(model.config.max_e)), F.lit(0.0), lambda a, v: a + v)
+    return F.aggregate(F.filter(x, lambda v: v >= -math.log(model.config.sum_e)), F.lit(0.0), lambda a, v: a + v)
 
 
 #: Where the logistic fit starts and, with few documents, stays: even odds at a
@@ -355,8 +363,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
             for x in b.column(width):
                 x = x.as_py()
                 n, seg = segments_of(x, scores) if x and m.units else (0, [])
-                sig = significant(n, seg, m) if seg else []
-                p.append(m.probability(sum(v for _, _, v in sig)) if m.units else 0.0)
+                seg = normalised(n, seg, m) if seg else []
+                sig = significant(seg, m)
+                p.append(m.probability(sum(v for _, _, v in seg)) if m.units else 0.0)
                 k.append(len(sig))
                 found.append([{"begin": a, "end": e, "score": v} for a, e, v in sig])
             cols = [*b.columns[:width], pa.array(p, pa.float64()), pa.array(k, pa.int32())]

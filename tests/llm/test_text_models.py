@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.backoff import BackoffConfig, backoff_scores
 from tabulon.llm.mixing import MixConfig, apply_mix, mix_documents
-from tabulon.llm.toxicity import ToxicityConfig, fit_toxicity, maximal_segments, score_toxicity
+from tabulon.llm.toxicity import ToxicityConfig, ToxicityModel, _statistic, fit_toxicity, maximal_segments, score_toxicity
 
 
 def segments_by_definition(s):
@@ -89,6 +89,22 @@ def test_toxicity_without_labels_or_rows(spark):
     assert score_toxicity(df.limit(0), fit_toxicity(df, lab, ToxicityConfig(min_z=0.5))).count() == 0
 
 
+def test_weak_segments_add_up(spark):
+    """Many toxic words, none of them significant alone: the document counts them all."""
+    model = ToxicityModel({"=slur": (1.6, 9.0), "=vile": (4.0, 9.0)}, ToxicityConfig(), lam=2.5, k=0.03, weight=0.55, bias=-5.0)
+    gap = " ".join(["word"] * 20)
+    weak = f"{gap} slur " * 6
+    df = spark.createDataFrame([(0, gap), (1, weak), (2, f"{gap} slur"), (3, f"{gap} vile {gap}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in score_toxicity(df, model, keep=["doc_id"], passages=True).collect()}
+    assert [got[i].predicted for i in range(4)] == [0, 1, 0, 1]
+    assert [got[i].n_passages for i in range(4)] == [0, 0, 0, 1] and got[1].passages == []
+    # the sum that the calibration sees is the one that is scored
+    n, x = len(weak.split()), 2.5 * 1.6
+    seg = spark.createDataFrame([(n, [1.6] * 6)], "n long, seg array<double>")
+    t = seg.select(_statistic(model)).first()[0]
+    assert t == pytest.approx(6 * (x - math.log(0.03 * n))) and got[1].score == pytest.approx(model.probability(t))
+
+
 def backoff_brute(rows, alpha=0.4):
     docs = [(i, (t or "").encode().lower().split()) for i, t in rows]
     uni, bi = collections.Counter(), collections.Counter()
