@@ -27,7 +27,8 @@ most ``max_units`` rows.
 Defined results: a null or empty text has no segment and gets the calibrated
 score of such documents; without labels of both classes the lexicon is empty
 and every score is 0; repeated labels of one id count once (toxic wins), null
-labels and ids are skipped, near-copies teach once.
+labels and ids are skipped; of teachers of one label that share at least 0.8 of
+their five-word shingles (estimated) the smallest id teaches.
 """
 
 from __future__ import annotations
@@ -155,35 +156,46 @@ def significant(segments, model: ToxicityModel) -> list[tuple[int, int, float]]:
 
 
 def _teachers(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig, id_col: str, text: str, label: str) -> DataFrame:
-    """A bounded, deterministic sample of labelled documents, one row per text."""
+    """A bounded, deterministic sample of labelled documents without near-copies."""
     lab = (labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_toxic"))
            .dropna().groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
            .where(F.crc32(F.col("_id").cast("string")) % 5 != 0)
            .orderBy(F.xxhash64("_id"), "_id").limit(cfg.max_labelled))
     d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).where("_text is not null")
-    rows = settled(d.join(F.broadcast(lab), "_id").mapInArrow(_sketched, "_id string, _text string, _toxic int, _k array<long>"))  # at most max_labelled ids
-    # near-copies would teach every word of theirs: of the texts that share a minimum one teaches
-    some = rows.select("_id", "_toxic", "_k")
-    for i in range(_SKETCH):
-        some = some.groupBy(F.col("_k")[i], "_toxic").agg(F.min(F.struct("_id", "_k")).alias("_m")).select(
-            F.col("_m._id").alias("_id"), "_toxic", F.col("_m._k").alias("_k"))
-    return rows.join(F.broadcast(some.select("_id")), "_id").select(
+    rows = d.join(F.broadcast(lab), "_id").mapInArrow(_sketched, "_id string, _text string, _toxic int, _k array<long>")  # at most max_labelled ids
+    rows = settled(rows.withColumn("_n", F.monotonically_increasing_id()))
+    return rows.join(F.broadcast(_repeats(rows)), "_n", "left_anti").select(
         "_text", "_toxic", (F.crc32("_id") % 5 == 4).alias("_check"))
 
 
-#: independent minima by which near-copies among the teachers are recognised
-_SKETCH = 4
+#: minima by which near-copies among the teachers are recognised: in bands that
+#: propose pairs, and all together as an estimate of their similarity
+_BANDS, _ROWS, _ALIKE = 12, 5, 0.8
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """_n of the teachers that are near-copies of a smaller one of the same label
+    (they would teach every word of theirs again); the smallest of a group stays."""
+    order = F.struct("_id", F.xxhash64("_text").alias("_h"), "_n")
+    bands = F.array(*[F.xxhash64(F.slice("_k", 1 + i * _ROWS, _ROWS)) for i in range(_BANDS)])
+    keys = rows.select("_n", "_toxic", order.alias("_o"), F.posexplode(bands).alias("_b", "_v"))
+    first = keys.groupBy("_b", "_v", "_toxic").agg(F.min("_o").alias("_m"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    pairs = keys.join(first.select("_b", "_v", "_toxic", F.col("_m._n").alias("_f")), ["_b", "_v", "_toxic"])
+    pairs = pairs.where("_n <> _f").select("_n", "_f").distinct()
+    both = pairs.join(rows.select("_n", "_k"), "_n").join(rows.select(F.col("_n").alias("_f"), F.col("_k").alias("_l")), "_f")
+    same = F.aggregate(F.zip_with("_k", "_l", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, v: a + v)
+    return both.where(same >= _ALIKE * _BANDS * _ROWS).select("_n").distinct()
 
 
 def _sketched(batches: Iterable) -> Iterator:
     import pyarrow as pa
     from tabulon.llm.near_copies import MinHashConfig, Minima, shingle_set
-    minima = Minima(MinHashConfig(bands=_SKETCH, rows=1))
+    minima = Minima(MinHashConfig(bands=_BANDS, rows=_ROWS))
     for b in batches:
         keys = []
         for x in b.column(1):
             s = shingle_set(x.as_py(), 5)
-            keys.append(minima.of(s).astype("int64").tolist() if len(s) else [-1] * _SKETCH)
+            keys.append(minima.of(s).astype("int64").tolist() if len(s) else [-1] * (_BANDS * _ROWS))
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))],
                                          names=["_id", "_text", "_toxic", "_k"])
 

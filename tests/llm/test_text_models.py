@@ -1,13 +1,14 @@
 import collections
 import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.llm.backoff import BackoffConfig, backoff_scores
 from tabulon.llm.mixing import MixConfig, apply_mix, mix_documents
-from tabulon.llm.toxicity import ToxicityConfig, ToxicityModel, _statistic, fit_toxicity, maximal_segments, score_toxicity
+from tabulon.llm.toxicity import ToxicityConfig, ToxicityModel, _statistic, _teachers, fit_toxicity, maximal_segments, score_toxicity
 
 
 def segments_by_definition(s):
@@ -89,6 +90,21 @@ def test_toxicity_without_labels_or_rows(spark):
     assert score_toxicity(df.limit(0), fit_toxicity(df, lab, ToxicityConfig(min_z=0.5))).count() == 0
 
 
+def test_only_near_copies_teach_once(spark):
+    """Texts that share a licence line all teach; copies and near-copies do not."""
+    r = random.Random(6)
+    licence = " ".join(f"licence{k}" for k in range(60))
+    rows = [(i, f"{' '.join(f'w{r.randrange(10**6)}' for _ in range(60))} {licence}") for i in range(60)]
+    base = [f"base{k}" for k in range(300)]
+    rows += [(100 + i, " ".join(base[:-1] + [f"end{i}"])) for i in range(20)] + [(200 + i, "one and the same text of some words") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, toxic int")
+    got = [x._text for x in _teachers(df, lab, ToxicityConfig(), "doc_id", "text", "toxic").collect()]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum("licence0" in x for x in got) == sum(i < 60 and i not in held for i, _ in rows)
+    assert sum("base0" in x for x in got) == 1 and sum("same" in x for x in got) == 1
+
+
 def test_weak_segments_add_up(spark):
     """Many toxic words, none of them significant alone: the document counts them all."""
     model = ToxicityModel({"=slur": (1.6, 9.0), "=vile": (4.0, 9.0)}, ToxicityConfig(), lam=2.5, k=0.03, weight=0.55, bias=-5.0)
