@@ -9,14 +9,16 @@ functions only).
    summed per document.  The exploded rows of a document lie in one task, so
    the partial sums leave about one row per document to shuffle.
 3. *Rates*: with ``n_d`` tokens and posteriors ``p_d`` the expected tokens of
-   domain k are ``sum_d r_d n_d p_dk``.  Nonnegative rates minimise the squared
-   distance of these totals from ``t_k`` (each weighted by ``1/m_k``, ``m_k``
-   the domain's tokens at rate 1) by projected gradient from rate 1, in the
-   metric that weighs a document by its tokens:
-   ``r_d <- clip(r_d - sum_k p_dk (A r - t)_k / m_k, 0, max_rate)``.
-   In these weights the gradient's matrix has nonnegative rows that sum to 1,
-   so the step 1 always converges.  A step is one aggregate of K sums; the rates
-   stay distributed.
+   domain k are ``a_k = sum_d r_d n_d p_dk``.  Of the nonnegative rates with the
+   least squared distance from the targets ``t_k`` (each weighted by ``1/m_k``,
+   ``m_k`` the domain's tokens at rate 1), those nearest to rate 1 (documents
+   weighted by their tokens) are ``r_d = max(0, 1 - sum_k p_dk l_k)``; the K
+   numbers ``l`` solve the dual problem by Newton steps, with a penalty
+   ``ridge`` that keeps them finite when a target is out of reach.  A step is
+   one aggregate of K^2 sums; the rates are one expression over the table.  A
+   rate has no upper bound unless ``max_rate`` sets one.  Targets out of reach,
+   and what a cap or ``max_steps`` leaves, are told in a warning and by
+   ``target_report``.
 4. *Copies*: ``floor(rate + u)`` with ``u`` a uniform hash of the id, so the
    expected copies equal the rate.
 
@@ -30,6 +32,7 @@ with their tokens together; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 from typing import Mapping
 
@@ -45,13 +48,17 @@ class MixConfig:
     max_tokens: int = 4_000
     min_documents: int = 5
     smoothing: float = 20.0        # pseudo-documents behind every token share
-    max_rate: float = 8.0
-    tolerance: float = 1e-6        # of the objective, against its start or the totals
+    max_rate: float | None = None  # upper bound of a rate; none by default, so that rare domains reach their targets
+    tolerance: float = 1e-6        # of the conditions' miss, against the tokens
     max_steps: int = 400
-    steps_per_checkpoint: int = 10
+    ridge: float = 1e-6            # weight of the distance from rate 1 against that from the targets
     seed: int = 7
 
 
+#: a miss of a domain's tokens that is told, as a share of all tokens
+_TOLD = 1e-3
+
+
 def _words(text: Column) -> Column:
     return F.split(F.lower(text), r"\s+")
 
@@ -105,27 +112,55 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], id_col: st
 
 def fit_rates(soft: DataFrame, targets: list[float], cfg: MixConfig, total_tokens: float | None = None) -> DataFrame:
     """Adds ``rate`` to a settled table of n_tokens and posteriors."""
+    import numpy as np
     k = len(targets)
     p = [F.col(f"p_{i}") for i in range(k)]
-    sums = lambda d, r: [float(x or 0.0) for x in d.agg(*[F.sum(r * F.col("n_tokens") * x) for x in p]).first()]
-    mass = sums(soft, F.lit(1.0))
-    total = total_tokens if total_tokens is not None else sum(mass)
-    t = [total * w / sum(targets) for w in targets]
-    rates = soft.withColumn("rate", F.lit(1.0))
+    n, pairs = F.col("n_tokens"), [(i, j) for i in range(k) for j in range(i, k)]
+
+    def rate_at(dual):
+        x = sum((F.lit(float(g)) * c for g, c in zip(dual, p)), F.lit(0.0))
+        r = F.greatest(F.lit(0.0), F.lit(1.0) - x)
+        return x, r if cfg.max_rate is None else F.least(F.lit(float(cfg.max_rate)), r)
+
+    def at(dual):
+        """Dual value without its terms in t and ridge, totals, and curvature."""
+        x, r = rate_at(dual)
+        free = (r > 0) if cfg.max_rate is None else (r > 0) & (r < float(cfg.max_rate))
+        d = soft.select("n_tokens", *p, x.alias("_x"), r.alias("_r"), free.alias("_f"))
+        r, x = F.col("_r"), F.col("_x")
+        row = d.agg(F.sum(-n * ((r - 1) * (r - 1) / 2 + r * x)), *[F.sum(r * n * c) for c in p],
+                    *[F.sum(F.when(F.col("_f"), n * p[i] * p[j]).otherwise(F.lit(0.0))) for i, j in pairs]).first()
+        v = [float(y or 0.0) for y in row]
+        bend = np.zeros((k, k))
+        for (i, j), y in zip(pairs, v[k + 1:]):
+            bend[i, j] = bend[j, i] = y
+        return v[0], np.array(v[1:k + 1]), bend
+
+    dual = np.zeros(k)
+    value, now, bend = at(dual)
+    mass = np.maximum(now, 1.0)
+    total = float(total_tokens) if total_tokens is not None else float(now.sum())
     if total <= 0:
-        return rates
-    rate, now, last = F.col("rate"), mass, math.inf
-    for step in range(1, cfg.max_steps + 1):
-        miss = [(a - b) / m if m > 0 else 0.0 for a, b, m in zip(now, t, mass)]
-        value = sum(m * x * x for m, x in zip(mass, miss)) / total
-        if value < cfg.tolerance ** 2 or abs(last - value) <= cfg.tolerance * value:
+        return soft.withColumn("rate", F.lit(1.0))
+    t = total * np.array(targets, dtype=float) / sum(targets)
+    whole = lambda v, l: v + t @ l + cfg.ridge / 2 * (mass * l) @ l
+    for _ in range(cfg.max_steps):
+        slope = t - now + cfg.ridge * mass * dual
+        if (slope * slope / mass).sum() / total < cfg.tolerance ** 2:
             break
-        last = value
-        move = sum((F.lit(g) * x for g, x in zip(miss, p)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(cfg.max_rate), rate - move))
-        if step % cfg.steps_per_checkpoint == 0:
-            rates, rate = settled(rates.withColumn("rate", rate)), F.col("rate")
-        now = sums(rates, rate)
+        move = np.linalg.solve(bend + cfg.ridge * np.diag(mass), -slope)
+        step, best = 1.0, whole(value, dual)
+        while step > 1e-9:                     # a shorter step until the dual falls
+            new = at(dual + step * move)
+            if whole(new[0], dual + step * move) <= best + 1e-4 * step * (slope @ move):
+                break
+            step /= 2
+        else:
+            break                              # no better within the digits
+        dual, (value, now, bend) = dual + step * move, new
+    rates, rate = soft, rate_at(dual)[1]
+    if any(abs(a - b) > _TOLD * total for a, b in zip(now, t)):
+        warnings.warn(f"mixing: wanted tokens by domain {t.tolist()}, reached {now.tolist()}", stacklevel=2)
     return rates.withColumn("rate", rate)
 
 
@@ -147,6 +182,21 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
                       "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))
 
 
+def target_report(mixed: DataFrame, targets: Mapping[str, float], total_tokens: float | None = None) -> DataFrame:
+    """One row per domain: the tokens wanted, those the rates reach, their
+    difference (missed) and those of the drawn copies."""
+    domains = sorted(targets)
+    by = lambda times: F.create_map(*[x for d in domains for x in (
+        F.lit(d), F.coalesce(F.sum(F.col(times) * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)))])
+    total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("double")
+    one = mixed.agg(total.alias("total"), by("rate").alias("reached"), by("copies").alias("copied"))
+    share = F.create_map(*[F.lit(x) for d in domains for x in (d, targets[d] / sum(targets.values()))])
+    rows = one.select(F.explode(share).alias("domain", "share"), "total", "reached", "copied")
+    wanted, reached = F.col("total") * F.col("share"), F.col("reached")[F.col("domain")]
+    return rows.select("domain", wanted.alias("wanted"), reached.alias("reached"), (wanted - reached).alias("missed"),
+                       F.col("copied")[F.col("domain")].alias("copied"))
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says.  Only ids that are
     not kept exactly once meet the texts."""

@@ -1,13 +1,14 @@
 import collections
 import math
 import random
+import warnings
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.llm.backoff import BackoffConfig, backoff_scores
-from tabulon.llm.mixing import MixConfig, apply_mix, mix_documents
+from tabulon.llm.mixing import MixConfig, apply_mix, fit_rates, mix_documents, target_report
 from tabulon.llm.toxicity import ToxicityConfig, ToxicityModel, _statistic, _teachers, fit_toxicity, maximal_segments, score_toxicity
 
 
@@ -206,6 +207,26 @@ def test_rates_are_the_least_squares_solution(spark):
         assert loss(got) <= loss(rate) * 1.01 + 1e-4 * n.sum()
 
 
+def test_a_rare_domain_reaches_its_target(spark):
+    """Half a per cent of the tokens, five per cent wanted: ten times as often."""
+    rows = [(i, 100, *((0.01, 0.99) if i % 200 == 0 else (0.999, 0.001))) for i in range(1000)]
+    soft = spark.createDataFrame(rows, "_id long, n_tokens long, p_0 double, p_1 double").cache()
+    named = lambda d: d.select("n_tokens", F.col("p_0").alias("p_a"), F.col("p_1").alias("p_b"), "rate", F.col("rate").cast("int").alias("copies"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = fit_rates(soft, [0.95, 0.05], MixConfig())
+    rep = {r.domain: r for r in target_report(named(got), {"a": 0.95, "b": 0.05}).collect()}
+    assert rep["b"].wanted == pytest.approx(5000) and rep["b"].reached == pytest.approx(5000, rel=1e-3)
+    assert got.agg(F.max("rate")).first()[0] > 8
+    # a cap or a target out of reach is told
+    with pytest.warns(UserWarning, match="reached"):
+        capped = fit_rates(soft, [0.95, 0.05], MixConfig(max_rate=8.0))
+    rep = {r.domain: r for r in target_report(named(capped), {"a": 0.95, "b": 0.05}).collect()}
+    assert rep["b"].missed > 500
+    with pytest.warns(UserWarning, match="reached"):
+        fit_rates(soft.withColumn("p_0", F.lit(0.5)).withColumn("p_1", F.lit(0.5)), [0.9, 0.1], MixConfig())
+
+
 def test_mixing_without_labels_or_rows(spark):
     rows, labels = mix_corpus(30)
     df = spark.createDataFrame(rows, "doc_id long, text string")
