@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import as_row, table
 from tabulon.llm.mixing import apply_mix, mix_documents
-from tabulon.llm.near_copies import MinHashConfig, near_copies
+from tabulon.llm.near_copies import MinHashConfig, near_copy_texts
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.queries import label_domains
 from tabulon.llm.toxicity import fit_toxicity, score_toxicity
@@ -35,14 +35,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10 with five-word shingles: the smallest id of each component
-    stays, once; rows without an id or without words stay."""
-    marked = near_copies(docs, MinHashConfig(words=5)).where("doc_id is not null")
-    # only the ids that need a decision meet the texts
-    odd = marked.groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    odd = odd.where("not kept or n > 1")
-    rest = docs.select(as_row(docs).alias("row")).join(odd, F.col("row.doc_id") == F.col("id"), "left").where("kept is null or kept")
-    once = rest.where("n > 1").dropDuplicates(["id"])            # repeated rows of a kept id
+    """Operator 10 with five-word shingles: of each component of texts the one
+    with the smallest id stays, once; other texts of a repeated id are judged
+    alone; rows without an id or without words stay."""
+    # only the texts that need a decision meet the rows
+    odd = near_copy_texts(docs, MinHashConfig(words=5)).where("not kept or n > 1").withColumnRenamed("doc_id", "id")
+    rows = docs.select(as_row(docs).alias("row"))
+    mine = (F.col("row.doc_id") == F.col("id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("text_hash"))
+    rest = rows.join(odd, mine, "left").where("kept is null or kept")
+    once = rest.where("n > 1").dropDuplicates(["id", "text_hash"])            # repeated rows of a kept text
     return rest.where("n is null").unionByName(once).select("row.*")
 
 

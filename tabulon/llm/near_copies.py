@@ -116,8 +116,8 @@ def _signatures(cfg: MinHashConfig):
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append((minima.of(s) & np.uint64(0xFFFF)).astype("<u2").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
-                names=["id", "n_shingles", "set_key", "sig"])
+                [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+                names=["id", "text_hash", "n_shingles", "set_key", "sig"])
     return run
 
 
@@ -271,29 +271,33 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, cfg: MinHashConfig) -> Dat
     return dealt.drop("g").mapInArrow(_confirm(cfg), "u long, v long")
 
 
-def near_copies(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept for every row of ``docs``."""
+def _classes_and_links(docs: DataFrame, cfg: MinHashConfig, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, text_hash, n_shingles, set_key), classes of equal sets (set_key,
+    number c, and the smallest id and its text_hash) and links of class numbers."""
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    all_rows = settled(src.mapInArrow(_signatures(cfg), "id long, n_shingles long, set_key binary, sig binary"))
+    src = src.withColumn("text_hash", F.xxhash64("text"))
+    all_rows = settled(src.mapInArrow(_signatures(cfg), "id long, text_hash long, n_shingles long, set_key binary, sig binary"))
 
-    # classes of equal sets; each is stood for by its smallest id
+    # classes of equal sets; each is stood for by its smallest id, and named by a
+    # number, as an id with several texts may stand for several classes
     have = all_rows.where("set_key is not null and id is not null")
-    classes = have.groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("_m")).select(
-        "set_key", F.col("_m.id").alias("id"), F.col("_m.sig").alias("sig"))
-    member = have.join(classes.select("set_key", F.col("id").alias("rep")), "set_key")
-    member = settled(member.select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")))
-    reps = member.where("sig is not null").select("id", "sig").dropDuplicates(["id"])
+    classes = settled(have.groupBy("set_key").agg(F.min(F.struct("id", "text_hash", "sig")).alias("_m")).select(
+        "set_key", F.monotonically_increasing_id().alias("c"), F.col("_m.id").alias("rep"),
+        F.col("_m.text_hash").alias("rep_hash"), F.col("_m.sig").alias("sig")))
+    reps = classes.select(F.col("c").alias("id"), "sig")
 
     bands = reps.mapInArrow(_band_keys(cfg), "id long, bucket long")
     low = bands.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     buckets = settled(bands.join(low.select("bucket", "low"), "bucket"))
 
-    # texts of one id: with repeated ids the text whose set stands for the class
-    wanted = buckets.select("id").distinct()
-    texts = src.where("id is not null").join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    texts = settled(texts)
+    # the text whose set stands for the class, also when its id has others
+    wanted = buckets.select("id").distinct().join(classes.select(F.col("c").alias("id"), "rep", "rep_hash"), "id")
+    wanted = wanted.select(F.col("id").alias("c"), F.col("rep").alias("id"), F.col("rep_hash").alias("text_hash"))
+    texts = src.where("id is not null").join(wanted, ["id", "text_hash"]).groupBy("id", "text_hash").agg(
+        F.min("c").alias("c"), F.max("text").alias("text"))
+    texts = settled(texts.select(F.col("c").alias("id"), "text"))
 
     stars = buckets.where("id <> low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
     links = settled(confirm_links(stars, texts, cfg))
@@ -313,8 +317,33 @@ def near_copies(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_col: s
     tiles = _in_blocks(inside, "group", cfg.block // 2).join(texts, "id")
     links2 = tiles.groupBy("group", "lo", "hi").applyInArrow(_links_of_block(cfg), "u long, v long")
 
-    same = member.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    final = connected_components(links.unionByName(links2).unionByName(same))
+    return all_rows.drop("sig"), classes.drop("sig"), links.unionByName(links2)
+
+
+def near_copies(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and kept for every row of ``docs``."""
+    all_rows, classes, links = _classes_and_links(docs, cfg, id_col, text)
+    have = all_rows.where("set_key is not null and id is not null").select("id", "set_key")
+    same = have.join(classes.select("set_key", "rep"), "set_key").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    name = classes.select("c", "rep")
+    by_id = (links.join(name.select(F.col("c").alias("u"), F.col("rep").alias("_u")), "u")
+             .join(name.select(F.col("c").alias("v"), F.col("rep").alias("_v")), "v")
+             .where("_u <> _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
+    final = connected_components(by_id.unionByName(same))
     out = all_rows.select("id", "n_shingles").join(final, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def near_copy_texts(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, text_hash (``xxhash64``), n (rows) and kept for every text of an id:
+    components are of texts, so the other texts of an id are judged alone.  Rows
+    without an id or without words are left out."""
+    all_rows, classes, links = _classes_and_links(docs, cfg, id_col, text)
+    comp = connected_components(links)
+    named = classes.join(comp, F.col("c") == F.col("node"), "left")
+    first = named.groupBy(F.coalesce("component", "c").alias("g")).agg(F.min(F.struct("rep", "rep_hash")).alias("_m")).select(
+        F.col("_m.rep").alias("id"), F.col("_m.rep_hash").alias("text_hash"), F.lit(True).alias("kept"))
+    rows = all_rows.where("set_key is not null and id is not null").groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(first, ["id", "text_hash"], "left").select(
+        F.col("id").alias(id_col), "text_hash", "n", F.coalesce("kept", F.lit(False)).alias("kept"))

@@ -71,6 +71,11 @@ def _tile(code: str, k: int):
             err = qe[:, None] * cn[None, :] + ce[None, :] + 1e-12
             own = ids[qi][:, None] == ids[ci][None, :]
             low = np.where(own, -np.inf, tile - err)
+            names = np.unique(ids[ci])
+            if len(names) < len(ci):                       # several vectors of one id: its best one counts
+                order = np.argsort(ids[ci], kind="stable")
+                starts = np.searchsorted(ids[ci][order], names)
+                low = np.maximum.reduceat(low[:, order], starts, axis=1)
             n = min(k, low.shape[1])
             cut = np.partition(low, low.shape[1] - n, axis=1)[:, low.shape[1] - n]
             keep = (tile + err >= cut[:, None]) & ~own
@@ -80,7 +85,10 @@ def _tile(code: str, k: int):
                     continue
                 # one row at a time in the same order: equal vectors get equal scores in every cell
                 score = _cosines(raw[qi[r]], raw[ci[cand]])
-                best = heapq.nsmallest(k, zip((-score).tolist(), ids[ci[cand]].tolist()))
+                per: dict[int, float] = {}
+                for i, x in zip(ids[ci[cand]].tolist(), score.tolist()):
+                    per[i] = max(x, per.get(i, x))
+                best = heapq.nsmallest(k, ((-x, i) for i, x in per.items()))
                 found["query_id"] += [int(ids[qi[r]])] * len(best)
                 found["vec_id"] += [i for _, i in best]
                 found["score"] += [-s for s, _ in best]

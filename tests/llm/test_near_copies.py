@@ -104,3 +104,17 @@ def test_components(spark, seed):
     got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted((x.node, x.component) for x in got) == sorted((i, find(i)) for i in parent)
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_every_text_of_a_repeated_id_links(spark):
+    """Id 1 stands for two classes, and each of its texts has a near-copy."""
+    import corpus_pipeline
+    words = {k: [f"{k}{i}" for i in range(60)] for k in "abc"}
+    copy = lambda k, n: " ".join(words[k][:-1] + [f"end{n}"])
+    rows = [(1, copy("a", 0)), (1, copy("b", 0)), (2, copy("a", 1)), (3, copy("b", 1)), (2, copy("c", 0)), (2, copy("c", 0)), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_copies(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (9, 9, True)}
+    # the pipeline keeps one text of each component of texts, also the third text, of id 2
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
+    assert left == sorted([(1, copy("a", 0)), (1, copy("b", 0)), (2, copy("c", 0)), (9, "")])

@@ -99,3 +99,11 @@ def test_table_numbers_reach_the_recall():
 
 def test_near_vectors_empty(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_vectors_of_one_id_take_one_place(spark):
+    from tabulon.llm.nearest import nearest
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(12)] + [(i, [1.0, 0.1 * i]) for i in range(2, 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in nearest(df, F.col("vec_id") == 0, k=5).orderBy("rank").collect()]
+    assert got == [1, 2, 3, 4, 5]
