@@ -170,3 +170,12 @@ def op2_backoff_scores(spark, sf_dir):
     """Operator 2: stupid-backoff scores of all documents."""
     from tabulon.llm.backoff import backoff_scores
     return backoff_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    """Operator 13: byte-level and piece tokens of all documents aligned."""
+    from tabulon.llm.alignment import alignment_counts
+    out = alignment_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return out.withColumnRenamed("groups", "groups_sha256")
