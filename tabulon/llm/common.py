@@ -49,3 +49,14 @@ def no_clash(keep, *added: str) -> None:
 def as_row(df: DataFrame) -> F.Column:
     """All columns as one struct, so that no name of theirs can clash."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table that later steps read, as Parquet in the shared folder: smaller
+    than a checkpoint, and its size tells the planner which joins may broadcast."""
+    import uuid
+
+    from tabulon.session import scratch_path
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

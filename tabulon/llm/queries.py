@@ -179,3 +179,22 @@ def op13_token_alignment(spark, sf_dir):
     out = alignment_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                            public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     return out.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_warc", sql="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+f AS (SELECT page_id, strlen(body) AS n, sha256(body) AS d, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+""")
+def op12_warc(spark, sf_dir):
+    """Operator 12: all pages written as WARC archives, read back and assembled."""
+    import uuid
+
+    from tabulon.llm.warc import page_records, pages_from_warc, read_warc, write_warc
+    from tabulon.session import scratch_path
+    path = scratch_path(spark, f"warc-{uuid.uuid4().hex}")
+    write_warc(page_records(table(spark, sf_dir, "pages")), path)
+    return pages_from_warc(read_warc(spark, path, payloads=False))
