@@ -198,3 +198,10 @@ def op12_warc(spark, sf_dir):
     path = scratch_path(spark, f"warc-{uuid.uuid4().hex}")
     write_warc(page_records(table(spark, sf_dir, "pages")), path)
     return pages_from_warc(read_warc(spark, path, payloads=False))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark, sf_dir):
+    """Operator 11: spelling variants of the words of all documents."""
+    from tabulon.llm.variants import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"))
