@@ -41,6 +41,7 @@ NOT_AVAILABLE = "Not Available"
 DRIFT_THRESHOLD = 0.1
 ACCURACY_DROP = 0.05
 VOLUME_CHANGE = 0.5
+VOLUME_ABOVE_BASELINE = 0.15
 MISSING_VALUE_THRESHOLD = 0.1
 OUTLIER_IQR_FACTOR = 3.0
 REFERENCE_WINDOW_DAYS = 30
@@ -109,6 +110,9 @@ TIER_ACTIONS = {
 # --- end of FIXED VALUES -----------------------------------------------------
 
 
+#: Days whose mean volume is the baseline of the next day (our choice).
+BASELINE_DAYS = 7
+
 #: Category values (of all categorical columns together) that a model may take.
 MAX_CATEGORIES = 10_000
 
@@ -131,6 +135,7 @@ class ScaleConfig:
     buckets_per_partition: int = 4
     quantile_accuracy: int = 10000
     rank_hash_digits: int = 3   # 16**3 = 4096 hash buckets for stratified ranks
+    range_rows: int = 250       # rows of one key below which its range is not cut
 
 
 DEFAULT_DRIFT = DriftConfig()

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon import config as C
+from tabulon.operators.ordered import trailing
 from tabulon.operators.sample import last_n
 
 
@@ -120,15 +121,40 @@ def active_alerts(alerts: DataFrame, ts: str = "window_start", id_col: str = "ty
     return summary, recent
 
 
+def _seconds(ts: str) -> Column:
+    return F.col(ts).cast("timestamp").cast("long")
+
+
 def sustained_low(windows: DataFrame, ts: str = "window_start", value: str = "avg_confidence",
-                  below: float = 0.85, hours: int = 2, every_minutes: int = 5) -> DataFrame:
+                  below: float = 0.85, hours: int = 2, every_minutes: int = 5, group: Sequence[str] = ()) -> DataFrame:
     """ALR5: windows whose trailing ``hours`` all had ``value`` below ``below``
-    (max over the range < cut) and the range is fully covered by windows.
+    (max over the range < cut) and the range is fully covered by windows, per
+    ``group`` when given.
 
-    The range window runs over aggregated windows (one row per window)."""
-    secs = F.col(ts).cast("timestamp").cast("long")
-    w = Window.orderBy(secs).rangeBetween(-(hours * 3600 - every_minutes * 60), 0)
+    The range frame runs over aggregated windows (one row per window) in buckets
+    of days with halo rows (``ordered.trailing``)."""
+    back = hours * 3600 - every_minutes * 60
+    out = trailing(windows.withColumn("_o", _seconds(ts)), "_o", back, {"_mx": F.max(value), "_cov": F.count(value)}, group, 30 * 86400)
     need = hours * 60 // every_minutes
-    out = windows.select("*", F.max(value).over(w).alias("_mx"), F.count(value).over(w).alias("_cov"))
     return out.withColumn("sustained_alert", (F.col("_mx") < below) & (F.col("_cov") >= need)
-                          ).drop("_mx", "_cov")
+                          ).drop("_mx", "_cov", "_o")
+
+
+def volume_above_baseline(daily: DataFrame, ts: str = "day", volume: str = "volume", above: float = C.VOLUME_ABOVE_BASELINE,
+                          days: int = C.BASELINE_DAYS, group: Sequence[str] = ()) -> DataFrame:
+    """ALR5: a day's volume against its baseline, the mean of the ``days`` calendar
+    days before it (days without rows count 0, the table's first day begins the
+    history; no baseline before ``days`` of it), per ``group`` when given; flagged
+    when the volume exceeds the baseline by more than ``above``."""
+    g = list(group)
+    d = daily.withColumn("_o", F.floor(_seconds(ts) / F.lit(86400)).cast("long"))
+    start = d.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)]).agg(F.min("_o").alias("_from"))
+    same = F.lit(True)
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    out = trailing(d, "_o", days, {"_sum": F.sum(volume)}, g, 365).join(start if g else F.broadcast(start), same)
+    mean = (F.col("_sum") - F.col(volume)).cast("double") / F.lit(days)
+    out = out.withColumn("baseline", F.when(F.col("_o") - F.col("_from") >= days, mean))
+    out = out.withColumn("above_baseline", F.try_divide(F.col(volume) - F.col("baseline"), F.col("baseline")))
+    out = out.withColumn("volume_alert", F.coalesce(F.col("above_baseline") > above, F.lit(False)))
+    return out.drop("_o", "_from", "_sum", *[f"_g{i}" for i in range(len(g))])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabulon import config as C
 from tabulon.functions import scalar as S
-from tabulon.operators.ordered import exact_quantiles
+from tabulon.operators.ordered import exact_quantiles, first_after, lagged
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -107,41 +107,28 @@ def check_rollup(checks: DataFrame, status: str = "status", passed_value: str =
 
 
 def feedback_join(pred: DataFrame, truth: DataFrame, key: str, pred_ts: str, truth_ts: str,
-                  horizon_days: int = 1, truth_id: str | None = None) -> DataFrame:
+                  horizon_days: int = 1, truth_id: str | None = None, per_range: int | None = None) -> DataFrame:
     """JON1: every prediction matched with the first truth of the same key at
     or after its time and within ``horizon_days`` (ties: smallest ``truth_id``).
 
-    An as-of match, so the output has at most one row per prediction - no
-    pairs are enumerated.  Both sides are tagged and unioned into buckets
-    (key, day); a truth is copied to the ``horizon_days + 1`` day buckets its
-    predictions can fall in, so a hot key is split by day.  Within a bucket,
-    in descending time, the earliest later truth is a running ``min`` over the
-    rows already seen (a growing frame, evaluated incrementally).
+    An as-of match, so the output has at most one row per prediction - no pairs
+    are enumerated and no row is copied.  Both sides are tagged, unioned and
+    scanned by ``ordered.first_after``, which cuts a heavy key into time ranges of
+    equal row counts (``per_range`` fixes their size), so a key that owns a third of
+    one day is spread like any other.  Rows without a key or a time match nothing.
     Result columns: the prediction's columns, then the truth's.
     """
     truth_id = truth_id or truth.columns[0]
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     p_struct = F.struct(*[F.col(c) for c in pred.columns])
-    a_struct = F.struct(*[F.col(c) for c in truth.columns])
-    p = pred.select(F.col(key).alias("_key"), F.col(pred_ts).alias("_t"), F.lit(1).alias("_kind"),
-                    F.to_date(F.col(pred_ts)).alias("_day"), p_struct.alias("_p"),
-                    F.lit(None).cast(truth.select(a_struct.alias("s")).schema["s"].dataType).alias("_a"))
-    a = truth.select(F.col(key).alias("_key"), F.col(truth_ts).alias("_t"), F.lit(0).alias("_kind"),
-                     F.explode(F.sequence(F.date_sub(F.to_date(F.col(truth_ts)), horizon_days),
-                                          F.to_date(F.col(truth_ts)))).alias("_day"),
-                     F.lit(None).cast(pred.select(p_struct.alias("s")).schema["s"].dataType).alias("_p"),
-                     a_struct.alias("_a"))
-    u = p.unionByName(a)
-    w = (Window.partitionBy("_key", "_day")
-         .orderBy(F.col("_t").desc(), F.col("_kind").asc(), F.col(f"_a.{truth_id}").desc_nulls_last())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    first_after = F.min(F.when(F.col("_kind") == 0,
-                               F.struct(F.col("_t").alias("t"), F.col(f"_a.{truth_id}").alias("id"),
-                                        F.col("_a").alias("a")))).over(w)
-    m = (u.select("_kind", "_t", "_p", first_after.alias("_m"))
-         .where((F.col("_kind") == 1) & F.col("_m").isNotNull()
-                & (F.col("_m.t") <= F.col("_t") + F.expr(f"INTERVAL {horizon_days} DAYS"))))
+    a_struct = F.struct(micros(truth_ts).alias("t"), F.col(truth_id).alias("id"), F.struct(*[F.col(c) for c in truth.columns]).alias("a"))
+    p_type, a_type = pred.select(p_struct.alias("s")).schema["s"].dataType, truth.select(a_struct.alias("s")).schema["s"].dataType
+    p = pred.select(F.col(key).alias("_key"), micros(pred_ts).alias("_t"), p_struct.alias("_p"), F.lit(None).cast(a_type).alias("_a"))
+    a = truth.select(F.col(key).alias("_key"), micros(truth_ts).alias("_t"), F.lit(None).cast(p_type).alias("_p"), a_struct.alias("_a"))
+    m = first_after(p.unionByName(a), "_key", "_t", "_a", per_range)
+    m = m.where(F.col("_p").isNotNull() & (F.col("first_after.t") - F.col("_t") <= horizon_days * 86_400_000_000))
     return m.select(*[F.col(f"_p.{c}").alias(c) for c in pred.columns],
-                    *[F.col(f"_m.a.{c}").alias(c) for c in truth.columns if c not in pred.columns])
+                    *[F.col(f"first_after.a.{c}").alias(c) for c in truth.columns if c not in pred.columns])
 
 
 def feedback_accuracy(matched: DataFrame, predicted: str = "predicted_churn",
@@ -167,24 +154,40 @@ def daily_trend(log: DataFrame, ts: str = "ts", prob: str = "churn_probability",
     return t
 
 
+#: hours of window rows that one task of a comparison between windows holds
+COMPARISON_HOURS = 24 * 365
+
+
 def window_changes(per_window: DataFrame, window_col: str, volume: str = "volume",
                    accuracy: str | None = "accuracy", volume_change: float = C.VOLUME_CHANGE,
-                   accuracy_drop: float = C.ACCURACY_DROP) -> DataFrame:
-    """WIN6 + WIN7 over aggregated windows: relative volume change vs the
-    previous window (flag above 50 %) and accuracy drop vs the first window
-    as baseline (flag above 0.05)."""
-    w = Window.orderBy(window_col)   # one row per window: bounded by the time span
-    prev = F.lag(volume).over(w)
+                   accuracy_drop: float = C.ACCURACY_DROP, group: Sequence[str] = ()) -> DataFrame:
+    """WIN6 + WIN7 over aggregated windows, per ``group`` when given: relative
+    volume change vs the previous window (flag above 50 %) and accuracy drop vs
+    the first window with an accuracy as baseline (flag above 0.05).
+
+    Windows are compared in buckets of a year with a carry between them
+    (``ordered.lagged``); the baseline is an aggregate, not a frame."""
+    g = list(group)
+    out = lagged(per_window.withColumn("_o", F.unix_micros(F.col(window_col).cast("timestamp"))), "_o", [volume], g,
+                 COMPARISON_HOURS * 3_600_000_000)
+    prev = F.col(f"previous_{volume}")
     change = F.try_divide((F.col(volume) - prev).cast("double"), prev.cast("double"))
-    out = per_window.select("*", change.alias("volume_change"))
+    out = out.withColumn("volume_change", change).drop(f"previous_{volume}")
     out = out.withColumn("volume_alert", F.coalesce(F.abs("volume_change") > volume_change, F.lit(False)))
     if accuracy:
-        base = F.first(accuracy, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("accuracy_baseline", base)
+        known = F.col(accuracy).isNotNull()
+        base = out.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)]).agg(
+            F.min_by(accuracy, F.when(known, F.col("_o"))).alias("_base"), F.min(F.when(known, F.col("_o"))).alias("_from"))
+        same = F.lit(True)
+        for i, c in enumerate(g):
+            same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        out = out.join(base if g else F.broadcast(base), same, "left")                   # without groups: one row
+        out = out.withColumn("accuracy_baseline", F.when(F.col("_o") >= F.col("_from"), F.col("_base")))
         out = out.withColumn("accuracy_drop", F.col("accuracy_baseline") - F.col(accuracy))
         out = out.withColumn("accuracy_alert",
                              F.coalesce(F.col("accuracy_drop") > accuracy_drop, F.lit(False)))
-    return out
+        out = out.drop("_base", "_from", *[f"_g{i}" for i in range(len(g))])
+    return out.drop("_o")
 
 
 def window_grid(df: DataFrame, ts: str, every: str = C.MONITOR_WINDOW) -> DataFrame:

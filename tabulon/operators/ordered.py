@@ -15,6 +15,11 @@ through the two-level form here:
 Buckets only group the sort, so the result is exact.  What is broadcast is
 bounded by ``groups x n_buckets`` rows; callers pass ``groups_bounded`` only
 when the groups are columns, models or classes (not data keys).
+
+Two more scans take the same two levels: ``first_after`` (a reverse running
+minimum with a carry between ranges, for as-of matches by data key) and
+``lagged`` / ``trailing`` (the previous row, and a range frame with halo rows,
+over buckets of an order column).  ``row_numbers`` needs no window at all.
 """
 
 from __future__ import annotations
@@ -178,3 +183,117 @@ def top_n_per_key(df: DataFrame, key_cols: Sequence[str], order: Sequence[Column
     """
     w = Window.partitionBy(*key_cols).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def key_ranges(df: DataFrame, key: str, order_col: str, per_range: int | None = None) -> DataFrame | None:
+    """(key, _bounds): ascending bounds that cut the rows of every heavy key into
+    ranges of about ``per_range`` rows; None when no key is heavy.
+
+    Without ``per_range`` a key is heavy above a quarter of a task's fair share,
+    so there are at most ``4 x partitions`` heavy keys and twice as many bounds
+    over all of them, however large the table: small enough to broadcast."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if per_range is None:
+        total, most = counts.agg(F.sum("_n"), F.max("_n")).first()              # two scalars
+        per_range = max(DEFAULT_SCALE.range_rows, (total or 0) // (4 * parts))
+        if (most or 0) <= per_range:
+            return None
+    heavy = counts.where(F.col("_n") > per_range)
+    k = min(4096, 4 * parts + 1) if per_range >= DEFAULT_SCALE.range_rows else 4096
+    probs = [i / k for i in range(1, k)]
+    q = (df.join(F.broadcast(heavy), key).groupBy(key).agg(
+        F.max("_n").alias("_n"), F.percentile_approx(order_col, probs, DEFAULT_SCALE.quantile_accuracy).alias("_q")))
+    ranges = F.least(F.ceil(F.col("_n") / F.lit(per_range)), F.lit(k)).cast("int")
+    picks = F.transform(F.sequence(F.lit(1), ranges - 1), lambda i: F.get("_q", (i * F.lit(k) / ranges).cast("int") - 1))
+    return q.where(ranges > 1).select(key, F.array_distinct(picks).alias("_bounds"))
+
+
+def _range_of(bounds: str, value: str, step: int = 64) -> Column:
+    """Number of bounds below a value: whole steps first, then inside one."""
+    coarse = F.size(F.filter(bounds, lambda b, i: ((i + 1) % step == 0) & (b < F.col(value))))
+    fine = F.size(F.filter(F.slice(bounds, coarse * step + 1, step), lambda b: b < F.col(value)))
+    return coarse * step + fine
+
+
+def first_after(df: DataFrame, key: str, order_col: str, target: str, per_range: int | None = None) -> DataFrame:
+    """Adds ``first_after``: the smallest ``target`` struct among the rows of the
+    same key at or after the row's own ``order_col`` (a number).
+
+    ``target`` is null on rows that are no target, and begins with the order value.
+    A heavy key is cut into ranges of the order column by count, not by time: in a
+    range the answer is a running minimum from its end; where a range has none, it
+    is the first target of the later ranges, a reverse minimum over one row per
+    range.  Rows without a key or an order value are left out; the rows of one key
+    at one instant stay together."""
+    d = df.where(F.col(key).isNotNull() & F.col(order_col).isNotNull())
+    bounds = key_ranges(d, key, order_col, per_range)
+    back = lambda *by: Window.partitionBy(*by).orderBy(F.col(order_col).desc()).rangeBetween(_UNB, 0)
+    if bounds is None:
+        return d.withColumn("first_after", F.min(target).over(back(key)))
+    bounds = F.broadcast(materialize(bounds))
+    d = d.join(bounds, key, "left").withColumn(
+        "_bk", F.when(F.col("_bounds").isNull(), 0).otherwise(_range_of("_bounds", order_col)))
+    firsts = d.where(F.col("_bounds").isNotNull() & F.col(target).isNotNull()).groupBy(key, "_bk").agg(F.min(target).alias("_f"))
+    grid = bounds.select(key, F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_bk"))
+    later = Window.partitionBy(key).orderBy(F.col("_bk").desc()).rowsBetween(_UNB, -1)
+    carry = grid.join(firsts, [key, "_bk"], "left").select(key, "_bk", F.min("_f").over(later).alias("_carry"))
+    local = d.select("*", F.min(target).over(back(key, "_bk")).alias("_local")).drop("_bounds")
+    return (local.join(F.broadcast(carry), [key, "_bk"], "left")       # one row per range of a heavy key
+            .withColumn("first_after", F.coalesce("_local", "_carry")).drop("_bk", "_local", "_carry"))
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row_number") -> DataFrame:
+    """1-based row numbers in a stated order, without a window: rows are sorted by
+    range partitioning and settled, so numbers repeat on every read; a row's number
+    is its place in its partition after the sizes of the partitions before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    d = d.withColumn("_id", F.monotonically_increasing_id())       # partition << 33 | place
+    part = F.shiftright("_id", 33).cast("int")
+    sizes = d.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))      # one row per partition
+    before = Window.orderBy("_p").rowsBetween(_UNB, -1)
+    first = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    out = d.withColumn("_p", part).join(F.broadcast(first), "_p")
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(name, F.col("_first") + place + 1).drop("_id", "_p", "_first")
+
+
+def _bucket(order_col: str, width: int) -> Column:
+    return F.floor(F.col(order_col) / F.lit(width)).cast("long")
+
+
+def lagged(df: DataFrame, order_col: str, columns: Sequence[str], group_cols: Sequence[str] = (), width: int = 1 << 20) -> DataFrame:
+    """Adds ``previous_<c>``: the values of the row before in ``order_col`` (a
+    number, distinct in its group), over buckets of ``width``.  The first row of a
+    bucket gets the last row of the nearest earlier one; only such last rows, one
+    per (group, bucket), meet in a window of their group."""
+    g = list(group_cols)
+    if not columns:
+        return df
+    d = df.withColumn("_bk", _bucket(order_col, width))
+    row = F.struct(*[F.col(c).alias(c) for c in columns])
+    local = F.lag(row).over(Window.partitionBy(*g, "_bk").orderBy(order_col))
+    tails = d.groupBy(*g, "_bk").agg(F.max_by(row, order_col).alias("_tail"))
+    heads = tails.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], F.col("_bk").alias("_b"),
+                         F.lag("_tail").over(Window.partitionBy(*(g or [F.lit(0)])).orderBy("_bk")).alias("_carry"))
+    same = F.col("_bk") == F.col("_b")
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    out = d.withColumn("_prev", local).join(heads, same, "left").withColumn("_prev", F.coalesce("_prev", "_carry"))
+    return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"previous_{c}") for c in columns])
+
+
+def trailing(df: DataFrame, order_col: str, back: int, aggs: dict, group_cols: Sequence[str] = (), width: int | None = None) -> DataFrame:
+    """Adds aggregates over the rows whose ``order_col`` (a whole number) lies in
+    ``[own - back, own]``, by (group, bucket) with halo rows: a row in the last
+    ``back`` of a bucket is also sent to the next one, where it is seen and not
+    returned.  ``aggs`` maps a new name to an aggregate."""
+    g = list(group_cols)
+    width = max(width or 0, back + 1, 1)
+    d = df.withColumn("_own", _bucket(order_col, width))
+    reach = F.floor((F.col(order_col) + F.lit(back)) / F.lit(width)).cast("long")
+    d = d.withColumn("_bk", F.explode(F.sequence("_own", reach)))
+    w = Window.partitionBy(*g, "_bk").orderBy(order_col).rangeBetween(-back, 0)
+    return (d.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+            .where("_bk = _own").drop("_bk", "_own"))

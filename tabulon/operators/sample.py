@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon import config as C
-from tabulon.operators.ordered import hash_order, running_sums, strata_ranks, top_n_per_key
+from tabulon.operators.ordered import hash_order, row_numbers, strata_ranks, top_n_per_key
 
 
 def stratified_split(df: DataFrame, strata: str, key: str, test_pct: int = int(C.TEST_SIZE * 100),
@@ -66,14 +66,16 @@ def last_n_per_key(df: DataFrame, key: str, ts: str, id_col: str, n: int) -> Dat
 
 
 def global_row_number(df: DataFrame, order_col: str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """1-based row number over the whole table in ``order_col`` order, without
-    a single-task window (two-level running count)."""
-    d = df.withColumn("_one", F.lit(1))
-    r = running_sums(d, order_col, ["_one"], tiebreak=tiebreak)
-    return r.withColumnRenamed("_one_run", "row_number").drop("_one", "next_value")
+    """1-based row number over the whole table in ``order_col`` order, by range
+    partitioning and partition sizes (``ordered.row_numbers``).
 
+    Rows of equal order value are ordered by ``tiebreak``, by default all other
+    columns, so they are split over tasks and numbered alike on every run."""
+    rest = list(tiebreak) or [c for c in df.columns if c != order_col]
+    return row_numbers(df, [F.col(f"`{c}`") for c in (order_col, *rest)])
 
-def batch_ids(df: DataFrame, order_col: str, prefix: str = "batch_") -> DataFrame:
+
+def batch_ids(df: DataFrame, order_col: str, prefix: str = "batch_", tiebreak: Sequence[str] = ()) -> DataFrame:
     """WIN5: ``batch_{i}`` with i = position - 1 in a stated key order."""
-    r = global_row_number(df, order_col)
+    r = global_row_number(df, order_col, tiebreak)
     return r.withColumn("item_id", F.concat(F.lit(prefix), (F.col("row_number") - 1).cast("string")))

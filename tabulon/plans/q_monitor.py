@@ -265,6 +265,67 @@ def alr5_sustained_low_confidence(spark, sf):
                       F.coalesce("sustained_alert", F.lit(False)).alias("sustained_alert"))
 
 
+def _by_type(spark, sf):
+    """Daily volume and confidence of every event type."""
+    log = SP.prediction_log(spark, sf)
+    return log.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("volume"), F.avg(S.confidence("churn_probability")).alias("avg_confidence"))
+
+
+_BY_TYPE_SQL = f"""{PL},
+bt AS (SELECT event_type, date_trunc('day', ts) AS day, count(*) AS volume, avg({CONF_SQL}) AS avg_confidence FROM predlog GROUP BY 1, 2)"""
+
+
+@query("win6_win7_by_event_type", f"""WITH {_BY_TYPE_SQL},
+c AS (SELECT *, lag(volume) OVER w AS prev, first_value(avg_confidence IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS base
+      FROM bt WINDOW w AS (PARTITION BY event_type ORDER BY day))
+SELECT event_type, {ts_text_sql('day')} AS day, volume, round(avg_confidence, 6) AS avg_confidence,
+  round((volume - prev) / prev, 6) AS volume_change, coalesce(abs((volume - prev) / prev) > 0.5, false) AS volume_alert,
+  round(base, 6) AS accuracy_baseline, round(base - avg_confidence, 6) AS accuracy_drop,
+  coalesce(base - avg_confidence > 0.05, false) AS accuracy_alert FROM c""")
+def win6_win7_by_event_type(spark, sf):
+    """WIN6 + WIN7 per entity: changes between the days of every event type."""
+    out = M.window_changes(_by_type(spark, sf), "day", accuracy="avg_confidence", group=["event_type"])
+    return out.withColumn("day", ts_text("day"))
+
+
+@query("alr5_sustained_by_event_type", f"""WITH {_BY_TYPE_SQL}
+SELECT event_type, {ts_text_sql('day')} AS day, round(avg_confidence, 6) AS avg_confidence,
+  coalesce(max(avg_confidence) OVER w < 0.7 AND count(avg_confidence) OVER w >= 3, false) AS sustained_alert
+FROM bt WINDOW w AS (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW)""")
+def alr5_sustained_by_event_type(spark, sf):
+    """ALR5 per entity: confidence below 0.7 for three days running."""
+    out = A.sustained_low(_by_type(spark, sf).select("event_type", "day", "avg_confidence"), "day", below=0.7, hours=72, every_minutes=1440,
+                          group=["event_type"])
+    return out.select("event_type", ts_text("day").alias("day"), "avg_confidence", F.coalesce("sustained_alert", F.lit(False)).alias("sustained_alert"))
+
+
+def _volume_sql(keys: str) -> str:
+    part = f"PARTITION BY {keys} " if keys else ""
+    cols = f"{keys}, " if keys else ""
+    return f"""b AS (SELECT *, min(day) OVER ({part}) AS first_day,
+   sum(volume) OVER ({part}ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS s FROM v),
+m AS (SELECT *, CASE WHEN date_diff('day', first_day, day) >= 7 THEN coalesce(s, 0) / 7.0 END AS baseline FROM b)
+SELECT {cols}{ts_text_sql('day')} AS day, volume, round(baseline, 6) AS baseline, round((volume - baseline) / nullif(baseline, 0), 6) AS above_baseline,
+  coalesce((volume - baseline) / nullif(baseline, 0) > 0.15, false) AS volume_alert FROM m"""
+
+
+@query("alr5_volume_above_baseline", f"""WITH {PL}, v AS (SELECT date_trunc('day', ts) AS day, count(*) AS volume FROM predlog GROUP BY 1), {_volume_sql('')}""")
+def alr5_volume_above_baseline(spark, sf):
+    """ALR5: days whose volume exceeds the mean of the seven days before by 15 %."""
+    daily = SP.prediction_log(spark, sf).groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("volume"))
+    return A.volume_above_baseline(daily).withColumn("day", ts_text("day"))
+
+
+@query("alr5_volume_by_user", f"""WITH {PL},
+v AS (SELECT entity_id, date_trunc('day', ts) AS day, count(*) AS volume FROM predlog WHERE entity_id IS NOT NULL GROUP BY 1, 2), {_volume_sql('entity_id')}""")
+def alr5_volume_by_user(spark, sf):
+    """ALR5 per entity: the volume rule for every user of the log."""
+    daily = (SP.prediction_log(spark, sf).where("entity_id is not null")
+             .groupBy("entity_id", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("volume")))
+    return A.volume_above_baseline(daily, group=["entity_id"]).withColumn("day", ts_text("day"))
+
+
 def _daily_metrics(spark, sf):
     """One metrics row per day for the rule engine."""
     log = SP.prediction_log(spark, sf)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon import config as C
+from tabulon.operators import alerts as A
 from tabulon.operators import model as MD
 from tabulon.operators import validate as V
 from tabulon.operators.ordered import materialize
@@ -108,24 +109,85 @@ def str3_window_metrics_stream(spark, sf):
     return spark.read.parquet(run + "/out").withColumn("window_start", ts_text("window_start"))
 
 
-@query("str5_stream_alerts", f"""WITH {SP.PREDLOG_SQL},
-w AS (SELECT to_timestamp(floor(epoch(ts) / 3600) * 3600) AT TIME ZONE 'UTC' AS window_start, count(*) AS n,
-        avg(greatest(churn_probability, 1 - churn_probability)) AS c FROM predlog GROUP BY 1)
-SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, 'LOW_CONFIDENCE' AS type, 'warning' AS severity
-FROM w WHERE n >= 10 AND c < 0.7""")
+def _alerts_of(spark, run, windows, upto):
+    """Monitor alerts of the windows that a stream has closed; those after the
+    table's last event belong to the closing row."""
+    w = (windows.writeStream.outputMode("append").format("parquet").option("path", run + "/windows")
+         .option("checkpointLocation", run + "/ckpt"))
+    J.run_available(w, spark)
+    last = F.broadcast(upto)                                                     # one row
+    closed = spark.read.parquet(run + "/windows").join(last, F.col("window_start") <= F.col("last_ts"))
+    return A.monitor_alerts(closed).select(ts_text("window_start").alias("window_start"), "type", "severity", "message", "metric_value")
+
+
+#: a gap of half a day in the log, and a day and a half of values three times as large
+GAP = ("2024-01-09 06:00:00", "2024-01-09 18:00:00")
+SHIFT = ("2024-01-25 00:00:00", "2024-01-26 12:00:00")
+
+
+def _staged_log(spark, sf, run, days):
+    """The event log with a gap and a shift, staged in time order."""
+    at = F.col("ts")
+    ev = read_table(spark, sf, "events").where((at < F.lit(GAP[0]).cast("timestamp_ntz")) | (at >= F.lit(GAP[1]).cast("timestamp_ntz")))
+    moved = (at >= F.lit(SHIFT[0]).cast("timestamp_ntz")) & (at < F.lit(SHIFT[1]).cast("timestamp_ntz"))
+    ev = ev.withColumn("value", F.when(moved, F.col("value") * 3).otherwise(F.col("value")))
+    path = R.stage_in_time_order(ev, "ts", run + "/source", slices=3, closing=R.closing_row(ev, "ts", days=days))
+    return J.file_stream(spark, path, ev.schema, max_files=R.FILES), ev.agg(F.max("ts").cast("timestamp").alias("last_ts"))
+
+
+_LOG_SQL = SP.PREDLOG_SQL.replace("FROM events", f"""FROM (SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '{SHIFT[0]}' AND ts < TIMESTAMP '{SHIFT[1]}'
+   THEN value * 3 ELSE value END AS value) FROM events WHERE ts < TIMESTAMP '{GAP[0]}' OR ts >= TIMESTAMP '{GAP[1]}')""")
+
+
+@query("str5_stream_alerts", f"""WITH {_LOG_SQL},
+agg AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, avg(greatest(churn_probability, 1 - churn_probability)) AS c
+        FROM predlog GROUP BY 1),
+grid AS (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 1 HOUR)) AS window_start FROM agg),
+win AS (SELECT g.window_start, coalesce(n, 0) AS n, c FROM grid g LEFT JOIN agg a ON a.window_start = g.window_start)
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, 'LOW_CONFIDENCE' AS type, 'warning' AS severity,
+  concat('Average model confidence is low: ', printf('%.2f%%', c * 100)) AS message, round(c, 6) AS metric_value FROM win WHERE n >= 10 AND c < 0.7
+UNION ALL SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S'), 'NO_PREDICTIONS', 'info', 'No recent predictions detected', NULL FROM win WHERE n = 0""")
 def str5_stream_alerts(spark, sf):
-    """STR5: alerts raised from closed hourly windows (append mode), one folder
-    per micro-batch; a closing row moves the watermark past the last window."""
+    """STR5: alerts from closed hourly windows, also of the hours without rows (a
+    gap of half a day is planted), which event-time timers close."""
     run = J.new_run_dir(spark, "str5")
-    s = _predlog_stream(_staged_events(spark, sf, run, closed=True))
-    agg = J.window_metrics(s, every="1 hour", watermark="1 hour")
-    w = (agg.writeStream.outputMode("append").foreachBatch(J.alert_sink(run + "/alerts"))
-         .option("checkpointLocation", run + "/ckpt"))
-    J.run_available(w)
-    from tabulon.sources.tables import _path_exists
-    if not _path_exists(spark, run + "/alerts"):
-        return spark.createDataFrame([], "window_start string, type string, severity string")
-    return spark.read.parquet(run + "/alerts").select(ts_text("window_start").alias("window_start"), "type", "severity")
+    stream, last = _staged_log(spark, sf, run, days=1)
+    windows = J.monitored_windows(_predlog_stream(stream), every="1 hour", watermark="1 hour")
+    return _alerts_of(spark, run, windows, last)
+
+
+@query("str5_stream_drift_alerts", f"""WITH {_LOG_SQL},
+ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '{SP.DRIFT_SPLIT_TS}'),
+r AS (SELECT min(value) AS lo, max(value) AS hi FROM ref),
+rb AS (SELECT CAST(least(greatest(floor((value - lo) * 20 / (hi - lo)) + 1, 1), 20) AS INTEGER) AS bin, count(*) AS n FROM ref, r GROUP BY 1),
+p AS (SELECT bin, n / sum(n) OVER () AS p FROM rb),
+h AS (SELECT date_trunc('day', ts) AS window_start, CAST(least(greatest(floor((value - lo) * 20 / (hi - lo)) + 1, 1), 20) AS INTEGER) AS bin,
+        count(*) AS n FROM predlog, r GROUP BY 1, 2),
+grid AS (SELECT DISTINCT window_start, unnest(range(1, 21)) AS bin FROM h),
+j AS (SELECT g.window_start, coalesce(h.n, 0) / sum(coalesce(h.n, 0)) OVER (PARTITION BY g.window_start) AS q, coalesce(p.p, 0.0) AS p
+      FROM grid g LEFT JOIN h ON h.window_start = g.window_start AND h.bin = g.bin LEFT JOIN p ON p.bin = g.bin),
+js AS (SELECT window_start, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+         + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS d FROM j GROUP BY 1),
+agg AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n, avg(greatest(churn_probability, 1 - churn_probability)) AS c FROM predlog GROUP BY 1),
+days AS (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 1 DAY)) AS window_start FROM agg),
+win AS (SELECT g.window_start, coalesce(n, 0) AS n, c, d FROM days g LEFT JOIN agg a ON a.window_start = g.window_start
+        LEFT JOIN js ON js.window_start = g.window_start)
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, 'LOW_CONFIDENCE' AS type, 'warning' AS severity,
+  concat('Average model confidence is low: ', printf('%.2f%%', c * 100)) AS message, round(c, 6) AS metric_value FROM win WHERE n >= 10 AND c < 0.7
+UNION ALL SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S'), 'NO_PREDICTIONS', 'info', 'No recent predictions detected', NULL FROM win WHERE n = 0
+UNION ALL SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S'), 'DATA_DRIFT_DETECTED', 'warning', 'Data drift detected in recent predictions', NULL
+  FROM win WHERE d >= 0.1""")
+def str5_stream_drift_alerts(spark, sf):
+    """STR5 with drift: daily windows carry a histogram, whose Jensen-Shannon
+    distance from the reference raises DATA_DRIFT_DETECTED (two shifted days are planted)."""
+    run = J.new_run_dir(spark, "str5d")
+    ref, lo, hi = _ref_range(spark, sf)
+    counts = {r["bin"]: r["n"] for r in ref.groupBy(J.binned(ref, "value", lo, hi, _BINS).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}                                  # one number per bin
+    shares = [counts.get(b + 1, 0) / sum(counts.values()) for b in range(_BINS)]
+    stream, last = _staged_log(spark, sf, run, days=3)
+    windows = J.monitored_windows(_predlog_stream(stream), every="1 day", watermark="1 hour", value="value", reference=shares, lo=lo, hi=hi)
+    return _alerts_of(spark, run, windows, last)
 
 
 _BINS = 20
@@ -178,8 +240,8 @@ SELECT entity_id, prediction_id, feedback_id, {ts_text_sql('ts')} AS ts, {ts_tex
   predicted_churn, actual_churn FROM fb""")
 def str6_stream_feedback_join(spark, sf):
     """STR6: each prediction matched with its first later feedback within a day,
-    on the stream (state per user and time slice, matched when the watermark has
-    passed the slice's horizon; the closing row passes the last one)."""
+    on the stream (state per user in map entries, settled by event-time timers; the
+    closing row moves the watermark past the last horizon)."""
     run = J.new_run_dir(spark, "str6")
     s = _predlog_stream(_staged_events(spark, sf, run, closed=True))
     kind = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "purchase", 0).otherwise(-1)
@@ -189,7 +251,7 @@ def str6_stream_feedback_join(spark, sf):
     out = J.stream_feedback_match(both, "entity_id", "ts", "kind", "row_id", "flag", "1 day", "1 hour")
     w = (out.writeStream.format("parquet").option("path", run + "/out")
          .option("checkpointLocation", run + "/ckpt").outputMode("append"))
-    J.run_available(w)
+    J.run_available(w, spark)
     return (spark.read.parquet(run + "/out").withColumn("ts", ts_text("ts"))
             .withColumn("feedback_ts", ts_text("feedback_ts")))
 
@@ -211,7 +273,7 @@ def str6_out_of_order(spark, sf):
         "entity_id", "ts", kind.alias("kind"), F.col("prediction_id").alias("row_id"), (F.col("churn_probability") >= 0.5).alias("flag"))
     out = J.stream_feedback_match(both, "entity_id", "ts", "kind", "row_id", "flag", "1 day", "200 days")
     J.run_available(out.writeStream.format("parquet").option("path", run + "/out")
-                    .option("checkpointLocation", run + "/ckpt").outputMode("append"))
+                    .option("checkpointLocation", run + "/ckpt").outputMode("append"), spark)
     return (spark.read.parquet(run + "/out").withColumn("ts", ts_text("ts"))
             .withColumn("feedback_ts", ts_text("feedback_ts")))
 
@@ -220,16 +282,15 @@ def str6_out_of_order(spark, sf):
 SELECT prediction_id, {ts_text_sql('ts')} AS ts, entity_id, round(churn_probability, 6) AS churn_probability
 FROM predlog ORDER BY ts DESC, prediction_id DESC LIMIT 1000""")
 def str7_latest_n(spark, sf):
-    """STR7: the bounded log of the newest 1000 predictions, maintained per
-    micro-batch as versioned directories."""
+    """STR7: the bounded log of the newest 1000 predictions, maintained as a delta
+    per micro-batch and snapshots that fold them."""
     run = J.new_run_dir(spark, "str7")
     s = _predlog_stream(_staged_events(spark, sf, run)).select(
         "prediction_id", "ts", "entity_id", "churn_probability")
-    w = (s.writeStream.foreachBatch(J.latest_n_sink(run + "/log", "ts", "prediction_id", C.LOG_CAPACITY))
+    w = (s.writeStream.foreachBatch(J.latest_n_sink(run + "/log", "ts", "prediction_id", C.LOG_CAPACITY, compact_every=2))
          .option("checkpointLocation", run + "/ckpt"))
     J.run_available(w)
-    latest = J.latest_version(spark, run + "/log")
-    return spark.read.parquet(latest).withColumn("ts", ts_text("ts"))
+    return J.latest_n(spark, run + "/log", "ts", "prediction_id", C.LOG_CAPACITY).withColumn("ts", ts_text("ts"))
 
 
 @query("str1_stream_equals_batch", "SELECT c_custkey AS customer_id, true AS same FROM customer")

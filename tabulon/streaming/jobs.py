@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from typing import Callable
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,9 @@ from tabulon.operators import alerts as A
 from tabulon.operators import sample as SM
 from tabulon.operators import validate as V
 from tabulon.operators.drift import binned, binned_drift  # noqa: F401  (used by callers too)
+from tabulon.operators.monitor import duration_micros
 from tabulon.session import scratch_path
+from tabulon.streaming.state import filled_windows, first_truths
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
@@ -42,16 +44,39 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return s
 
 
-def run_available(stream_writer):
+#: The state store of operators with map state and timers.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_available(stream_writer, spark: SparkSession | None = None):
     """Run a ``DataStreamWriter`` over everything available, to its end; a
-    failed stream raises."""
-    q = stream_writer.trigger(availableNow=True).start()
+    failed stream raises.  With ``spark`` the query keeps its state in RocksDB, as
+    the operators of ``streaming.state`` need (a deployment sets ``STATE_STORE``)."""
+    before = spark.conf.get(STATE_STORE) if spark else None
+    try:
+        if spark:
+            spark.conf.set(STATE_STORE, ROCKSDB)
+        q = stream_writer.trigger(availableNow=True).start()
+    finally:
+        if spark:
+            spark.conf.set(STATE_STORE, before)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return q
 
 
+def after_clock(stream: DataFrame, ts: str, keep: Column) -> DataFrame:
+    """Rows with an event time that satisfy ``keep``, chosen after the watermark
+    has seen all rows: a condition that names the event time is not pushed below."""
+    return stream.where(F.when(F.col(ts).isNotNull(), keep).otherwise(False))
+
+
+def duration_millis(every: str) -> int:
+    return duration_micros(every) // 1000
+
+
 def epoch_path(base: str, epoch: int) -> str:
     """The folder of one micro-batch; written with overwrite, so a repeated
     epoch replaces its own rows.  Reading ``base`` gives an ``epoch`` column."""
@@ -124,6 +149,44 @@ def alert_sink(path: str, min_rows: int = C.MIN_PERFORMANCE_SAMPLES):
     return handle
 
 
+def monitored_windows(stream: DataFrame, ts: str = "ts", prob: str = "churn_probability", every: str = C.MONITOR_WINDOW,
+                      watermark: str = "10 minutes", value: str | None = None, reference: Sequence[float] | None = None,
+                      lo: float = 0.0, hi: float = 1.0, key: str | None = None, min_rows: int = C.MIN_PERFORMANCE_SAMPLES,
+                      drift_cut: float = C.DRIFT_THRESHOLD) -> DataFrame:
+    """STR5 input, in append mode: every window from a key's first one on, also
+    those without rows, with its status and drift flag.
+
+    Two stateful steps: the windowed aggregate (counts, confidence, and with
+    ``value`` its histogram over the bins of ``reference``, shares of a reference
+    table between ``lo`` and ``hi``), then ``streaming.state.filled_windows``, whose
+    event-time timers emit a window of zeros when no rows came for it.  The
+    Jensen-Shannon distance of the window's bins decides ``drift_detected``.  Without
+    ``key`` the whole stream is one monitor."""
+    bins = len(reference) if reference else 0
+    who = F.col(key).cast("string") if key else F.lit("all")
+    s = stream.withWatermark(ts, watermark)
+    of = binned(s, value, lo, hi, bins) if bins else None
+    aggs = [F.count(F.lit(1)).alias("n_predictions"), F.avg(S.confidence(prob)).alias("avg_confidence"),
+            *[F.count_if(of == b + 1).alias(f"_b{b}") for b in range(bins)]]
+    closed = after_clock(s, ts, F.col(prob).isNotNull()).groupBy(F.window(ts, every).alias("w"), who.alias("monitor")).agg(*aggs)
+    closed = closed.select("monitor", F.window_time("w").alias("event_time"), F.unix_millis(F.col("w.start")).alias("start"), "n_predictions",
+                           "avg_confidence", F.array(*[F.col(f"_b{b}") for b in range(bins)]).cast("array<long>").alias("bins"))
+    full = filled_windows(closed, duration_millis(every)).withColumn("window_start", F.timestamp_millis("start"))
+    full = full.withColumn("status", F.when(F.col("n_predictions") >= min_rows, "ok").otherwise("insufficient"))
+    if not bins:
+        return full.select("monitor", "window_start", "n_predictions", "avg_confidence", "status")
+    total = F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x)
+    plogp = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    pairs = F.arrays_zip(F.col("bins").alias("n"), F.array(*[F.lit(float(p)) for p in reference]).alias("p"))
+    def part(x):
+        q, p = F.try_divide(x["n"].cast("double"), total.cast("double")), x["p"]
+        return plogp(p, (p + q) / 2) + plogp(q, (p + q) / 2)
+    js = F.sqrt(F.greatest(F.aggregate(F.transform(pairs, part), F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    full = full.withColumn("jensen_shannon", F.when(total > 0, js))
+    full = full.withColumn("drift_detected", F.coalesce(F.col("jensen_shannon") >= drift_cut, F.lit(False)))
+    return full.select("monitor", "window_start", "n_predictions", "avg_confidence", "status", "jensen_shannon", "drift_detected")
+
+
 # --- STR4 ------------------------------------------------------------------------
 
 def sliding_histogram(stream: DataFrame, ts: str, value: str, lo: float, hi: float, bins: int = 20,
@@ -147,40 +210,28 @@ def seconds_of(interval: str) -> int:
 
 
 def stream_feedback_match(events: DataFrame, key: str, ts: str, kind_col: str, id_col: str, flag_col: str,
-                          horizon: str = "1 day", watermark: str = "1 hour", slice_length: str = "6 hours") -> DataFrame:
+                          horizon: str = "1 day", watermark: str = "1 hour", slice_length: str = "7 days") -> DataFrame:
     """STR6: predictions (kind 1) matched with the first later truth (kind 0)
-    of the same key within ``horizon``; other kinds only move the clock.
-
-    Time is cut into slices.  A prediction belongs to its slice; a truth to its
-    own slice and the earlier ones within the horizon.  State per (key, slice) is
-    the slice's own rows and the *earliest* truth after it (a running minimum), so
-    a busy key is split by time and no pair is listed.  A slice is matched once,
-    when the watermark says that no truth for it can still come: rows may arrive in
-    any order within ``watermark``, on either side.
-    """
-    h, sl = seconds_of(horizon), seconds_of(slice_length)
-    back = -(-h // sl)
-    # a row at time t closes no earlier than t - sl; the newest slice closes at most sl + h after its rows
-    delay = f"{seconds_of(watermark) + 2 * sl + h} seconds"
-    s = events.select(F.col(key).alias("entity_id"), F.col(ts).alias("ts"), F.col(kind_col).alias("kind"),
-                      F.col(id_col).alias("row_id"), F.col(flag_col).alias("flag"))
-    n = F.floor(F.unix_micros("ts") / F.lit(sl * 1_000_000)).cast("long")
-    s = s.withColumn("_n", n).withColumn("_s", F.explode(
-        F.when(F.col("kind") == 0, F.sequence(F.col("_n") - back, F.col("_n"))).otherwise(F.array("_n"))))
-    s = s.withColumn("closes", F.timestamp_seconds((F.col("_s") + 1) * sl + h))
-    row = F.struct("ts", "row_id", "flag")
-    truth = F.col("kind") == 0
-    state = (s.withWatermark("closes", delay).groupBy("entity_id", "closes")
-             .agg(F.collect_list(F.when(F.col("kind") == 1, row)).alias("preds"),
-                  F.collect_list(F.when(truth & (F.col("_s") == F.col("_n")), row)).alias("truths"),
-                  F.min(F.when(truth & (F.col("_s") < F.col("_n")), row)).alias("later")))
-    d = state.select("entity_id", F.explode("preds").alias("p"), "truths", "later")
-    first = F.coalesce(F.array_min(F.filter("truths", lambda t: t["ts"] >= F.col("p.ts"))), F.col("later"))
-    d = d.select("entity_id", "p", first.alias("t"))
-    d = d.where(F.col("t").isNotNull() & (F.unix_micros("t.ts") - F.unix_micros("p.ts") <= h * 1_000_000))
-    return d.select("entity_id", F.col("p.row_id").alias("prediction_id"), F.col("t.row_id").alias("feedback_id"),
-                    F.col("p.ts").alias("ts"), F.col("t.ts").alias("feedback_ts"),
-                    F.col("p.flag").alias("predicted_churn"), F.col("t.flag").alias("actual_churn"))
+    of the same key within ``horizon`` (ties: smallest id); other kinds only move
+    the clock.
+
+    State is one map entry per waiting prediction and per truth that may still be
+    needed, in RocksDB; no list of a key's rows exists.  An event-time timer wakes a
+    key when its next prediction may be settled: once the watermark has passed its
+    first truth, or its horizon.  So rows may arrive in any order within
+    ``watermark``, on either side.  A busy key is split by time into slices: a truth
+    goes to its own slice and, when it lies within the horizon of an earlier slice's
+    end, to that one too (slices at least as long as the horizon: one copy at most).
+    Rows without a key, a time or an id match nothing; rows of one kind, time and
+    id are the same row."""
+    h, sl = seconds_of(horizon) * 1_000_000, seconds_of(slice_length) * 1_000_000
+    s = after_clock(events.withWatermark(ts, watermark), ts, F.col(key).isNotNull() & F.col(id_col).isNotNull() & F.col(kind_col).isin(0, 1))
+    t = F.unix_micros(F.col(ts))
+    own, reach = F.floor(t / F.lit(sl)).cast("long"), F.floor((t - h) / F.lit(sl)).cast("long")
+    s = s.select(F.col(key).alias("entity_id"), F.explode(F.when(F.col(kind_col) == 0, F.sequence(reach, own)).otherwise(F.array(own))).alias("slice"),
+                 F.col(ts).alias("ts"), t.alias("micros"), F.col(kind_col).cast("int").alias("kind"),
+                 F.col(id_col).alias("row_id"), F.col(flag_col).alias("flag"))
+    return first_truths(s, h)
 
 
 # --- STR7 ------------------------------------------------------------------------
@@ -189,20 +240,67 @@ def version_path(base: str, epoch: int) -> str:
     return os.path.join(base, f"v{epoch:08d}")
 
 
-def latest_n_sink(base: str, ts: str, id_col: str, n: int = C.LOG_CAPACITY):
-    """STR7: keep the newest ``n`` rows.  Each micro-batch unions the newest
-    complete version *below* its epoch with the batch, keeps the top ``n``
-    (TakeOrderedAndProject) and writes version ``v<epoch>``; plain parquet has no
-    MERGE, so versions are directories and readers take the highest.  A repeated
-    epoch reads what it read before and replaces its own version."""
+def latest_n_sink(base: str, ts: str, id_col: str, n: int = C.LOG_CAPACITY, compact_every: int = 8):
+    """STR7: keep the newest ``n`` rows.  Each micro-batch writes its own newest
+    ``n`` (TakeOrderedAndProject) as a delta of its epoch and rewrites nothing else;
+    readers (``latest_n``) take the newest ``n`` of the last snapshot and the deltas
+    after it.
+
+    Every ``compact_every`` epochs the snapshot and the deltas *below* the epoch are
+    folded into a new snapshot.  A snapshot that covers all epochs below e replaces
+    the one before and the deltas it holds; they are kept until the snapshot after
+    it is complete, so readers that listed them finish, and then deleted.  A
+    repeated epoch replaces its own delta and its own snapshot."""
     def handle(batch: DataFrame, epoch: int):
         spark = batch.sparkSession
-        prev = latest_version(spark, base, below=epoch)
-        cur = batch if prev is None else spark.read.parquet(prev).unionByName(batch)
-        SM.last_n(cur, ts, id_col, n).write.mode("overwrite").parquet(version_path(base, epoch))
+        SM.last_n(batch, ts, id_col, n).write.mode("overwrite").parquet(os.path.join(base, "deltas", f"d{epoch:08d}"))
+        if epoch and epoch % compact_every == 0:
+            held = _live(spark, base, epoch)
+            if held:
+                rows = spark.read.parquet(*held)
+                SM.last_n(rows, ts, id_col, n).write.mode("overwrite").parquet(version_path(os.path.join(base, "snapshots"), epoch))
+                _retire(spark, base)
     return handle
 
 
+def _complete(spark: SparkSession, base: str, prefix: str) -> list[int]:
+    """Numbers of the complete folders ``<prefix><number>`` below ``base``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return sorted(int(x[len(prefix):]) for x in names if x.startswith(prefix) and fs.exists(hadoop.Path(os.path.join(base, x, "_SUCCESS"))))
+
+
+def _live(spark: SparkSession, base: str, below: int | None = None) -> list[str]:
+    """The newest snapshot and the deltas it does not hold (of epochs below ``below``)."""
+    snaps = [e for e in _complete(spark, os.path.join(base, "snapshots"), "v") if below is None or e < below]
+    upto = snaps[-1] if snaps else 0
+    deltas = [e for e in _complete(spark, os.path.join(base, "deltas"), "d") if e >= upto and (below is None or e < below)]
+    return ([version_path(os.path.join(base, "snapshots"), upto)] if snaps else []) + [os.path.join(base, "deltas", f"d{e:08d}") for e in deltas]
+
+
+def _retire(spark: SparkSession, base: str) -> None:
+    """Deletes snapshots before the last two, and deltas that the older of these holds."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    snaps = _complete(spark, os.path.join(base, "snapshots"), "v")
+    if len(snaps) < 2:
+        return
+    fs = hadoop.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [version_path(os.path.join(base, "snapshots"), e) for e in snaps[:-2]]
+    gone += [os.path.join(base, "deltas", f"d{e:08d}") for e in _complete(spark, os.path.join(base, "deltas"), "d") if e < snaps[-2]]
+    for path in gone:
+        fs.delete(hadoop.Path(path), True)
+
+
+def latest_n(spark: SparkSession, base: str, ts: str, id_col: str, n: int = C.LOG_CAPACITY) -> DataFrame | None:
+    """STR7: the log's newest ``n`` rows; None before the first epoch."""
+    held = _live(spark, base)
+    return SM.last_n(spark.read.parquet(*held), ts, id_col, n) if held else None
+
+
 def latest_version(spark: SparkSession, base: str, below: int | None = None) -> str | None:
     """The newest complete version, of those before epoch ``below`` when given."""
     jvm = spark.sparkContext._jvm

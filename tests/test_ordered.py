@@ -4,8 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tabulon.operators.ordered import (exact_quantiles, hash_order, running_sums, strata_ranks,
-                                       top_n_per_key)
+from tabulon.operators.ordered import (exact_quantiles, first_after, hash_order, key_ranges, lagged, row_numbers, running_sums,
+                                       strata_ranks, top_n_per_key, trailing)
 
 
 def _frame(spark, n=400, groups=3, seed=1):
@@ -74,3 +74,51 @@ def test_top_n_per_key_matches_row_number(spark):
     out = top_n_per_key(df, ["g"], [F.col("v").desc(), F.col("k")], 3).toPandas()
     exp = pdf.assign(k=df.toPandas()["k"]).sort_values(["v", "k"], ascending=[False, True]).groupby("g").head(3)
     assert sorted(out["k"]) == sorted(exp["k"])
+
+
+def _as_of(rows):
+    """The first target of the key at or after each row's time."""
+    out = {}
+    for k, t, i, target in rows:
+        if k is not None and t is not None:
+            later = [(u, j) for k2, u, j, tg in rows if k2 == k and tg and u is not None and u >= t]
+            out[i] = min(later) if later else None
+    return out
+
+
+def test_first_after_with_and_without_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(t), i, bool(x < 0.2)) for i, (k, t, x) in enumerate(zip(
+        np.where(rng.random(1500) < 0.6, 0, rng.integers(1, 30, 1500)), rng.integers(0, 400, 1500), rng.random(1500)))]
+    rows += [(None, 5, 2000, True), (0, None, 2001, False), (99, 7, 2002, False)]
+    df = spark.createDataFrame(rows, "k int, t int, i int, is_target boolean").withColumn("target", F.when(F.col("is_target"), F.struct("t", "i")))
+    assert key_ranges(df, "k", "t", 10_000) is None or key_ranges(df, "k", "t", 10_000).count() == 0
+    assert key_ranges(df, "k", "t", 40).where("k = 0").select(F.size("_bounds")).first()[0] > 10
+    for per_range in (None, 40, 7):
+        got = {r.i: tuple(r.first_after) if r.first_after else None for r in first_after(df, "k", "t", "target", per_range).collect()}
+        assert got == _as_of(rows)
+
+
+def test_row_numbers_split_equal_values(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("v"), F.col("id")).repartition(7)
+    got = row_numbers(df, [F.col("v"), F.col("id")])
+    pdf = got.toPandas().sort_values(["v", "id"])
+    assert pdf["row_number"].tolist() == list(range(1, 4001)) and list(pdf.columns) == ["v", "id", "row_number"]
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    assert row_numbers(df.limit(0), [F.col("v")]).count() == 0
+
+
+def test_lagged_and_trailing_match_windows(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 300).astype("int64"), "t": rng.permutation(3000)[:300].astype("int64") - 500,
+                        "x": rng.integers(0, 9, 300).astype("int64")}).sort_values(["g", "t"])
+    df = spark.createDataFrame(pdf)
+    for keys in ([], ["g"]):
+        by = pdf.sort_values(keys + ["t"])
+        prev = by.groupby("g")["x"].shift() if keys else by["x"].shift()
+        got = lagged(df, "t", ["x"], keys, width=37).toPandas().sort_values(keys + ["t"])
+        assert got["previous_x"].fillna(-1).tolist() == prev.fillna(-1).tolist()
+        want = [int(by.loc[(by["t"] <= t) & (by["t"] >= t - 50) & ((by["g"] == g) | (not keys)), "x"].sum()) for g, t in zip(by["g"], by["t"])]
+        for width in (51, 1000):
+            got = trailing(df, "t", 50, {"s": F.sum("x")}, keys, width).toPandas().sort_values(keys + ["t"])
+            assert got["s"].tolist() == want and len(got) == 300

@@ -1,18 +1,25 @@
-"""SURVEY §5 item 5: with one user owning a third of all events, no heavy
-shuffle stage has a task far above its neighbours (read from the event log)."""
+"""SURVEY §5 item 5: with one user owning a third of all events, or a third of the
+events of the only day, no heavy shuffle stage has a task far above its neighbours
+(read from the event log)."""
 
 import os
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+RUNS = {"--hot": ["jon1_feedback_join", "win2_stratified_split", "drf1_ks_wasserstein", "win1_last_n_per_entity", "agg16_latency_summary",
+                  "win5_batch_ids", "str6_stream_feedback_join"],
+        "--hot-day": ["jon1_feedback_join", "win5_batch_ids", "win6_win7_by_event_type"]}
+
 
-def test_hot_key_stages_stay_balanced():
-    queries = ["jon1_feedback_join", "win2_stratified_split", "drf1_ks_wasserstein",
-               "win1_last_n_per_entity", "agg16_latency_summary"]
+@pytest.mark.parametrize("hot", RUNS)
+def test_hot_key_stages_stay_balanced(hot):
+    queries = RUNS[hot]
     out = subprocess.run([sys.executable, os.path.join(ROOT, "tools", "stage_skew.py"),
-                          "/root/testdata/sf0.01", "--hot", *queries],
+                          "/root/testdata/sf0.01", hot, *queries],
                          capture_output=True, text=True, timeout=900, cwd=ROOT)
     assert out.returncode == 0, out.stderr[-2000:]
     rows = {}
@@ -22,4 +29,5 @@ def test_hot_key_stages_stay_balanced():
             rows[parts[0]] = (int(parts[3]), float(parts[4]))
     assert set(rows) == set(queries), out.stdout
     for q, (records, ratio) in rows.items():
-        assert ratio < 10, (q, records, ratio)
+        # a stream keeps one user's order in one task: a third of 16 tasks' rows is 5.3 times the mean
+        assert ratio < (6 if q.startswith("str6") else 3), (q, records, ratio)
