@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tabulon import config as C
 from tabulon.functions import scalar as S
-from tabulon.operators.ordered import exact_quantiles
+from tabulon.operators import counts as VC
 from tabulon.roles import numeric_columns, string_columns
 
 
@@ -125,9 +125,7 @@ def median_fill_values(df: DataFrame, columns: Sequence[str] | None = None,
         row = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), 0.5, 100000).alias(c)
                        for c in cols]).first()
         return {c: row[c] for c in cols if row[c] is not None}
-    long = to_long(df, cols)
-    med = exact_quantiles(long, "value", [0.5], ["column_name"])
-    return {r["column_name"]: r["value"] for r in med.collect()}
+    return VC.fills_of(VC.value_counts(df, cols), cols, [], C.UNKNOWN_CATEGORY)
 
 
 def mode_fill_values(df: DataFrame, columns: Sequence[str] | None = None,
@@ -137,19 +135,7 @@ def mode_fill_values(df: DataFrame, columns: Sequence[str] | None = None,
     cols = list(columns) if columns is not None else string_columns(df)
     if not cols:
         return {}
-    modes = column_modes(df, cols).collect()
-    found = {r["column_name"]: r["mode"] for r in modes}
-    return {c: found.get(c, unknown) for c in cols}
-
-
-def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, mode, mode_count): one distributed pass over (column, value) counts."""
-    long = to_long(df, cols, as_type="string")
-    counts = (long.where(F.col("value").isNotNull())
-              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
-    return counts.groupBy("column_name").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
-        F.max("n").alias("mode_count"))
+    return VC.fills_of(VC.value_counts(df, categorical=cols), [], cols, unknown)
 
 
 def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -163,10 +149,11 @@ def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 def impute(df: DataFrame, numeric: Sequence[str] | None = None,
            categorical: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
-    """IMP1 + IMP2: median for numbers, mode for text. Returns (table, fill values)."""
-    values = {}
-    values.update(median_fill_values(df, numeric))
-    values.update(mode_fill_values(df, categorical))
+    """IMP1 + IMP2: median for numbers, mode for text, fitted in one scan.
+    Returns (table, fill values)."""
+    num = list(numeric) if numeric is not None else numeric_columns(df)
+    cat = list(categorical) if categorical is not None else string_columns(df)
+    values = VC.fills_of(VC.value_counts(df, num, cat), num, cat, C.UNKNOWN_CATEGORY)
     return fill(df, values), values
 
 

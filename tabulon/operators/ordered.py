@@ -33,6 +33,9 @@ from tabulon.config import DEFAULT_SCALE
 
 _UNB = Window.unboundedPreceding
 
+#: rows that a table of bounds or offsets may have to be broadcast
+BROADCAST_ROWS = 200_000
+
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several branches read: a reliable
@@ -51,7 +54,7 @@ def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                  group_cols: Sequence[str] = (), descending: bool = False,
                  bucket_col: str | None = None, tiebreak: Sequence[str] = (),
-                 n_buckets: int | None = None, groups_bounded: bool = True,
+                 n_buckets: int | None = None, groups_bounded: bool | None = True,
                  with_totals: bool = False) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` ordered by ``order_col`` per group.
 
@@ -59,9 +62,16 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     order value in the group (null on the last row); with ``with_totals``
     also ``<c>_total``, the group total.  ``df`` should hold one
     row per (group, order value) unless ``tiebreak`` names a full key.
+
+    ``groups_bounded`` says that groups are columns, models or classes, whose
+    bounds and offsets may be broadcast; None counts the groups of ``df`` (settled)
+    first and broadcasts only up to ``BROADCAST_ROWS`` rows.
     """
     n_buckets = n_buckets or DEFAULT_SCALE.buckets_per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     g = list(group_cols)
+    if groups_bounded is None:
+        most = max(1, BROADCAST_ROWS // n_buckets)
+        groups_bounded = not g or df.select(*g).distinct().limit(most + 1).count() <= most
     d = df
     if not g:
         d = d.withColumn("_g", F.lit(0))
@@ -112,7 +122,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 
 
 def exact_quantiles(long_df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), groups_bounded: bool = True
+                    group_cols: Sequence[str] = (), groups_bounded: bool | None = True
                     ) -> DataFrame:
     """Exact quantiles with linear interpolation (like ``percentile``).
 
@@ -123,10 +133,18 @@ def exact_quantiles(long_df: DataFrame, value_col: str, probs: Sequence[float],
     and reduced in one aggregate - no join.  Returns (group..., q, value);
     groups with no non-null value are absent.
     """
-    g = list(group_cols)
     vals = long_df.where(F.col(value_col).isNotNull() & ~F.isnan(value_col))
-    counts = materialize(vals.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_n")))
-    run = running_sums(counts, value_col, ["_n"], g, groups_bounded=groups_bounded, with_totals=True)
+    counts = materialize(vals.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
+    return quantiles_of_counts(counts, value_col, "_n", probs, group_cols, groups_bounded)
+
+
+def quantiles_of_counts(counts: DataFrame, value_col: str, n_col: str, probs: Sequence[float],
+                        group_cols: Sequence[str] = (), groups_bounded: bool | None = True) -> DataFrame:
+    """``exact_quantiles`` of a settled table of values and how often each occurs
+    (a value may have several rows)."""
+    g = list(group_cols)
+    c = counts.select(*g, F.col(value_col).alias("_v"), F.col(n_col).alias("_n"))
+    run = running_sums(c, "_v", ["_n"], g, groups_bounded=groups_bounded, with_totals=True)
     prev = F.col("_n_run") - F.col("_n")
     aggs, covers_any = [], F.lit(False)
     for i, p in enumerate(probs):
@@ -135,7 +153,7 @@ def exact_quantiles(long_df: DataFrame, value_col: str, probs: Sequence[float],
         c_lo = (prev <= lo) & (lo < F.col("_n_run"))
         c_hi = (prev <= hi) & (hi < F.col("_n_run"))
         covers_any = covers_any | c_lo | c_hi
-        v = F.col(value_col).cast("double")
+        v = F.col("_v").cast("double")
         aggs += [F.max(F.when(c_lo, v)).alias(f"_lo{i}"), F.max(F.when(c_hi, v)).alias(f"_hi{i}"),
                  F.max(pos - lo).alias(f"_fr{i}")]
     red = run.where(covers_any).groupBy(*g).agg(*aggs)

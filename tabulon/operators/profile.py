@@ -1,7 +1,7 @@
 """Column profiles (AGG2, AGG3, AGG5, AGG6, AGG15, AGG19, AGG21).
 
-Simple statistics of all columns come from one wide aggregate; exact
-quantiles come from the distributed distinct-value scan in ``ordered``.
+Everything but histograms and class counts is read from the value counts of
+``operators.counts``: one scan of the table, then only its distinct values.
 Results are long tables (one row per column), joined on the column name.
 """
 
@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon import config as C
-from tabulon.operators.clean import column_modes, to_long
-from tabulon.operators.ordered import exact_quantiles
-from tabulon.operators.validate import missing_counts, missing_summary
+from tabulon.operators import counts as VC
+from tabulon.operators.clean import to_long
 from tabulon.roles import numeric_columns, string_columns
 
 
@@ -30,25 +29,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
     Quantiles are exact and interpolated (pandas ``describe``).
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
-    stats = ("count", "mean", "std", "min", "max")
-    aggs = []
-    for i, c in enumerate(cols):
-        x = _q(c).cast("double")
-        aggs += [F.count(x).alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"),
-                 F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"),
-                 F.max(x).alias(f"max_{i}")]
-    wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column_name"),
-                        *[F.col(f"{s}_{i}").alias(s) for s in stats])
-               for i, c in enumerate(cols)]
-    base = wide.select(F.inline(F.array(*structs)))
-    qs = exact_quantiles(to_long(df, cols), "value", probs, ["column_name"])
-    qwide = qs.groupBy("column_name").pivot("q", [float(p) for p in probs]).agg(F.first("value"))
-    names = {float(p): f"p{int(round(p * 100))}" for p in probs}
-    qwide = qwide.select("column_name", *[F.col(f"`{p}`").alias(n) for p, n in names.items()])
-    out = base.join(F.broadcast(qwide), "column_name", "left")
-    return out.select("column_name", "count", "mean", "std", "min",
-                      *names.values(), "max")
+    return VC.describe_counts(VC.value_counts(df, cols), cols, probs)
 
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -67,10 +48,11 @@ def distinct_profile(df: DataFrame, columns: Sequence[str] | None = None,
     HyperLogLog++ for very large tables.
     """
     cols = list(columns) if columns is not None else string_columns(df)
-    f = F.approx_count_distinct if approximate else F.count_distinct
+    if not approximate:
+        return VC.distinct_of(VC.value_counts(df, categorical=cols), cols)
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [f(_q(c)).alias(f"d_{i}"), F.max(_q(c).isNull()).alias(f"n_{i}")]
+        aggs += [F.approx_count_distinct(_q(c)).alias(f"d_{i}"), F.max(_q(c).isNull()).alias(f"n_{i}")]
     wide = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"d_{i}").alias("n_distinct"),
                         F.col(f"n_{i}").alias("has_null")) for i, c in enumerate(cols)]
@@ -104,18 +86,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None,
                  k: float = C.OUTLIER_IQR_FACTOR) -> DataFrame:
     """AGG19: per column, values outside [Q1 - k·IQR, Q3 + k·IQR] with exact quartiles."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    long = to_long(df, cols)
-    qs = exact_quantiles(long, "value", [0.25, 0.75], ["column_name"])
-    bounds = qs.groupBy("column_name").agg(
-        F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"))
-    bounds = bounds.select("column_name", "q1", "q3",
-                           (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower"),
-                           (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper"))
-    flagged = long.join(F.broadcast(bounds), "column_name").groupBy("column_name").agg(
-        F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
-        .alias("n_outliers"))
-    return bounds.join(flagged, "column_name")
+    return VC.outliers_of(VC.value_counts(df, cols), k)
 
 
 def quality_profile(df: DataFrame, dataset: str, numeric: Sequence[str] | None = None,
@@ -124,30 +95,25 @@ def quality_profile(df: DataFrame, dataset: str, numeric: Sequence[str] | None =
     with ``dataset``; union reference and current profiles to compare."""
     num = list(numeric) if numeric is not None else numeric_columns(df)
     cat = list(categorical) if categorical is not None else string_columns(df)
+    counts = VC.value_counts(df, num, cat, texts=True)
     cols = num + cat
-    miss = missing_counts(df, cols)
-    modes = column_modes(df, cols)
-    dist = distinct_profile(df, cols)
-    return (miss.join(dist, "column_name").join(modes, "column_name", "left")
-            .select(F.lit(dataset).alias("dataset"), "column_name", "n_rows", "missing",
-                    "missing_share", "n_distinct",
-                    F.coalesce(F.try_divide(F.col("n_distinct"), F.col("n_rows")), F.lit(0.0))
-                    .alias("distinct_share"),
-                    F.col("mode").alias("most_common"), "mode_count"))
-
-
-def before_after(before: DataFrame, after: DataFrame, dropped: int) -> DataFrame:
-    """AGG2: one row of shapes and missing counts before and after preparation."""
-    b = missing_summary(before).select(
-        F.col("n_rows").alias("rows_before"), F.col("n_columns").alias("columns_before"),
-        F.col("missing_cells").alias("missing_before"), F.lit(0).alias("_k"))
-    a = missing_summary(after).select(
-        F.col("n_rows").alias("rows_after"), F.col("n_columns").alias("columns_after"),
-        F.col("missing_cells").alias("missing_after"), F.lit(0).alias("_k"))
-    return b.join(a, "_k").select(
-        "rows_before", "columns_before", "rows_after", "columns_after",
-        F.lit(dropped).alias("columns_dropped"), "missing_before", "missing_after",
-        (F.col("missing_before") - F.col("missing_after")).alias("missing_filled"),
+    d = (VC.missing_by_column(counts, cols).join(F.broadcast(VC.distinct_of(counts, cols)), "column_name")
+         .join(F.broadcast(VC.modes_of(counts)), "column_name", "left"))                     # one row per column each
+    return d.select(F.lit(dataset).alias("dataset"), "column_name", "n_rows", "missing", "missing_share", "n_distinct",
+                    F.coalesce(F.try_divide(F.col("n_distinct"), F.col("n_rows")), F.lit(0.0)).alias("distinct_share"),
+                    F.col("mode").alias("most_common"), "mode_count")
+
+
+def before_after(summary: DataFrame, before: DataFrame, after: DataFrame, dropped: int, missing_after: Column) -> DataFrame:
+    """AGG2: one row of shapes and missing counts before and after preparation,
+    from the missing summary of the raw table (no second scan); ``missing_after``
+    is an expression over it.  Preparation keeps all rows."""
+    s = summary.withColumn("_after", missing_after)
+    return s.select(
+        F.col("n_rows").alias("rows_before"), F.lit(len(before.columns)).alias("columns_before"),
+        F.col("n_rows").alias("rows_after"), F.lit(len(after.columns)).alias("columns_after"),
+        F.lit(dropped).alias("columns_dropped"), F.col("missing_cells").alias("missing_before"), F.col("_after").alias("missing_after"),
+        (F.col("missing_cells") - F.col("_after")).alias("missing_filled"),
         F.lit(_type_summary(before)).alias("types_before"), F.lit(_type_summary(after)).alias("types_after"))
 
 

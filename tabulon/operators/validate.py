@@ -69,9 +69,14 @@ def validate_table(df: DataFrame, min_rows: int = C.MIN_SAMPLES,
 
     Missing required columns are reported, not raised ("warn and continue").
     """
-    missing_req = [c for c in required if c not in df.columns]
-    s = missing_summary(df)
-    return s.select(
+    return validate_summary(missing_summary(df), df.columns, min_rows, max_missing_share, required)
+
+
+def validate_summary(summary: DataFrame, columns: Sequence[str], min_rows: int = C.MIN_SAMPLES,
+                     max_missing_share: float = C.MAX_MISSING_SHARE, required: Sequence[str] = C.REQUIRED_COLUMNS) -> DataFrame:
+    """AGG1 from the missing summary of a table with these columns."""
+    missing_req = [c for c in required if c not in columns]
+    return summary.select(
         "n_rows", "n_columns", "missing_cells", "missing_share",
         (F.col("n_rows") >= min_rows).alias("has_min_rows"),
         (F.col("missing_share") <= max_missing_share).alias("missing_ok"),

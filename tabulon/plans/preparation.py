@@ -10,8 +10,11 @@ from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tabulon import config as C
 from tabulon.operators import clean, profile, validate
+from tabulon.operators import counts as VC
 
 
 @dataclass
@@ -26,19 +29,20 @@ class Prepared:
 
 def prepare(raw: DataFrame, drop: Sequence[str], numeric: Sequence[str],
             categorical: Sequence[str], required: Sequence[str] = (),
-            min_rows: int = 1000, max_missing_share: float = 0.3,
-            cut_lineage: bool = True) -> Prepared:
-    """The raw table is read by five passes (checks, two fits, quality,
-    profile); when it is derived (joins, aggregates) ``cut_lineage`` writes it
-    once to the shared checkpoint folder so the derivation runs once."""
-    if cut_lineage:
-        from tabulon.operators.ordered import materialize
-        raw = materialize(raw)
-    checks = validate.validate_table(raw, min_rows, max_missing_share, required)
+            min_rows: int = 1000, max_missing_share: float = 0.3) -> Prepared:
+    """The raw table is scanned once, for its value counts (``operators.counts``):
+    checks, fill values, the report before and after and the description of the
+    prepared table are all read from them.  The prepared table itself is a lazy
+    projection of the raw one; no copy of either is written."""
     dropped, report = clean.drop_listed(raw, drop)
     num = [c for c in numeric if c in dropped.columns]
     cat = [c for c in categorical if c in dropped.columns]
-    table, values = clean.impute(dropped, num, cat)
-    quality = profile.before_after(raw, table, len(report.dropped))
-    desc = profile.describe(table, num)
-    return Prepared(table, checks, report, values, quality, desc)
+    seen = VC.value_counts(raw, num, cat, [c for c in raw.columns if c not in {*num, *cat}], rows=True)
+    summary = VC.missing_of_rows(seen, len(raw.columns))
+    checks = validate.validate_summary(summary, raw.columns, min_rows, max_missing_share, required)
+    values = VC.fills_of(seen, num, cat, C.UNKNOWN_CATEGORY)
+    table = clean.fill(dropped, values)
+    after = VC.filled(seen, values)
+    kept = VC.missing_by_column(after, dropped.columns).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("_kept"))
+    quality = profile.before_after(summary.crossJoin(F.broadcast(kept)), raw, table, len(report.dropped), F.col("_kept"))   # one row each
+    return Prepared(table, checks, report, values, quality, VC.describe_counts(after, num))
