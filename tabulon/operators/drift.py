@@ -1,16 +1,16 @@
 """Drift between a reference and a current table (DRF1-8, DEC1-2).
 
-Both tables are tagged and unioned into one long (column, value) table, so all
-columns of both tables are handled by one shuffle on (column, value).
-Empirical CDFs come from the distributed running sums in ``ordered``; per
+``pair_counts`` reads each table once: all columns of both, numbers and
+categories, are tagged and counted in one shuffle on (column, value), and the
+counts are settled.  Every score, the target's drift and the sample sizes are read
+from them.  Empirical CDFs come from the distributed running sums in ``ordered``;
 category shares from one aggregate.  Only per-column results (bounded by the
-schema) are ever joined by broadcast.
+schema) are ever joined by broadcast.  Counts are multiplied as doubles.
 
-Test choice (our contract, see README): a reference of at most 1000 rows is
-tested with KS (numbers) / chi-square (categories), drift when p < 0.05;
-larger references use Wasserstein over the reference std (numbers) and the
-Jensen-Shannon distance (categories), drift when the distance >= 0.1.
-Dataset drift: share of drifted columns >= 0.5.
+What decides (our contract, see README) is named by ``DriftConfig.decide_by``, the
+same at every size: ``distance`` (Wasserstein over the reference std, and
+Jensen-Shannon; drift from 0.1 on) or ``p_value`` (KS and chi-square; drift below
+0.05).  Dataset drift: share of drifted columns >= 0.5.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.config import DEFAULT_DRIFT, DriftConfig
+from tabulon.operators.counts import KEYS, NUMBER, TEXT
 from tabulon.operators.ordered import materialize, running_sums
 
 
@@ -31,21 +32,34 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def tagged_long(ref: DataFrame, cur: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
-    """(column_name, value, a, b): a = 1 for reference rows, b = 1 for current rows."""
+def pair_counts(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = ()) -> DataFrame:
+    """(kind, column_name, num, txt, a, b), settled: how often each value occurs in
+    the reference (a) and in the current table (b); nulls and NaN count too, so
+    the a of one column add up to the rows of the reference."""
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+
     def side(df, a, b):
-        structs = [F.struct(F.lit(c).alias("column_name"), _q(c).cast(as_type).alias("value"))
-                   for c in columns]
-        return df.select(F.inline(F.array(*structs))).select(
-            "column_name", "value", F.lit(a).alias("a"), F.lit(b).alias("b"))
-    return side(ref, 1, 0).unionByName(side(cur, 0, 1))
+        entries = [F.struct(F.lit(NUMBER).alias("kind"), F.lit(c).alias("column_name"), F.nanvl(_q(c).cast("double"), none).alias("num"),
+                            text.alias("txt")) for c in numeric]
+        entries += [F.struct(F.lit(TEXT).alias("kind"), F.lit(c).alias("column_name"), none.alias("num"), _q(c).cast("string").alias("txt"))
+                    for c in categorical]
+        return df.select(F.inline(F.array(*entries))).select("*", F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = side(ref, 1, 0).unionByName(side(cur, 0, 1))
+    return materialize(both.groupBy(*KEYS).agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+
+
+def sample_sizes(counts: DataFrame) -> DataFrame:
+    """One row: reference_rows, current_rows of the tables behind ``pair_counts``."""
+    per = counts.groupBy("kind", "column_name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return per.agg(F.coalesce(F.max("a"), F.lit(0)).alias("reference_rows"), F.coalesce(F.max("b"), F.lit(0)).alias("current_rows"))
 
 
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = DEFAULT_DRIFT.ks_series_terms) -> Column:
     """Asymptotic two-sample Kolmogorov p-value:
     λ = (√ne + 0.12 + 0.11/√ne)·D, ne = n·m/(n+m), p = 2 Σ (-1)^(k-1) e^(-2k²λ²),
     p = 1 when λ < 0.2 (the cut-off series is not valid there)."""
-    en = F.sqrt(F.try_divide((n * m).cast("double"), (n + m).cast("double")))
+    n, m = n.cast("double"), m.cast("double")            # a product of counts may not fit a long
+    en = F.sqrt(F.try_divide(n * m, n + m))
     lam = (en + F.lit(0.12) + F.try_divide(F.lit(0.11), en)) * d
     # Σ_{k=1..terms} (-1)^(k-1) exp(-2 k² λ²), folded over a sequence: a small
     # expression (one per column result) instead of `terms` inlined terms
@@ -67,7 +81,7 @@ def ks_p_value_sql(d: str, n: str, m: str, terms: int = DEFAULT_DRIFT.ks_series_
 def numeric_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
     """DRF1 + DRF2 per numeric column: KS statistic and p-value, Wasserstein
     distance and its normalised form (over max(reference population std, 0.001))."""
-    return numeric_drift_of(tagged_long(ref, cur, columns, "double"))
+    return numeric_drift_of(pair_counts(ref, cur, columns))
 
 
 def segment_drift(ref: DataFrame, cur: DataFrame, value: str, segment: str) -> DataFrame:
@@ -75,22 +89,21 @@ def segment_drift(ref: DataFrame, cur: DataFrame, value: str, segment: str) -> D
     either table holds (named ``<value>_<segment value>``)."""
     def side(df, a, b):
         return df.select(F.concat(F.lit(value + "_"), F.coalesce(F.col(segment).cast("string"), F.lit("null"))).alias("column_name"),
-                         F.col(value).cast("double").alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    return numeric_drift_of(side(ref, 1, 0).unionByName(side(cur, 0, 1)), groups_bounded=False)
+                         F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("num"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = side(ref, 1, 0).unionByName(side(cur, 0, 1))
+    counts = materialize(both.groupBy("column_name", "num").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    return numeric_drift_of(counts.withColumn("kind", F.lit(NUMBER)), groups_bounded=None)
 
 
-def numeric_drift_of(tagged: DataFrame, groups_bounded: bool = True) -> DataFrame:
-    """DRF1 + DRF2 over long rows (column_name, value, a = reference, b = current)."""
-    long = tagged.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    # one scan of each side: everything below works on the distinct-value counts
-    counts = materialize(
-        long.groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+def numeric_drift_of(counts: DataFrame, groups_bounded: bool | None = True) -> DataFrame:
+    """DRF1 + DRF2 of settled counts (kind, column_name, num, a, b)."""
+    counts = counts.where((F.col("kind") == NUMBER) & F.col("num").isNotNull()).select("column_name", F.col("num").alias("value"), "a", "b")
     run = running_sums(counts, "value", ["a", "b"], ["column_name"], with_totals=True, groups_bounded=groups_bounded)
     run = run.withColumnRenamed("a_total", "n_ref").withColumnRenamed("b_total", "n_cur")
     # reference mean per column (one row per column), for a centred variance
     mean = counts.groupBy("column_name").agg(
         F.try_divide(F.sum(F.col("a") * F.col("value")), F.sum("a").cast("double")).alias("_mean"))
-    j = run.join(F.broadcast(mean) if groups_bounded else mean, "column_name")
+    j = run.join(F.broadcast(mean) if groups_bounded else mean, "column_name")      # unhinted: the planner sees its size
     gap = F.abs(F.try_divide(F.col("a_run").cast("double"), F.col("n_ref"))
                 - F.try_divide(F.col("b_run").cast("double"), F.col("n_cur")))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
@@ -158,9 +171,13 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) ->
     degrees of freedom and p-value; Jensen-Shannon distance (base 2); PSI.
 
     Null is a category of its own (it is a value the model sees)."""
-    long = tagged_long(ref, cur, columns, "string").withColumn(
-        "value", F.coalesce("value", F.lit("<null>")))
-    counts = long.groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return categorical_drift_of(pair_counts(ref, cur, categorical=columns))
+
+
+def categorical_drift_of(counts: DataFrame) -> DataFrame:
+    """DRF3 + DRF4 of settled counts (kind, column_name, txt, a, b)."""
+    counts = counts.where(F.col("kind") == TEXT).select("column_name", F.coalesce("txt", F.lit("<null>")).alias("value"), "a", "b")
+    counts = counts.groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = counts.groupBy("column_name").agg(
         F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"), F.count(F.lit(1)).alias("k"))
     j = counts.join(F.broadcast(totals), "column_name")
@@ -169,10 +186,10 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) ->
     m = (p + q) / 2
     kl = (F.when(p > 0, p * F.log2(F.try_divide(p, m))).otherwise(0.0)
           + F.when(q > 0, q * F.log2(F.try_divide(q, m))).otherwise(0.0))
-    n = F.col("n_ref") + F.col("n_cur")
-    row_t = F.col("a") + F.col("b")
-    e_a = F.try_divide(row_t * F.col("n_ref"), n.cast("double"))
-    e_b = F.try_divide(row_t * F.col("n_cur"), n.cast("double"))
+    n_ref, n_cur = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
+    row_t = F.col("a").cast("double") + F.col("b")
+    e_a = F.try_divide(row_t * n_ref, n_ref + n_cur)
+    e_b = F.try_divide(row_t * n_cur, n_ref + n_cur)
     chi = (F.coalesce(F.try_divide((F.col("a") - e_a) ** 2, e_a), F.lit(0.0))
            + F.coalesce(F.try_divide((F.col("b") - e_b) ** 2, e_b), F.lit(0.0)))
     pf = F.greatest(p, F.lit(PSI_FLOOR))
@@ -188,13 +205,16 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) ->
 
 
 def column_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str],
-                 categorical: Sequence[str], cfg: DriftConfig = DEFAULT_DRIFT) -> DataFrame:
+                 categorical: Sequence[str], cfg: DriftConfig = DEFAULT_DRIFT, counts: DataFrame | None = None) -> DataFrame:
     """Per column: kind, test, score, threshold, drifted.  ``cfg.decide_by`` names
     the deciding score, the same at every size; ``status`` tells columns without
-    any current or reference value (score null, never counted as compared)."""
+    any current or reference value (score null, never counted as compared).
+    ``counts`` are the ``pair_counts`` of both tables, when the caller has them."""
     if cfg.decide_by not in ("distance", "p_value"):
         raise ValueError(f"decide_by is 'distance' or 'p_value', not {cfg.decide_by!r}")
     by_distance = cfg.decide_by == "distance"
+    if counts is None:
+        counts = pair_counts(ref, cur, numeric, categorical)
     parts = []
 
     def part(d, kind, names, distance, test, p):
@@ -211,9 +231,9 @@ def column_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str],
                         F.lit(cut).alias("threshold"), F.coalesce(over & (status == "ok"), F.lit(False)).alias("drifted"),
                         status.alias("status"))
     if numeric:
-        parts.append(part(numeric_drift(ref, cur, numeric), "numeric", numeric, "wasserstein_norm", "ks", "ks_p_value"))
+        parts.append(part(numeric_drift_of(counts), "numeric", numeric, "wasserstein_norm", "ks", "ks_p_value"))
     if categorical:
-        parts.append(part(categorical_drift(ref, cur, categorical), "categorical", categorical, "jensen_shannon", "chi_square", "chi2_p_value"))
+        parts.append(part(categorical_drift_of(counts), "categorical", categorical, "jensen_shannon", "chi_square", "chi2_p_value"))
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)
@@ -246,30 +266,31 @@ def dataset_drift(per_column: DataFrame, share: float = DEFAULT_DRIFT.dataset_sh
         F.array_join("_names", ",").alias("drifted_columns"))
 
 
-def drift_summary(ds: DataFrame, ref: DataFrame | None = None, cur: DataFrame | None = None) -> DataFrame:
+def drift_summary(ds: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """DRF7: the dataset row with an action (retrain on dataset drift, else
-    monitor) and, when the tables are given, their sample counts."""
+    monitor) and, given the ``pair_counts``, the sample sizes of both tables."""
     from tabulon.functions.scalar import short_list
     out = ds.select(
         "dataset_drift", "n_drifted", "n_columns", "share_drifted",
         short_list(F.split(F.nullif(F.col("drifted_columns"), F.lit("")), ",")).alias("drifted_preview"),
         F.when(F.col("dataset_drift"), "retrain").otherwise("monitor").alias("action"))
-    if ref is not None and cur is not None:
-        counts = (ref.agg(F.count(F.lit(1)).alias("reference_samples")).withColumn("_k", F.lit(0))
-                  .join(cur.agg(F.count(F.lit(1)).alias("current_samples")).withColumn("_k", F.lit(0)), "_k"))
-        out = out.withColumn("_k", F.lit(0)).join(counts, "_k").drop("_k")
+    if counts is not None:
+        n = sample_sizes(counts).withColumnsRenamed({"reference_rows": "reference_samples", "current_rows": "current_samples"})
+        out = out.crossJoin(F.broadcast(n))                       # one row each
     return out
 
 
-def target_drift(ref: DataFrame, cur: DataFrame, target: str,
-                 cfg: DriftConfig = DEFAULT_DRIFT, categorical: bool = True) -> DataFrame:
-    """DRF5: the drift test on the target only, when both tables have it."""
+def target_drift(ref: DataFrame, cur: DataFrame, target: str, cfg: DriftConfig = DEFAULT_DRIFT, categorical: bool = True,
+                 counts: DataFrame | None = None) -> DataFrame:
+    """DRF5: the drift test on the target only, when both tables have it (no rows
+    else); ``counts`` may hold it among other columns."""
     if target not in ref.columns or target not in cur.columns:
-        return column_drift(ref.limit(0).selectExpr("'' AS x"), cur.limit(0).selectExpr("'' AS x"),
-                            [], ["x"], cfg).limit(0)
-    if categorical:
-        return column_drift(ref, cur, [], [target], cfg)
-    return column_drift(ref, cur, [target], [], cfg)
+        none = ref.limit(0).select(F.lit("").alias("x"))
+        return column_drift(none, none, [], ["x"], cfg).limit(0)
+    if counts is not None:
+        counts = counts.where((F.col("column_name") == target) & (F.col("kind") == (TEXT if categorical else NUMBER)))
+    names = ([], [target]) if categorical else ([target], [])
+    return column_drift(ref, cur, *names, cfg, counts)
 
 
 def retrain_decision(ds: DataFrame, td: DataFrame | None, tests: DataFrame | None) -> DataFrame:
@@ -282,7 +303,7 @@ def retrain_decision(ds: DataFrame, td: DataFrame | None, tests: DataFrame | Non
     f = (tests.agg(F.count_if(F.col("status") != "SUCCESS").alias("tests_failed")) if tests is not None
          else d.select(F.lit(0).cast("long").alias("tests_failed")).limit(1))
     f = f.withColumn("_k", F.lit(0))
-    j = d.join(t, "_k").join(f, "_k").drop("_k")
+    j = d.join(F.broadcast(t), "_k").join(F.broadcast(f), "_k").drop("_k")          # one row each
     from tabulon import config as C
     reasons = F.array_compact(F.array(
         F.when(F.col("dataset_drift"), F.lit(C.REASON_DATASET_DRIFT)),
@@ -294,11 +315,12 @@ def retrain_decision(ds: DataFrame, td: DataFrame | None, tests: DataFrame | Non
                     F.array_join(reasons, "; ").alias("reasons"))
 
 
-def validation_summary(decision: DataFrame, ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """DEC2: decision row with sample and column counts of both tables."""
-    rc = ref.agg(F.count(F.lit(1)).alias("reference_rows")).withColumn("_k", F.lit(0))
-    cc = cur.agg(F.count(F.lit(1)).alias("current_rows")).withColumn("_k", F.lit(0))
-    return (decision.withColumn("_k", F.lit(0)).join(rc, "_k").join(cc, "_k").drop("_k")
+def validation_summary(decision: DataFrame, ref: DataFrame, cur: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """DEC2: decision row with sample and column counts of both tables (rows from
+    the ``pair_counts`` when given)."""
+    if counts is None:
+        counts = pair_counts(ref, cur, categorical=[ref.columns[0]])
+    return (decision.crossJoin(F.broadcast(sample_sizes(counts)))             # one row each
             .withColumn("reference_columns", F.lit(len(ref.columns)))
             .withColumn("current_columns", F.lit(len(cur.columns))))
 

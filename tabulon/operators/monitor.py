@@ -71,7 +71,7 @@ def latency_summary(log: DataFrame, duration: str = "duration_ms", status: str =
         F.max(F.when(ok, F.col(duration))).alias("max_ms"),
         F.avg(F.when(ok, F.col(duration))).alias("mean_ms"))
     succ = log.where(ok).select(*g, F.col(duration).cast("double").alias("v"))
-    qs = exact_quantiles(succ, "v", [0.5, 0.95, 0.99], g, groups_bounded=True)
+    qs = exact_quantiles(succ, "v", [0.5, 0.95, 0.99], g, groups_bounded=None if g else True)
     qw = qs.groupBy(*g).agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n)
                               for p, n in ((0.5, "median_ms"), (0.95, "p95_ms"), (0.99, "p99_ms"))])
     if g:

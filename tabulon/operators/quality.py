@@ -1,9 +1,11 @@
 """Classification quality on (label, prediction, score) columns (AGG7-12, EVL1).
 
-Counts come from one aggregate; everything that needs an order over scores
-(ROC AUC, average precision, curve points) goes through the distributed
-running sums of ``ordered.running_sums`` on per-score counts.
-An optional ``group`` (e.g. ``model``) computes all models in one pass.
+``score_table`` reads the scored rows once: (group, score, prediction, n, pos, neg),
+settled.  Counts and metrics are sums of it; everything that needs an order over
+scores (ROC AUC, average precision, curve points) comes from one ascending running
+sum of its per-score counts, sums from the top being totals less it.
+An optional ``group`` (e.g. ``model``) computes all models in one pass; groups are
+counted before anything of their number is broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon import config as C
-from tabulon.operators.ordered import running_sums
+from tabulon.operators.ordered import materialize, running_sums
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -57,7 +59,10 @@ def binary_counts(df: DataFrame, label: str = "label", prediction: str = "predic
 def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                    group: Sequence[str] = (), positive: int = 1) -> DataFrame:
     """AGG8: accuracy, precision, recall, F1, balanced accuracy (0 on empty denominators)."""
-    c = binary_counts(df, label, prediction, group, positive)
+    return metrics_of_counts(binary_counts(df, label, prediction, group, positive), group)
+
+
+def metrics_of_counts(c: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     precision = _div(tp, tp + fp)
     recall = _div(tp, tp + fn)
@@ -108,52 +113,54 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     return per.unionByName(accuracy).unionByName(macro).unionByName(weighted)
 
 
-def score_counts(df: DataFrame, label: str = "label", score: str = "score",
-                 group: Sequence[str] = (), positive: int = 1) -> DataFrame:
-    """(group, score, pos, neg): one row per distinct score (map-side combined)."""
+def score_table(df: DataFrame, label: str = "label", score: str = "score", prediction: str | None = None,
+                group: Sequence[str] = (), positive: int = 1) -> DataFrame:
+    """(group, score, prediction, n, pos, neg), settled: one row per distinct score
+    and prediction (map-side combined); the only read of the scored rows."""
     y = F.col(label) == positive
-    return (df.where(F.col(score).isNotNull())
-            .groupBy(*group, score).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+    p = (F.col(prediction) == positive) if prediction else F.lit(None).cast("boolean")
+    return materialize(df.groupBy(*group, F.col(score).cast("double").alias("score"), p.alias("prediction")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            group: Sequence[str] = (), positive: int = 1) -> DataFrame:
-    """AGG10: exact ROC AUC in rank form with half credit for ties.
+def _running(table: DataFrame, g: list[str]) -> DataFrame:
+    """Per distinct score pos and neg, their ascending running sums and totals P, N."""
+    sc = table.where(F.col("score").isNotNull()).groupBy(*g, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    run = running_sums(sc, "score", ["pos", "neg"], g, groups_bounded=None if g else True, with_totals=True)
+    return run.withColumnRenamed("pos_total", "P").withColumnRenamed("neg_total", "N")
+
+
+def ranking_of(table: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """AGG10 + AGG11 of a ``score_table`` in one scan: roc_auc, its status, average_precision.
 
-    AUC = Σ_s pos(s)·(neg below s + neg(s)/2) / (P·N); null with
-    ``status = 'one_class'`` when either class is missing."""
+    AUC = Σ_s pos(s)·(neg below s + neg(s)/2) / (P·N), null with ``status =
+    'one_class'`` when either class is missing; average precision is the step sum
+    Σ Δrecall · precision over descending thresholds, null without positives."""
     g = list(group)
-    sc = score_counts(df, label, score, g, positive)
-    run = running_sums(sc, score, ["neg"], g)
-    contrib = run.select(*g, (F.col("pos") * (F.col("neg_run") - F.col("neg") / 2.0)).alias("c"),
-                         "pos", "neg")
-    agg = contrib.groupBy(*g).agg(F.sum("c").alias("c"), F.sum("pos").alias("P"),
-                                  F.sum("neg").alias("N"))
-    one_class = (F.col("P") == 0) | (F.col("N") == 0)
+    run = _running(table, g)
+    top_pos, top_neg = F.col("P") - F.col("pos_run") + F.col("pos"), F.col("N") - F.col("neg_run") + F.col("neg")
+    agg = run.groupBy(*g).agg(
+        F.sum(F.col("pos") * (F.col("neg_run") - F.col("neg") / 2.0)).alias("c"),
+        F.sum(_div(F.col("pos"), F.col("P")) * _div(top_pos, top_pos + top_neg)).alias("ap"),
+        F.first("P").alias("P"), F.first("N").alias("N"))
+    none = F.lit(None).cast("double")
+    one_class = F.coalesce((F.col("P") == 0) | (F.col("N") == 0), F.lit(True))
     return agg.select(
-        *g, F.when(one_class, F.lit(None).cast("double"))
-        .otherwise(F.col("c") / (F.col("P").cast("double") * F.col("N"))).alias("roc_auc"),
-        F.when(one_class, F.lit("one_class")).otherwise(F.lit("ok")).alias("status"))
+        *g, F.when(one_class, none).otherwise(F.col("c") / (F.col("P").cast("double") * F.col("N"))).alias("roc_auc"),
+        F.when(one_class, F.lit("one_class")).otherwise(F.lit("ok")).alias("status"),
+        F.when(F.col("P") > 0, F.col("ap")).alias("average_precision"))
 
 
-def _desc_running(df, label, score, group, positive):
-    g = list(group)
-    sc = score_counts(df, label, score, g, positive)
-    run = running_sums(sc, score, ["pos", "neg"], g, descending=True, with_totals=True)
-    return run.withColumnRenamed("pos_total", "P").withColumnRenamed("neg_total", "N")
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
+            group: Sequence[str] = (), positive: int = 1) -> DataFrame:
+    """AGG10: exact ROC AUC in rank form with half credit for ties."""
+    return ranking_of(score_table(df, label, score, None, group, positive), group).drop("average_precision")
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                       group: Sequence[str] = (), positive: int = 1) -> DataFrame:
     """AGG11: step-sum average precision Σ Δrecall · precision over thresholds."""
-    g = list(group)
-    run = _desc_running(df, label, score, g, positive)
-    prec = F.col("pos_run") / (F.col("pos_run") + F.col("neg_run"))
-    out = run.groupBy(*g).agg(
-        F.sum(_div(F.col("pos"), F.col("P")) * prec).alias("average_precision"),
-        F.first("P").alias("P"))
-    return out.select(*g, F.when(F.col("P") == 0, F.lit(None).cast("double"))
-                      .otherwise(F.col("average_precision")).alias("average_precision"))
+    return ranking_of(score_table(df, label, score, None, group, positive), group).select(*group, "average_precision")
 
 
 def curve_points(df: DataFrame, label: str = "label", score: str = "score",
@@ -162,16 +169,15 @@ def curve_points(df: DataFrame, label: str = "label", score: str = "score",
     ROC point (fpr, tpr) and PR point (precision, recall), plus the anchor row
     (null threshold) where both curves start."""
     g = list(group)
-    run = _desc_running(df, label, score, g, positive)
+    table = score_table(df, label, score, None, g, positive)
+    run = _running(table, g)
+    run = run.withColumns({"_tp": F.col("P") - F.col("pos_run") + F.col("pos"), "_fp": F.col("N") - F.col("neg_run") + F.col("neg")})
     pts = run.select(
-        *g, F.col(score).cast("double").alias("threshold"),
-        F.col("pos_run").alias("tp"), F.col("neg_run").alias("fp"),
-        _div(F.col("neg_run"), F.col("N")).alias("fpr"),
-        _div(F.col("pos_run"), F.col("P")).alias("tpr"),
-        _div(F.col("pos_run"), F.col("pos_run") + F.col("neg_run")).alias("precision"),
-        _div(F.col("pos_run"), F.col("P")).alias("recall"))
+        *g, F.col("score").alias("threshold"), F.col("_tp").alias("tp"), F.col("_fp").alias("fp"),
+        _div(F.col("_fp"), F.col("N")).alias("fpr"), _div(F.col("_tp"), F.col("P")).alias("tpr"),
+        _div(F.col("_tp"), F.col("_tp") + F.col("_fp")).alias("precision"), _div(F.col("_tp"), F.col("P")).alias("recall"))
     # the curves' anchor (threshold above every score): ROC (0, 0), PR (recall 0, precision 1)
-    keys = df.select(*g).distinct() if g else df.sparkSession.range(1).select()
+    keys = table.select(*g).distinct() if g else df.sparkSession.range(1).select()
     anchor = keys.select(*g, F.lit(None).cast("double").alias("threshold"),
                          F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
                          F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
@@ -179,19 +185,21 @@ def curve_points(df: DataFrame, label: str = "label", score: str = "score",
     return pts.unionByName(anchor)
 
 
+def evaluation_of(table: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """AGG8 + AGG10 + AGG11 of a ``score_table``: one row per group."""
+    g = list(group)
+    of = lambda p, c: F.coalesce(F.sum(F.when(F.col("prediction") == p, F.col(c))), F.lit(0))
+    c = table.groupBy(*g).agg(F.sum("n").alias("n"), of(True, "pos").alias("tp"), of(True, "neg").alias("fp"),
+                              of(False, "neg").alias("tn"), of(False, "pos").alias("fn"))
+    m, r = metrics_of_counts(c, g), ranking_of(table, g)
+    return m.join(r, g, "left") if g else m.crossJoin(F.broadcast(r))                  # without groups: one row each
+
+
 def evaluation_report(df: DataFrame, label: str = "label", score: str = "score",
                       prediction: str = "prediction", group: Sequence[str] = ()) -> DataFrame:
     """EVL1: one long table (group, metric, value) of the quality metrics."""
+    wide = evaluation_of(score_table(df, label, score, prediction, group), group)
     g = list(group)
-    m = binary_metrics(df, label, prediction, g)
-    auc = roc_auc(df, label, score, g)
-    ap = average_precision(df, label, score, g)
-    key = g if g else None
-    if key:
-        wide = m.join(auc, key).join(ap, key)
-    else:
-        wide = (m.withColumn("_k", F.lit(0)).join(auc.withColumn("_k", F.lit(0)), "_k")
-                .join(ap.withColumn("_k", F.lit(0)), "_k").drop("_k"))
     names = ["accuracy", "precision", "recall", "f1", "balanced_accuracy", "roc_auc",
              "average_precision"]
     structs = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulon.config import DEFAULT_DRIFT
+from tabulon.config import DEFAULT_DRIFT, DriftConfig
 from tabulon.operators import drift as D
 from tabulon.operators import validate as V
 from tabulon.plans.catalog import query
@@ -199,7 +199,8 @@ SELECT dataset_drift, n_drifted, n_columns, round(share_drifted, 6) AS share_dri
 def drf7_drift_summary(spark, sf):
     """DRF7: drift summary with the action retrain / monitor."""
     ref, cur = _lineitem_pair(spark, sf)
-    return D.drift_summary(D.dataset_drift(D.column_drift(ref, cur, LI_NUM, LI_CAT)), ref, cur)
+    seen = D.pair_counts(ref, cur, LI_NUM, LI_CAT)
+    return D.drift_summary(D.dataset_drift(D.column_drift(ref, cur, LI_NUM, LI_CAT, counts=seen)), seen)
 
 
 @query("drf5_target_drift", _column_drift_sql(LI_PAIR_SQL, [], ["l_returnflag"]) + f" SELECT {_COL_OUT} FROM coldrift")
@@ -236,16 +237,46 @@ def dec1_retrain_decision(spark, sf):
     return D.retrain_decision(ds, td, V.test_suite(ent))
 
 
-@query("dec2_validation_summary", _column_drift_sql(LI_PAIR_SQL, LI_NUM, LI_CAT) + ", " + _DS_SQL + """
-SELECT dataset_drift, false AS target_drift, CAST(0 AS BIGINT) AS tests_failed, dataset_drift AS retrain_needed,
-  CASE WHEN dataset_drift THEN 'Dataset drift detected' ELSE '' END AS reasons,
+def _moved_pair(spark, sf):
+    """The lineitem pair with a moved target: half of the current returns recoded."""
+    ref, cur = _lineitem_pair(spark, sf)
+    moved = F.when(F.col("l_quantity") > 25, "R").otherwise(F.col("l_returnflag"))
+    gaps = F.when(F.col("l_quantity") < 8, None).otherwise(F.col("l_tax"))
+    return ref, cur.withColumn("l_returnflag", moved).withColumn("l_tax", gaps)
+
+
+_MOVED_SQL = LI_PAIR_SQL.replace("cur AS (SELECT * FROM lineitem", """cur AS (SELECT * REPLACE (
+  CASE WHEN l_quantity > 25 THEN 'R' ELSE l_returnflag END AS l_returnflag, CASE WHEN l_quantity < 8 THEN NULL ELSE l_tax END AS l_tax) FROM lineitem""")
+
+
+@query("dec2_validation_summary", _column_drift_sql(_MOVED_SQL, LI_NUM, LI_CAT) + ", " + _DS_SQL + """,
+t AS (SELECT bool_or(drifted) AS target_drift FROM coldrift WHERE column_name = 'l_returnflag'),
+q AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_tax IS NULL) AS m FROM cur),
+f AS (SELECT CAST((m / n >= 0.1)::INT + (m > 0)::INT AS BIGINT) AS tests_failed FROM q)
+SELECT dataset_drift, target_drift, tests_failed, dataset_drift OR target_drift OR tests_failed > 0 AS retrain_needed,
+  concat_ws('; ', CASE WHEN dataset_drift THEN 'Dataset drift detected' END, CASE WHEN target_drift THEN 'Target drift detected' END,
+                  CASE WHEN tests_failed > 0 THEN concat(CAST(tests_failed AS VARCHAR), ' data quality tests failed') END) AS reasons,
   (SELECT count(*) FROM ref) AS reference_rows, (SELECT count(*) FROM cur) AS current_rows,
-  7 AS reference_columns, 7 AS current_columns FROM ds""")
+  7 AS reference_columns, 7 AS current_columns FROM ds, t, f""")
 def dec2_validation_summary(spark, sf):
-    """DEC2: validation summary row (flags, reasons, counts of both tables)."""
+    """DEC2: validation summary row (flags, reasons, counts of both tables) of a pair
+    whose target has drifted and whose current table misses values."""
+    ref, cur = _moved_pair(spark, sf)
+    seen = D.pair_counts(ref, cur, LI_NUM, LI_CAT)
+    ds = D.dataset_drift(D.column_drift(ref, cur, LI_NUM, LI_CAT, counts=seen))
+    td = D.target_drift(ref, cur, "l_returnflag", counts=seen)
+    return D.validation_summary(D.retrain_decision(ds, td, V.test_suite(cur)), ref, cur, seen)
+
+
+@query("drf6_column_drift_p_value", f"""WITH {LI_PAIR_SQL}, {_numeric_sql(LI_NUM)}, {_categorical_sql(LI_CAT)},
+s AS (SELECT column_name, 'numeric' AS kind, n_ref, n_cur, 'ks' AS test, ks_p_value AS score FROM ndrift
+  UNION ALL SELECT column_name, 'categorical', n_ref, n_cur, 'chi_square', {chi2_sf_sql('chi2', 'dof')} FROM cdrift)
+SELECT column_name, kind, n_ref, n_cur, test, round(score, 6) AS score, CAST(0.05 AS DOUBLE) AS threshold,
+  coalesce(score < 0.05, false) AS drifted, 'ok' AS status FROM s""")
+def drf6_column_drift_p_value(spark, sf):
+    """DRF6 decided by the p-values of the KS and chi-square tests."""
     ref, cur = _lineitem_pair(spark, sf)
-    ds = D.dataset_drift(D.column_drift(ref, cur, LI_NUM, LI_CAT))
-    return D.validation_summary(D.retrain_decision(ds, None, None), ref, cur)
+    return D.column_drift(ref, cur, LI_NUM, LI_CAT, DriftConfig(decide_by="p_value"))
 
 
 @query("flt5_drift_segment_gate", f"""WITH {SP.refcur_sql(False)},

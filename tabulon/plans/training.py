@@ -54,9 +54,16 @@ def train_all(df: DataFrame, label: str, key: str, numeric: Sequence[str], categ
             F.col("churn_probability").alias("score"),
             (F.col("churn_probability") >= C.LABEL_CUT).cast("int").alias("prediction"))
         preds = p if preds is None else preds.unionByName(p)
-    report = Q.evaluation_report(preds, group=["model"])
-    wide = report.groupBy("model").pivot("metric").agg(F.first("value"))
-    return Trained(spec, models, preds, wide, train, test)
+    return Trained(spec, models, preds, compared(preds), train, test)
+
+
+METRICS = ("accuracy", "average_precision", "balanced_accuracy", "f1", "precision", "recall", "roc_auc")
+
+
+def compared(preds: DataFrame) -> DataFrame:
+    """One row of metrics per model; the holdout is scored once for all of them."""
+    table = Q.score_table(preds, prediction="prediction", group=["model"])
+    return Q.evaluation_of(table, ["model"]).select("model", *METRICS)
 
 
 def tune(train: DataFrame, spec: MD.FeatureSpec, family: str, grid: dict, label: str, key: str,
@@ -83,5 +90,4 @@ def tune_best(t: Trained, label: str, key: str, metric: str = "roc_auc", k: int
         F.col("churn_probability").alias("score"),
         (F.col("churn_probability") >= C.LABEL_CUT).cast("int").alias("prediction"))
     base = t.predictions.where(F.col("model") == best).withColumn("model", F.lit("untuned"))
-    report = Q.evaluation_report(base.unionByName(p), group=["model"])
-    return best, tuned, report.groupBy("model").pivot("metric").agg(F.first("value"))
+    return best, tuned, compared(base.unionByName(p))

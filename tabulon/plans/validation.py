@@ -29,12 +29,15 @@ def validate_pair(reference: DataFrame, current: DataFrame, roles: ColumnRoles |
                   cfg: DriftConfig = DEFAULT_DRIFT, min_rows: int = 50) -> Validation:
     ref, cur = clean.common_columns(reference, current)
     roles = (roles or ColumnRoles.infer(ref)).present_in(ref, cur)
-    per = drift.with_sample_gate(drift.column_drift(ref, cur, roles.numeric, roles.categorical, cfg), min_rows)
+    target = [roles.target] if roles.target and roles.target in ref.columns and roles.target in cur.columns else []
+    texts = list(dict.fromkeys([*roles.categorical, *target]))
+    seen = drift.pair_counts(ref, cur, roles.numeric, texts)                     # each table is read once for all drift
+    per = drift.with_sample_gate(drift.column_drift(ref, cur, roles.numeric, roles.categorical, cfg, seen), min_rows)
     ds = drift.dataset_drift(per, cfg.dataset_share)
-    td = drift.target_drift(ref, cur, roles.target, cfg) if roles.target else None
+    td = drift.target_drift(ref, cur, roles.target, cfg, counts=seen) if roles.target else None
     tests = validate.test_suite(cur)
     decision = drift.retrain_decision(ds, td, tests)
-    return Validation(per, ds, td, tests, decision, drift.validation_summary(decision, ref, cur))
+    return Validation(per, ds, td, tests, decision, drift.validation_summary(decision, ref, cur, seen))
 
 
 def write_outputs(v: Validation, out_dir: str) -> None:
