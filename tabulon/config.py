@@ -42,7 +42,6 @@ DRIFT_THRESHOLD = 0.1
 ACCURACY_DROP = 0.05
 VOLUME_CHANGE = 0.5
 VOLUME_ABOVE_BASELINE = 0.15
-MISSING_VALUE_THRESHOLD = 0.1
 OUTLIER_IQR_FACTOR = 3.0
 REFERENCE_WINDOW_DAYS = 30
 CURRENT_WINDOW_DAYS = 7
@@ -51,7 +50,6 @@ MIN_PERFORMANCE_SAMPLES = 10
 MONITOR_WINDOW = "5 minutes"
 LOG_CAPACITY = 1000
 MONITOR_LAST_N = 100
-ALERT_CAPACITY = 100
 HEALTH_LAST_N = 10
 LOAD_TEST_PASS_RATE = 95.0
 # Test-suite limits: columns with missing values < 5, rows with missing share < 0.10.

@@ -58,12 +58,6 @@ def confidence(p) -> Column:
     return F.greatest(p, F.lit(1.0) - p)
 
 
-def vector_confidence(prob_vector_col: str) -> Column:
-    """SCL2: max of an ML probability vector."""
-    from pyspark.ml.functions import vector_to_array
-    return F.array_max(vector_to_array(F.col(prob_vector_col)))
-
-
 def label_text(pred) -> Column:
     """SCL3."""
     return F.when(_c(pred) == 1, F.lit("Will Churn")).otherwise(F.lit("Will Not Churn"))
@@ -113,9 +107,9 @@ def run_stamp(ts) -> Column:
     return F.date_format(_c(ts), "yyyyMMdd_HHmmss")
 
 
-def log_grid(lo: int = -2, hi: int = 2) -> Column:
-    """SCL15: 10**k for k in lo..hi as an array column."""
-    return F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.pow(F.lit(10.0), k))
+def log_grid(lo: int = -2, hi: int = 2) -> list[float]:
+    """SCL15: 10**k for k in lo..hi."""
+    return [10.0 ** k for k in range(lo, hi + 1)]
 
 
 def display_value(v) -> Column:

@@ -20,15 +20,6 @@ from tabulon.operators.ordered import trailing
 from tabulon.operators.sample import last_n
 
 
-def rules_frame(spark, rules=C.ALERT_RULES) -> DataFrame:
-    """The rule table (name, condition, severity, description, channels)."""
-    schema = T.StructType([
-        T.StructField("name", T.StringType()), T.StructField("condition", T.StringType()),
-        T.StructField("severity", T.StringType()), T.StructField("description", T.StringType()),
-        T.StructField("notification_channels", T.ArrayType(T.StringType()))])
-    return spark.createDataFrame([(n, c, s, d, list(ch)) for n, c, s, d, ch in rules], schema)
-
-
 def _check_boolean(df: DataFrame, cond: str) -> Column:
     e = F.expr(cond)
     dt = df.select(e.alias("_c")).schema["_c"].dataType

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.config import DEFAULT_DRIFT, DriftConfig
+from tabulon.config import DEFAULT_DRIFT, MIN_DRIFT_SAMPLES, DriftConfig
 from tabulon.operators.counts import KEYS, NUMBER, TEXT
 from tabulon.operators.ordered import materialize, running_sums
 
@@ -240,7 +240,7 @@ def column_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str],
     return out
 
 
-def with_sample_gate(per_column: DataFrame, min_rows: int = 50) -> DataFrame:
+def with_sample_gate(per_column: DataFrame, min_rows: int = MIN_DRIFT_SAMPLES) -> DataFrame:
     """FLT5 for drift: a column whose reference or current sample is below
     ``min_rows`` gets ``status = 'insufficient'`` and is not counted as drifted."""
     low = (F.col("n_ref") < min_rows) | (F.col("n_cur") < min_rows)

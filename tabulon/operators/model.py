@@ -13,17 +13,19 @@ from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
-                                VectorAssembler, VectorSlicer)
+from pyspark.ml.feature import (OneHotEncoder, PolynomialExpansion, SQLTransformer, StandardScaler, StringIndexer,
+                                VarianceThresholdSelector, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon import config as C
+from tabulon.functions.scalar import log_grid
 from tabulon.operators import clean
 from tabulon.operators.sample import hash_split
 
@@ -178,7 +180,7 @@ def grid_for(family: str, n_rows: int) -> dict:
     """MDL7 grids per family (Spark parameter names).  ``regParam`` = 1/(C·n)
     for C in 10^-2..10^2; depth "none" is Spark's limit 30; minimum split size
     maps to ``minInstancesPerNode`` (closest, not equal)."""
-    cs = [10.0 ** k for k in range(-2, 3)]
+    cs = log_grid()
     if family == "logistic_regression":
         return {"regParam": [1.0 / (c * n_rows) for c in cs]}
     if family == "linear_svc":
@@ -256,7 +258,9 @@ def linear_contributions(model: PipelineModel, scored: DataFrame, spec: FeatureS
     mean = [float(means[f"m{i}"] or 0.0) for i in range(len(coef))]
     coef_c = F.array(*[F.lit(float(c)) for c in coef])
     mean_c = F.array(*[F.lit(m) for m in mean])
-    names = F.array(*[F.lit(n) for n in spec.encoded_names[:len(coef)]])
+    if len(spec.encoded_names) != len(coef):
+        raise ValueError(f"{len(coef)} coefficients for {len(spec.encoded_names)} encoded columns")
+    names = F.array(*[F.lit(n) for n in spec.encoded_names])
     contrib = F.transform(F.arrays_zip(arr.alias("x"), coef_c.alias("c"), mean_c.alias("m"), names.alias("n")),
                           lambda s: F.struct(s["n"].alias("feature"),
                                              (s["c"] * (s["x"] - s["m"])).alias("contribution")))
@@ -301,6 +305,180 @@ def permutation_importance(model: PipelineModel, test: DataFrame, columns: Seque
             .select("feature", (F.col("base_auc") - F.col("perm_auc")).alias("importance")))
 
 
+# --- per-row contributions of tree models ---------------------------------------------
+
+def tree_nodes(model, path: str) -> list[dict]:
+    """The node table of a fitted tree ensemble, from its saved form below ``path``:
+    one row per node with its value (share of the positive class, or the
+    regression value).  As large as the model, which scoring holds in every task."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(path)
+    d = spark.read.parquet(path + "/data")
+    n = "nodeData." if "nodeData" in d.columns else ""
+    stats = F.col(n + "impurityStats")
+    share = F.try_divide(stats[1], F.aggregate(stats, F.lit(0.0), lambda a, x: a + x))
+    value = F.col(n + "prediction") if isinstance(model, GBTClassificationModel) else share
+    return [r.asDict() for r in d.select(
+        F.col("treeID").alias("tree"), F.col(n + "id").alias("id"), value.alias("value"), F.col(n + "leftChild").alias("left"),
+        F.col(n + "rightChild").alias("right"), F.col(n + "split.featureIndex").alias("feature"),
+        F.col(n + "split.leftCategoriesOrThreshold").alias("cut"), F.col(n + "split.numCategories").alias("categories")).collect()]
+
+
+class _Trees:
+    """Node tables as arrays; a batch of rows walks all trees level by level."""
+
+    def __init__(self, nodes: list[dict], weights: list[float]):
+        import numpy as np
+        self.weights, self.trees = weights, []
+        for t in range(len(weights)):
+            rows = sorted((r for r in nodes if r["tree"] == t), key=lambda r: r["id"])
+            at = {r["id"]: i for i, r in enumerate(rows)}
+            child = lambda k: np.array([at.get(r[k], -1) for r in rows])
+            cont = np.array([r["categories"] is None or r["categories"] < 0 for r in rows])
+            cut = np.array([r["cut"][0] if c and r["cut"] else 0.0 for r, c in zip(rows, cont)])
+            sets = {i: np.array(r["cut"]) for i, (r, c) in enumerate(zip(rows, cont)) if not c and r["left"] >= 0}
+            self.trees.append((child("left"), child("right"), np.array([r["feature"] if r["feature"] is not None else -1 for r in rows]),
+                               cut, cont, sets, np.array([r["value"] for r in rows])))
+
+    def walk(self, x):
+        """(bias, contributions) of rows ``x``: the value of the roots, and per
+        feature the changes of value at its splits on the row's paths."""
+        import numpy as np
+        total, out = 0.0, np.zeros(x.shape)
+        every = np.arange(len(x))
+        for w, (left, right, feature, cut, cont, sets, value) in zip(self.weights, self.trees):
+            total += w * value[0]
+            node, rows = np.zeros(len(x), np.int64), every if left[0] >= 0 else every[:0]
+            while len(rows):
+                here = node[rows]
+                f = feature[here]
+                v = x[rows, f]
+                low = v <= cut[here]
+                for i in set(here[~cont[here]].tolist()):
+                    low = np.where(here == i, np.isin(v, sets[i]), low)
+                after = np.where(low, left[here], right[here])
+                np.add.at(out, (rows, f), w * (value[after] - value[here]))
+                node[rows] = after
+                rows = rows[left[after] >= 0]
+        return total, out
+
+
+def tree_contributions(model: PipelineModel, scored: DataFrame, spec: FeatureSpec, path: str, key: str,
+                       features_col: str = "features") -> DataFrame:
+    """EXP1 for tree models: ``key``, margin and (per encoded feature, in
+    ``spec.encoded_names`` order) contributions of every scored row.
+
+    At each split on a row's path the change of the node's value is given to the
+    split feature; with the bias, the value of the roots, the contributions add up to
+    the margin exactly: the probability of a forest, half the log-odds of boosted
+    trees.  (Path attributions; exact SHAP values are not built.)  ``path`` is a
+    folder for the model's node table."""
+    import numpy as np
+    import pyarrow as pa
+    last = model.stages[-1]
+    boosted = isinstance(last, GBTClassificationModel)
+    n = last.getNumTrees
+    weights = [float(w) for w in last.treeWeights] if boosted else [1.0 / n] * n
+    trees = _Trees(tree_nodes(last, path), weights)
+    width = len(spec.encoded_names)
+    src = scored.select(F.col(key), vector_to_array(F.col(features_col)).alias("x"))
+    schema = src.select(key).schema.add("bias", "double").add("margin", "double").add("contributions", T.ArrayType(T.DoubleType()))
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            assert x.shape[1] == width or not b.num_rows, "the vector is not of the encoded columns"
+            bias, parts = trees.walk(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, bias)), pa.array(bias + parts.sum(axis=1)),
+                                              pa.array(list(parts), pa.list_(pa.float64()))], names=[key, "bias", "margin", "contributions"])
+    return src.mapInArrow(run, schema)
+
+
+def named_contributions(contributions: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """(key..., feature, contribution) rows of ``tree_contributions``."""
+    names = F.array(*[F.lit(n) for n in spec.encoded_names])
+    rows = F.arrays_zip(names.alias("feature"), F.col("contributions").alias("contribution"))
+    keys = [c for c in contributions.columns if c not in ("bias", "margin", "contributions")]
+    return contributions.select(*keys, F.inline(rows))
+
+
+# --- values seen at training -----------------------------------------------------------
+
+#: bits per value and hash functions of the sketch (about 1 % let through), and its largest size
+BLOOM_BITS, BLOOM_HASHES, BLOOM_MOST = 10, 7, 64 * 1024 * 1024
+
+
+def _bloom_places(value, bits: int):
+    """(word, bit) of a text for each hash function, by double hashing."""
+    h1, h2 = F.xxhash64(value), F.xxhash64(value, F.lit("second"))
+    place = lambda i: F.pmod(h1 + F.lit(i) * F.shiftrightunsigned(h2, 32), F.lit(bits))
+    return [place(i) for i in range(BLOOM_HASHES)]
+
+
+def save_seen_values(values: DataFrame, path: str) -> None:
+    """VAL3: the (column_name, value) lists of training beside the model, exact as a
+    table and as one Bloom sketch over all columns, of a size given by their number.
+    Lists too long for a sketch of ``BLOOM_MOST`` bits are kept as a table only."""
+    rows = values.select("column_name", F.col("value").cast("string").alias("value")).where("value is not null").distinct()
+    rows.write.mode("overwrite").parquet(path + "/seen/values")
+    spark = values.sparkSession
+    bits = 64 * max(16, -(-BLOOM_BITS * spark.read.parquet(path + "/seen/values").count() // 64))
+    stored = spark.read.parquet(path + "/seen/values")
+    if bits > BLOOM_MOST:
+        sketch = spark.createDataFrame([], "bits long, word long, mask long")
+    else:
+        place = F.explode(F.array(*_bloom_places(F.concat_ws("=", "column_name", "value"), bits))).alias("at")
+        sketch = stored.select(place).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("mask")).select(F.lit(bits).cast("long").alias("bits"), "word", "mask")
+    sketch.coalesce(1).write.mode("overwrite").parquet(path + "/seen/sketch")
+
+
+def unseen_categories(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """VAL3 / JON5: (column_name, value, n): values of the checked columns that
+    training had not seen, and in how many rows they are.
+
+    The table's distinct values are counted once.  What the sketch does not know is
+    unseen for certain; only what it lets through meets the exact lists."""
+    from tabulon.operators.counts import TEXT, value_counts
+    spark = df.sparkSession
+    stored = spark.read.parquet(path + "/seen/values")
+    if columns is None:
+        columns = [c for c in df.columns if not stored.where(F.col("column_name") == c).isEmpty()]
+    have = value_counts(df, categorical=columns).where((F.col("kind") == TEXT) & F.col("txt").isNotNull()).select(
+        "column_name", F.col("txt").alias("value"), "n")
+    words = spark.read.parquet(path + "/seen/sketch")
+    first = words.first()
+    if first is None:                                             # lists too long for a sketch
+        return have.join(stored, ["column_name", "value"], "left_anti")
+    bits = first["bits"]
+    dense = spark.range(bits // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    masks = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")))),
+                                  lambda x: x["mask"]).alias("masks"))              # one row of at most BLOOM_MOST bits
+    asked = have.crossJoin(F.broadcast(masks))
+    known = F.lit(True)
+    for at in _bloom_places(F.concat_ws("=", "column_name", "value"), bits):
+        mask = F.get("masks", F.floor(at / 64).cast("int"))
+        known = known & (F.call_function("shiftrightunsigned", mask, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    asked = asked.withColumn("known", known).drop("masks")
+    maybe = asked.where("known").join(stored, ["column_name", "value"], "left_anti")
+    return asked.where("not known").unionByName(maybe).drop("known")
+
+
+# --- optional features -------------------------------------------------------------------
+
+def optional_features(df: DataFrame, numeric: Sequence[str], degree: int = 2, threshold: float = C.FEATURE_SELECTION_THRESHOLD,
+                      output: str = "optional_features") -> PipelineModel:
+    """FEA4 (off by default): the products of the numeric columns up to ``degree``
+    (interactions and powers) and the selection of those whose variance exceeds
+    ``threshold``, as a fitted pipeline; nulls count as 0."""
+    zeros = ", ".join(f"coalesce(cast({_q(c)} as double), 0.0) AS {_q(c + '__zero')}" for c in numeric)
+    return Pipeline(stages=[
+        SQLTransformer(statement=f"SELECT *, {zeros} FROM __THIS__"),
+        VectorAssembler(inputCols=[c + "__zero" for c in numeric], outputCol="_optional"),
+        PolynomialExpansion(degree=degree, inputCol="_optional", outputCol="_expanded"),
+        VarianceThresholdSelector(varianceThreshold=threshold, featuresCol="_expanded", outputCol=output)]).fit(df)
+
+
 def save_model(model: PipelineModel, spec: FeatureSpec, path: str, metrics: dict | None = None,
                best_params: dict | None = None) -> None:
     """SNK5: the PipelineModel directory plus a one-row metadata JSON."""
@@ -308,8 +486,11 @@ def save_model(model: PipelineModel, spec: FeatureSpec, path: str, metrics: dict
     meta = {"numeric": list(spec.numeric), "categorical": list(spec.categorical),
             "fill_values": spec.fill_values, "categories": spec.categories,
             "feature_names": spec.encoded_names, "metrics": metrics or {}, "best_params": best_params or {}}
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(path + "/metadata")
+    if spec.categories:
+        lists = [(c, v) for c, values in spec.categories.items() for v in values]
+        save_seen_values(spark.createDataFrame(lists, "column_name string, value string"), path)
 
 
 def load_model(path: str, spark):

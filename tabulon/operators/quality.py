@@ -205,3 +205,18 @@ def evaluation_report(df: DataFrame, label: str = "label", score: str = "score",
     structs = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
                for n in names]
     return wide.select(*g, F.inline(F.array(*structs)))
+
+
+def evaluation_record(df: DataFrame, model_name: str, model_version: str, label: str = "label", score: str = "score",
+                      prediction: str = "prediction", n_features: int | None = None) -> DataFrame:
+    """EVL2: one nested row - model_info, metrics, data_info, class_distribution (the
+    share of each class) - as ``sinks.write_report`` writes it; one read of the rows."""
+    table = score_table(df, label, score, prediction)
+    wide = evaluation_of(table)
+    pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    share = lambda n: _div(n, F.col("n"))
+    return wide.select(
+        F.struct(F.lit(model_name).alias("name"), F.lit(model_version).alias("version"), F.lit(n_features).cast("int").alias("n_features")).alias("model_info"),
+        F.struct("accuracy", "precision", "recall", "f1", "roc_auc").alias("metrics"),
+        F.struct(F.col("n").alias("n_rows")).alias("data_info"),
+        F.struct(pos.alias("n_positive"), neg.alias("n_negative"), share(pos).alias("positive_share"), share(neg).alias("negative_share")).alias("class_distribution"))

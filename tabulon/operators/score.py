@@ -75,6 +75,19 @@ def scored_rows(pred: DataFrame, prob: str = "churn_probability", model_version:
     return pred.select(*_scored_columns(prob, model_version, id_col, ts))
 
 
+def batch_rows(pred: DataFrame, prob: str = "churn_probability", model_version: str | None = None, ts: str | None = None,
+               explanation: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """SCO1 tail of batch bodies: as ``scored_rows``, with the flags of each body:
+    probability and confidence are null without ``include_probabilities``, and
+    ``explanation`` (the column of that name, when there is one) is null without
+    ``include_explanations``."""
+    shown = F.col("include_probabilities")
+    d = pred.select(*keep, "include_probabilities", "include_explanations", *_scored_columns(prob, model_version, "customer_id", ts),
+                    (F.col(explanation) if explanation else F.lit(None).cast("string")).alias("explanation"))
+    d = d.withColumns({c: F.when(shown, F.col(c)) for c in ("churn_probability", "confidence")})
+    return d.withColumn("explanation", F.when(F.col("include_explanations"), F.col("explanation"))).drop("include_probabilities", "include_explanations")
+
+
 def prediction_log_rows(pred: DataFrame, features: Sequence[str], prob: str = "churn_probability",
                         model_version: str | None = None, id_col: str = "customer_id", ts: str | None = None) -> DataFrame:
     """SCO3: (timestamp, entity id, features struct, prediction struct), one log

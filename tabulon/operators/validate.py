@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon import config as C
+from tabulon.functions import scalar as S
 
 
 def _q(c: str) -> Column:
@@ -124,7 +125,7 @@ REQUEST_RULE_NAMES = (
 def request_rules() -> list[tuple[str, Column]]:
     """Rules of the scoring request (FIXTURES A2)."""
     def not_blank(c):
-        return F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
+        return ~S.is_blank(c)
     checks = [
         not_blank("phone_service"), not_blank("internet_service"), not_blank("contract"),
         F.col("monthly_charges") > 0, F.col("tenure_months") >= 0, F.col("cltv") >= 0,

@@ -18,7 +18,7 @@ from tabulon.plans.q_prepare import ENTITY_COLS_SQL, E, _entity
 from tabulon.session import scratch_path
 from tabulon.sources import sinks as K
 from tabulon.sources import supplied as SP
-from tabulon.sources.tables import read_csv
+from tabulon.sources.tables import read_csv, read_table
 
 ENTITY_SCHEMA = T.StructType([
     T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
@@ -36,13 +36,15 @@ def src1_snk1_csv_roundtrip(spark, sf):
     return read_csv(spark, path, ENTITY_SCHEMA)
 
 
-@query("scl10_csv_files", "SELECT CAST(1 AS BIGINT) AS n_csv_parts")
+@query("scl10_csv_files", """SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = 'html' AS is_html,
+  lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('org', 'com', 'net') AS is_host FROM pages""")
 def scl10_csv_files(spark, sf):
-    """SCL10: file-extension check on the listing of a written table
-    (the entity table as one CSV part)."""
-    path = K.write_table(_entity(spark, sf).coalesce(1), scratch_path(spark, f"csv-{uuid.uuid4().hex}"), "csv")
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    return files.agg(F.count_if(S.has_extension("name", "csv")).alias("n_csv_parts"))
+    """SCL10: file-extension check on the URL of every page."""
+    p = read_table(spark, sf, "pages")
+    host = F.lit(False)
+    for e in ("org", "com", "net"):
+        host = host | S.has_extension("url", e)
+    return p.select("page_id", S.has_extension("url", "html").alias("is_html"), host.alias("is_host"))
 
 
 @query("snk2_json_report", """WITH {refcur}
@@ -116,15 +118,13 @@ SELECT 'length_score' AS model_name, '1' AS model_version,
 
 @query("evl2_evaluation_record", _evl2_sql())
 def evl2_evaluation_record(spark, sf):
-    """EVL2: the evaluation record as one row - model info, the five metrics,
-    data size and class counts (``sinks.write_report`` writes it as JSON)."""
-    sc = Q.with_prediction(SP.scored_documents(spark, sf, "quality"))
-    m = Q.binary_metrics(sc).withColumn("_k", F.lit(0))
-    auc = Q.roc_auc(sc).withColumn("_k", F.lit(0))
-    return m.join(auc, "_k").select(
-        F.lit("length_score").alias("model_name"), F.lit("1").alias("model_version"),
-        "accuracy", "precision", "recall", "f1", "roc_auc", F.col("n").alias("n_rows"),
-        (F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("tn") + F.col("fp")).alias("n_negative"))
+    """EVL2: the nested evaluation record - model info, the five metrics, data size
+    and class counts - written as a JSON report and read back."""
+    rec = Q.evaluation_record(Q.with_prediction(SP.scored_documents(spark, sf, "quality")), "length_score", "1")
+    back = spark.read.json(K.write_report(rec, scratch_path(spark, f"record-{uuid.uuid4().hex}")))
+    return back.select(
+        F.col("model_info.name").alias("model_name"), F.col("model_info.version").alias("model_version"), "metrics.accuracy", "metrics.precision",
+        "metrics.recall", "metrics.f1", "metrics.roc_auc", "data_info.n_rows", "class_distribution.n_positive", "class_distribution.n_negative")
 
 
 # --- FEA1 / FEA2 as column expressions ----------------------------------------

@@ -57,7 +57,7 @@ def mdl7_grid_search(spark, sf):
     ent = _training_table(spark, sf)
     spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
     n = ent.count()
-    grid_c = [10.0 ** k for k in range(-2, 3)]
+    grid_c = S.log_grid()
     _, scores = tune(ent, spec, "logistic_regression", {"regParam": [1.0 / (c * n) for c in grid_c]},
                      "churn", "c_custkey")
     rows = [(c, p["regParam"], auc) for c, (p, auc) in zip(grid_c, scores)]
@@ -69,7 +69,7 @@ def mdl8_feature_importance(spark, sf):
     """MDL8 + ORD4: random-forest importances named per encoded feature, top 20."""
     ent = _training_table(spark, sf)
     spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
-    m = MD.fit_model(ent, spec, "random_forest", label="churn", numTrees=50)
+    m = MD.fit_model(ent, spec, "random_forest", label="churn")
     return MD.top_features(MD.feature_importance(m, spec, spark), 20)
 
 
@@ -107,15 +107,11 @@ SELECT c_custkey, {len(terms)} AS n_poly, (SELECT n_sel FROM v) AS n_selected FR
 def fea4_optional_features(spark, sf):
     """FEA4 (off in the studied config): degree-2 polynomial expansion of the
     numeric features (interactions included) and variance-threshold selection."""
-    from pyspark.ml.feature import PolynomialExpansion, VarianceThresholdSelector, VectorAssembler
-    ent = _entity(spark, sf).na.fill(0.0, subset=["c_acctbal", "total_spend"])
-    v = VectorAssembler(inputCols=NUMERIC, outputCol="num").transform(ent)
-    poly = PolynomialExpansion(degree=2, inputCol="num", outputCol="poly").transform(v)
-    sel = VarianceThresholdSelector(varianceThreshold=C.FEATURE_SELECTION_THRESHOLD, featuresCol="poly",
-                                    outputCol="selected").fit(poly).transform(poly)
     from pyspark.ml.functions import vector_to_array
-    return sel.select("c_custkey", F.size(vector_to_array("poly")).alias("n_poly"),
-                      F.size(vector_to_array("selected")).alias("n_selected"))
+    ent = _entity(spark, sf)
+    sel = MD.optional_features(ent, NUMERIC).transform(ent)
+    return sel.select("c_custkey", F.size(vector_to_array("_expanded")).alias("n_poly"),
+                      F.size(vector_to_array("optional_features")).alias("n_selected"))
 
 
 def _fit_lr(spark, sf):
@@ -178,7 +174,33 @@ def exp1_permutation_importance(spark, sf):
     ent = _training_table(spark, sf)
     spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
     m = MD.fit_model(ent, spec, "random_forest", label="churn", numTrees=30)
-    return MD.permutation_importance(m, ent, NUMERIC, "c_custkey", label="churn")
+    return MD.permutation_importance(m, ent, [*NUMERIC, *CATEGORICAL], "c_custkey", label="churn")
+
+
+def _path_sums(spark, sf, family, margin, **params):
+    """Whether every row's path contributions add up to the model's own output."""
+    ent = _training_table(spark, sf)
+    spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
+    m = MD.fit_model(ent, spec, family, label="churn", **params)
+    scored = MD.positive_probability(m.transform(ent))
+    parts = MD.tree_contributions(m, scored, spec, scratch_path(spark, f"trees-{uuid.uuid4().hex}"), "c_custkey")
+    want = scored.select("c_custkey", margin(F.col("churn_probability")).alias("want"))
+    some = F.exists("contributions", lambda x: x != 0)
+    return parts.join(want, "c_custkey").select("c_custkey", ((F.abs(F.col("margin") - F.col("want")) < 1e-9) & some).alias("same"))
+
+
+@query("exp1_forest_contributions", "SELECT c_custkey, true AS same FROM customer")
+def exp1_forest_contributions(spark, sf):
+    """EXP1 (trees): per-row path contributions of a random forest; with the bias they
+    add up to each row's probability."""
+    return _path_sums(spark, sf, "random_forest", lambda p: p, numTrees=20)
+
+
+@query("exp1_boosting_contributions", "SELECT c_custkey, true AS same FROM customer")
+def exp1_boosting_contributions(spark, sf):
+    """EXP1 (trees): per-row path contributions of boosted trees, which add up to half
+    the log-odds of each row's probability."""
+    return _path_sums(spark, sf, "gradient_boosting", lambda p: F.log(p / (1 - p)) / 2, maxIter=10)
 
 
 @query("jon4_class_weights", f"""WITH {SP.ENTITY_SQL}
@@ -290,27 +312,61 @@ def ord1_comparison_table(spark, sf):
     return R.comparison_table(_variant_metrics(spark, sf), "roc_auc", 4, ["roc_auc", "average_precision"])
 
 
+_PROMOTED = """SELECT name, version, run_id, round(metric, 6) AS metric, round(lag(metric) OVER w, 6) AS previous_metric,
+  CASE WHEN lag(metric) OVER w IS NULL OR metric >= lag(metric) OVER w THEN 'promote' ELSE 'rollback' END AS decision
+FROM v WINDOW w AS (PARTITION BY name ORDER BY version)"""
+
+#: versions that the registry holds before the runs are registered
+EARLIER = [("churn_model", 1, "old_a", 0.99), ("churn_model", 2, "old_b", 0.5), ("other_model", 7, "old_c", 0.7)]
+_EARLIER_SQL = ", ".join(f"('{n}', {v}, '{r}', {m})" for n, v, r, m in EARLIER)
+
+
 @query("reg1_reg2_registry", f"""WITH {_variant_sql()},
 m AS (SELECT run_id, value AS metric FROM run_metrics WHERE key = 'roc_auc'),
-v AS (SELECT 'churn_model' AS name, CAST(row_number() OVER (ORDER BY run_id) AS INTEGER) AS version, run_id, metric FROM m)
-SELECT name, version, run_id, round(metric, 6) AS metric, round(lag(metric) OVER (ORDER BY version), 6) AS previous_metric,
-  CASE WHEN lag(metric) OVER (ORDER BY version) IS NULL OR metric >= lag(metric) OVER (ORDER BY version)
-       THEN 'promote' ELSE 'rollback' END AS decision FROM v""")
+e AS (SELECT name, version, run_id, CAST(metric AS DOUBLE) AS metric FROM (VALUES {_EARLIER_SQL}) t(name, version, run_id, metric)),
+v AS (SELECT * FROM e UNION ALL SELECT 'churn_model', CAST(2 + row_number() OVER (ORDER BY run_id) AS INTEGER), run_id, metric FROM m)
+{_PROMOTED}""")
 def reg1_reg2_registry(spark, sf):
-    """REG1 + REG2: register each run in id order as the next version, then
-    promote / roll back against the previous version."""
+    """REG1 + REG2: register each run in id order after the versions that are
+    there, then promote / roll back against the previous version."""
     m = _run_metrics(spark, sf).where(F.col("key") == "roc_auc").select("run_id", F.col("value").alias("metric"))
-    versions = spark.createDataFrame([], "name string, version int, run_id string, metric double")
-    return R.promotion(R.register_batch(versions, m, "churn_model"))
+    return R.promotion(R.register_batch(spark.createDataFrame(EARLIER, R.VERSIONS), m, "churn_model"))
 
 
-@query("snk6_run_params", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{r}', 'parent_0', 'score_expr', '{e.replace(chr(39), chr(39) * 2)}')" for r, e in VARIANTS.items())
-       + ") v(run_id, parent_id, key, value) WHERE (SELECT count(*) FROM documents) >= 0")
+@query("reg1_stored_registry", f"""WITH {_variant_sql()},
+m AS (SELECT run_id, value AS metric FROM run_metrics WHERE key = 'roc_auc'),
+v AS (SELECT 'churn_model' AS name, CAST(1 + row_number() OVER (ORDER BY metric, run_id) AS INTEGER) AS version, run_id, metric FROM m
+      UNION ALL SELECT 'churn_model', 1, 'old_a', CAST(0.99 AS DOUBLE))
+{_PROMOTED}""")
+def reg1_stored_registry(spark, sf):
+    """REG1 + REG2 on the stored registry: runs take versions from the worst to the
+    best, one of them twice, after a version that is there."""
+    base = scratch_path(spark, f"registry-{uuid.uuid4().hex}")
+    R.register_stored(spark, base, "churn_model", "old_a", 0.99)
+    runs = _run_metrics(spark, sf).where(F.col("key") == "roc_auc").orderBy("value", "run_id").collect()   # one row per run
+    for r in [*runs, runs[0]]:
+        R.register_stored(spark, base, "churn_model", r["run_id"], r["value"])
+    return R.promotion(R.stored_versions(spark, base))
+
+
+@query("snk6_run_params", f"""WITH {_variant_sql()},
+n AS (SELECT run_id, count(*) AS n_rows, min(score) AS lo, max(score) AS hi FROM vs GROUP BY run_id),
+x AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{e.replace(chr(39), chr(39) * 2)}')" for r, e in VARIANTS.items())}) t(run_id, e)),
+p AS (SELECT run_id, 'score_expr' AS key, e AS value FROM x UNION ALL SELECT run_id, 'n_rows', CAST(n_rows AS VARCHAR) FROM n),
+b AS (SELECT arg_max(run_id, value) AS run_id FROM run_metrics WHERE key = 'average_precision')
+SELECT run_id, 'parent_0' AS parent_id, key, value FROM p
+UNION ALL SELECT 'parent_0', NULL, 'best_' || key, value FROM p WHERE run_id = (SELECT run_id FROM b)""")
 def snk6_run_params(spark, sf):
-    """SNK6: run parameters as a long table (one row per run and parameter),
-    for the runs whose metrics ``snk6_run_metrics`` logs."""
-    sc = _variant_scores(spark, sf).select("run_id").distinct()
-    exprs = spark.createDataFrame([(r, e) for r, e in VARIANTS.items()], "run_id string, value string")
-    return sc.join(F.broadcast(exprs), "run_id").select(
-        "run_id", F.lit("parent_0").alias("parent_id"), F.lit("score_expr").alias("key"), "value")
+    """SNK6: parameters of the runs and, for their parent, those of its best run,
+    appended to the stored run tables in two batches and read back."""
+    base = scratch_path(spark, f"runs-{uuid.uuid4().hex}")
+    sc = _variant_scores(spark, sf)
+    exprs = spark.createDataFrame([(r, e) for r, e in VARIANTS.items()], "run_id string, e string")
+    n = sc.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(exprs), "run_id")
+    params = n.select("run_id", F.lit("parent_0").alias("parent_id"), F.inline(F.array(
+        F.struct(F.lit("score_expr").alias("key"), F.col("e").alias("value")), F.struct(F.lit("n_rows").alias("key"), F.col("n").cast("string").alias("value")))))
+    R.log_runs(base, "runs", params, _run_metrics(spark, sf))
+    done = R.stored_runs(spark, base, "params")
+    best = R.best_params(done, R.stored_runs(spark, base, "metrics"), "average_precision")
+    R.log_runs(base, "best", best, spark.createDataFrame([], R.METRICS))
+    return R.stored_runs(spark, base, "params")

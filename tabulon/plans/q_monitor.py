@@ -154,17 +154,17 @@ def win6_win7_window_changes(spark, sf):
 
 
 def _checks(spark, sf):
-    from tabulon.plans.q_drift import LI_CAT, LI_NUM, _lineitem_pair
+    from tabulon.plans.q_drift import LI_CAT, LI_NUM, _moved_pair
     from tabulon.operators import drift as D
-    ref, cur = _lineitem_pair(spark, sf)
+    ref, cur = _moved_pair(spark, sf)
     cd = D.column_drift(ref, cur, LI_NUM, LI_CAT)
     return cd.select(F.concat(F.lit("no_drift_"), "column_name").alias("test_name"),
                      F.when(F.col("drifted"), "FAIL").otherwise("SUCCESS").alias("status"))
 
 
 def _checks_sql():
-    from tabulon.plans.q_drift import LI_CAT, LI_NUM, LI_PAIR_SQL, _column_drift_sql
-    return _column_drift_sql(LI_PAIR_SQL, LI_NUM, LI_CAT)
+    from tabulon.plans.q_drift import LI_CAT, LI_NUM, _MOVED_SQL, _column_drift_sql
+    return _column_drift_sql(_MOVED_SQL, LI_NUM, LI_CAT)
 
 
 @query("agg18_check_rollup", _checks_sql() + """
@@ -372,7 +372,8 @@ def alr1_rule_alerts(spark, sf):
 
 
 @query("alr2_report_alerts", f"""WITH {_DM_SQL},
-m2 AS (SELECT day, accuracy, prediction_latency_ms, 0.0 AS missing_values_percentage FROM metrics)
+miss AS (SELECT date_trunc('day', ts) AS day, avg(CAST(event_id % 10 < day(ts) % 3 AS INTEGER)) AS missing_values_percentage FROM events GROUP BY 1),
+m2 AS (SELECT metrics.day, accuracy, prediction_latency_ms, missing_values_percentage FROM metrics JOIN miss ON miss.day = metrics.day)
 SELECT {ts_text_sql('day')} AS day, type, severity, message, metric_value FROM (
   SELECT day, 'performance' AS type, 'high' AS severity, 'Model accuracy below acceptable threshold (80%)' AS message,
     round(accuracy, 6) AS metric_value FROM m2 WHERE accuracy < 0.80
@@ -381,8 +382,11 @@ SELECT {ts_text_sql('day')} AS day, type, severity, message, metric_value FROM (
   UNION ALL SELECT day, 'system', 'medium', 'High prediction latency detected', round(prediction_latency_ms, 6)
     FROM m2 WHERE prediction_latency_ms > 500)""")
 def alr2_report_alerts(spark, sf):
-    """ALR2: built-in report alerts on daily metrics (missing share of the log is 0)."""
-    m = _daily_metrics(spark, sf).withColumn("missing_values_percentage", F.lit(0.0))
+    """ALR2: built-in report alerts on daily metrics (values are missing in up to a
+    fifth of a day's events)."""
+    log = SP.prediction_log(spark, sf).withColumn("value", F.when(F.col("prediction_id") % 10 >= F.dayofmonth("ts") % 3, F.col("value")))
+    gone = log.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.avg(F.isnull("value").cast("int")).alias("missing_values_percentage"))
+    m = _daily_metrics(spark, sf).join(gone, "day")
     return A.report_alerts(m, keys=["day"]).withColumn("day", ts_text("day"))
 
 

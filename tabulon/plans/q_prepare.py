@@ -162,6 +162,34 @@ def src3_decode_requests(spark, sf):
     return _requests(spark, sf)
 
 
+@query("src3_batch_bodies", f"""WITH {REQ},
+b AS (SELECT *, customer_id // 10 AS body, row_number() OVER (PARTITION BY customer_id // 10 ORDER BY customer_id) - 1 AS item FROM req),
+p AS (SELECT *, monthly_charges / (monthly_charges + 60.0) AS p, body % 3 <> 1 AS probs, body % 4 = 2 AS expl FROM b)
+SELECT body, item AS item_index, 'batch_' || item AS customer_id, CAST(p >= 0.5 AS INTEGER) AS churn_prediction,
+  CASE WHEN probs THEN round(p, 6) END AS churn_probability,
+  CASE WHEN p < 0.3 THEN 'Low' WHEN p < 0.7 THEN 'Medium' ELSE 'High' END AS risk_level,
+  CASE WHEN probs THEN round(greatest(p, 1 - p), 6) END AS confidence, 'rule-1' AS model_version,
+  CASE WHEN expl THEN 'monthly_charges' END AS explanation FROM p WHERE monthly_charges IS NOT NULL""")
+def src3_batch_bodies(spark, sf):
+    """SRC3: batch bodies of ten requests, decoded to items with their position and
+    scored by a stated rule; the bodies' flags hide probabilities and explanations."""
+    req = SP.request_table(spark, sf)
+    body = F.floor(F.col("customer_id") / 10).cast("long")
+    items = req.groupBy(body.alias("body")).agg(F.array_sort(F.collect_list(F.struct("customer_id", "value"))).alias("items"))
+    flags = F.concat(F.when(F.col("body") % 3 == 1, ', "include_probabilities": false').otherwise(""),
+                     F.when(F.col("body") % 4 == 2, ', "include_explanations": true').otherwise(""))
+    text = F.concat(F.lit('{"customers": ['), F.concat_ws(",", "items.value"), F.lit("]"), flags, F.lit("}"))
+    rows = decode_requests(items.select("body", text.alias("value")), batch=True).where("monthly_charges is not null")
+    rows = rows.withColumn("p", F.col("monthly_charges") / (F.col("monthly_charges") + 60.0)).withColumn("why", F.lit("monthly_charges"))
+    return SC.batch_rows(rows, "p", "rule-1", explanation="why", keep=["body", "item_index"]).drop("timestamp")
+
+
+@query("src2_float_range", "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE value >= 40 AND value <= 60 AND NOT isnan(value)")
+def src2_float_range(spark, sf):
+    """SRC2: a range of a floating-point column that reaches the parquet scan."""
+    return read_table(spark, sf, "events", between={"value": (40.0, 60.0)}).select("event_id", "user_id", "value")
+
+
 def _rules_sql():
     from tabulon.operators.validate import REQUEST_RULE_NAMES
     conds = {
@@ -430,23 +458,38 @@ def tst1_test_suite(spark, sf):
     return V.test_suite(SP.entity_table(spark, sf))
 
 
-@query("val3_unseen_entities", """SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-22'
-AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-22')""")
+@query("val3_unseen_entities", """WITH cur AS (SELECT CASE WHEN event_id % 97 = 0 THEN user_id + 1000000 ELSE user_id END AS user_id
+  FROM events WHERE ts >= TIMESTAMP '2024-01-22')
+SELECT DISTINCT user_id FROM cur WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-22')""")
 def val3_unseen_entities(spark, sf):
-    """VAL3 / JON5: values in the current table the reference never had (anti join)."""
-    ref, cur = SP.reference_current(spark, sf)
-    ev = read_table(spark, sf, "events").select("ts", "user_id")
+    """VAL3 / JON5: values in the current table (new users are planted) that the
+    reference never had (anti join)."""
+    ev = read_table(spark, sf, "events").select("event_id", "ts", "user_id")
     t = F.lit(SP.DRIFT_SPLIT_TS).cast("timestamp_ntz")
-    return V.unseen_values(ev.where(F.col("ts") >= t), ev.where(F.col("ts") < t), "user_id")
+    new = F.when(F.col("event_id") % 97 == 0, F.col("user_id") + 1000000).otherwise(F.col("user_id"))
+    return V.unseen_values(ev.where(F.col("ts") >= t).withColumn("user_id", new), ev.where(F.col("ts") < t), "user_id")
 
 
-@query("val3_unseen_categories", f"""WITH {E}
-SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority NOT IN (SELECT c_mktsegment FROM entity WHERE c_mktsegment IS NOT NULL)""")
+@query("val3_unseen_categories", f"""WITH {E},
+cur AS (SELECT CASE WHEN c_custkey % 13 = 0 THEN 'SPACECRAFT' WHEN c_custkey % 17 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment,
+   CASE WHEN c_custkey % 19 = 0 THEN '-1' ELSE CAST(c_nationkey AS VARCHAR) END AS nation FROM entity)
+SELECT 'c_mktsegment' AS column_name, c_mktsegment AS value, count(*) AS n FROM cur
+ WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM entity WHERE c_mktsegment IS NOT NULL) GROUP BY 2
+UNION ALL SELECT 'nation', nation, count(*) FROM cur WHERE nation NOT IN (SELECT CAST(c_nationkey AS VARCHAR) FROM entity) GROUP BY 2""")
 def val3_unseen_categories(spark, sf):
-    """VAL3: categories absent from the training category list (left anti join)."""
-    o = read_table(spark, sf, "orders").select(F.col("o_orderpriority").alias("v"))
-    e = SP.entity_table(spark, sf).select(F.col("c_mktsegment").alias("v"))
-    return V.unseen_values(o, e, "v").withColumnRenamed("v", "o_orderpriority")
+    """VAL3 / JON5: categories absent from the lists stored at training (exact lists
+    and a Bloom sketch); new segments and nations are planted in the checked table."""
+    import uuid
+
+    from tabulon.operators import model as MD
+    from tabulon.session import scratch_path
+    ent = SP.entity_table(spark, sf).select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"))
+    path = scratch_path(spark, f"seen-{uuid.uuid4().hex}")
+    MD.save_seen_values(profile.distinct_values(ent, ["c_mktsegment", "nation"]), path)
+    segment = (F.when(F.col("c_custkey") % 13 == 0, "SPACECRAFT").when(F.col("c_custkey") % 17 == 0, F.lower("c_mktsegment"))
+               .otherwise(F.col("c_mktsegment")))
+    new = ent.withColumn("c_mktsegment", segment).withColumn("nation", F.when(F.col("c_custkey") % 19 == 0, "-1").otherwise(F.col("nation")))
+    return MD.unseen_categories(new, path)
 
 
 @query("snk7_run_stamp", """SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS run_stamp FROM events""")
@@ -462,7 +505,8 @@ SELECT prediction_id,
   round(greatest(churn_probability, 1 - churn_probability), 6) AS confidence,
   CASE WHEN churn_probability >= 0.5 THEN 'Will Churn' ELSE 'Will Not Churn' END AS label_text,
   printf('%.1f%%', churn_probability * 100) AS probability_text,
-  printf('%.3f', value) AS value_text,
+  printf('%.3f', value) AS value_text, 'Event ' || upper(left(event_type, 1)) || lower(substr(event_type, 2)) || ' Of User' AS spaced_title,
+  trim(CASE WHEN prediction_id % 3 = 0 THEN '  ' ELSE event_type END) = '' AS blank, starts_with(event_type, 'P') AS starts_upper,
   upper(left(event_type, 1)) || lower(substr(event_type, 2)) AS event_title,
   upper(event_type) AS event_upper, starts_with(event_type, 'p') AS starts_p, contains(event_type, 'ie') AS has_ie,
   round(churn_probability - 0.5, 6) AS delta_from_half,
@@ -476,6 +520,9 @@ def scl_text_functions(spark, sf):
         "prediction_id", S.risk_tier(p).alias("risk_level"), S.confidence(p).alias("confidence"),
         S.label_text((p >= 0.5).cast("int")).alias("label_text"),
         S.percent_text(p, 1).alias("probability_text"), S.number_text("value", 3).alias("value_text"),
+        S.title_words(F.concat(F.lit("event_"), "event_type", F.lit("_of_user"))).alias("spaced_title"),
+        S.is_blank(F.when(F.col("prediction_id") % 3 == 0, "  ").otherwise(F.col("event_type"))).alias("blank"),
+        F.col("event_type").startswith("P").alias("starts_upper"),
         S.title_words("event_type").alias("event_title"), F.upper("event_type").alias("event_upper"),
         F.col("event_type").startswith("p").alias("starts_p"), F.col("event_type").contains("ie").alias("has_ie"),
         (p - 0.5).alias("delta_from_half"), (p >= 0.5).cast("int").alias("churn_flag"))

@@ -9,7 +9,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.config import DEFAULT_DRIFT, DriftConfig
+from tabulon.config import DEFAULT_DRIFT, MIN_DRIFT_SAMPLES, DriftConfig
 from tabulon.operators import clean, drift, validate
 from tabulon.roles import ColumnRoles
 from tabulon.sources import sinks
@@ -26,7 +26,7 @@ class Validation:
 
 
 def validate_pair(reference: DataFrame, current: DataFrame, roles: ColumnRoles | None = None,
-                  cfg: DriftConfig = DEFAULT_DRIFT, min_rows: int = 50) -> Validation:
+                  cfg: DriftConfig = DEFAULT_DRIFT, min_rows: int = MIN_DRIFT_SAMPLES) -> Validation:
     ref, cur = clean.common_columns(reference, current)
     roles = (roles or ColumnRoles.infer(ref)).present_in(ref, cur)
     target = [roles.target] if roles.target and roles.target in ref.columns and roles.target in cur.columns else []
@@ -47,7 +47,7 @@ def write_outputs(v: Validation, out_dir: str) -> None:
 
 
 def validate_and_write(spark: SparkSession, reference: Callable[[], DataFrame], current: Callable[[], DataFrame], out_dir: str,
-                       roles: ColumnRoles | None = None, cfg: DriftConfig = DEFAULT_DRIFT, min_rows: int = 50) -> Validation:
+                       roles: ColumnRoles | None = None, cfg: DriftConfig = DEFAULT_DRIFT, min_rows: int = MIN_DRIFT_SAMPLES) -> Validation:
     """The whole flow with its failure path (SNK4): whatever fails, reading
     included, the flag says ``true``, so that a retrain is never skipped silently,
     and the error is raised again."""

@@ -14,10 +14,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, between: dict | None = None) -> DataFrame:
     """SRC2: one supplied parquet table, NaN as NULL; column pruning reaches the
-    scan, and so do filters on columns that are not floating point."""
-    return nan_to_null(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    scan, and so do filters on columns that are not floating point.
+
+    A range of any column, ``between={"value": (10.0, None)}`` (ends included, None:
+    open), reaches the scan for floating-point columns too: it is applied to the
+    stored values, where NaN is above every bound, and NaN is left out after it."""
+    raw = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    for c, (lo, hi) in (between or {}).items():
+        raw = raw.where(F.lit(True) if lo is None else F.col(c) >= F.lit(lo)).where(F.lit(True) if hi is None else F.col(c) <= F.lit(hi))
+        raw = raw.where(F.col(c).isNotNull())
+        if isinstance(raw.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            raw = raw.where(~F.isnan(c))
+    return nan_to_null(raw)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -102,22 +112,27 @@ REQUEST_FIELDS = (
 REQUEST_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t, _ in REQUEST_FIELDS])
 BATCH_SCHEMA = T.StructType([
     T.StructField("customers", T.ArrayType(REQUEST_SCHEMA), True),
-    T.StructField("include_confidence", T.BooleanType(), True),
-    T.StructField("include_risk_level", T.BooleanType(), True),
+    T.StructField("include_probabilities", T.BooleanType(), True),
+    T.StructField("include_explanations", T.BooleanType(), True),
 ])
+#: what a batch body without the flags asks for
+BATCH_FLAGS = {"include_probabilities": True, "include_explanations": False}
 
 
 def decode_requests(df: DataFrame, json_col: str = "value", batch: bool = False) -> DataFrame:
     """SRC3: JSON text → typed request columns with defaults filled.
 
     ``batch=True`` reads ``{"customers": [...]}`` bodies and explodes them,
-    keeping the position as ``item_index``.
+    keeping the position as ``item_index``, the item's name ``batch_<position>`` as
+    ``customer_id`` and the body's flags (``score.batch_rows`` honours them).
     """
     if batch:
         parsed = df.select(F.from_json(F.col(json_col), BATCH_SCHEMA).alias("_b"), "*")
         rows = parsed.select(
             *[c for c in df.columns if c != json_col],
+            *[F.coalesce(F.col(f"_b.{c}"), F.lit(d)).alias(c) for c, d in BATCH_FLAGS.items()],
             F.posexplode("_b.customers").alias("item_index", "_r"))
+        rows = rows.withColumn("customer_id", F.concat(F.lit("batch_"), F.col("item_index").cast("string")))
     else:
         rows = df.select(*[c for c in df.columns if c != json_col],
                          F.from_json(F.col(json_col), REQUEST_SCHEMA).alias("_r"))
