@@ -241,6 +241,7 @@ def resolved(found: DataFrame, columns: list[str]) -> DataFrame:
 def pages_from_warc(records: DataFrame, key: str = "page_id") -> DataFrame:
     """``key``, payload_bytes, payload_digest, record_type and refers_to of every
     capture of archives that ``page_records`` wrote."""
+    records = written(records.drop("fields", "stated_digest", "target_uri"), "warc-records")      # parsed once
     fields = F.col("metadata")[0]["payload"].cast("string")
     number = F.regexp_extract(F.coalesce(fields, F.lit("")), r"(?m)^page-id: (-?\d+)\r?$", 1)
     found = captures(records).select("record_id", "type", "refers_to", "payload_bytes", "payload_digest",
