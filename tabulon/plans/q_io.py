@@ -18,7 +18,7 @@ from tabulon.plans.q_prepare import ENTITY_COLS_SQL, E, _entity
 from tabulon.session import scratch_path
 from tabulon.sources import sinks as K
 from tabulon.sources import supplied as SP
-from tabulon.sources.tables import read_csv, read_table
+from tabulon.sources.tables import read_csv, read_or_no_data, read_table
 
 ENTITY_SCHEMA = T.StructType([
     T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
@@ -36,6 +36,21 @@ def src1_snk1_csv_roundtrip(spark, sf):
     return read_csv(spark, path, ENTITY_SCHEMA)
 
 
+@query("src4_no_data", "SELECT 'events' AS source, 'ok' AS status, count(*) AS n FROM events UNION ALL SELECT 'absent', 'no_data', 0")
+def src4_no_data(spark, sf):
+    """SRC4: a current table that exists, and one that does not: no rows and the
+    status ``no_data`` instead of an error."""
+    import os
+    out = None
+    for name in ("events", "absent"):
+        schema = spark.read.parquet(os.path.join(sf, "events.parquet")).schema
+        t = read_or_no_data(spark, os.path.join(sf, f"{name}.parquet"), schema)
+        some = t.agg(F.count(F.lit(1)).alias("n"), F.first("status").alias("status"))
+        row = some.select(F.lit(name).alias("source"), F.coalesce("status", F.lit("no_data")).alias("status"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("scl10_csv_files", """SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = 'html' AS is_html,
   lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('org', 'com', 'net') AS is_host FROM pages""")
 def scl10_csv_files(spark, sf):
@@ -135,7 +150,7 @@ def _fitted(spark, sf):
     from pyspark.ml import Pipeline
     model = Pipeline(stages=MD.feature_stages(spec)).fit(ent)
     from pyspark.ml.functions import vector_to_array
-    out = model.transform(ent).select("c_custkey", vector_to_array("features").alias("f"))
+    out = model.transform(ent).select("c_custkey", F.col("c_mktsegment__filled").alias("c_mktsegment"), vector_to_array("features").alias("f"))
     return spec, out
 
 
@@ -165,10 +180,8 @@ def fea2_one_hot(spark, sf):
     read back from the feature vector (pivot form)."""
     spec, out = _fitted(spark, sf)
     cats = spec.categories["c_mktsegment"]
-    fill = spec.fill_values["c_mktsegment"]
-    ent = SP.entity_table(spark, sf).select("c_custkey", F.coalesce("c_mktsegment", F.lit(fill)).alias("c_mktsegment"))
     cols = [F.col("f")[2 + i].alias(f"is_{c.lower()}") for i, c in enumerate(cats)]
-    return out.select("c_custkey", *cols).join(ent, "c_custkey")
+    return out.select("c_custkey", *cols, "c_mktsegment")
 
 
 @query("fea2_unknown_category_zeros", f"WITH {E} SELECT count(*) AS n_rows, 5 AS n_slots, CAST(0.0 AS DOUBLE) AS slot_sum FROM entity")

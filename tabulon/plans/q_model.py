@@ -177,6 +177,80 @@ def exp1_permutation_importance(spark, sf):
     return MD.permutation_importance(m, ent, [*NUMERIC, *CATEGORICAL], "c_custkey", label="churn")
 
 
+@query("mdl1_5_holdout_checks", f"""WITH {SP.ENTITY_SQL},
+n AS (SELECT CAST(sum((c * 20 + 99) // 100) AS BIGINT) AS n_test FROM (SELECT churn, count(*) AS c FROM entity GROUP BY churn))
+SELECT model, n_test, true AS metrics_equal, true AS auc_equal, true AS scores_are_shares FROM n,
+  (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting'), ('linear_svc'), ('bagging')) f(model)""")
+def mdl1_5_holdout_checks(spark, sf):
+    """MDL1-6: the five families (small ones) on one split; from the written holdout
+    scores the metrics are computed again in SQL, and the AUC by Spark ML's evaluator."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    small = {"random_forest": {"numTrees": 8, "maxDepth": 6}, "gradient_boosting": {"maxIter": 5}, "bagging": {"numTrees": 4, "maxDepth": 6},
+             "linear_svc": {"maxIter": 20}}
+    t = train_all(_entity(spark, sf), "churn", "c_custkey", NUMERIC, CATEGORICAL, params=small)
+    path = scratch_path(spark, f"holdout-{uuid.uuid4().hex}")
+    t.predictions.write.parquet(path)
+    scores = spark.read.parquet(path)
+    hit = "int(label = 1 and prediction = 1)"
+    again = scores.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_test"), F.expr("avg(int(label = prediction))").alias("a"),
+        F.expr(f"coalesce(try_divide(sum({hit}), sum(int(prediction = 1))), 0.0)").alias("p"),
+        F.expr(f"coalesce(try_divide(sum({hit}), sum(int(label = 1))), 0.0)").alias("r"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score", numBins=0)
+    auc = spark.createDataFrame([(m, float(ev.evaluate(scores.where(F.col("model") == m).withColumn("label", F.col("label").cast("double")))))
+                                 for m in MD.MODEL_FAMILIES], "model string, ml_auc double")              # one number per family
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) < 1e-9
+    return t.comparison.join(again, "model").join(auc, "model").select(
+        "model", "n_test", (near("accuracy", "a") & near("precision", "p") & near("recall", "r")).alias("metrics_equal"),
+        (F.abs(F.col("roc_auc") - F.col("ml_auc")) < 1e-6).alias("auc_equal"), ((F.col("lo") >= 0) & (F.col("hi") <= 1)).alias("scores_are_shares"))
+
+
+@query("mdl8_importance_checks", f"""WITH {SP.ENTITY_SQL},
+k AS (SELECT 4 + count(DISTINCT c_mktsegment) AS n FROM entity)
+SELECT model, n AS n_features, CAST(1.0 AS DOUBLE) AS total, least(n, 5) AS n_top, true AS in_order FROM k,
+  (VALUES ('random_forest'), ('gradient_boosting')) f(model)""")
+def mdl8_importance_checks(spark, sf):
+    """MDL8 + ORD4: importances name every encoded column, are not negative and add
+    up to 1; the top five come in order."""
+    ent = _training_table(spark, sf)
+    spec = MD.fit_feature_spec(ent, NUMERIC, CATEGORICAL)
+    out = None
+    for family, params in (("random_forest", {"numTrees": 10, "maxDepth": 6}), ("gradient_boosting", {"maxIter": 5})):
+        imp = MD.feature_importance(MD.fit_model(ent, spec, family, label="churn", **params), spec, spark)
+        top = MD.top_features(imp, 5).agg(F.collect_list("importance").alias("v"))
+        row = imp.agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total"), F.min("importance").alias("low")).crossJoin(F.broadcast(top))
+        row = row.select(F.lit(family).alias("model"), "n_features", "total", F.size("v").cast("long").alias("n_top"),
+                         ((F.col("low") >= 0) & (F.col("v") == F.reverse(F.array_sort("v")))).alias("in_order"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("sco1_scored_checks", "SELECT c_custkey AS customer_id, true AS same FROM customer")
+def sco1_scored_checks(spark, sf):
+    """SCO1: each scored row's label, tier, confidence and version follow from its
+    probability, and every entity is scored once."""
+    ent, spec, m = _fit_lr(spark, sf)
+    rows = SC.scored_rows(MD.positive_probability(m.transform(ent)).withColumnRenamed("c_custkey", "customer_id"), model_version="lr-1")
+    p = F.col("churn_probability")
+    tier = F.when(p < 0.3, "Low").when(p < 0.7, "Medium").otherwise("High")
+    same = ((F.col("churn_prediction") == (p >= 0.5).cast("int")) & (F.col("risk_level") == tier) & (F.col("model_version") == "lr-1")
+            & (F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-12) & F.col("timestamp").isNotNull())
+    return rows.select(F.col("customer_id").cast("long").alias("customer_id"), same.alias("same"))
+
+
+@query("exp1_linear_sums", "SELECT c_custkey, true AS same FROM customer")
+def exp1_linear_sums(spark, sf):
+    """EXP1 (linear): a row's contributions add up to its margin less the margin of the
+    mean row."""
+    ent, spec, m = _fit_lr(spark, sf)
+    scored = materialize(MD.positive_probability(m.transform(ent)).select("c_custkey", "features", "churn_probability"))
+    total = MD.linear_contributions(m, scored, spec, key="c_custkey").groupBy("c_custkey").agg(F.sum("contribution").alias("total"))
+    margin = F.log(F.col("churn_probability") / (1 - F.col("churn_probability")))
+    mean = scored.agg(F.avg(margin).alias("mean"))                                     # one row: the margin is linear
+    return total.join(scored, "c_custkey").crossJoin(F.broadcast(mean)).select(
+        "c_custkey", (F.abs(F.col("total") - (margin - F.col("mean"))) < 1e-6).alias("same"))
+
+
 def _path_sums(spark, sf, family, margin, **params):
     """Whether every row's path contributions add up to the model's own output."""
     ent = _training_table(spark, sf)

@@ -307,8 +307,8 @@ def prj3_prj4_prj6_model_matrix(spark, sf):
     from tabulon.roles import ColumnRoles
     ent = SP.entity_table(spark, sf)
     roles = ColumnRoles.infer(ent, key="c_custkey", target="churn")
-    m = clean.ints_to_double(ent.select("c_custkey", *roles.numeric), exclude=["c_custkey"])
-    return m.join(clean.split_target(ent.select("c_custkey", "churn"), "churn"), "c_custkey")
+    matrix = clean.split_target(ent.select("c_custkey", *roles.numeric, "churn"), "churn")
+    return clean.ints_to_double(matrix, exclude=["c_custkey", "churn"])
 
 
 def _disp_sql(c, numeric=True):
