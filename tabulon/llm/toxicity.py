@@ -49,7 +49,6 @@ from tabulon.llm.common import no_clash, settled, small_batches
 @dataclass(frozen=True)
 class ToxicityConfig:
     max_labelled: int = 30_000     # labelled documents that teach
-    max_units: int = 50_000        # lexicon size
     min_z: float = 2.8             # certainty of a lexicon unit
     min_log_odds: float = 1.5      # a weaker unit says nothing about a passage
     min_documents: int = 3         # documents a unit must occur in
@@ -82,7 +81,7 @@ _PREFIXES = (4, 5, 6)
 
 def units_of(word: str) -> list[str]:
     """The word (marked as whole) and its proper prefixes."""
-    return ["=" + word[:40]] + [word[:n] for n in _PREFIXES if len(word) > n]
+    return ["=" + word] + [word[:n] for n in _PREFIXES if len(word) > n]
 
 
 class TokenScores(dict):
@@ -108,29 +107,33 @@ class TokenScores(dict):
 
 
 def maximal_segments(scores) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, sum), end exclusive, in linear
-    time: each positive token opens a candidate, which merges leftwards while
-    an earlier candidate has a smaller left sum and a smaller right sum."""
+    """All maximal-scoring segments (start, end, sum), end exclusive, in linear time.
+
+    Each positive token opens a candidate, which merges leftwards while the nearest
+    earlier candidate with a smaller left sum has a smaller right sum too.  A
+    candidate keeps a link to that earlier one; candidates that a search passes over
+    lie behind the new one's link and are not looked at again."""
     import numpy as np
     s = np.asarray(scores, dtype=np.float64)
     hot = np.flatnonzero(s > 0)
     if not len(hot):
         return []
     run = np.cumsum(s)
-    stack: list[tuple[int, int, float, float]] = []   # start, end, sum before, sum through
-    for i in hot.tolist():
-        begin, end = i, i + 1
-        left, right = float(run[i] - s[i]), float(run[i])
+    right = run[hot].tolist()
+    left = (run[hot] - s[hot]).tolist()
+    kept: list[tuple[int, int, float, float, int]] = []   # start, end, sum before, sum through, link
+    for i, before, through in zip(hot.tolist(), left, right):
+        begin, j = i, len(kept) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= through:
                 break
-            begin, left = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((begin, end, left, right))
-    return [(a, b, r - l) for a, b, l, r in stack]
+            begin, _, before, _, link = kept[j]
+            del kept[j:]
+            j = link
+        kept.append((begin, i + 1, before, through, j))
+    return [(a, b, r - l) for a, b, l, r, _ in kept]
 
 
 def segments_of(text: str, table: TokenScores) -> tuple[int, list[tuple[int, int, float]]]:
@@ -238,8 +241,8 @@ def _lexicon(train: DataFrame, cfg: ToxicityConfig) -> tuple[dict, list]:
     z = delta / F.sqrt(1 / yt + 1 / yc)
     # a unit in almost every document says nothing and has no finite odds
     kept = (counts.where((rest_t > 0) & (rest_c > 0)).select("unit", "t", "c", delta.alias("d"), z.alias("z"))
-            .where((F.abs("z") >= cfg.min_z) & (F.abs("d") >= cfg.min_log_odds)).orderBy(F.abs("z").desc(), "unit").limit(cfg.max_units))
-    rows = kept.collect()                                # bounded by max_units
+            .where((F.abs("z") >= cfg.min_z) & (F.abs("d") >= cfg.min_log_odds)))
+    rows = kept.collect()                                # units of at most max_labelled documents
     return {r["unit"]: (float(r["d"]), abs(float(r["z"]))) for r in rows}, [nt, nc]
 
 
@@ -321,29 +324,37 @@ _LOGISTIC_PRIOR = (0.55, -5.0)
 
 
 def _calibrate(model: ToxicityModel, seg: DataFrame) -> None:
-    """Logistic fit of the label on the statistic, over at most 129 bins."""
+    """Logistic fit of the label on the statistic, in bins of a half."""
     both = seg.groupBy("check").agg(F.countDistinct("toxic").alias("k")).where("check and k = 2").count()
     d = seg.where("check") if both else seg
-    bins = (d.select(F.least(F.floor(_statistic(model) * 2), F.lit(128)).alias("b"), "toxic").groupBy("b")
+    bins = (d.select(F.floor(_statistic(model) * 2).alias("b"), "toxic").groupBy("b")
             .agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect())
     pts = [(r["b"] / 2.0, float(r["t"]), float(r["n"])) for r in bins]
     w, b, ridge = *_LOGISTIC_PRIOR, 1.0
     w0, b0 = _LOGISTIC_PRIOR
-    for _ in range(100):                       # Newton steps of a two-parameter fit
+    softplus = lambda z: max(z, 0.0) + math.log1p(math.exp(-abs(z)))
+
+    def loss(w, b):                            # half a pseudo-row of each class keeps separable data finite
+        return (sum((n + 1 / len(pts)) * softplus(w * x + b) - (t + 0.5 / len(pts)) * (w * x + b) for x, t, n in pts)
+                + ridge / 2 * ((w - w0) ** 2 + (b - b0) ** 2))
+    for _ in range(1000):                      # Newton steps of a convex fit in two parameters
         gw = gb = hww = hwb = hbb = 0.0
         for x, t, n in pts:
             p = 1 / (1 + math.exp(-max(-40.0, min(40.0, w * x + b))))
-            # half a pseudo-row of each class keeps separable data finite
             g, h = (n * p - t) + (p - 0.5) / len(pts), (n + 1 / len(pts)) * p * (1 - p)
             gw, gb = gw + g * x, gb + g
             hww, hwb, hbb = hww + h * x * x, hwb + h * x, hbb + h
         gw, gb, hww, hbb = gw + ridge * (w - w0), gb + ridge * (b - b0), hww + ridge, hbb + ridge
         det = hww * hbb - hwb * hwb
         dw, db = (hbb * gw - hwb * gb) / det, (hww * gb - hwb * gw) / det
-        step = min(1.0, 2.0 / max(abs(dw), abs(db), 1e-9))
-        w, b = w - step * dw, b - step * db
-        if abs(dw) + abs(db) < 1e-8:
+        fall, now, step = gw * dw + gb * db, loss(w, b), 1.0
+        if fall < 1e-12 * max(1.0, abs(now)):
             break
+        while loss(w - step * dw, b - step * db) > now - 1e-4 * step * fall and step > 1e-9:
+            step /= 2
+        w, b = w - step * dw, b - step * db
+    else:
+        raise ArithmeticError("the calibration did not converge")
     model.weight, model.bias, model.bins = w, b, pts
 
 

@@ -38,6 +38,16 @@ def test_maximal_segments_against_the_definition():
         assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want))
 
 
+def test_the_scan_is_linear():
+    """A falling running sum, where no candidate ever merges, and a rising one."""
+    import time
+    for cold, segments in ((-5.0, 1_000_000), (-3.0, 1)):
+        began = time.process_time()
+        got = maximal_segments([4.0, cold] * 1_000_000)
+        assert len(got) == segments and time.process_time() - began < 20
+    assert maximal_segments([4.0, -3.0] * 5)[0][:2] == (0, 9)
+
+
 def toxic_corpus(n=600, seed=4):
     r = random.Random(seed)
     clean = [f"word{i}" for i in range(300)]
@@ -197,7 +207,7 @@ def test_rates_are_the_least_squares_solution(spark):
     n = r.integers(1, 100, 50)
     soft = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(50)], "_id long, n_tokens long, p_0 double, p_1 double, p_2 double")
     for target in ([0.2, 0.3, 0.5], [1.0, 0.0, 0.0]):
-        got = np.array([x.rate for x in fit_rates(soft, target, MixConfig(max_steps=40, tolerance=1e-9)).orderBy("_id").collect()])
+        got = np.array([x.rate for x in fit_rates(soft, target, MixConfig(max_steps=200, tolerance=1e-6)).orderBy("_id").collect()])
         mass = (n[:, None] * p).sum(0)
         t = n.sum() * np.array(target)
         rate = np.ones(50)
@@ -207,6 +217,44 @@ def test_rates_are_the_least_squares_solution(spark):
         assert loss(got) <= loss(rate) * 1.01 + 1e-4 * n.sum()
 
 
+def dual_rates(n, p, t, mass, ridge):
+    """The same rates by Newton steps on the K numbers of the dual problem, dense."""
+    import numpy as np
+    dual = np.zeros(len(t))
+
+    def at(l):
+        r = np.maximum(0.0, 1 - p @ l)
+        value = (-n * ((r - 1) ** 2 / 2 + r * (p @ l))).sum() + t @ l + ridge / 2 * (mass * l) @ l
+        return r, (r * n) @ p, value
+    for _ in range(500):
+        r, now, value = at(dual)
+        slope = t - now + ridge * mass * dual
+        on = r > 0
+        move = np.linalg.solve((p[on] * n[on, None]).T @ p[on] + ridge * np.diag(mass), -slope)
+        step = 1.0
+        while step > 1e-10 and at(dual + step * move)[2] > value + 1e-4 * step * slope @ move:
+            step /= 2
+        dual = dual + step * move
+        if step <= 1e-10 or np.abs(slope).max() < 1e-9:
+            break
+    return at(dual)[0]
+
+
+def test_projected_gradient_equals_the_dual_solution(spark):
+    import numpy as np
+    r = np.random.default_rng(4)
+    for target in ([0.2, 0.3, 0.5], [0.7, 0.25, 0.05]):
+        p, n = r.dirichlet([0.3, 0.6, 0.2], 200), r.integers(1, 400, 200)
+        soft = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(200)], "_id long, n_tokens long, p_0 double, p_1 double, p_2 double")
+        cfg = MixConfig(tolerance=1e-6)
+        got = np.array([x.rate for x in fit_rates(soft, target, cfg).orderBy("_id").collect()])
+        mass, t = (n[:, None] * p).sum(0), n.sum() * np.array(target)
+        want = dual_rates(n.astype(float), p, t, mass, cfg.ridge)
+        assert np.abs((got * n) @ p - t).max() <= np.abs((want * n) @ p - t).max() + 1e-4 * n.sum()
+        distance = lambda x: (n * (x - 1) ** 2).sum()
+        assert (got >= 0).all() and distance(got) <= distance(want) * 1.02 + 1e-3
+
+
 def test_a_rare_domain_reaches_its_target(spark):
     """Half a per cent of the tokens, five per cent wanted: ten times as often."""
     rows = [(i, 100, *((0.01, 0.99) if i % 200 == 0 else (0.999, 0.001))) for i in range(1000)]
