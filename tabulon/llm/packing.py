@@ -224,7 +224,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, closing_id: int = 1, capaci
     buckets = max(8, partitions(docs.sparkSession))
     pieces = settled(cut_documents(docs, vocabulary, closing_id, capacity, min_piece, text, keep, with_ids)
                      .withColumn("_k", F.floor(F.lit(capacity) / F.col("length")).cast("long")))
-    order = [f"`{c}`" for c in keep] + ["start", "length", "ids_crc32"]
+    order = [f"`{c}`" for c in keep] + ["start", "length", "ids_crc32", "doc_tokens"]     # equal rows are the same piece
     order = [F.col(c) for c in order]
     num = _numbered(pieces, buckets, order)
     exact = (F.lit(capacity) % F.col("length")) == 0

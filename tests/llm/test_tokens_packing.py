@@ -98,3 +98,16 @@ def test_only_full_classes_leave_padding(spark):
     df = spark.createDataFrame([(i, "a " * (i % 60)) for i in range(180)], "doc_id long, text string")
     total = pack_documents(df, BYTES, 1, 2048, 256).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas().n
     assert all(n & (n - 1) == 0 or n > 2048 * 0.9 for n in total)
+
+
+def test_rows_of_one_id_that_share_a_piece(spark):
+    """Texts of one id with equal first pieces and different lengths: each piece once, with its own document's tokens."""
+    head = "word " * 100
+    texts = [(i % 2 or None, head + "more " * (7 * k)) for k in range(12) for i in range(3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    lib = Tokenizer.from_file(BYTES)
+    want = sorted(len(lib.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts)
+    got = pack_documents(df, BYTES, 1, 64, 8).toPandas()
+    per = got.groupby("doc_tokens").length.sum()
+    assert all(per[n] == n * want.count(n) for n in set(want)) and set(per.index) == set(want)
+    assert not got.duplicated(["sequence_id", "offset"]).any()
