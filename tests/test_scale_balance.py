@@ -12,7 +12,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 RUNS = {"--hot": ["jon1_feedback_join", "win2_stratified_split", "drf1_ks_wasserstein", "win1_last_n_per_entity", "agg16_latency_summary",
                   "win5_batch_ids", "str6_stream_feedback_join"],
-        "--hot-day": ["jon1_feedback_join", "win5_batch_ids", "win6_win7_by_event_type"]}
+        "--hot-day": ["jon1_feedback_join", "win5_batch_ids"]}
 
 
 @pytest.mark.parametrize("hot", RUNS)
