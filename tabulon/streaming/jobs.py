@@ -51,16 +51,22 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 def run_available(stream_writer, spark: SparkSession | None = None):
     """Run a ``DataStreamWriter`` over everything available, to its end; a
-    failed stream raises.  With ``spark`` the query keeps its state in RocksDB, as
-    the operators of ``streaming.state`` need (a deployment sets ``STATE_STORE``)."""
-    before = spark.conf.get(STATE_STORE) if spark else None
+    failed stream raises.
+
+    With ``spark`` the query keeps its state in RocksDB, as the operators of
+    ``streaming.state`` need (a deployment sets ``STATE_STORE``), in at most two
+    partitions per core: every one of them starts a store and a Python worker in
+    each micro-batch."""
+    parts = "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (STATE_STORE, parts)} if spark else {}
     try:
         if spark:
             spark.conf.set(STATE_STORE, ROCKSDB)
+            spark.conf.set(parts, str(min(int(before[parts]), 2 * spark.sparkContext.defaultParallelism)))
         q = stream_writer.trigger(availableNow=True).start()
     finally:
-        if spark:
-            spark.conf.set(STATE_STORE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
