@@ -114,7 +114,7 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], id_col: st
 
 
 #: steps whose expressions are nested before the rates are settled
-_NESTED = 8
+_NESTED = 4
 
 
 def fit_rates(soft: DataFrame, targets: list[float], cfg: MixConfig, total_tokens: float | None = None) -> DataFrame:
@@ -155,7 +155,7 @@ def fit_rates(soft: DataFrame, targets: list[float], cfg: MixConfig, total_token
         push, age = (age - 1) / following, following
         if nested == _NESTED:
             rates, nested = settled(rates), 0
-    rates = rates.drop("_old")
+    rates = settled(rates.drop("_old"))        # later filters would copy the nested steps
     if any(abs(a - b) > _TOLD * total for a, b in zip(now, t)):
         warnings.warn(f"mixing: wanted tokens by domain {t}, reached {now}", stacklevel=2)
     return rates
