@@ -221,11 +221,12 @@ def stream_feedback_match(events: DataFrame, key: str, ts: str, kind_col: str, i
     of the same key within ``horizon`` (ties: smallest id); other kinds only move
     the clock.
 
-    State is one map entry per waiting prediction and per truth that may still be
-    needed, in RocksDB; no list of a key's rows exists.  An event-time timer wakes a
-    key when its next prediction may be settled: once the watermark has passed its
+    State is the waiting predictions and the truths that may still be needed, in
+    RocksDB, as packed blocks of a bucket of keys: an entry per row, with a state
+    per key, costs a call from Python for each.  An event-time timer wakes a bucket
+    when its next prediction may be settled: once the watermark has passed its
     first truth, or its horizon.  So rows may arrive in any order within
-    ``watermark``, on either side.  A busy key is split by time into slices: a truth
+    ``watermark``, on either side.  A bucket is split by time into slices: a truth
     goes to its own slice and, when it lies within the horizon of an earlier slice's
     end, to that one too (slices at least as long as the horizon: one copy at most).
     Rows without a key, a time or an id match nothing; rows of one kind, time and

@@ -1,95 +1,131 @@
 """Stateful steps with map state and event-time timers (STR5, STR6).
 
 Both run as ``transformWithStateInPandas``: state is kept per key in RocksDB, as
-single values and map entries, and a timer calls a key when the watermark has
-passed a time, also when no row arrived for it.  Rows of a key reach Python in
-Arrow batches.
+single values, map entries or packed blocks, and a timer calls a key when the
+watermark has passed a time, also when no row arrived for it.  Rows of a key reach
+Python in Arrow batches.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-#: rows of one output batch
-OUT_ROWS = 10_000
+#: rows of one output batch, and of one packed block that is written back
+OUT_ROWS, BLOCK_ROWS = 10_000, 100_000
+
+#: states to which the keys of STR6 are dealt, times the slices
+KEY_BUCKETS = 256
 
 MATCH = ("entity_id {key}, prediction_id {id}, feedback_id {id}, ts long, feedback_ts long, "
          "predicted_churn boolean, actual_churn boolean")
 
 
 class FirstTruth(StatefulProcessor):
-    """Waiting predictions and truths of one (key, slice), each a map entry."""
+    """Waiting predictions and truths of one (bucket of keys, slice), as packed
+    blocks of rows: one state entry per arriving batch, matched as columns."""
+
+    COLUMNS = ["entity_id", "micros", "kind", "row_id", "flag"]
 
-    def __init__(self, horizon: int, id_type: str):
-        self.horizon, self.id_type = horizon, id_type
+    def __init__(self, horizon: int):
+        self.horizon = horizon
 
     def init(self, handle):
-        entry = f"micros long, row_id {self.id_type}"
         self.handle = handle
-        self.truths = handle.getMapState("truths", entry, "flag boolean")
-        self.waiting = handle.getMapState("waiting", entry, "flag boolean")
+        self.blocks = handle.getListState("blocks", "block binary")
+        self.timer = handle.getValueState("timer", "millis long")
 
     def handleInputRows(self, key, rows, timerValues):
         first = None
         for b in rows:
-            for t, kind, i, flag in zip(b["micros"].tolist(), b["kind"].tolist(), b["row_id"].tolist(), b["flag"].tolist()):
-                into = self.truths if kind == 0 else self.waiting
-                into.updateValue((t, i), (None if flag is None else bool(flag),))
+            if len(b):
+                self.blocks.appendValue((self.pack(b[self.COLUMNS]),))
+                t = int(b["micros"].min())
                 first = t if first is None else min(first, t)
         if first is not None:
             self.wake(first, timerValues)
         return iter([])
 
     def wake(self, micros: int, timerValues) -> None:
-        """A timer just after the given time, and after the watermark."""
-        self.handle.registerTimer(max(micros // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        """The bucket's one timer: just after the given time, and after the watermark,
+        unless an earlier one is set."""
+        at = max(micros // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1)
+        held = self.timer.get()[0] if self.timer.exists() else None
+        if held is not None and held <= at:
+            return
+        if held is not None:
+            self.handle.deleteTimer(held)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import numpy as np
         import pandas as pd
+        self.timer.clear()
+        blocks = [self.unpack(x[0]) for x in self.blocks.get()]
+        if not blocks:
+            return
         passed = timerValues.getCurrentWatermarkInMs() * 1000       # rows to come are not older
-        flags = {k: v[0] for k, v in self.truths.iterator()}
-        truths = sorted(flags)
-        out, done, oldest, next_at = [], [], passed, None
-        for (t, i), (flag,) in self.waiting.iterator():
-            at = bisect_left(truths, (t,))
-            found = truths[at] if at < len(truths) and truths[at][0] - t <= self.horizon else None
-            settled_at = found[0] if found else t + self.horizon
-            if settled_at >= passed:
-                oldest, next_at = min(oldest, t), settled_at if next_at is None else min(next_at, settled_at)
-                continue
-            done.append((t, i))
-            if found:
-                out.append((key[0], i, found[1], t, found[0], flag, flags[found]))
-                if len(out) == OUT_ROWS:
-                    yield self.rows(pd, out)
-                    out = []
-        for k in done:
-            self.waiting.removeKey(k)
-        for k in truths[:bisect_left(truths, (oldest,))]:
-            self.truths.removeKey(k)
-        if next_at is not None:
-            self.wake(next_at, timerValues)
-        if out:
-            yield self.rows(pd, out)
+        d = pd.concat(blocks, ignore_index=True).drop_duplicates(["entity_id", "kind", "micros", "row_id"], keep="last")
+        who, truth = pd.factorize(d["entity_id"])[0], d["kind"].to_numpy() == 0
+        order = np.lexsort((pd.factorize(d["row_id"], sort=True)[0], truth, d["micros"].to_numpy(), who))
+        d, who, truth = d.iloc[order].reset_index(drop=True), who[order], truth[order]
+        t, n = d["micros"].to_numpy(), len(d)
+        # the next truth in (key, time, id): at one time, predictions come first
+        after = np.minimum.accumulate(np.where(truth, np.arange(n), n)[::-1])[::-1]
+        at = np.minimum(after, n - 1)
+        found = (after < n) & (who[at] == who) & (t[at] - t <= self.horizon)
+        settled_at = np.where(found, t[at], t + self.horizon)
+        waiting = ~truth & (settled_at >= passed)
+        done = np.flatnonzero(~truth & ~waiting & found)
+        oldest = np.full(who.max() + 1, passed)
+        np.minimum.at(oldest, who[waiting], t[waiting])
+        rest = d[waiting | (truth & (t >= oldest[who]))]
+        self.blocks.clear()
+        for i in range(0, len(rest), BLOCK_ROWS):
+            self.blocks.appendValue((self.pack(rest.iloc[i:i + BLOCK_ROWS]),))
+        if waiting.any():
+            self.wake(int(settled_at[waiting].min()), timerValues)
+        for i in range(0, len(done), OUT_ROWS):
+            p = done[i:i + OUT_ROWS]
+            mine, its = d.iloc[p], d.iloc[after[p]]
+            yield pd.DataFrame({"entity_id": mine["entity_id"].to_numpy(), "prediction_id": mine["row_id"].to_numpy(),
+                                "feedback_id": its["row_id"].to_numpy(), "ts": mine["micros"].to_numpy(), "feedback_ts": its["micros"].to_numpy(),
+                                "predicted_churn": self.boolean(pd, mine["flag"]), "actual_churn": self.boolean(pd, its["flag"])})
 
     @staticmethod
-    def rows(pd, out):
-        return pd.DataFrame(out, columns=["entity_id", "prediction_id", "feedback_id", "ts", "feedback_ts", "predicted_churn", "actual_churn"])
+    def boolean(pd, flag):
+        """-1, 0, 1 as null, false, true."""
+        return pd.Series(flag.to_numpy() == 1, dtype="boolean").mask(flag.to_numpy() < 0)
+
+    @staticmethod
+    def pack(rows) -> bytes:
+        import pyarrow as pa
+        b = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, b.schema) as w:
+            w.write_batch(b)
+        return out.getvalue().to_pybytes()
+
+    @staticmethod
+    def unpack(block):
+        import pyarrow as pa
+        return pa.ipc.open_stream(bytes(block)).read_pandas()
 
     def close(self):
         pass
 
 
-def first_truths(rows: DataFrame, horizon: int) -> DataFrame:
-    """Matches of rows (entity_id, slice, ts, micros, kind, row_id, flag)."""
+def first_truths(rows: DataFrame, horizon: int, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """Matches of rows (entity_id, slice, ts, micros, kind, row_id, flag).  Keys are
+    dealt to ``buckets`` by hash; a bucket's slice is one state."""
     kinds = dict(rows.dtypes)
     schema = MATCH.format(key=kinds["entity_id"], id=kinds["row_id"])
-    out = rows.groupBy("entity_id", "slice").transformWithStateInPandas(
-        FirstTruth(horizon, kinds["row_id"]), schema, "Append", "EventTime")
+    dealt = rows.withColumns({"bucket": F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).cast("int"),
+                              "flag": F.coalesce(F.col("flag").cast("int"), F.lit(-1))})
+    out = dealt.groupBy("bucket", "slice").transformWithStateInPandas(
+        FirstTruth(horizon), schema, "Append", "EventTime")
     return out.withColumns({c: F.timestamp_micros(c) for c in ("ts", "feedback_ts")})
 
 

@@ -111,3 +111,21 @@ def test_drift_of_windows_by_monitor(spark):
     assert abs(first["2"].jensen_shannon - 1.0) < 1e-12                             # no common bin
     assert abs(first["1"].jensen_shannon - (0.5 * (0.5 * __import__("math").log2(0.5 / 0.75) + 0.5) + 0.5 * __import__("math").log2(1 / 0.75)) ** 0.5) < 1e-12
     assert all(r.jensen_shannon is None for r in got if not r.n_predictions)
+
+
+def test_state_grows_by_buckets_and_not_by_users(spark):
+    from tabulon.streaming.state import KEY_BUCKETS
+    run = J.new_run_dir(spark, "t6u")
+    schema = "entity_id string, ts timestamp, kind int, row_id string, flag boolean"
+    n = 3000
+    first = [(f"u{i}", _at(i % 50), 1, f"p{i}", None if i % 3 else True) for i in range(n)]
+    then = [(f"u{i}", _at(50 + i % 9), 0, f"t{i}{x}", i % 2 == 0) for i in range(0, n, 2) for x in "ba"] + first[:5]
+    for rows in (first, then, [("z", _at(60 * 24 * 30), -1, "z", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(run + "/in")
+    s = J.file_stream(spark, run + "/in", spark.createDataFrame([], schema).schema)
+    out = J.stream_feedback_match(s, "entity_id", "ts", "kind", "row_id", "flag", "1 day", "1 hour")
+    q = J.run_available(out.writeStream.format("parquet").option("path", run + "/out").option("checkpointLocation", run + "/ckpt"), spark)
+    got = {(r.entity_id, r.prediction_id, r.feedback_id, r.predicted_churn, r.actual_churn) for r in spark.read.parquet(run + "/out").collect()}
+    assert got == {(f"u{i}", f"p{i}", f"t{i}a", None if i % 3 else True, True) for i in range(0, n, 2)}
+    states = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    assert 0 < max(states) <= 6 * KEY_BUCKETS                       # blocks, their count and timers of one slice
