@@ -51,6 +51,14 @@ def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
 
 
+def _bounds_below(bounds: str, value: str, most: int) -> Column:
+    """Number of ascending ``bounds`` (``most`` at most) below a value, by bisection:
+    a row meets log2 of the bounds and not each of them."""
+    steps = [1 << i for i in reversed(range(max(1, most.bit_length())))]
+    further = lambda at, step: at + F.when(F.get(bounds, at + step - 1) < F.col(value), step).otherwise(0)
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), further)
+
+
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                  group_cols: Sequence[str] = (), descending: bool = False,
                  bucket_col: str | None = None, tiebreak: Sequence[str] = (),
@@ -84,7 +92,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
             F.percentile_approx("_o", probs, DEFAULT_SCALE.quantile_accuracy)
             .alias("_bounds"))
         d = (d.join(_maybe_broadcast(bounds, groups_bounded or not group_cols), g)
-             .withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("_o"))))
+             .withColumn("_bk", F.when(F.col("_bounds").isNotNull(), _bounds_below("_bounds", "_o", n_buckets - 1)))
              .drop("_bounds"))
     else:
         d = d.withColumn("_bk", F.col(bucket_col))

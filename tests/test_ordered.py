@@ -122,3 +122,16 @@ def test_lagged_and_trailing_match_windows(spark):
         for width in (51, 1000):
             got = trailing(df, "t", 50, {"s": F.sum("x")}, keys, width).toPandas().sort_values(keys + ["t"])
             assert got["s"].tolist() == want and len(got) == 300
+
+
+def test_a_row_meets_few_of_the_bounds(spark):
+    from tabulon.operators import ordered
+    rows = [(float(v), n) for v in (-3, 0, 0.5, 1, 7, 199, 200, 500) for n in range(0, 40, 3)] + [(None, 2), (float("nan"), 5)]
+    d = spark.createDataFrame(rows, "_o double, n int").withColumn("_bounds", F.expr("transform(sequence(1, n), i -> double(i div 2))"))
+    d = d.withColumn("_bounds", F.when(F.col("n") > 0, F.col("_bounds")).otherwise(F.array().cast("array<double>")))
+    plain = F.size(F.filter("_bounds", lambda b: b < F.col("_o")))
+    assert d.where(plain != ordered._bounds_below("_bounds", "_o", 39)).count() == 0
+    sums = ordered.running_sums(spark.range(50).select(F.col("id").alias("v"), F.lit(1).alias("n")), "v", ["n"], n_buckets=16)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate([8,4,2,1]" in plan and "filter(_bounds" not in plan
+    assert [r.n_run for r in sums.orderBy("v").collect()] == list(range(1, 51))
