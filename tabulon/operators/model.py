@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -19,7 +21,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (OneHotEncoder, PolynomialExpansion, SQLTransformer, StandardScaler, StringIndexer,
                                 VarianceThresholdSelector, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from tabulon import config as C
 from tabulon.functions.scalar import log_grid
 from tabulon.operators import clean
+from tabulon.operators.ordered import materialize
 from tabulon.operators.sample import hash_split
 
 MODEL_FAMILIES = ("logistic_regression", "random_forest", "gradient_boosting", "linear_svc", "bagging")
@@ -36,6 +39,18 @@ def _q(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
+#: rows of a training table for which one more core is taken
+ROWS_PER_CORE = 10_000
+
+
+def settled_over_cores(df: DataFrame) -> DataFrame:
+    """``materialize``, dealt over the cores: a shuffle packs partitions by bytes, and
+    the few megabytes of a training table would be fitted by a core or two."""
+    d = materialize(df)
+    n = min(d.sparkSession.sparkContext.defaultParallelism, -(-d.count() // ROWS_PER_CORE))
+    return materialize(d.repartition(n)) if d.rdd.getNumPartitions() < n else d
+
+
 def balanced_weights(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:
     """JON4: weight n / (k · n_class) attached by a broadcast join of the
     class counts (k rows: bounded by the number of classes)."""
@@ -130,7 +145,8 @@ CLASSIFIER_DEFAULTS = {
 def classifier(family: str, label: str = "label", weight: str | None = "class_weight",
                seed: int = C.RANDOM_SEED, **params):
     """MDL1-5 (MDL4 returns the SVM; calibration is added by ``fit_model``).
-    A parameter that the family does not offer is an error."""
+    A parameter that the family does not offer is an error.  Forests keep each row's
+    node: else every pass sends all trees to every task and walks them again."""
     if family not in CLASSIFIER_DEFAULTS:
         raise ValueError(family)
     unknown = set(params) - set(CLASSIFIER_DEFAULTS[family])
@@ -140,12 +156,12 @@ def classifier(family: str, label: str = "label", weight: str | None = "class_we
     if family == "logistic_regression":
         return LogisticRegression(labelCol=label, weightCol=weight, elasticNetParam=0.0, **p)
     if family == "random_forest":
-        return RandomForestClassifier(labelCol=label, weightCol=weight, seed=seed, **p)
+        return RandomForestClassifier(labelCol=label, weightCol=weight, seed=seed, cacheNodeIds=True, **p)
     if family == "gradient_boosting":
         return GBTClassifier(labelCol=label, seed=seed, **p)
     if family == "linear_svc":
         return LinearSVC(labelCol=label, weightCol=weight, predictionCol="svm_prediction", rawPredictionCol="svm_raw", **p)
-    return RandomForestClassifier(labelCol=label, seed=seed, featureSubsetStrategy="all", bootstrap=True, **p)
+    return RandomForestClassifier(labelCol=label, seed=seed, featureSubsetStrategy="all", bootstrap=True, cacheNodeIds=True, **p)
 
 
 def _platt_stages(label: str) -> tuple[list, LogisticRegression]:
@@ -201,24 +217,39 @@ def positive_probability(pred: DataFrame, name: str = "churn_probability") -> Da
 def cross_validate(train_with_folds: DataFrame, spec: FeatureSpec, family: str, grid: dict,
                    label: str = "label", weight: str | None = "class_weight", fold_col: str = "fold",
                    num_folds: int = C.CV_FOLDS, parallelism: int = 2):
-    """MDL7: grid search with ROC AUC over stratified folds given as a column.
+    """MDL7: grid search with ROC AUC over stratified folds given as a column, as
+    ``CrossValidator(foldCol=...)`` runs it.
 
     Returns (best PipelineModel, [(params, mean auc)]).  The linear SVM's best
     model has margins only; ``training.tune_best`` refits it with calibration."""
-    est = classifier(family, label, weight if family not in ("gradient_boosting", "bagging") else None)
-    pipe = Pipeline(stages=feature_stages(spec) + [est])
+    w = weight if family not in ("gradient_boosting", "bagging") else None
+    est = classifier(family, label, w)
     b = ParamGridBuilder()
     for pname, values in grid.items():
         b = b.addGrid(est.getParam(pname), values)
     maps = b.build()
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC",
                                        rawPredictionCol="svm_raw" if family == "linear_svc" else "rawPrediction")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        numFolds=num_folds,
-                        parallelism=parallelism, seed=C.RANDOM_SEED)
-    m = cv.fit(train_with_folds)
-    scores = [({p.name: v for p, v in pm.items()}, float(a)) for pm, a in zip(maps, m.avgMetrics)]
-    return m.bestModel, scores
+    if not train_with_folds.where(~F.coalesce(F.col(fold_col).between(0, num_folds - 1), F.lit(False))).isEmpty():
+        raise ValueError(f"a fold is not in 0..{num_folds - 1}")
+    read = [c for c in (label, w, "features") if c]
+    totals = [0.0] * len(maps)
+    for fold in range(num_folds):
+        # the feature stages know no grid parameter: fitted once a fold, and their vectors read by every point
+        rest, held = train_with_folds.where(F.col(fold_col) != fold), train_with_folds.where(F.col(fold_col) == fold)
+        features = Pipeline(stages=feature_stages(spec)).fit(rest)
+        rest, held = (features.transform(d).select(*read).persist(StorageLevel.MEMORY_AND_DISK) for d in (rest, held))
+        if rest.isEmpty() or held.isEmpty():
+            raise ValueError(f"fold {fold}: no rows to train on or none held out")
+        with ThreadPool(min(parallelism, len(maps))) as pool:
+            aucs = pool.map(inheritable_thread_target(train_with_folds.sparkSession)(lambda pm: ev.evaluate(est.fit(rest, pm).transform(held))), maps)
+        totals = [t + float(a) for t, a in zip(totals, aucs)]
+        rest.unpersist()
+        held.unpersist()
+    means = [t / num_folds for t in totals]
+    scores = [({p.name: v for p, v in pm.items()}, m) for pm, m in zip(maps, means)]
+    best = maps[means.index(max(means))]
+    return Pipeline(stages=feature_stages(spec) + [est]).fit(train_with_folds, best), scores
 
 
 def feature_importance(model: PipelineModel, spec: FeatureSpec, spark) -> DataFrame:

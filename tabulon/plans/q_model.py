@@ -39,7 +39,7 @@ def _training_table(spark, sf):
     of a pipeline (scaler, indexer, classifier) and every fitted statistic
     reads it, and the join behind it should run once."""
     ent = MD.balanced_weights(_entity(spark, sf).withColumn("churn", F.col("churn").cast("double")), "churn")
-    return materialize(ent)
+    return MD.settled_over_cores(ent)
 
 
 @query("mdl6_model_comparison")

@@ -34,7 +34,7 @@ class Trained:
 def split_and_weight(df: DataFrame, label: str, key: str) -> tuple[DataFrame, DataFrame]:
     sp = stratified_split(df, label, key)
     sp = MD.balanced_weights(sp, label)
-    sp = sp.checkpoint(eager=True)   # reliable checkpoint in the shared folder
+    sp = MD.settled_over_cores(sp)   # reliable checkpoint in the shared folder
     return sp.where(F.col("split") == "train").drop("split"), sp.where(F.col("split") == "test").drop("split")
 
 
@@ -68,10 +68,10 @@ def compared(preds: DataFrame) -> DataFrame:
 
 def tune(train: DataFrame, spec: MD.FeatureSpec, family: str, grid: dict, label: str, key: str,
          k: int = C.CV_FOLDS):
-    """MDL7: stratified folds as a column, then ``CrossValidator(foldCol=...)``."""
+    """MDL7: stratified folds as a column, then ``cross_validate``."""
     folded = stratified_folds(train, label, key, k=k).withColumn(label, F.col(label).cast("double"))
     # every fold x parameter fit reads this table: derive the folds once
-    folded = folded.checkpoint(eager=True)
+    folded = MD.settled_over_cores(folded)
     return MD.cross_validate(folded, spec, family, grid, label=label, num_folds=k)
 
 

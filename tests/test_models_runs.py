@@ -172,3 +172,30 @@ def test_optional_features_and_nested_record(spark, table):
     r = Q.evaluation_record(Q.with_prediction(df), "m", "2", n_features=7).first()
     assert r.model_info.n_features == 7 and r.metrics.accuracy == 0.5 and r.metrics.roc_auc == 0.75
     assert r.data_info.n_rows == 4 and r.class_distribution.positive_share == 0.5
+
+
+def test_features_are_fitted_once_a_fold(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    rows = [(i, float((i * 7) % 13), "abc"[i % 3], float((i * 5) % 11 + i % 3 > 6), 1.0, i % 2) for i in range(120)]
+    table = spark.createDataFrame(rows, "k long, x double, c string, label double, class_weight double, fold int").checkpoint()
+    spec = MD.fit_feature_spec(table, ["x"], ["c"])
+    est = MD.classifier("logistic_regression")
+    maps = ParamGridBuilder().addGrid(est.regParam, [0.01, 0.1, 10.0]).build()
+    whole = CrossValidator(estimator=Pipeline(stages=MD.feature_stages(spec) + [est]), estimatorParamMaps=maps, foldCol="fold", numFolds=2,
+                           evaluator=BinaryClassificationEvaluator(labelCol="label")).fit(table)
+    fits, fit = [], MD.StandardScaler._fit
+    monkeypatch.setattr(MD.StandardScaler, "_fit", lambda self, d: fits.append(1) or fit(self, d))
+    best, scores = MD.cross_validate(table, spec, "logistic_regression", {"regParam": [0.01, 0.1, 10.0]}, num_folds=2)
+    assert np.allclose([s for _, s in scores], whole.avgMetrics, atol=1e-9) and [p["regParam"] for p, _ in scores] == [0.01, 0.1, 10.0]
+    assert np.allclose(best.stages[-1].coefficients.toArray(), whole.bestModel.stages[-1].coefficients.toArray(), atol=1e-9)
+    assert len(fits) == 3                                            # each fold, and the best model
+
+
+def test_forests_keep_node_ids_and_use_the_cores(spark):
+    assert all(MD.classifier(f).getCacheNodeIds() for f in ("random_forest", "bagging"))
+    few = spark.range(3 * MD.ROWS_PER_CORE).coalesce(1)
+    wide = MD.settled_over_cores(few)
+    assert wide.rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism) and wide.distinct().count() == 3 * MD.ROWS_PER_CORE
+    assert MD.settled_over_cores(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 1
