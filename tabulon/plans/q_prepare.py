@@ -180,7 +180,7 @@ def src3_batch_bodies(spark, sf):
                      F.when(F.col("body") % 4 == 2, ', "include_explanations": true').otherwise(""))
     text = F.concat(F.lit('{"customers": ['), F.concat_ws(",", "items.value"), F.lit("]"), flags, F.lit("}"))
     rows = decode_requests(items.select("body", text.alias("value")), batch=True).where("monthly_charges is not null")
-    rows = rows.withColumn("p", F.col("monthly_charges") / (F.col("monthly_charges") + 60.0)).withColumn("why", F.lit("monthly_charges"))
+    rows = rows.withColumn("p", S.saturation("monthly_charges", 60.0)).withColumn("why", F.lit("monthly_charges"))
     return SC.batch_rows(rows, "p", "rule-1", explanation="why", keep=["body", "item_index"]).drop("timestamp")
 
 

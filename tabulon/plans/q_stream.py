@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon import config as C
+from tabulon.functions import scalar as S
 from tabulon.operators import alerts as A
 from tabulon.operators import model as MD
 from tabulon.operators import validate as V
@@ -31,7 +32,7 @@ def _staged_events(spark, sf, run, closed=False):
 def _predlog_stream(stream):
     return stream.select(F.col("event_id").alias("prediction_id"), "ts", F.col("user_id").alias("entity_id"),
                          "event_type", "value",
-                         (F.col("value") / (F.col("value") + F.lit(50.0))).alias("churn_probability"))
+                         S.saturation("value", 50.0).alias("churn_probability"))
 
 
 def _staged_requests(spark, sf, run):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions import scalar as S
 from tabulon.sources.tables import read_table
 
 CUTOFF_TS = "2001-01-01 00:00:00"
@@ -78,11 +79,10 @@ def scored_documents_sql(label: str = "quality") -> str:
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a prediction log: id, time, entity, score, label, tier, confidence."""
     ev = read_table(spark, sf_dir, "events")
-    p = F.col("value") / (F.col("value") + F.lit(50.0))
     return ev.select(
         F.col("event_id").alias("prediction_id"), "ts",
         F.col("user_id").alias("entity_id"), "event_type", "value",
-        p.alias("churn_probability"))
+        S.saturation("value", 50.0).alias("churn_probability"))
 
 
 PREDLOG_SQL = """predlog AS (

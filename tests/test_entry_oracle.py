@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from tabulon.plans.catalog import load_all
+from tabulon.sources import supplied as SP
 from tabulon.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +69,23 @@ def test_rows_only_query_runs(spark, name):
     assert E.queries()[name](spark, SF).count() >= 0
 
 
+def test_scores_at_the_pole_of_their_rule(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, f"c{i}", i % 5, b, "AUTO") for i, b in enumerate([-60.0, 1.0, -60.0, -59.99, None, -60.01, 60.0] * 6)],
+                          "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(sf + "/customer.parquet")
+    spark.sql("SELECT id AS o_orderkey, id % 30 AS o_custkey, 'O' AS o_orderstatus, 10.5D AS o_totalprice, TIMESTAMP_NTZ '2000-01-01 00:00:00' AS o_orderdate, "
+              "'1-URGENT' AS o_orderpriority FROM range(60)").write.parquet(sf + "/orders.parquet")
+    spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-10 00:00:00' AS ts, id AS user_id, 'view' AS event_type, id * 25.0D - 75.0D AS value "
+              "FROM range(6)").write.parquet(sf + "/events.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet/*.parquet')")
+    got, want = (_rows(x) for x in (E.queries()["src3_batch_bodies"](spark, sf).toPandas(), con.execute(E.oracle_sql()["src3_batch_bodies"]).df()))
+    assert got == want and any(-math.inf in r for r in got[1])
+    log = SP.prediction_log(spark, sf).select("prediction_id", "churn_probability")
+    assert _rows(log.toPandas()) == _rows(con.execute(f"WITH {SP.PREDLOG_SQL} SELECT prediction_id, churn_probability FROM predlog").df())
+
+
 def test_query_keys_trace_to_inventory():
     import re
     ids = ("src", "snk", "prj", "flt", "cst", "imp", "val", "jon", "agg", "win", "ord", "smp", "scl",
