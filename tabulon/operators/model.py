@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tabulon import config as C
 from tabulon.functions.scalar import log_grid
-from tabulon.operators import clean
+from tabulon.operators import clean, forest
 from tabulon.operators.ordered import materialize
 from tabulon.operators.sample import hash_split
 
@@ -164,6 +164,24 @@ def classifier(family: str, label: str = "label", weight: str | None = "class_we
     return RandomForestClassifier(labelCol=label, seed=seed, featureSubsetStrategy="all", bootstrap=True, cacheNodeIds=True, **p)
 
 
+#: nodes of a forest, at most, that Spark ML may grow and keep in the driver
+DRIVER_NODES = 2_000_000
+
+
+def forest_nodes(family: str, n_rows: int, params: dict) -> int:
+    """How many nodes a forest over ``n_rows`` rows can have: a leaf needs a row."""
+    p = CLASSIFIER_DEFAULTS[family] | params
+    return p["numTrees"] * min(2 << p["maxDepth"], 2 * n_rows)
+
+
+def _fit_large_forest(train: DataFrame, stages: list, family: str, label: str, weight: str | None, params: dict) -> PipelineModel:
+    est = classifier(family, label, weight, **params)
+    features = Pipeline(stages=stages).fit(train)
+    m = forest.fit_forest(features.transform(train), label, weight, forest.forest_path(train.sparkSession), est.getNumTrees(), est.getMaxDepth(),
+                          "all" if est.getFeatureSubsetStrategy() == "all" else "sqrt", est.getMinInstancesPerNode(), est.getSubsamplingRate(), est.getSeed())
+    return PipelineModel(stages=features.stages + [m])
+
+
 def _platt_stages(label: str) -> tuple[list, LogisticRegression]:
     margin = VectorSlicer(inputCol="svm_raw", outputCol="svm_margin_vec", indices=[1])
     lr = LogisticRegression(labelCol=label, featuresCol="svm_margin_vec", maxIter=100)
@@ -175,10 +193,13 @@ def fit_model(train: DataFrame, spec: FeatureSpec, family: str, label: str = "la
     """Fit features + classifier as one ``PipelineModel``.
 
     For the linear SVM a logistic calibration (Platt 1999) on the margin is
-    fitted on a held-back 20 % of the training rows the SVM did not see.
+    fitted on a held-back 20 % of the training rows the SVM did not see.  A forest
+    that may have more than ``DRIVER_NODES`` nodes is a ``forest.ForestModel``.
     """
     stages = feature_stages(spec)
     w = weight if family not in ("gradient_boosting", "bagging") else None
+    if family in ("random_forest", "bagging") and forest_nodes(family, train.count(), params) > DRIVER_NODES:
+        return _fit_large_forest(train, stages, family, label, w, params)
     if family != "linear_svc":
         return Pipeline(stages=stages + [classifier(family, label, w, **params)]).fit(train)
     key = key or next(c for c in train.columns if c not in (label, weight))
@@ -407,6 +428,8 @@ def tree_contributions(model: PipelineModel, scored: DataFrame, spec: FeatureSpe
     import numpy as np
     import pyarrow as pa
     last = model.stages[-1]
+    if isinstance(last, forest.ForestModel):
+        return last.contributions(scored, key, features_col)
     boosted = isinstance(last, GBTClassificationModel)
     n = last.getNumTrees
     weights = [float(w) for w in last.treeWeights] if boosted else [1.0 / n] * n
