@@ -43,12 +43,14 @@ def _q(c: str) -> str:
 ROWS_PER_CORE = 10_000
 
 
-def settled_over_cores(df: DataFrame) -> DataFrame:
+def settled_over_cores(df: DataFrame, even: bool = False) -> DataFrame:
     """``materialize``, dealt over the cores: a shuffle packs partitions by bytes, and
-    the few megabytes of a training table would be fitted by a core or two."""
+    the few megabytes of a training table would be fitted by a core or two.  ``even``:
+    also if there are a few more partitions than cores, as the last of them would be
+    waited for in each of a fit's many passes."""
     d = materialize(df)
-    n = min(d.sparkSession.sparkContext.defaultParallelism, -(-d.count() // ROWS_PER_CORE))
-    return materialize(d.repartition(n)) if d.rdd.getNumPartitions() < n else d
+    n, parts = min(d.sparkSession.sparkContext.defaultParallelism, -(-d.count() // ROWS_PER_CORE)), d.rdd.getNumPartitions()
+    return materialize(d.repartition(n)) if parts < n or even and n > 1 and parts < 4 * n and parts % n else d
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:
@@ -174,12 +176,9 @@ def forest_nodes(family: str, n_rows: int, params: dict) -> int:
     return p["numTrees"] * min(2 << p["maxDepth"], 2 * n_rows)
 
 
-def _fit_large_forest(train: DataFrame, stages: list, family: str, label: str, weight: str | None, params: dict) -> PipelineModel:
-    est = classifier(family, label, weight, **params)
-    features = Pipeline(stages=stages).fit(train)
-    m = forest.fit_forest(features.transform(train), label, weight, forest.forest_path(train.sparkSession), est.getNumTrees(), est.getMaxDepth(),
-                          "all" if est.getFeatureSubsetStrategy() == "all" else "sqrt", est.getMinInstancesPerNode(), est.getSubsamplingRate(), est.getSeed())
-    return PipelineModel(stages=features.stages + [m])
+def _fit_forest(rows: DataFrame, est: RandomForestClassifier) -> forest.ForestModel:
+    return forest.fit_forest(rows, est.getLabelCol(), est.getWeightCol() if est.isSet("weightCol") else None, forest.forest_path(rows.sparkSession), est.getNumTrees(),
+                             est.getMaxDepth(), "all" if est.getFeatureSubsetStrategy() == "all" else "sqrt", est.getMinInstancesPerNode(), est.getSubsamplingRate(), est.getSeed())
 
 
 def _platt_stages(label: str) -> tuple[list, LogisticRegression]:
@@ -188,25 +187,32 @@ def _platt_stages(label: str) -> tuple[list, LogisticRegression]:
     return [margin], lr
 
 
+def fit_features(train: DataFrame, spec: FeatureSpec) -> PipelineModel:
+    return Pipeline(stages=feature_stages(spec)).fit(train)
+
+
 def fit_model(train: DataFrame, spec: FeatureSpec, family: str, label: str = "label",
-              weight: str | None = "class_weight", key: str | None = None, **params) -> PipelineModel:
+              weight: str | None = "class_weight", key: str | None = None, features: PipelineModel | None = None, **params) -> PipelineModel:
     """Fit features + classifier as one ``PipelineModel``.
 
     For the linear SVM a logistic calibration (Platt 1999) on the margin is
     fitted on a held-back 20 % of the training rows the SVM did not see.  A forest
     that may have more than ``DRIVER_NODES`` nodes is a ``forest.ForestModel``.
+    ``features``: ``fit_features`` of the same table, for families that share them;
+    the SVM fits its own, on fewer rows.
     """
-    stages = feature_stages(spec)
     w = weight if family not in ("gradient_boosting", "bagging") else None
-    if family in ("random_forest", "bagging") and forest_nodes(family, train.count(), params) > DRIVER_NODES:
-        return _fit_large_forest(train, stages, family, label, w, params)
+    est = classifier(family, label, w, **params)
     if family != "linear_svc":
-        return Pipeline(stages=stages + [classifier(family, label, w, **params)]).fit(train)
+        features = features or fit_features(train, spec)
+        rows = features.transform(train)
+        large = family in ("random_forest", "bagging") and forest_nodes(family, train.count(), params) > DRIVER_NODES
+        return PipelineModel(stages=features.stages + [_fit_forest(rows, est) if large else est.fit(rows)])
     key = key or next(c for c in train.columns if c not in (label, weight))
     parts = hash_split(train, key, test_pct=20)
     fit_part = parts.where(F.col("split") == "train").drop("split")
     cal_part = parts.where(F.col("split") == "test").drop("split")
-    base = Pipeline(stages=stages + [classifier(family, label, w, **params)]).fit(fit_part)
+    base = Pipeline(stages=feature_stages(spec) + [est]).fit(fit_part)
     pre, lr = _platt_stages(label)
     cal_in = PipelineModel(stages=base.stages + pre).transform(cal_part)
     cal = lr.fit(cal_in)

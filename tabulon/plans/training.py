@@ -10,17 +10,25 @@ joins, and a lost executor re-reads it instead of replaying the lineage.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon import config as C
 from tabulon.operators import model as MD
 from tabulon.operators import quality as Q
+from tabulon.operators.ordered import materialize
 from tabulon.operators.sample import stratified_folds, stratified_split
 
 
+#: families by their number of jobs one after the other, and how many are fitted at a time
+LONGEST, FITS_AT_ONCE = ("gradient_boosting", "linear_svc"), 2
+
+
 @dataclass
 class Trained:
     spec: MD.FeatureSpec
@@ -34,26 +42,33 @@ class Trained:
 def split_and_weight(df: DataFrame, label: str, key: str) -> tuple[DataFrame, DataFrame]:
     sp = stratified_split(df, label, key)
     sp = MD.balanced_weights(sp, label)
-    sp = MD.settled_over_cores(sp)   # reliable checkpoint in the shared folder
+    sp = MD.settled_over_cores(sp, even=True)   # reliable checkpoint in the shared folder
     return sp.where(F.col("split") == "train").drop("split"), sp.where(F.col("split") == "test").drop("split")
 
 
 def train_all(df: DataFrame, label: str, key: str, numeric: Sequence[str], categorical: Sequence[str],
               families: Sequence[str] = MD.MODEL_FAMILIES, params: dict | None = None) -> Trained:
     """MDL6: every family on the same prepared data; metrics in one pass over
-    the unioned holdout predictions grouped by model."""
+    the unioned holdout predictions grouped by model.  Families are fitted and score
+    the holdout side by side, those of many short jobs first: the jobs of one leave
+    cores to the others."""
     params = params or {}
     train, test = split_and_weight(df.withColumn(label, F.col(label).cast("double")), label, key)
     spec = MD.fit_feature_spec(train, numeric, categorical)
-    models, preds = {}, None
-    for fam in families:
-        m = MD.fit_model(train, spec, fam, label=label, key=key, **params.get(fam, {}))
-        models[fam] = m
+    features = MD.fit_features(train, spec)
+    first = sorted(families, key=lambda f: LONGEST.index(f) if f in LONGEST else len(LONGEST))
+
+    def fitted(fam):
+        m = MD.fit_model(train, spec, fam, label=label, key=key, features=features, **params.get(fam, {}))
         p = MD.positive_probability(m.transform(test)).select(
             F.lit(fam).alias("model"), F.col(key), F.col(label).cast("int").alias("label"),
             F.col("churn_probability").alias("score"),
             (F.col("churn_probability") >= C.LABEL_CUT).cast("int").alias("prediction"))
-        preds = p if preds is None else preds.unionByName(p)
+        return m, materialize(p)
+    with ThreadPool(max(1, min(FITS_AT_ONCE, len(first)))) as pool:
+        done = dict(zip(first, pool.map(inheritable_thread_target(df.sparkSession)(fitted), first, chunksize=1)))
+    models = {fam: done[fam][0] for fam in families}
+    preds = reduce(DataFrame.unionByName, [done[fam][1] for fam in families]) if families else None
     return Trained(spec, models, preds, compared(preds), train, test)
 
 

@@ -44,8 +44,7 @@ def test_the_limit_counts_nodes():
     assert MD.forest_nodes("random_forest", 1500, {}) < MD.DRIVER_NODES
 
 
-@pytest.mark.parametrize("family,params", [("random_forest", {"numTrees": 40}), ("bagging", {"numTrees": 20}),
-                                           ("random_forest", {"numTrees": 40, "maxDepth": 4, "minInstancesPerNode": 5})])
+@pytest.mark.parametrize("family,params", [("bagging", {"numTrees": 20}), ("random_forest", {"numTrees": 40, "maxDepth": 4, "minInstancesPerNode": 5})])
 def test_a_large_forest_is_like_spark_mls(monkeypatch, table, spec, family, params):
     ml = MD.fit_model(table, spec, family, label="y", **params)
     _large(monkeypatch)
@@ -124,3 +123,24 @@ def test_cuts_come_from_all_rows(spark):
     assert few == [i + 0.5 for i in range(19)] and rare == [0.5] and len(many) == FO.BINS - 1
     weight = [c if c < 25_000 else 25_000 + 3 * (c - 25_000) for c in many]
     assert np.allclose(np.diff([0, *weight, 100_000]) / (100_000 / FO.BINS), 1, atol=0.1)
+
+
+def test_families_share_features_and_equal_fits_of_their_own(monkeypatch, table):
+    from tabulon.plans.training import train_all
+    fits, fit = [], MD.StandardScaler._fit
+    monkeypatch.setattr(MD.StandardScaler, "_fit", lambda self, d: fits.append(1) or fit(self, d))
+    few = {"random_forest": {"numTrees": 3, "maxDepth": 4}, "bagging": {"numTrees": 2, "maxDepth": 4}}
+    t = train_all(table.drop("class_weight"), "y", "k", ["x", "z"], ["c"], families=("logistic_regression", "random_forest", "bagging"), params=few)
+    assert len(fits) == 1 and list(t.models) == ["logistic_regression", "random_forest", "bagging"]
+    got = {(r.model, r.k): r.score for r in t.predictions.collect()}
+    assert len(got) == 3 * t.test.count()
+    for fam in t.models:
+        alone = MD.fit_model(t.train, t.spec, fam, label="y", key="k", **few.get(fam, {}))
+        assert all(abs(got[fam, k] - p) < 1e-9 for k, (p, _) in _scores(alone, t.test).items())
+
+
+def test_a_training_table_has_no_last_partitions_to_wait_for(spark):
+    cores = spark.sparkContext.defaultParallelism
+    odd = spark.range(cores * MD.ROWS_PER_CORE).repartition(cores + 1)
+    assert MD.settled_over_cores(odd, even=True).rdd.getNumPartitions() == cores
+    assert MD.settled_over_cores(odd).rdd.getNumPartitions() == cores + 1
